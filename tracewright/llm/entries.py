@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, simhash
+from . import exact_dedup, packing, repetition, sharding, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
+    "op8_suffix_array_quality": repetition.query,
     "op9_simhash_golay": simhash.query,
     "op10_weighted_hash_tree": sharding.query,
 }
