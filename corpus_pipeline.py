@@ -11,10 +11,20 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import exact_dedup, packing, simhash
+from tracewright.llm import exact_dedup, packing, repetition, simhash, toxicity
 from tracewright.llm.common import shared_dir, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from a bounded sample of the labelled ones."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return repetition.keep_good(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the row with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs)
@@ -31,6 +41,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_poor),
     ("exact dedup", drop_exact_copies),
     ("simhash near-dedup", drop_near_copies),
     ("best-fit packing", pack_sequences),
