@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, repetition, sharding, simhash, toxicity, warc
+from . import chat, exact_dedup, packing, repetition, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_compression_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_warc_shards": warc.query,
+    "op5_chat_prefix_tree": chat.query,
     "op6_best_fit_packing": packing.query,
     "op8_suffix_array_quality": repetition.query,
     "op9_simhash_golay": simhash.query,
     "op10_weighted_hash_tree": sharding.query,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_warc_shards": warc.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_warc_shards": warc.SQL, "op5_chat_prefix_tree": chat.SQL}
