@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing, repetition, sharding, simhash, toxicity, warc
+from . import chat, exact_dedup, html_main, packing, repetition, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_compression_toxicity": toxicity.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_warc_shards": warc.query,
+    "op4_crf_main_text": html_main.query,
     "op5_chat_prefix_tree": chat.query,
     "op6_best_fit_packing": packing.query,
     "op8_suffix_array_quality": repetition.query,
