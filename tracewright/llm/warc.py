@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +78,8 @@ def shard_bounds(df: DataFrame, key: str, weight: str, target: int = SHARD_BYTES
     return bounds
 
 
-def records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """WARC records of ``pages`` (page_id, url, html), with their shards; columns as in RECORD. And how many shards.
+def records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """WARC records of ``pages`` (page_id, url, html), partitioned and sorted by shard and page_id; columns as in RECORD.
 
     A null html is empty, a null url too. Of equal payloads of at least MIN_REVISIT bytes, the smallest page_id is the
     response and the others revisit it; smaller payloads, and rows without a page_id, are all responses. Of rows that
@@ -99,22 +101,36 @@ def records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame
     revisits = revisits.filter("page_id > first").select("page_id", "payload_digest", "first").distinct()
     bounds = np.array(shard_bounds(light, "page_id", "payload_bytes", shard_bytes), np.int64)
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("page_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            shard = pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, shard], names=[*batch.schema.names, "shard"])
-
-    joined = base.join(revisits, ["page_id", "payload_digest"], "left").select(
-        "page_id",
-        "url",
-        F.when(F.col("first").isNull(), F.col("payload")).alias("payload"),
-        "payload_bytes",
-        "payload_digest",
-        F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.col("first").alias("refers_to"),
-    )
-    return joined.mapInArrow(seat, RECORD), len(bounds) + 1
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.fillna(-(1 << 63)).astype("int64"), "right").astype("int32"))
+
+    # a note on each revisit travels with the records and is sorted to their front, so payloads are shuffled once
+    nothing = F.lit(None)
+    notes = revisits.select("page_id", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), nothing.cast("long").alias("payload_bytes"), "payload_digest", F.col("first").alias("refers_to"))
+    both = base.withColumn("refers_to", nothing.cast("long")).unionByName(notes).withColumn("shard", shard_of("page_id"))
+    order = ["shard", "page_id", "payload_digest", F.col("refers_to").asc_nulls_last(), "url"]
+    return both.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions(*order).mapInArrow(_apply_notes, RECORD)
+
+
+def _apply_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the notes out of sorted records and turns the records that they name into revisits."""
+    note, first = None, None
+    for batch in batches:
+        notes = batch.column("refers_to").is_valid().to_pylist()
+        ids, digests = batch.column("page_id").to_pylist(), batch.column("payload_digest").to_pylist()
+        refers: list[int | None] = []
+        for k, is_note in enumerate(notes):
+            if is_note:
+                note, first = (ids[k], digests[k]), batch.column("refers_to")[k].as_py()
+            refers.append(first if (ids[k], digests[k]) == note else None)
+        refers_to = pa.array(refers, pa.int64())
+        plain = refers_to.is_null()
+        kinds = pc.if_else(plain, "response", "revisit")
+        payload = pc.if_else(plain, batch.column("payload"), pa.scalar(None, batch.column("payload").type))
+        out = [batch.column("page_id"), batch.column("url"), payload, batch.column("payload_bytes"), batch.column("payload_digest"), kinds, refers_to, batch.column("shard")]
+        names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "shard"]
+        yield pa.RecordBatch.from_arrays(out, names=names).filter(pc.invert(pa.array(notes, pa.bool_())))
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -304,9 +320,7 @@ def write_archives(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES,
     """Archives of ``pages`` under ``path``, and their manifest. An empty table gives a manifest without files."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
-    rows, shards = records(pages, shard_bytes)
-    sorted_rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url")
-    sorted_rows.write.format("warc").mode("append").option("path", path).option("rollBytes", roll_bytes).save()
+    records(pages, shard_bytes).write.format("warc").mode("append").option("path", path).option("rollBytes", roll_bytes).save()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
