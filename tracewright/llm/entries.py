@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_main, packing, repetition, sharding, simhash, toxicity, warc
+from . import chat, exact_dedup, html_main, packing, repetition, sentence_pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_compression_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_crf_main_text": html_main.query,
     "op5_chat_prefix_tree": chat.query,
     "op6_best_fit_packing": packing.query,
+    "op7_shared_prefix_pieces": sentence_pieces.query,
     "op8_suffix_array_quality": repetition.query,
     "op9_simhash_golay": simhash.query,
     "op10_weighted_hash_tree": sharding.query,
