@@ -1,0 +1,536 @@
+"""Every operator against a brute-force version or a round trip, on small tables with nulls, empty and long texts, ties,
+repeated rows, empty tables and extra columns whose names clash."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+import xxhash
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from tracewright.llm import chat, common, exact_dedup, html_main, packing, repetition, sentence_pieces, sharding, simhash, toxicity, warc  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, kept string, fp string, n double"
+
+
+def frame(spark, rows, schema=DOCS):
+    width = schema.count(",") + 1
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], schema)
+
+
+def odd_texts():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["Été", "ß", "日本", "of,", "x."]
+    body = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = body(9000)
+    one = body(120)
+    near = one.replace("w1 ", "w2 ", 1)
+    texts = [None, "", "  ", "\n", "a", "a b", one, one, one.upper(), near, long, long + " end", "Same", "same", "same", "\tx\x0by\n"]
+    texts += [body(rng.randint(1, 200)) for _ in range(60)]
+    texts += [f"{one} {body(2)}" for _ in range(8)]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en") for i, t in enumerate(odd_texts())]
+    rows += [(None, "no id"), (None, "no id"), (7, rows[7][1], "en")]  # null ids, and a repeated row
+    return frame(spark, rows).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def rows_of(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# op2
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.mark.parametrize("k", [2, 512])
+def test_exact_dedup(docs, empty, k):
+    source = docs.collect()
+    groups = {}
+    for r in source:
+        groups.setdefault(low(r.text), []).append(r.doc_id)
+    got = rows_of(exact_dedup.exact_dedup(docs, k=k))
+    assert len(got) == len(source)
+    by_digest = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    for r in got:
+        ids = by_digest[r["text_sha256"]]
+        assert r["group_size"] == len(ids)
+        assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(list(by_digest))
+    kept = exact_dedup.deduplicate(docs, k=k)
+    assert kept.columns == docs.columns
+    assert sorted(low(r.text) for r in kept.collect()) == sorted(groups)
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
+
+
+def test_misra_gries_finds_frequent_values():
+    rng = random.Random(2)
+    held, truth = {}, Counter()
+    for _ in range(30):
+        batch = Counter(rng.choice(["a", "b", *map(str, range(300))]) if rng.random() < 0.5 else "a" for _ in range(500))
+        truth.update(batch)
+        held = exact_dedup.merge_counts(held, batch, 8)
+        assert len(held) <= 8
+    n = sum(truth.values())
+    assert all(v in held for v, c in truth.items() if c > n / 9)
+    assert all(0 <= truth[v] - c <= n / 9 for v, c in held.items())
+
+
+# op9
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if w]
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(docs, empty):
+    source = docs.collect()
+    fps = [brute_fingerprint(r.text) for r in source]
+    root = list(range(len(source)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(source):
+        if r.doc_id is not None:
+            least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    want = Counter((r.doc_id, f, least.get(find(i))) for i, (r, f) in enumerate(zip(source, fps)))
+    got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in rows_of(simhash.near_duplicates(docs)))
+    assert got == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({find(i) for i in range(len(fps))})
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_all_close_fingerprints_are_linked(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = set(base.tolist())
+    for f in base.tolist():
+        for r in (1, 2, 3, 4):
+            for _ in range(4):
+                fps.add(f ^ sum(1 << int(b) for b in rng.choice(64, r, replace=False)))
+    fps = sorted(fps)
+    a = np.array(fps, np.uint64)
+    want = {frozenset((x, y)) for i, x in enumerate(fps) for y in a[i + 1 :][np.bitwise_count(a[i + 1 :] ^ a[i]) <= 3].tolist()}
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(df).collect()}
+    assert got == want and len(want) > 400
+
+
+def test_golay_code_is_perfect():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 23, 2000).astype(np.uint32)
+    code = simhash.nearest(v)
+    every = np.array([m << 11 | simhash._remainder(m << 11) for m in range(1 << 12)], np.uint32)
+    assert simhash.nearest(every).tolist() == list(range(1 << 12))
+    words = np.array([int(c) << 11 | simhash._remainder(int(c) << 11) for c in code], np.uint32)
+    assert (np.bitwise_count(words ^ v) <= 3).all()
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (200, 150)]
+    got = {r.fp: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[105] == 100 and got[200] == got[150] == 150
+
+
+# op6
+
+
+def test_packing(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    for capacity in (64, 4096):
+        got = rows_of(packing.pack(docs, path, capacity=capacity))
+        source = Counter((r.doc_id, tuple([*whole.encode(r.text or "", add_special_tokens=False).ids, 1])) for r in docs.collect())
+        want = Counter()
+        for (i, ids), n in source.items():
+            for k, s in enumerate(range(0, len(ids), capacity)):
+                part = np.array(ids[s : s + capacity], "<u4")
+                want[(i, k, s, len(part), zlib.crc32(part.tobytes()))] += n
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        sequences = {}
+        for r in got:
+            sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in sequences.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        total = sum(r["length"] for r in got)
+        assert len(sequences) <= -(-total // capacity) * 1.05 + 1
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_word_encoder_equals_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    texts = ["", " ", "It's  DON'T, don't. x.. y.,", "a|b | c ||", "É é É İI ﬁ", "a<|endoftext|>b <|ENDOFTEXT|> <|", "tab\tsep\x0b nbsp line", "12,5 3.14. 日本。"]
+    texts += ["".join(random.Random(k).choice("ab .,|'é\n<>1É̈") for _ in range(80)) for k in range(200)]
+    encoder = packing.WordEncoder(path)
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_every_piece_once(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 64, 500])
+    counts = Counter(rng.randint(1, capacity) if rng.random() < 0.8 else capacity // 3 for _ in range(rng.choice([1, 50, 3000])))
+    patterns = packing.plan(dict(counts), capacity)
+    used = Counter()
+    for pattern, m in patterns:
+        assert m > 0 and sum(pattern) <= capacity
+        for length in pattern:
+            used[length] += m
+    assert used == counts
+    assert packing.plan({}, capacity) == []
+
+
+def test_plan_fills_complements_exactly():
+    patterns = packing.plan({60: 5, 40: 5, 50: 5, 30: 3, 20: 3, 25: 8}, 100)
+    assert all(sum(p) == 100 for p, _ in patterns)
+
+
+# op8
+
+
+def brute_repeats(words, least):
+    n = len(words)
+    deepest = [0] * n
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                k = 0
+                while i + k < n and j + k < n and words[i + k] == words[j + k]:
+                    k += 1
+                deepest[i] = max(deepest[i], k)
+    covered = {p for i in range(n) if deepest[i] >= least for p in range(i, i + deepest[i])}
+    return len(covered), max(deepest, default=0)
+
+
+def test_suffix_array_repeats():
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        words = [rng.randrange(rng.choice([1, 2, 6, 40])) for _ in range(rng.choice([0, 1, 2, 9, 50, 90]))]
+        texts.append(words + words[: rng.randrange(25)])
+    flat = np.array([w for t in texts for w in t])
+    number = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    covered, longest = repetition.repeats(flat, number, len(texts))
+    assert [(int(c), int(m)) for c, m in zip(covered, longest)] == [brute_repeats(t, 8) for t in texts]
+
+
+def test_quality(docs, empty):
+    got = rows_of(repetition.quality(docs))
+    for r, s in zip(sorted(got, key=str), sorted(got, key=str)):
+        assert r == s
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for r in docs.collect():
+        text = r.text or ""
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        q = by[r.doc_id][0]
+        assert q["n_words"] == len(words)
+        assert q["word_chars"] == sum(map(len, words))
+        assert q["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text))
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert q["n_dup_lines"] == len(lines) - len(set(lines))
+        if len(words) < 300:
+            windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+            inside = {p for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for p in range(i, i + 8)}
+            assert q["n_repeat_words"] == len(inside)
+        failed = len(words) < 20 or 100 * q["n_repeat_words"] > 30 * len(words)
+        assert q["base_failed"] == failed and not (failed and q["kept"])
+    kept = repetition.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert repetition.quality(empty).count() == 0
+
+
+def test_long_repeats_are_rejected(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(120))
+    body = " ".join(f"b{rng.randrange(10**6)}" for _ in range(600))
+    got = {r.doc_id: r.kept for r in repetition.quality(frame(spark, [(1, f"{passage} {body} {passage}"), (2, body)])).collect()}
+    assert got == {1: False, 2: True}
+
+
+# op10
+
+
+def test_sharding(docs, empty):
+    got = rows_of(sharding.shard_rows(docs))
+    source = docs.collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in source)
+    slots = {}
+    for r in got:
+        assert 0 <= r["shard"] < 16 and r["grown_shard"] in (r["shard"], 16)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_rows(empty).count() == 0
+
+
+def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
+    ids = spark.range(20000)
+    tree = sharding.topology(16)
+    heavier = json.loads(json.dumps(tree))
+    heavier = {a: {b: {int(s): w for s, w in rack.items()} for b, rack in region.items()} for a, region in heavier.items()}
+    heavier["region0"]["rack1"][5] = 2.0
+    rows = ids.select("id", sharding.place(ids.id, tree).alias("a"), sharding.place(ids.id, heavier).alias("b"), sharding.place(ids.id, sharding.topology(17)).alias("c")).collect()
+    share = Counter(r.a for r in rows)
+    assert all(abs(share[s] / 1250 - 1) < 0.15 for s in range(16))
+    where = {s: (a, b) for a, region in tree.items() for b, rack in region.items() for s in rack}
+    for r in rows:
+        if r.a != r.b:  # into the heavier region, its heavier rack or the shard
+            assert where[r.b][0] == "region0" and (where[r.a][0] != "region0" or where[r.b][1] == "rack1")
+        assert r.c in (r.a, 16)
+    assert abs(sum(r.c == 16 for r in rows) / (20000 / 17) - 1) < 0.15
+
+
+# op3
+
+
+PAGES = "page_id long, url string, html string, payload string"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    long = "<p>é</p>" * 40
+    rows = [(i, f"http://x/{i}", long if i % 3 == 0 else f"<p>{i}</p>" * (i % 40)) for i in range(60)]
+    rows += [(90, None, None), (91, "http://x\r\ny", "short"), (92, "u", "short"), (None, "u", long), (5000000, "u", long), (9, "again", long), (9, "again", long)]
+    return spark.createDataFrame([(*r, None) for r in rows], PAGES)
+
+
+@pytest.mark.parametrize("shard_bytes", [2000, 1 << 25])
+def test_archives_round_trip(spark, pages, tmp_path, shard_bytes):
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path, shard_bytes, roll_bytes=600)
+    got = rows_of(warc.read_archives(spark, path))
+    source = pages.collect()
+    first = {}
+    for r in source:
+        if r.html and r.page_id is not None and len(r.html.encode()) >= 100:
+            first[r.html] = min(first.get(r.html, r.page_id), r.page_id)
+    want = Counter()
+    for r in source:
+        data = (r.html or "").encode()
+        refers = first.get(r.html) if r.page_id is not None and first.get(r.html) != r.page_id else None
+        want[(r.page_id, len(data), hashlib.sha256(data).hexdigest(), "response" if refers is None else "revisit", refers)] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
+    files = json.loads(Path(f"{tmp_path}/warc/manifest.json").read_text())["files"]
+    assert len(files) > (5 if shard_bytes == 2000 else 1)
+    for f in files:
+        data = Path(f"{tmp_path}/warc/{f['name']}").read_bytes()
+        assert len(data) == f["bytes"] and hashlib.sha256(data).hexdigest() == f["sha256"]
+    assert not list(Path(f"{tmp_path}/warc/_temporary").glob("*"))
+    again = f"file://{tmp_path}/again"
+    warc.write_archives(pages.repartition(7), again, shard_bytes, roll_bytes=600)
+    assert json.loads(Path(f"{tmp_path}/again/manifest.json").read_text())["files"] == files  # the same files, byte for byte
+
+
+def test_archives_of_an_empty_table(spark, tmp_path):
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.createDataFrame([], PAGES), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+def test_skewed_ids_are_split(spark):
+    df = spark.createDataFrame([(i, 10) for i in [*range(100), 10**15, -(10**12)]], "k long, w long")
+    bounds = warc.shard_bounds(df, "k", "w", 200)
+    assert 4 <= len(bounds) <= 12 and bounds == sorted(bounds)
+
+
+# op4
+
+
+@pytest.fixture(scope="module")
+def chain():
+    return html_main.fit(html_main.labelled_pages(300), steps=150)
+
+
+def test_crf_on_pages_it_has_not_seen(chain):
+    pages = html_main.labelled_pages(150, seed=991)
+    wrong = sum(a != b for page, y in pages for a, b in zip(y, chain.label(html_main.blocks(page))))
+    assert wrong / sum(len(y) for _, y in pages) < 0.01
+
+
+def test_viterbi_is_the_best_path(chain):
+    page, _ = html_main.labelled_pages(1, seed=5)[0]
+    found = html_main.blocks(page)[:10]
+    scores = [sum(chain.weights.get(f, 0.0) for f in [*b.above, *own]) for b, own in zip(found, html_main.features(found))]
+
+    def total(path):
+        s = chain.start[path[0]] + sum(scores[k] for k, v in enumerate(path) if v)
+        return s + sum(chain.moves[a][b] for a, b in zip(path, path[1:]))
+
+    best = max(range(1 << len(found)), key=lambda m: total([m >> k & 1 for k in range(len(found))]))
+    assert chain.label(found) == [bool(best >> k & 1) for k in range(len(found))]
+
+
+def test_extraction(spark, chain):
+    page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
+    <article><h1>Head &amp; line</h1><p>One  long
+    paragraph, with words enough to be taken for text.<!-- no --><p><b>Two words are here, and some more of them.<br>After the break, a line.</p>
+    <aside class="related"><a href=/b>More</a></aside><section class=comments><p>I liked this very much, thanks.</p></section></article>
+    <form><label>Mail</label></form><footer>&copy; Someone</footer><script>var a = "<p>x</p>";</script></body></html>"""
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", "<"), (4, "u", "<p>a" * 3000), (None, "u", "plain &nbsp; text < 3 words"), (5, "u", "<div class='x>" + "<" * 500)]
+    got = {(r.page_id, r.n_chars): r for r in html_main.extract(spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string, text string"), chain).collect()}
+    text = next(r.text for r in got.values() if r.page_id == 1)
+    assert text == "Head & line\nOne long paragraph, with words enough to be taken for text.\nTwo words are here, and some more of them.\nAfter the break, a line."
+    assert (2, 0) in got and all(len(r.text) == r.n_chars for r in got.values()) and len(got) >= 6
+
+
+# op5
+
+
+CONV = "conv_id long, turn int, role string, text string, turns string"
+
+
+def test_chat_round_trip(spark):
+    rows = []
+    for c in range(40):
+        rows += [(c, 0, "system", "be <|im_end|> kind\\"), (c, 1, "user", f"q{c % 3}"), (c, 2, "assistant", f"a{c % 5}<"), (c, 3, "user", None)][: 1 + c % 4]
+    rows += [(100, 5, None, "x"), (100, 5, "assistant", None), (101, None, "assistant", "<|im_end|>\n"), (None, 1, "user", "no id"), (102, 0, "a\nb<|", "\\n\\\\"), (103, 0, "assistant", "long " * 50000), (7, 0, "system", "be <|im_end|> kind\\")]
+    df = spark.createDataFrame([(*r, None) for r in rows], CONV)
+    want = {}
+    for c in {r[0] for r in rows}:
+        turns = sorted([(r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c], key=lambda t: (t[0] is not None, t))
+        said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        learnt = "".join(text for _, role, text in turns if role == "assistant")
+        want[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for size, tokenizer in ((1 << 20, None), (300, None), (300, path)):
+        samples = chat.samples(df, size, tokenizer)
+        got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows_of(chat.read_back(samples))}
+        assert got == want
+    assert chat.read_back(chat.samples(df.limit(0))).count() == 0
+
+
+def test_shared_turns_are_emitted_once():
+    sample = chat._Sample()
+    talks = sorted([[("user", "hi"), ("assistant", "a"), ("user", x), ("assistant", y)] for x in "pq" for y in "rs"] + [[("user", "hi")]])
+    for k, turns in enumerate(talks):
+        sample.add(k, turns)
+    assert len(sample.segments) == 1 + 1 + 2 + 4
+    text = "".join(sample.parts)
+    for leaf, turns in zip(sample.leaves, talks):
+        node = sample.segments[leaf["segment"]]
+        path = [*node["ancestors"], node]
+        assert chat.parse_turns("".join(text[s["start"] : s["end"]] for s in path)) == turns
+        assert node["position"] == sum(s["end"] - s["start"] for s in node["ancestors"])
+
+
+def test_token_spans():
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sample = chat._Sample(lambda t: loaded.encode(t, add_special_tokens=False).ids)
+    sample.add(1, [("user", "héllo <|endoftext|>"), ("assistant", "yes, sure")])
+    sample.add(2, [("user", "héllo <|endoftext|>"), ("assistant", "no")])
+    text = "".join(sample.parts)
+    for s in sample.segments:
+        for which in (s, s["loss"]):
+            if which:
+                t = s["tokens"] if which is s else s["tokens"]["loss"]
+                assert loaded.decode(sample.ids[t["start"] : t["end"]], skip_special_tokens=False) == text[which["start"] : which["end"]]
+
+
+# op7
+
+
+def test_pieces_equal_the_library(spark, docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentence_pieces.pieces(path).model
+    texts = ["Hello  world\n\tfoo  ", "", " a", "á é", "▁a", "   x    y\n\n  z", "日本語☃ <s> </s> <0x41>", "\x00a", "it's 12345.678,00 !!??", "\n", " ", "\n \n"]
+    texts += ["".join(random.Random(k).choice("abcdeth ing\n▁é日.") for _ in range(60)) for k in range(500)]
+    encoder = sentence_pieces.Encoder(path)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        ids = np.frombuffer(ids, "<u4")
+        assert ids.tolist() == model.encode(text), text
+        assert sentence_pieces.decode_ids(ids, path) == model.decode(ids.tolist())
+    encoded = sentence_pieces.encode(docs, path)
+    back = sorted(r.text for r in sentence_pieces.decode(encoded, path).collect())
+    assert back == sorted(r.text or "" for r in docs.collect())
+    for r in rows_of(sentence_pieces.digests(docs, path)):
+        assert r["round_trip"]
+    assert sentence_pieces.encode(empty, path).count() == 0
+
+
+# op1
+
+
+def test_toxicity_on_held_out_rows(spark, empty):
+    rng = random.Random(8)
+    syllables = ["tion", "re", "an", "the", "er", "ou", "in", "st", "ble", "ha"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    bad = ["vquzzle", "krampf", "idjot", "skumm"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 5 == 0
+        words = [word() for _ in range(rng.randint(20, 90))]
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "", "er", "ing"]))
+        rows.append((i, " ".join(words), None, None, None, None))
+        labels.append((i, 1, int(toxic)))
+    labels += [(None, 1, 1), (0, 1, 1), (99999, None, None)]
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None, None), (2000, "", None, None, None, None), (2001, "krampf " * 20000, None, None, None, None)], DOCS.replace("fp string", "score string"))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = rows_of(toxicity.toxicity(docs, labels))
+    assert len(got) == 1503 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1500]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
+    right = sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held) / len(held)
+    assert right > 0.97
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
+    assert toxicity.toxicity(empty, labels.limit(0)).count() == 0
+
+
+# shared
+
+
+def test_attach_splits_hot_keys(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 2000}", i) for i in range(6000)], "key string, i long")
+    facts = rows.groupBy("key").count()
+    got = common.attach(rows, facts, "key", "count").collect()
+    want = Counter(r.key for r in rows.collect())
+    assert len(got) == 6000 and all(r["count"] == want[r.key] for r in got)
