@@ -63,18 +63,24 @@ def dark_mask(raster: np.ndarray, most: float, chroma: float = 70) -> np.ndarray
 def columns(m: np.ndarray, mode: str = "centroid") -> np.ndarray:
     """A row for each column of a mask: of its runs the one nearest to the column before (within 25 pixels), else the
     longest; its middle, top or bottom. NaN without a run."""
+    edges = np.diff(np.pad(m.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    at, first = np.nonzero(edges == 1)  # runs, column by column
+    stop = np.nonzero(edges == -1)[1]
+    middle = (first + stop - 1) / 2
+    value = {"centroid": middle, "top": first.astype(float), "bottom": stop - 1.0}[mode]
     out = np.full(m.shape[1], np.nan)
+    starts = np.searchsorted(at, np.arange(m.shape[1] + 1))
+    if (np.diff(starts) <= 1).all():
+        out[at] = value
+        return out
     last = None
     for c in range(m.shape[1]):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], m[:, c].view(np.int8), [0]])))
-        if not len(edges):
+        a, b = starts[c], starts[c + 1]
+        if a == b:
             continue
-        runs = edges.reshape(-1, 2)
-        middle = runs.mean(axis=1) - 0.5
-        near = np.abs(middle - last) if last is not None else np.full(len(runs), np.inf)
-        k = int(near.argmin()) if near.min() < 25 else int((runs[:, 1] - runs[:, 0]).argmax())
-        out[c] = {"centroid": middle[k], "top": float(runs[k, 0]), "bottom": float(runs[k, 1] - 1)}[mode]
-        last = middle[k]
+        near = np.abs(middle[a:b] - last) if last is not None else np.full(b - a, np.inf)
+        k = a + int(near.argmin()) if near.min() < 25 else a + int((stop[a:b] - first[a:b]).argmax())
+        out[c], last = value[k], middle[k]
     return out
 
 
@@ -130,10 +136,11 @@ def draw(y: np.ndarray, width: int, height: int, low: float, high: float, rgb: t
     """A white raster with the curve of ``y`` over its whole width."""
     out = np.full((height, width, 4), 255, np.uint8)
     v = np.interp(np.linspace(0, len(y) - 1, width), np.arange(len(y)), y)
-    rows = (height - 1) * (high - v) / (high - low)
-    for c in range(width):
-        a, b = sorted((rows[c], rows[max(c - 1, 0)]))
-        out[max(int(round(a)) - thick // 2, 0) : int(round(b)) + thick - thick // 2 + 1, c, :3] = rgb
+    rows = np.rint((height - 1) * (high - v) / (high - low))
+    before = np.append(rows[:1], rows[:-1])
+    at = np.arange(height)[:, None]
+    inside = (at >= np.minimum(rows, before) - thick // 2) & (at <= np.maximum(rows, before) + thick - thick // 2)
+    out[inside, :3] = rgb
     return out
 
 

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its input has fewer partitions than there are; else as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def points(traces: DataFrame) -> DataFrame:
     """One row for each sample: trace_id, i, x, y."""
     return traces.select("trace_id", F.posexplode(F.arrays_zip("x", "y")).alias("i", "s")).select("trace_id", "i", "s.x", "s.y")
@@ -29,7 +35,7 @@ def traces(points: DataFrame) -> DataFrame:
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding as a trace over its positions."""
     y = F.transform("embedding", lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("trace_id"), F.transform("embedding", lambda v, i: i.cast("double")).alias("x"), y.alias("y")
     )
 

@@ -113,7 +113,7 @@ def parse_table(text: str, delimiter: str | None = None, decimal_comma: bool | N
 
 def x_unit(name: str) -> str | None:
     """min-like or volume unit that a header names."""
-    for word in re.findall(r"[A-Za-z]+", name)[::-1]:
+    for word in re.findall(r"(?<![\w/])[A-Za-z]+(?![\w/])", name)[::-1]:
         w = word.lower()
         if w in TIME_UNITS or w in VOLUME_UNITS:
             return w

@@ -273,26 +273,19 @@ def _mzml(data: bytes, options: dict) -> list[dict]:
     return [_trace(xs, ys, "min", "TIC", "counts")] if xs else []
 
 
-def _sections(data: bytes, start: str, header: str, options: dict) -> list[dict]:
-    """Traces of the tables that follow a line matching ``start``, with the metadata above."""
-    text = decode(data)
-    parts = re.split(start, text)
-    if len(parts) < 2:
-        raise ValueError("no chromatogram section")
-    meta = metadata(parts[0].splitlines())
-    out = []
-    for part in parts[1:]:
-        found, _ = traces_of(re.split(header, part)[0])
-        out += [t | {"meta": meta} for t in found]
-    return out
-
-
 def _chromeleon(data: bytes, options: dict) -> list[dict]:
+    """A header of keys, then the table, whose column of step widths is left out."""
     text = decode(data)
     unit = re.search(r"(?m)^Signal Unit\t(.*)$", text)
-    found = _sections(data, r"(?m)^Chromatogram Data:\s*$", r"\Z(?!\Z)", options)
-    found = [t for t in found if not t["name"].lower().startswith("step")]
-    return [t | {"y_unit": t["y_unit"] or (unit and unit[1].strip())} for t in found]
+    head, found, body = text.partition("Chromatogram Data:")
+    lines = [line.split("\t") for line in body.splitlines() if line.strip()]
+    if not found or not lines:
+        raise ValueError("no chromatogram section")
+    keep = [k for k, name in enumerate(lines[0]) if not name.lower().startswith("step")]
+    table, warnings = traces_of("\n".join("\t".join(c[k] for k in keep if k < len(c)) for c in lines))
+    options["warnings"] += warnings
+    meta = metadata(head.splitlines())
+    return [t | {"meta": meta, "y_unit": t["y_unit"] or (unit and unit[1].strip())} for t in table]
 
 
 def _shimadzu(data: bytes, options: dict) -> list[dict]:
