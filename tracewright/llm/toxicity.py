@@ -25,13 +25,15 @@ from .common import table, text_of
 
 #: Bounds of the training sample: texts of each label (the first by a hash of the id), and words of each text.
 TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_WORDS = 2000, 4000, 3000
-WINDOW_WORDS = 4
-#: Both dictionaries end with this and every window begins with it, so that each window has a match: zstandard stores a
-#: block as it is unless it saves some bytes, which would hide the first bytes saved.
-CARRIER = b"<[{(~^0123456789abcdefghijklmnopqrstuvwxyz^~)}]>"
+WINDOW_WORDS = 3
+#: Both dictionaries and every window end with this. zstandard begins no match in a block's last 8 bytes, and stores a
+#: block as it is unless that saves some bytes; with a match at its end, each window shows every byte saved.
+CARRIER = b"<[{(~^0123456789^~)}]>" + b"\n\t"
 #: Binary trees find a rare word wherever it lies in the dictionary; the faster matchers overlook some.
 LEVEL, MIN_MATCH, STRATEGY = 13, 5, zstandard.STRATEGY_BTLAZY2
-ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 16 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 16 << 10
+#: Letting a toxic text pass counts as much as rejecting this many ordinary ones.
+MISS_COST = 2.0
 #: A substring goes to the toxic dictionary if so many toxic texts have it, so many times as often as ordinary ones.
 MIN_TEXTS, MIN_RATIO = 4, 6.0
 GRAMS = (5, 6, 7)
@@ -50,7 +52,7 @@ def _grams(word: bytes) -> set[bytes]:
 
 def windows(text: bytes, words: int = WINDOW_WORDS) -> list[bytes]:
     parts = text.lower().split()
-    return [b"%b %b " % (CARRIER, b" ".join(parts[i : i + words])) for i in range(0, len(parts), words)]
+    return [b" %b %b" % (b" ".join(parts[i : i + words]), CARRIER) for i in range(0, len(parts), words)]
 
 
 def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
@@ -218,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of a bounded sample of labelled rows."""
     toxic, ordinary, share = training_sample(docs, labels, id_col, text_col)
     model = fit(toxic, ordinary)
-    if 0 < share < 1:  # from the sample's odds to those of the labelled table
-        model.weights[-1] += math.log(share / (1 - share)) - math.log(model.share / (1 - model.share))
+    if 0 < share < 1:  # from the sample's odds to those of the labelled table, weighted by cost
+        model.weights[-1] += math.log(share / (1 - share)) - math.log(model.share / (1 - model.share)) + math.log(MISS_COST)
     return model
 
 
