@@ -170,3 +170,62 @@ def digitized(content: Column, width: Column, height: Column, axes: Column, rgb:
 
     fields = {"x": "array<double>", "y": "array<double>", "coverage": "double"}
     return K.struct(fields, run, content, width, height, axes["x0"], axes["dx"], axes["y0"], axes["dy"])
+
+
+def skew_angle(m: np.ndarray, most: float = 15.0) -> float:
+    """Degrees by which a mask of straight rows is turned: rows are sharpest when it is undone (first by half degrees,
+    then by twentieths)."""
+    r, c = np.nonzero(m)
+    if len(r) < 2:
+        return 0.0
+    c = c - m.shape[1] / 2
+
+    def sharp(angle: float) -> float:
+        rows = np.rint(r - np.tan(np.radians(angle)) * c).astype(int)
+        return float((np.bincount(rows - rows.min()).astype(float) ** 2).sum())
+
+    best = max(np.arange(-most, most + 0.25, 0.5), key=sharp)
+    return float(max(np.arange(best - 0.5, best + 0.525, 0.05), key=sharp))
+
+
+def blockiness(raster: np.ndarray) -> float:
+    """How much greater the steps between 8 x 8 blocks are than those inside them; about 1 without compression."""
+    lum = raster[..., :3].astype(float) @ np.array([0.299, 0.587, 0.114])
+    d = np.abs(np.diff(lum, axis=1)).mean(axis=0)
+    at = (np.arange(len(d)) % 8) == 7
+    inner = d[~at].mean() if (~at).any() else 0.0
+    return float(d[at].mean() / inner) if at.any() and inner > 0 else 1.0
+
+
+def quality_warnings(width: Column, height: Column, coverage: Column, blocks: Column) -> Column:
+    """What may make a digitised curve inexact."""
+    return F.array_compact(
+        F.array(
+            F.when(width < 600, "narrow image"), F.when(width * height < 150_000, "few pixels"), F.when(coverage < 0.85, "gaps in the curve"), F.when(blocks > 1.5, "strong compression")
+        )
+    )
+
+
+def dominant_colours(raster: np.ndarray, most: int = 6, apart: float = 70.0) -> list[tuple[int, int, int, int]]:
+    """(r, g, b, pixels) of the commonest saturated colours, by bins of hue and value; near ones are merged."""
+    c = raster[..., :3].reshape(-1, 3).astype(int)
+    chroma = c.max(1) - c.min(1)
+    c = c[(chroma >= 40) & (raster[..., 3].ravel() >= 16)]
+    if not len(c):
+        return []
+    high, span = c.max(1), c.max(1) - c.min(1)
+    k = c.argmax(1)
+    rows = np.arange(len(c))
+    hue = (2 * k + (c[rows, (k + 1) % 3] - c[rows, (k + 2) % 3]) / span) % 6
+    key = (hue * 4).astype(int) * 8 + high // 32
+    out: list[list[float]] = []
+    bins, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+    means = np.stack([np.bincount(inverse, c[:, j]) / counts for j in range(3)], axis=1)
+    for b in np.argsort(-counts, kind="stable"):
+        near = next((o for o in out if np.linalg.norm(np.array(o[:3]) - means[b]) < apart), None)
+        if near:
+            near[3] += int(counts[b])
+        else:
+            out.append([*means[b], int(counts[b])])
+    out.sort(key=lambda o: -o[3])
+    return [(round(o[0]), round(o[1]), round(o[2]), int(o[3])) for o in out[:most]]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import fitting, image, integration, kernels, matching, metrics, peaks
+from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks
 from ..operators import signal as S
 from ..sources import exports, formats
 from . import views
@@ -223,3 +223,47 @@ def clamped_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _intervals(spark, sf_dir)
     b = integration.clamp_bounds(F.col("start"), F.col("end"), F.lit(100.0), F.lit(2000.0), F.lit(0.5))
     return p.select("trace_id", "peak_no", b.alias("b")).filter("b is not null").select("trace_id", "peak_no", r("b.start").alias("start"), r("b.end").alias("end"))
+
+
+@query()
+def clusters_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of every detected peak by all integration modes that need no fit."""
+    t = views.embeddings(spark, sf_dir)
+    t = t.withColumn("peaks", peaks.detected(F.col("x"), F.col("y"), min_dist=2.0, min_width=1.0, threshold=0.05))
+    o = clusters.options(t, ("drop", "valley", "baseline", "skim-tangent", "skim-exp"))
+    return o.select("trace_id", "peak_no", "cluster", *[r(c).alias(c) for c in ("drop", "valley", "baseline", "skim_tangent", "skim_exp")])
+
+
+PEAKS = """p AS (SELECT l_orderkey AS trace_id, CAST(l_linenumber AS INTEGER) AS peak_no, l_quantity AS start, l_returnflag AS mode FROM lineitem),
+e AS (SELECT DISTINCT l_orderkey AS trace_id, CAST(l_linenumber AS INTEGER) AS peak_no FROM lineitem WHERE (l_orderkey + l_linenumber) % 5 = 0)"""
+
+
+@query(f"""WITH {PEAKS} SELECT p.trace_id, p.peak_no, p.start, CASE WHEN e.trace_id IS NOT NULL THEN 'valley' ELSE mode END AS mode FROM p LEFT JOIN e USING (trace_id, peak_no)
+WHERE NOT (e.trace_id IS NOT NULL AND p.peak_no = 3)""")
+def edited_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits applied to a peak table: new modes, and removals."""
+    p = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("int").alias("peak_no"), F.col("l_quantity").alias("start"), F.col("l_returnflag").alias("mode"))
+    e = p.filter("(trace_id + peak_no) % 5 = 0").select("trace_id", "peak_no").distinct()
+    e = e.select("trace_id", "peak_no", F.lit("valley").alias("mode"), (F.col("peak_no") == 3).alias("removed"))
+    return edits.apply_edits(p, e, ["mode"]).select("trace_id", "peak_no", "start", "mode")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS trace_id, l_linenumber AS cluster, CASE WHEN l_returnflag = 'R' THEN 'drop' END AS mode, l_quantity AS start, l_quantity + l_discount AS "end" FROM lineitem WHERE l_quantity > 48)
+SELECT trace_id, cluster, count(*) AS peaks, min(start) AS start, round(max("end"), 6) AS "end" FROM p GROUP BY trace_id, cluster HAVING count(*) > 1 AND count(mode) = 0""")
+def undecided_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    p = p.select(F.col("l_suppkey").alias("trace_id"), F.col("l_linenumber").alias("cluster"), F.when(F.col("l_returnflag") == "R", "drop").alias("mode"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_discount")).alias("end"))
+    return edits.undecided_clusters(p).select("trace_id", "cluster", "peaks", "start", r("end").alias("end"))
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS trace_id, o_orderkey AS peak_no, o_totalprice / 1000 AS rt FROM orders),
+p AS (SELECT trace_id, peak_no AS printed_no, round(rt, 0) AS printed_rt FROM k WHERE peak_no % 3 = 0),
+j AS (SELECT k.trace_id, peak_no, printed_no, abs(rt - printed_rt) AS d FROM k JOIN p ON k.trace_id = p.trace_id AND abs(rt - printed_rt) <= 2),
+a AS (SELECT trace_id, printed_no, peak_no FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, printed_no ORDER BY d, peak_no) AS rk FROM j) WHERE rk = 1),
+b AS (SELECT trace_id, printed_no, peak_no FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, peak_no ORDER BY d, printed_no) AS rk FROM j) WHERE rk = 1)
+SELECT p.trace_id, p.printed_no, m.peak_no FROM p LEFT JOIN (SELECT * FROM a INTERSECT SELECT * FROM b) m USING (trace_id, printed_no)""")
+def printed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed places with the peaks they stand for, one to one."""
+    k = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("peak_no"), (F.col("o_totalprice") / 1000).alias("rt")).distinct()
+    p = k.filter("peak_no % 3 = 0").select("trace_id", F.col("peak_no").alias("printed_no"), F.round("rt", 0).alias("printed_rt"))
+    return edits.match_printed(k, p, 2.0).select("trace_id", "printed_no", "peak_no")

@@ -139,7 +139,12 @@ def _number_lines(text: str) -> int:
 
 def _json(data: bytes, options: dict) -> list[dict]:
     text = re.sub(r"(?<=[\[:,\s])-?(?:NaN|Infinity)(?=\s*[,\]}])", "null", decode(data))
-    return _json_traces(json.loads(text))
+    v = json.loads(text)
+    if isinstance(v, dict) and isinstance(v.get("chromatograms"), dict):
+        return _dataset_traces(v, options.get("wavelength"))
+    if isinstance(v, dict) and isinstance(v.get("Samples"), dict):
+        return _samples_traces(v)
+    return _json_traces(v)
 
 
 def _json_traces(v) -> list[dict]:
@@ -168,6 +173,39 @@ def _json_traces(v) -> list[dict]:
     raise ValueError("no trace in this JSON")
 
 
+def _dataset_traces(v: dict, wavelength: float | str | None) -> list[dict]:
+    """A dataset of absorbance matrices over time and wavelength: one trace a chromatogram, at the given wavelength (nm),
+    all summed ("sum"), at 254 nm if there, else where the absorbance is greatest."""
+    out = []
+    for name, c in v["chromatograms"].items():
+        data, waves = np.array(c["data"], float), np.array(c["wavelength"], float)
+        if data.shape[0] != len(waves):
+            data = data.T
+        if wavelength == "sum":
+            y, shown = data.sum(axis=0), "sum"
+        else:
+            near = np.abs(waves - float(wavelength if wavelength is not None else 254))
+            k = int(near.argmin()) if near.min() <= 0.5 else int(np.unravel_index(np.nanargmax(data), data.shape)[0])
+            y, shown = data[k], f"{waves[k]:g} nm"
+        out.append(_trace(c["time"], y, "min", f"{name} {shown}", "mAU"))
+    return out
+
+
+def _samples_traces(v: dict) -> list[dict]:
+    """Samples with raw columns: one trace each, of the first two columns that are a time and a signal."""
+    out = []
+    for name, s in v["Samples"].items():
+        raw = s["Raw Data"]
+        columns = {k: c for k, c in raw.items() if isinstance(c, list)}
+        xk = next((k for k in columns if x_unit(k)), None)
+        yk = next((k for k in columns if k != xk), None)
+        if xk and yk:
+            meta = {str(k): str(m) for k, m in (s.get("Metadata") or {}).items()}
+            nan = [math.nan if a is None else a for a in columns[yk]]
+            out.append(_trace(columns[xk], nan, x_unit(xk), name, y_unit(yk), meta=meta))
+    return out
+
+
 #: Pseudo-digits of the compressed forms of JCAMP-DX.
 SQZ = {c: s for c, s in zip("@ABCDEFGHI", range(10))} | {c: -s for c, s in zip("abcdefghi", range(1, 10))}
 DIF = {c: s for c, s in zip("%JKLMNOPQR", range(10))} | {c: -s for c, s in zip("jklmnopqr", range(1, 10))}
