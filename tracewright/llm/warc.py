@@ -13,6 +13,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from .common import attach, settled, shared_dir, table
 MIN_REVISIT = 100
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 64 << 20
+MAX_SHARDS = 50_000
 GZIP_LEVEL = 4
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "manifest.json"
@@ -39,42 +41,42 @@ RECORD = "page_id bigint, url string, payload binary, payload_bytes bigint, payl
 READ = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string"
 
 
-def _split(df: DataFrame, key: str, weight: str, parts: int, low: int, high: int, target: int) -> list[tuple[int, int, int]]:
-    """(start, end, weight) of ranges of ``key`` within [low, high], in order; those heavier than ``target`` are split
-    further, till they hold one key only. A few jobs, whose results are bounded by total weight / target * parts."""
+def _split(df: DataFrame, key: str, weight: str, low: int, high: int, total: int, target: int) -> list[tuple[int, int, int]]:
+    """(start, end, weight) of ranges of ``key`` within [low, high], in order. Ranges heavier than ``target`` are split
+    further, till they hold one key only: each into at least 256 parts, so a few jobs do for any skew of the keys."""
     done: list[tuple[int, int, int]] = []
-    todo = [(low, high)]
+    todo = [(low, high, total)]
     while todo:
-        step = {a: max(-(-(b - a + 1) // parts), 1) for a, b in todo}
         bounds = sorted(todo)
+        step = {a: max(-(-(b - a + 1) // max(256, 2 * w // target)), 1) for a, b, w in bounds}
         picked = []
         for group in (bounds[i : i + 400] for i in range(0, len(bounds), 400)):
             cell = F.lit(None).cast("bigint")
-            for a, b in reversed(group):
+            for a, b, _ in reversed(group):
                 cell = F.when(F.col(key).between(a, b), F.col(key) - F.pmod(F.col(key) - a, F.lit(step[a]))).otherwise(cell)
             picked += df.select(cell.alias("cell"), weight).filter("cell is not null").groupBy("cell").agg(F.sum(weight)).collect()
+        firsts = [a for a, _, _ in bounds]
         todo = []
-        for cell, total in picked:
-            a, b = max((x for x in bounds if x[0] <= cell), key=lambda x: x[0])
+        for cell, held in picked:
+            a, b, _ = bounds[bisect_right(firsts, cell) - 1]
             end = min(cell + step[a] - 1, b)
-            if total > target and end > cell:
-                todo.append((cell, end))
-            else:
-                done.append((cell, end, total))
+            (todo if held > target and end > cell else done).append((cell, end, held))
     return sorted(done)
 
 
 def shard_bounds(df: DataFrame, key: str, weight: str, target: int = SHARD_BYTES) -> list[int]:
-    """First keys of the second and later shards: neighbouring ranges are joined up to about ``target`` of weight."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    """First keys of the second and later shards: neighbouring ranges are joined up to about ``target`` of weight, or
+    to what MAX_SHARDS shards hold each, if that is more; so what comes to the driver is bounded."""
+    low, high, total = df.filter(F.col(key).isNotNull()).agg(F.min(key), F.max(key), F.sum(weight)).first()
     if low is None:
         return []
+    target = max(target, total // MAX_SHARDS)
     bounds, held = [], 0
-    for start, _, total in _split(df, key, weight, 256, low, high, max(target // 8, 1)):
-        if held and held + total > target:
+    for start, _, w in _split(df, key, weight, low, high, total, max(target // 4, 1)):
+        if held and held + w > target:
             bounds.append(start)
             held = 0
-        held += total
+        held += w
     return bounds
 
 
