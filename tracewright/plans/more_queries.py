@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks
+from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, tables
 from ..operators import signal as S
 from ..sources import exports, formats
 from . import views
@@ -179,7 +179,7 @@ def filled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EMB}, l AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q FROM e WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
 m AS (SELECT trace_id, i, abs(i - 31.5) AS far FROM l WHERE y > p AND y > q), b AS (SELECT trace_id, min_by(i, far * 1000 + i) AS i FROM m GROUP BY trace_id)
-SELECT trace_id, round(31.5 - i, 6) AS shift FROM b""")
+SELECT trace_id, CAST(round(31.5 - i, 6) AS DOUBLE) AS shift FROM b""")
 def alignment_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each trace moves so that its apex nearest to the middle comes to lie there."""
     t = views.embeddings(spark, sf_dir).withColumn("tops", S.local_maxima(F.col("y")))
@@ -267,3 +267,86 @@ def printed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("peak_no"), (F.col("o_totalprice") / 1000).alias("rt")).distinct()
     p = k.filter("peak_no % 3 = 0").select("trace_id", F.col("peak_no").alias("printed_no"), F.round("rt", 0).alias("printed_rt"))
     return edits.match_printed(k, p, 2.0).select("trace_id", "printed_no", "peak_no")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN value > 20 THEN 3 ELSE 1 END AS good, CASE WHEN value > 90 THEN 2 ELSE 0 END AS bad FROM events),
+f AS (SELECT *, good >= 2 AND 3 * bad <= good AS data FROM l), r AS (SELECT *, sum(CASE WHEN data THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+g AS (SELECT user_id, run, min(event_id) AS s, max(event_id) AS t, sum(good) AS cells FROM r WHERE data GROUP BY user_id, run)
+SELECT user_id, s AS start, t AS "end", CAST(cells AS BIGINT) AS cells FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cells DESC, run) AS rk FROM g) WHERE rk = 1""")
+def numeric_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run of data lines; events stand for lines."""
+    t = views.table(spark, sf_dir, "events")
+    good, bad = F.when(F.col("value") > 20, 3).otherwise(1), F.when(F.col("value") > 90, 2).otherwise(0)
+    return tables.best_run(t, "user_id", "event_id", good, bad)
+
+
+@query("""WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN CAST(event_id AS DOUBLE) ELSE value END AS value FROM events) WHERE value IS NOT NULL)
+SELECT user_id, count(*) AS n, min(value) AS low, max(value) AS high, coalesce(count(*) >= 3 AND max(value) > min(value) AND greatest(avg(CAST(d >= 0 AS DOUBLE)), avg(CAST(d <= 0 AS DOUBLE))) >= 0.98, false) AS monotone FROM d GROUP BY user_id""")
+def monotone_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.table(spark, sf_dir, "events").withColumn("value", F.when(F.col("user_id") % 3 == 0, F.col("event_id").cast("double")).otherwise(F.col("value")))
+    c = tables.column_stats(t, "user_id", "event_id", "value")
+    return c.withColumn("monotone", F.coalesce("monotone", F.lit(False)))
+
+
+@query(f"""WITH {EMB} SELECT trace_id, CAST(i AS INTEGER) AS i, round(y, 6) + 0.0 AS y FROM e JOIN n USING (trace_id) WHERE i % greatest(CAST(floor(n / 20.0) AS BIGINT), 1) = 0""")
+def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.thinned(views.points(views.embeddings(spark, sf_dir)), 20).select("trace_id", "i", r("y").alias("y"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(2.0 + (l_quantity - 100.0) * (18.0 - 2.0) / 700.0, 6) + 0.0 AS x, round(pow(10.0, 0.0 + (500.0 - l_quantity) * 3.0 / 400.0), 4) + 0.0 AS y FROM lineitem""")
+def axis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels as values of a linear and a logarithmic axis."""
+    axes = image.Axes((100.0, 2.0), (800.0, 18.0), (500.0, 1.0), (100.0, 1000.0), y_log=True)
+    t = views.table(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", r(image.to_data(axes, "x", F.col("l_quantity"))).alias("x"), r(image.to_data(axes, "y", F.col("l_quantity")), 4).alias("y"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'drop' WHEN l_returnflag = 'R' THEN 'valley' ELSE 'drop' END AS mode,
+  CASE WHEN l_linenumber < 2 THEN 'valley' WHEN l_quantity / 4 >= 10 THEN 'skim-tangent' WHEN l_discount * 20 < 0.8 THEN 'fit' ELSE 'drop' END AS recommended FROM lineitem""")
+def peak_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes in effect, and those recommended."""
+    t = views.table(spark, sf_dir, "lineitem")
+    own = F.when(F.col("l_linenumber") == 1, "drop")
+    return t.select(
+        "l_orderkey", "l_linenumber", integration.effective_mode(own, F.col("l_returnflag") == "R").alias("mode"), integration.recommended_mode(F.col("l_quantity") / 4, F.col("l_discount") * 20, F.col("l_linenumber")).alias("recommended")
+    )
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, ['auto', 'name', 'rt', 'name+rt', 'none'][CAST(l_linenumber % 5 + 1 AS INTEGER)] AS mode, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS name, l_quantity AS rt FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE mode WHEN 'none' THEN '' WHEN 'rt' THEN printf('%.2f', rt) WHEN 'name' THEN coalesce(name, '') WHEN 'name+rt' THEN coalesce(name || ' ', '') || printf('%.2f', rt) ELSE coalesce(name, printf('%.2f', rt)) END AS label FROM p""")
+def peak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.table(spark, sf_dir, "lineitem")
+    mode = F.get(F.array(*[F.lit(m) for m in ("auto", "name", "rt", "name+rt", "none")]), (F.col("l_linenumber") % 5).cast("int"))
+    name = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    return t.select("l_orderkey", "l_linenumber", scalars.peak_label(mode, name, F.col("l_quantity"), F.lit(1.0)).alias("label"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS level, p_brand AS analyte, CASE WHEN p_size % 2 = 0 THEN p_size % 10 END AS trace_id, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_size % 3 <> 0 THEN p_retailprice END AS response FROM part),
+m AS (SELECT p_brand AS analyte, p_size % 10 AS trace_id, max(p_retailprice) AS measured FROM part WHERE p_size % 10 < 6 GROUP BY ALL)
+SELECT analyte, level, x, round(CASE WHEN l.trace_id IS NULL THEN response ELSE measured END, 4) AS y, CASE WHEN l.trace_id IS NULL AND response IS NULL THEN 'no response' WHEN l.trace_id IS NOT NULL AND measured IS NULL THEN 'no matching peak' END AS missing FROM l LEFT JOIN m USING (analyte, trace_id)""")
+def calibration_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels with typed responses or those of the traces that they name, and why one has none."""
+    p = views.table(spark, sf_dir, "part")
+    key = F.when(F.col("p_size") % 2 == 0, F.col("p_size") % 10)
+    levels = p.select(F.col("p_brand").alias("analyte"), F.col("p_partkey").alias("level"), F.col("p_size").cast("double").alias("conc"), key.alias("trace_id"), F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice")).alias("response"), F.lit(True).alias("include"))
+    responses = p.filter("p_size % 10 < 6").groupBy(F.col("p_brand").alias("analyte"), (F.col("p_size") % 10).alias("trace_id")).agg(F.max("p_retailprice").alias("response"))
+    c = calibration.calibration_points(levels, responses)
+    return c.select("analyte", "level", "x", r("y", 4).alias("y"), "missing")
+
+
+@query(f"""WITH c AS (SELECT p_brand AS analyte, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+m AS (SELECT analyte, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM c GROUP BY analyte),
+s AS (SELECT analyte, sqrt(sum(pow(y - b0 - b1 * x, 2)) / (max(n) - 2)) AS s FROM c JOIN m USING (analyte) GROUP BY analyte)
+SELECT analyte, CAST(k AS INTEGER) AS k, round(b0 + b1 * 10 * k, 3) AS fit, round(s * sqrt(1.0 / n + pow(10 * k - mx, 2) / sxx), 4) AS se, round(s * sqrt(1.0 + 1.0 / n + pow(10 * k - mx, 2) / sxx), 4) AS se_new FROM m JOIN s USING (analyte), range(6) AS q(k) WHERE n >= 3""")
+def calibration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line and its standard errors on a grid."""
+    c = calibration.fit(_cal(spark, sf_dir), "analyte").filter("b1 is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    x = F.col("k") * 10.0
+    return c.select("analyte", "k", r(calibration.predict(x), 3).alias("fit"), r(calibration.prediction_se(x), 4).alias("se"), r(calibration.prediction_se(x, 1.0), 4).alias("se_new"))
+
+
+@query("""WITH n AS (SELECT user_id, count(*) * 40 AS n FROM events GROUP BY user_id), v AS (SELECT user_id, n, least(greatest(1e8 * pow(n / 4000.0, 4.0), 1e4), 1e11) AS v FROM n)
+SELECT user_id, n, round(floor(v / pow(10.0, floor(log10(v)) - 2) + 0.5) * pow(10.0, floor(log10(v)) - 2), 0) AS lam FROM v""")
+def automatic_lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = views.table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") * 40).alias("n"))
+    return n.select("user_id", "n", r(scalars.auto_lambda(F.col("n")), 0).alias("lam"))
