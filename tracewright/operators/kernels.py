@@ -226,7 +226,10 @@ def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, iterations: i
     w = np.ones(n)
     z = np.array(y, float)
     for _ in range(iterations):
-        z = _solve_pentadiagonal((w + d0).tolist(), d1, lam, (w * y).tolist())
+        if n < 1000:
+            z = _solve_pentadiagonal((w + d0).tolist(), d1, lam, (w * y).tolist())
+        else:
+            z = _solve_blocks(w + d0, np.array(d1), lam, w * y)
         new = np.where(y > z, p, 1 - p)
         if np.array_equal(new, w):
             break
@@ -252,6 +255,51 @@ def _solve_pentadiagonal(a: list[float], b: list[float], c: float, f: list[float
     return np.array(z[:n])
 
 
+def _solve_blocks(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
+    """As _solve_pentadiagonal, for long systems: they are cut into blocks, all eliminated at once, each with the right
+    side and the four columns that couple it to its neighbours; a small system joins the blocks' outer unknowns."""
+    n = len(a)
+    k = max(int(np.sqrt(n) / 2.5), 2)
+    m = -(-n // k)
+    pad = k * m - n
+    a = np.append(a, np.ones(pad)).reshape(k, m).T
+    b = np.append(b, np.zeros(pad + 1)).reshape(k, m).T
+    c = np.append(np.full(n - 2, c), np.zeros(pad + 2)).reshape(k, m).T
+    g = np.zeros((m, k, 5))
+    g[:, :, 0] = np.append(f, np.zeros(pad)).reshape(k, m).T
+    # columns 1, 2: effect of the next block's first two unknowns; 3, 4: of the last two of the block before
+    g[m - 2, :, 1], g[m - 1, :, 1], g[m - 1, :, 2] = c[m - 2], b[m - 1], c[m - 1]
+    g[0, 1:, 3], g[0, 1:, 4], g[1, 1:, 4] = c[m - 2, :-1], b[m - 1, :-1], c[m - 1, :-1]
+    d, u, v = np.empty((m, k)), np.zeros((m, k)), np.zeros((m, k))
+    d[0] = a[0]
+    u[0], v[0] = b[0] / d[0], c[0] / d[0]
+    d[1] = a[1] - u[0] * b[0]
+    u[1], v[1] = (b[1] - v[0] * b[0]) / d[1], c[1] / d[1]
+    g[1] -= u[0][:, None] * g[0]
+    for i in range(2, m):
+        u1, v2 = u[i - 1], v[i - 2]
+        d[i] = a[i] - u1 * u1 * d[i - 1] - v2 * v2 * d[i - 2]
+        u[i] = (b[i] - v[i - 1] * d[i - 1] * u1) / d[i]
+        v[i] = c[i] / d[i]
+        g[i] -= u1[:, None] * g[i - 1] + v2[:, None] * g[i - 2]
+    g /= d[:, :, None]
+    g[m - 2] -= u[m - 2][:, None] * g[m - 1]
+    for i in range(m - 3, -1, -1):
+        g[i] -= u[i][:, None] * g[i + 1] + v[i][:, None] * g[i + 2]
+    outer = np.stack([g[0], g[1], g[m - 2], g[m - 1]], axis=1)  # (block, outer unknown, right side)
+    joint, at = np.eye(4 * k), np.arange(4)
+    for j in range(k):
+        if j + 1 < k:
+            joint[np.ix_(4 * j + at, 4 * (j + 1) + np.arange(2))] += outer[j, :, 1:3]
+        if j:
+            joint[np.ix_(4 * j + at, 4 * (j - 1) + np.array([2, 3]))] += outer[j, :, 3:5]
+    ends = np.linalg.solve(joint, outer[:, :, 0].ravel()).reshape(k, 4)
+    after, before = np.zeros((k, 2)), np.zeros((k, 2))
+    after[:-1], before[1:] = ends[1:, :2], ends[:-1, 2:]
+    z = g[:, :, 0] - np.einsum("mkj,kj->mk", g[:, :, 1:3], after) - np.einsum("mkj,kj->mk", g[:, :, 3:5], before)
+    return z.T.ravel()[:n]
+
+
 def auto_lambda(n: int) -> float:
     """1e8 (n / 4000)^4 within [1e4, 1e11], three significant digits."""
     return float(f"{min(max(1e8 * (n / 4000) ** 4, 1e4), 1e11):.2e}")
