@@ -91,3 +91,18 @@ def test_json_dialects():
     s = '{"Samples": {"s1": {"Metadata": {"a": 1}, "Raw Data": {"Time (min)": [0, 1, 2], "Signal (pA)": [1, NaN, 3]}}}}'
     t = formats.parse_file(s.encode(), "b.json")["traces"][0]
     assert t["x"] == [0, 2] and t["name"] == "s1" and t["meta"] == {"a": "1"}
+
+
+def test_from_traces_to_a_peak_table(spark):
+    from tracewright.plans import analysis
+
+    t = synthetic.chromatograms(spark, 3)
+    got = analysis.peak_table(t, analysis.Processing(lam=1e8, window=5, min_width=0.05)).toPandas()
+    true = {m: h * s * np.sqrt(2 * np.pi) for h, m, s, _ in synthetic.SAMPLE}
+    for _, g in got.groupby("trace_id"):
+        g = g.sort_values("rt")
+        assert len(g) == 8 and g.area_pct.sum() == pytest.approx(100)
+        assert g.area.tolist() == pytest.approx(list(true.values()), rel=0.04)
+        assert (g.sn > 100).all() and g.resolution.isna().sum() == 1
+    assert analysis.Processing(window=4000, p=2.0, iterations=0).clamped() == analysis.Processing(window=1001, p=0.5, iterations=1)
+    assert analysis.peak_table(t.limit(0)).count() == 0

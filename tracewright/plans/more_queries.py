@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, tables
 from ..operators import signal as S
 from ..sources import exports, formats
-from . import views
+from . import analysis, views
 from .queries import EMB, _cal, _intervals, calibration, query, r
 
 
@@ -350,3 +350,12 @@ SELECT user_id, n, round(floor(v / pow(10.0, floor(log10(v)) - 2) + 0.5) * pow(1
 def automatic_lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") * 40).alias("n"))
     return n.select("user_id", "n", r(scalars.auto_lambda(F.col("n")), 0).alias("lam"))
+
+
+@query()
+def analysed_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from rows to a peak table: daily revenue smoothed, baseline-corrected, detected, integrated, measured."""
+    how = analysis.Processing(lam=1e7, min_dist=5.0, min_width=3.0, threshold=20_000.0)
+    t = analysis.peak_table(views.daily_revenue(spark, sf_dir), how)
+    names = ["start", "end", "rt", "height", "area", "fwhm", "area_pct", "resolution", "sn"]
+    return t.select("trace_id", "peak_no", "cluster", "mode", "shoulder", *[r(c, 3).alias(c) for c in names])
