@@ -248,11 +248,11 @@ def edited_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_edits(p, e, ["mode"]).select("trace_id", "peak_no", "start", "mode")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS trace_id, l_linenumber AS cluster, CASE WHEN l_returnflag = 'R' THEN 'drop' END AS mode, l_quantity AS start, l_quantity + l_discount AS "end" FROM lineitem WHERE l_quantity > 48)
+@query("""WITH p AS (SELECT l_orderkey AS trace_id, CAST(floor(l_quantity / 10) AS BIGINT) AS cluster, CASE WHEN l_returnflag = 'R' THEN 'drop' END AS mode, l_quantity AS start, l_quantity + l_discount AS "end" FROM lineitem)
 SELECT trace_id, cluster, count(*) AS peaks, min(start) AS start, round(max("end"), 6) AS "end" FROM p GROUP BY trace_id, cluster HAVING count(*) > 1 AND count(mode) = 0""")
 def undecided_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
-    p = p.select(F.col("l_suppkey").alias("trace_id"), F.col("l_linenumber").alias("cluster"), F.when(F.col("l_returnflag") == "R", "drop").alias("mode"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_discount")).alias("end"))
+    p = views.table(spark, sf_dir, "lineitem")
+    p = p.select(F.col("l_orderkey").alias("trace_id"), F.floor(F.col("l_quantity") / 10).alias("cluster"), F.when(F.col("l_returnflag") == "R", "drop").alias("mode"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_discount")).alias("end"))
     return edits.undecided_clusters(p).select("trace_id", "cluster", "peaks", "start", r("end").alias("end"))
 
 

@@ -104,12 +104,11 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EMB}, a AS (SELECT trace_id, max(y) AS top, sum((y + nx) / 2) AS area, max(abs(y)) AS big FROM (SELECT *, lead(y) OVER (PARTITION BY trace_id ORDER BY i) AS nx FROM e) GROUP BY trace_id)
-SELECT trace_id, CAST(i AS INTEGER) AS i, round(CASE WHEN top > 0 THEN y / top ELSE y END, 6) + 0.0 AS by_max, round(CASE WHEN area > 1e-9 THEN y / area ELSE y END, 4) + 0.0 AS by_area, round(CASE WHEN big > 0 THEN y / big ELSE y END, 6) + 0.0 AS by_size
-FROM e JOIN a USING (trace_id) WHERE abs(area) > 0.05""")
+SELECT trace_id, CAST(i AS INTEGER) AS i, round(CASE WHEN top > 0 THEN y / top ELSE y END, 6) + 0.0 AS by_max, round(CASE WHEN area > 0 THEN y / area ELSE y END, 4) + 0.0 AS by_area, round(CASE WHEN big > 0 THEN y / big ELSE y END, 6) + 0.0 AS by_size
+FROM e JOIN a USING (trace_id)""")
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = views.embeddings(spark, sf_dir).filter(F.abs(S.trapezoid(F.col("x"), F.col("y"))) > 0.05)
     x, y = F.col("x"), F.col("y")
-    t = t.select("trace_id", S.normalize(x, y, "max").alias("a"), S.normalize(x, y, "area").alias("b"), S.normalize(x, y, "max", absolute=True).alias("c"))
+    t = views.embeddings(spark, sf_dir).select("trace_id", S.normalize(x, y, "max").alias("a"), S.normalize(x, y, "area").alias("b"), S.normalize(x, y, "max", absolute=True).alias("c"))
     rows = t.select("trace_id", F.posexplode(F.arrays_zip("a", "b", "c")).alias("i", "s"))
     return rows.select("trace_id", "i", r("s.a").alias("by_max"), r("s.b", 4).alias("by_area"), r("s.c").alias("by_size"))
 
@@ -274,17 +273,17 @@ def calibration_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rt = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("trace_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("peak_no"), (F.col("l_extendedprice") / 100).alias("rt"))
-    analytes = views.table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("analyte"), (F.col("p_retailprice") / 2).alias("expected_rt"))
+    analytes = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("analyte"), (F.col("p_retailprice") / 2).alias("expected_rt"))
     return rt, analytes
 
 
 @query("""WITH k AS (SELECT l_suppkey AS trace_id, l_orderkey * 10 + l_linenumber AS peak_no, l_extendedprice / 100 AS rt FROM lineitem),
-a AS (SELECT p_partkey AS analyte, p_retailprice / 2 AS expected_rt FROM part WHERE p_partkey % 20 = 0),
-j AS (SELECT trace_id, analyte, peak_no, rt, row_number() OVER (PARTITION BY trace_id, analyte ORDER BY abs(rt - expected_rt), rt, peak_no) AS rk FROM k JOIN a ON abs(rt - expected_rt) <= 2.5)
+a AS (SELECT p_partkey AS analyte, p_retailprice / 2 AS expected_rt FROM part),
+j AS (SELECT trace_id, analyte, peak_no, rt, row_number() OVER (PARTITION BY trace_id, analyte ORDER BY abs(rt - expected_rt), rt, peak_no) AS rk FROM k JOIN a ON abs(rt - expected_rt) <= 0.05)
 SELECT trace_id, analyte, peak_no, round(rt, 6) AS rt FROM j WHERE rk = 1""")
 def analyte_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest peak of each trace to each analyte's expected place, within a tolerance."""
-    return matching.match_analytes(*_bands(spark, sf_dir), 2.5).select("trace_id", "analyte", "peak_no", r("rt").alias("rt"))
+    return matching.match_analytes(*_bands(spark, sf_dir), 0.05).select("trace_id", "analyte", "peak_no", r("rt").alias("rt"))
 
 
 @query()
