@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import exact_dedup, packing, repetition, simhash, toxicity
-from tracewright.llm.common import shared_dir, table
+from tracewright.llm.common import remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        remove(spark, f"{folder}/{k - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # it has read its docs by now and keeps its pieces itself
+    remove(spark, folder)
+    return packed

@@ -30,3 +30,15 @@ def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_run_leaves_no_tables_behind(spark):
+    import os
+
+    import corpus_pipeline
+    from tracewright.llm.common import shared_dir
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and max(r.offset + r.length for r in rows) <= 4096
+    folder = shared_dir(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("pipeline-")]

@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or current.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that later jobs and lost executors reread it."""
     shared_dir(df.sparkSession)

@@ -211,7 +211,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "words"])
 
     rows = docs.select(id_col, text_of(text_col).alias(text_col)).join(F.broadcast(chosen), id_col)
-    got = rows.select("toxic", text_col).mapInArrow(shorten, "toxic int, words binary").dropDuplicates().collect()
+    got = rows.select("toxic", text_col).mapInArrow(shorten, "toxic int, words binary").dropDuplicates()
+    got = got.limit(2 * (TOXIC_TEXTS + ORDINARY_TEXTS)).collect()  # more only where rows share ids
     got = sorted((r[0], bytes(r[1])) for r in got)
     return [w for y, w in got if y == 1], [w for y, w in got if y == 0], float(count or 0.0)
 
