@@ -359,3 +359,40 @@ def analysed_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = analysis.peak_table(views.daily_revenue(spark, sf_dir), how)
     names = ["start", "end", "rt", "height", "area", "fwhm", "area_pct", "resolution", "sn"]
     return t.select("trace_id", "peak_no", "cluster", "mode", "shoulder", *[r(c, 3).alias(c) for c in names])
+
+
+@query("""WITH c AS (SELECT p_brand AS analyte, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+m AS (SELECT analyte, count(*) AS n, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, min(x) AS lo, max(x) AS hi FROM c GROUP BY analyte),
+s AS (SELECT analyte, sqrt(sum(pow(y - b0 - b1 * x, 2)) / (max(n) - 2)) AS s FROM c JOIN m USING (analyte) GROUP BY analyte),
+u AS (SELECT l_orderkey, l_linenumber, p_brand AS analyte, l_extendedprice / l_quantity AS response FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0),
+q AS (SELECT u.*, (response - b0) / b1 AS conc, lo, hi, 3.3 * s / abs(b1) AS lod, 10 * s / abs(b1) AS loq FROM u JOIN m USING (analyte) JOIN s USING (analyte) WHERE n >= 3)
+SELECT l_orderkey, l_linenumber, analyte, round(sign(conc) * ln(1 + abs(conc)), 4) + 0.0 AS log_conc, concat_ws(';', CASE WHEN conc < lo OR conc > hi THEN 'extrapolated' END, CASE WHEN conc < lod THEN 'below_LOD' WHEN conc < loq THEN 'below_LOQ' END) AS flags FROM q""")
+def quantified_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentrations (signed logarithms) of all unknowns by the line of their analyte, with flags."""
+    part = views.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("analyte"))
+    u = views.table(spark, sf_dir, "lineitem").filter("l_quantity > 0").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    u = u.select("l_orderkey", "l_linenumber", "analyte", (F.col("l_extendedprice") / F.col("l_quantity")).alias("response"))
+    q = calibration.inverse(u.join(calibration.fit(_cal(spark, sf_dir), "analyte").filter("b1 is not null"), "analyte"), F.col("response"))
+    return q.select("l_orderkey", "l_linenumber", "analyte", r(F.signum("conc") * F.log1p(F.abs("conc")), 4).alias("log_conc"), F.concat_ws(";", "conc_flags").alias("flags"))
+
+
+@query()
+def manual_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A peak at the highest sample near the middle of every trace, and its bounds at the lowest samples nearby."""
+    t = views.embeddings(spark, sf_dir)
+    t = t.withColumn("p", peaks.peak_at(F.col("x"), F.col("y"), F.lit(31.5), 4.0))
+    t = t.withColumn("b", peaks.refined_bounds(F.col("x"), F.col("y"), F.col("p.start"), F.col("p.end")))
+    area = integration.chord_area(F.col("x"), F.col("y"), F.col("b.start"), F.col("b.end"))
+    return t.select("trace_id", r("p.apex").alias("apex"), r("b.start").alias("start"), r("b.end").alias("end"), r(area).alias("area"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS trace_id, o_orderkey AS peak_no, o_totalprice / 1000 AS rt FROM orders), l AS (SELECT c_custkey AS label, c_acctbal / 20 AS place FROM customer WHERE c_acctbal IS NOT NULL),
+j AS (SELECT peak_no, label, row_number() OVER (PARTITION BY peak_no ORDER BY abs(rt - place), place, label) AS rk FROM p JOIN l ON abs(rt - place) <= 0.05)
+SELECT peak_no, label FROM j WHERE rk = 1""")
+def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored label that is nearest to each peak, within half a tolerance."""
+    p = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("peak_no"), (F.col("o_totalprice") / 1000).alias("rt"))
+    labels = views.table(spark, sf_dir, "customer").filter("c_acctbal is not null").select(F.col("c_custkey").alias("label"), (F.col("c_acctbal") / 20).alias("at"))
+    pairs = matching.band_join(p, labels, "rt", "at", 0.05)
+    best = F.min(F.struct(F.abs(F.col("rt") - F.col("at")).alias("d"), "at", "label"))
+    return pairs.groupBy("peak_no").agg(best.alias("b")).select("peak_no", F.col("b.label").alias("label"))
