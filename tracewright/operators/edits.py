@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .integration import meets
 from .matching import band_join
 
 KEYS = ["trace_id", "peak_no"]
@@ -22,9 +23,8 @@ def apply_edits(peaks: DataFrame, edits: DataFrame, columns: list[str]) -> DataF
 
 def replace_inside(peaks: DataFrame, windows: DataFrame) -> DataFrame:
     """Manual windows (trace_id, peak_no, start, apex, end) in place of the peaks whose apex lies inside one."""
-    w = windows.select(F.col("trace_id").alias("_t"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    inside = (F.col("trace_id") == F.col("_t")) & F.col("apex").between(F.col("_a"), F.col("_b"))
-    return peaks.join(w, inside, "left_anti").withColumn("manual", F.lit(False)).unionByName(windows.withColumn("manual", F.lit(True)))
+    left = meets(peaks, "apex", "apex", windows, "start", "end", "trace_id", closed=True).filter("not _meets").drop("_meets")
+    return left.withColumn("manual", F.lit(False)).unionByName(windows.withColumn("manual", F.lit(True)))
 
 
 def undecided_clusters(peaks: DataFrame) -> DataFrame:

@@ -87,11 +87,27 @@ def effective_mode(own: Column, manual: Column, default: str = "drop") -> Column
     return F.coalesce(own, F.when(manual, F.lit("valley")), F.lit(default))
 
 
+def meets(rows: DataFrame, low: str, high: str, intervals: DataFrame, start: str, end: str, by: str, closed: bool = False) -> DataFrame:
+    """Adds ``_meets``: whether one of the intervals of the same ``by`` reaches into [low, high] of a row (with
+    ``closed``, touching is enough). A null ``by`` meets nothing.
+
+    A sweep, not a join: at ``high`` of a row, the intervals that have begun are those before it in order, and the row is
+    met if the furthest of their ends lies beyond its ``low``. One sort a ``by``; no pairs are made.
+    """
+    rank = F.lit(1 if closed else 0)
+    a = rows.withColumns({"_at": F.col(high).cast("double"), "_rank": rank, "_end": F.lit(None).cast("double"), "_row": F.lit(True)})
+    b = intervals.select(F.col(by), F.col(start).cast("double").alias("_at"), F.lit(0 if closed else 1).alias("_rank"), F.col(end).cast("double").alias("_end"), F.lit(False).alias("_row"))
+    order = Window.partitionBy(by).orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    swept = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(order)).filter("_row")
+    beyond = F.col("_reach") >= F.col(low) if closed else F.col("_reach") > F.col(low)
+    met = F.coalesce(beyond, F.lit(False)) & F.col(by).isNotNull()
+    return swept.withColumn("_meets", met).drop("_at", "_rank", "_end", "_row", "_reach")
+
+
 def merge_keep(kept: DataFrame, found: DataFrame, by: str = "trace_id") -> DataFrame:
     """Kept peaks unchanged, and those found that overlap none of them."""
-    k = kept.select(F.col(by).alias("_by"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    overlap = (F.col(by) == F.col("_by")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start"))
-    return kept.withColumn("manual", F.lit(True)).unionByName(found.join(k, overlap, "left_anti").withColumn("manual", F.lit(False)))
+    free = meets(found, "start", "end", kept, "start", "end", by).filter("not _meets").drop("_meets")
+    return kept.withColumn("manual", F.lit(True)).unionByName(free.withColumn("manual", F.lit(False)))
 
 
 def clamp_bounds(start: Column, end: Column, low: Column, high: Column, step: Column) -> Column:
