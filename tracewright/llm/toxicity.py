@@ -121,14 +121,13 @@ class Model:
 
     def evidence(self, text: bytes) -> np.ndarray:
         """Windows that save at least each of CUTS bytes, and the number of words."""
-        a, b = self.compressors()
-        saved = [0] * (CUTS[-1] + 1)
         found = windows(text)
-        for w in found:
-            n = len(a(w)) - len(b(w))
-            if n > 0:
-                saved[min(n, CUTS[-1])] += 1
-        return np.array([*(sum(saved[c:]) for c in CUTS), len(found) * WINDOW_WORDS], float)
+        if not found:
+            return np.zeros(len(CUTS) + 1)
+        with_ordinary, with_toxic = (np.fromiter(map(len, map(c, found)), np.int64, len(found)) for c in self.compressors())
+        saved = with_ordinary - with_toxic
+        at = np.bincount(np.minimum(saved[saved > 0], CUTS[-1]), minlength=CUTS[-1] + 1)
+        return np.array([*(at[c:].sum() for c in CUTS), len(found) * WINDOW_WORDS], float)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         x = (_features(evidence) - self.center) / self.scale
