@@ -25,7 +25,7 @@ from .common import table, text_of
 
 #: Bounds of the training sample: texts of each label (the first by a hash of the id), and words of each text.
 TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_WORDS = 2000, 4000, 3000
-WINDOW_WORDS = 3
+WINDOW_WORDS = 4
 #: Both dictionaries and every window end with this. zstandard begins no match in a block's last 8 bytes, and stores a
 #: block as it is unless that saves some bytes; with a match at its end, each window shows every byte saved.
 CARRIER = b"<[{(~^0123456789^~)}]>" + b"\n\t"
