@@ -133,6 +133,22 @@ def test_simhash_components(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays_where_ids_are_null_or_shared(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b, c, d, e, f, g, h = (" ".join(f"{name}{rng.randint(0, 999)}" for _ in range(80)) for name in "abcdefgh")
+    rows = [(None, a), (None, a), (None, b)]  # two unrelated texts without ids
+    rows += [(5, c), (5, d), (9, d)]  # one id of two unrelated texts, the smallest of both components
+    rows += [(6, e), (None, e), (2, f), (2, f), (3, g), (None, h), (6, h)]
+    want = sorted([(5, c), (5, d), (6, e), (2, f), (3, g), (6, h), (None, a), (None, b)], key=str)
+    for heavy in (1, 512):  # no shared id is hot but null, or all are
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        kept = simhash.keep_one(frame(spark, rows).repartition(3))
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
+    named = [(None if i is None else f"n{i}", t) for i, t in rows]
+    kept = simhash.keep_one(spark.createDataFrame(named, "doc_id string, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i and f"n{i}", t) for i, t in want), key=str)
+
+
 def test_all_close_fingerprints_are_linked(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, same, settled, table, text_of
+from .common import HEAVY, attach, same, settled, table, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -176,6 +176,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, *carry: str) -> DataFrame:
+    """id, fp and component_id of each row of ``docs``, and what ``carry`` names: ``__root`` is the component's smallest fp."""
+    rows = settled(fingerprints(docs, id_col, text_col, shingle))
+    classes = settled(rows.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min(id_col).alias("first")))
+    roots = components(links(classes))
+    labelled = settled(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = settled(labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes")))
+    facts = attach(labelled, firsts, "root", "n_classes").withColumnRenamed("root", "__root")
+    facts = settled(facts.select("fp", "n_rows", "component_id", *carry))
+    return attach(rows, facts, "fp", "n_rows").select(id_col, "fp", "component_id", *carry)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of ``docs``: id, fp (signed long), component_id.
 
@@ -183,35 +195,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nulls aside; it is null where all those ids are. Texts without a word have fingerprint zero and link like any other.
     Repeated rows get a row each. Other columns are not read. An empty table gives an empty result.
     """
-    rows = settled(fingerprints(docs, id_col, text_col, shingle))
-    classes = settled(rows.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min(id_col).alias("first")))
-    roots = components(links(classes))
-    labelled = settled(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    firsts = settled(labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes")))
-    facts = settled(attach(labelled, firsts, "root", "n_classes").select("fp", "n_rows", "component_id"))
-    return attach(rows, facts, "fp", "n_rows").select(id_col, "fp", "component_id")
+    return _labelled(docs, id_col, text_col, shingle)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component (that with the smallest id), all columns unchanged."""
+    """``docs`` with one row of each component (that with the smallest id, nulls last), all columns unchanged.
+
+    Components are told apart by their root, as component_id may be null or shared where ids are.
+    """
 
     @F.udf("long", useArrow=True)
     def fp_of(text: str) -> int:
         return int(np.uint64(fingerprint((text or "").encode(), shingle)).view(np.int64))
 
     names = docs.columns
-    rows = settled(near_duplicates(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "__id"))
+    rows = settled(_labelled(docs, id_col, text_col, shingle, "__root").withColumnRenamed(id_col, "__id"))
     null = F.col("__id").isNull()
-    best = rows.groupBy("component_id").agg(F.min(F.struct(null.alias("null"), F.col("__id").alias("id"), "fp")).alias("best"))
-    shared = rows.groupBy("__id").agg(F.count("*").alias("n_id"))
-    stay = best.select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
-    stay = settled(stay.join(shared, stay["__id"].eqNullSafe(shared["__id"])).select(stay["__id"], "__fp", "n_id"))
-    once, more = stay.filter("n_id = 1"), stay.filter("n_id > 1")
+    best = rows.groupBy("__root").agg(F.min(F.struct(null.alias("null"), F.col("__id").alias("id"), "fp")).alias("best"))
+    best = best.select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
+    # ids that several rows share are told apart by their fingerprints; null and hot ones (fewer than HEAVY) are not joined by id
+    shared = settled(rows.groupBy("__id").agg(F.count("*").alias("n_id")).filter(null | (F.col("n_id") > 1)))
+    hot = [r[0] for r in shared.filter(null | (F.col("n_id") * HEAVY > rows.count())).select("__id").collect()]
+    is_hot = null | F.col("__id").isin([i for i in hot if i is not None])
+    shared = shared.filter(~is_hot)
+    stay = best.filter(~is_hot).join(shared, "__id", "left").select("__id", "__fp", F.col("n_id").isNull().alias("once"))
+    stay = settled(stay.unionByName(best.filter(is_hot).withColumn("once", F.lit(False))))
     marked = docs.withColumn("__id", F.col(id_col))
-    single = marked.join(once, same(marked, once, ["__id"]), "left_semi")
-    # ids that several rows share are told apart by their fingerprints
-    told = marked.join(more, same(marked, more, ["__id"]), "left_semi").withColumn("__fp", fp_of(F.col(text_col)))
-    several = told.join(more, same(told, more, ["__id", "__fp"]), "left_semi").dropDuplicates(["__id", "__fp"])
+    single = marked.join(stay.filter("once"), "__id", "left_semi")
+    several = marked.join(shared, "__id", "left_semi")
+    if hot:
+        several = several.select(*marked.columns).unionByName(marked.filter(is_hot))
+    several = several.withColumn("__fp", fp_of(F.col(text_col))).dropDuplicates(["__id", "__fp"])
+    more = stay.filter("NOT once")
+    several = several.join(more, same(several, more, ["__id", "__fp"]), "left_semi")
     return single.select(*names).unionByName(several.select(*names))
 
 
