@@ -434,6 +434,22 @@ def test_extraction(spark, chain):
     assert (2, 0) in got and all(len(r.text) == r.n_chars for r in got.values()) and len(got) >= 6
 
 
+ARTICLE = "<article><h1>Head</h1><p>One long paragraph, with words enough to be taken for text.</p></article>"
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><meta charset=utf-8><body>", "<head><style>p{}</style>", "<head><script>x</script></head><body>", "<body>"])
+def test_an_open_head_ends_where_the_body_begins(chain, start):
+    assert chain.main_text(f"<!DOCTYPE html><html>{start}{ARTICLE}</html>") == "Head\nOne long paragraph, with words enough to be taken for text."
+    assert [b.text for b in html_main.blocks(f"<html>{start}Bare text<p>and more")] == ["Bare text", "and more"]
+
+
+def test_embedded_text_is_left_to_the_model(chain):
+    body = "where <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds, and <object data=a>the object</object> with <canvas>the canvas</canvas> and <svg><path d=x /><title>no</title><text>a label</text></svg> are words of it."
+    got = chain.main_text(f"<html><body><article><h1>Head</h1><p>A long paragraph of text, {body}</p></article></body></html>")
+    assert " ".join(got.split()) == "Head A long paragraph of text, where x=1 holds, and the object with the canvas and a label are words of it."
+    assert [b.text for b in html_main.blocks("<p>a <svg><path/><p>b<br>c<div>d")] == ["a", "b", "c", "d"]
+
+
 # op5
 
 

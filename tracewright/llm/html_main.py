@@ -27,11 +27,15 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SKIPPED = frozenset("script style template noscript textarea select button iframe object svg math title head datalist canvas audio video".split())
+SKIPPED = frozenset("script style template noscript textarea select button iframe title head datalist audio video".split())
+#: What may stand in a head; any other tag, or text, ends it (its end tag may be left out).
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Their own tags don't interrupt a run of text, and may close themselves.
+FOREIGN = frozenset("svg math".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i img input ins kbd label mark math object q ruby rb rp rt s samp small span strike strong sub sup svg time tt u var wbr".split()
 )
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -85,7 +89,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
     parts: list[str] = []
-    links = skipped = 0
+    links = skipped = foreign = 0
 
     def flush() -> None:
         nonlocal links
@@ -97,10 +101,11 @@ def blocks(page: str) -> list[Block]:
         links = 0
 
     def pop(tags) -> None:
-        nonlocal skipped
+        nonlocal skipped, foreign
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 skipped -= sum(name in SKIPPED for name, _ in stack[k:])
+                foreign -= sum(name in FOREIGN for name, _ in stack[k:])
                 del stack[k:]
                 return
 
@@ -109,6 +114,8 @@ def blocks(page: str) -> list[Block]:
         m = TOKEN.match(page, at)
         at = m.end()
         if (text := m["text"]) is not None:
+            if skipped and stack[-1][0] == "head" and text.strip():
+                pop({"head"})
             if not skipped:
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
@@ -118,17 +125,19 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if tag not in INLINE:
+        if tag not in INLINE and (not foreign or tag in ENDS_P or tag in CLOSES or tag in ("br", "text", "body")):
             flush()
         if m["end"]:
             if tag not in VOID:
                 pop({tag})
             continue
+        if skipped and tag not in IN_HEAD and any(name == "head" for name, _ in stack):
+            pop({"head"})
         if tag in ENDS_P and any(name == "p" for name, _ in stack[-6:]):
             pop({"p"})
         elif tag in CLOSES and any(name in CLOSES[tag] for name, _ in stack[-6:]):
             pop(CLOSES[tag])
-        if tag in VOID or m["attrs"].endswith("/") and tag not in RAW and tag in SKIPPED:
+        if tag in VOID or m["attrs"].endswith("/") and tag not in RAW and (foreign or tag in SKIPPED or tag in FOREIGN or tag == "object"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
@@ -136,6 +145,7 @@ def blocks(page: str) -> list[Block]:
         own = _attributes(tag, m["attrs"])
         stack.append((tag, stack[-1][1] | own if tag not in INLINE or len(own) > 1 else stack[-1][1]))
         skipped += tag in SKIPPED
+        foreign += tag in FOREIGN
     flush()
     return found
 
