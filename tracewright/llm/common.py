@@ -20,12 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it (names are compared as Spark does)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
+    mode, where there is one machine; on a cluster an error, as executors don't see the driver's folders."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return spark.conf.get("spark.checkpoint.dir", None) or current.get()
 
@@ -70,14 +82,20 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
     return near.unionByName(far)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, on: list[str], n: str) -> DataFrame:
-    """The rows of ``docs`` whose ``on`` values are in ``keys`` (one row for each value, nulls equal nulls).
+#: Keys that are broadcast at most, counted before; more are shuffled.
+SMALL_ROWS = 200_000
 
-    ``n`` counts a key's rows; where it exceeds 1, one of them stays. Such rows are rare, so only they are shuffled
-    again to be told apart.
-    """
-    once = keys.filter(F.col(n) == 1)
-    more = keys.filter(F.col(n) > 1)
-    single = docs.join(once, same(docs, once, on), "left_semi")
-    several = docs.join(more, same(docs, more, on), "left_semi").dropDuplicates(on)
-    return single.unionByName(several)
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else keys
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose ``on`` values aren't in ``keys``, which should be settled (it is counted); nulls equal nulls.
+    Few keys are broadcast, so the rows stay where they are."""
+    return rows.join(_small(keys), same(rows, keys, on), "left_anti")
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose ``on`` values are in ``keys``; otherwise as ``without``."""
+    return rows.join(_small(keys), same(rows, keys, on), "left_semi")

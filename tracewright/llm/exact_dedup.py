@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, settled, table, text_of
+from .common import among, free, settled, table, text_of, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Misra-Gries counters for each partition, and the most digests that are broadcast.
@@ -45,20 +45,14 @@ def frequent(digests: DataFrame, column: str, k: int = K) -> DataFrame:
     return found.groupBy(column).agg(F.sum("low").alias("low")).orderBy(F.desc("low"), column).limit(k).select(column)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """One decision for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, row_id.
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.translate(text_of(text_col), UPPER, LOWER), 256))
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest id stays
-    (a null id is smaller than all others). Of repeated rows with that same id and text, one stays. ``row_id`` is unique.
-    Other columns of ``docs`` are not read. An empty table gives an empty result.
-    """
-    rows = settled(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.unhex(F.sha2(F.translate(text_of(text_col), UPPER, LOWER), 256)).alias("digest"),
-            F.monotonically_increasing_id().alias("row_id"),
-        )
-    )
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions on the rows of frequent digests and on all others (id, digest, row_id, group_size, best), and the
+    frequent digests with their winners."""
+    rows = settled(docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row_id")))
     best = F.max(F.struct("id", "row_id")).alias("best")
     total = rows.count()
     candidates = frequent(rows, "digest", k)
@@ -66,7 +60,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = settled(counted.filter(F.col("group_size") * k >= 2 * total).limit(k))
     near = rows.join(F.broadcast(hot), "digest")
     rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    far = rest.join(rest.groupBy("digest").agg(F.count("*").alias("group_size"), best), "digest")
+    return near, rest.join(rest.groupBy("digest").agg(F.count("*").alias("group_size"), best), "digest"), hot
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """One decision for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, row_id.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest id stays
+    (a null id is smaller than all others). Of repeated rows with that same id and text, one stays. ``row_id`` is unique.
+    Other columns of ``docs`` are not read. An empty table gives an empty result.
+    """
+    near, far, _ = _decided(docs, id_col, text_col, k)
     return near.unionByName(far).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
@@ -78,14 +82,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    names = docs.columns
-    decided = exact_dedup(docs, id_col, text_col, k)
-    kept = decided.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")).agg(
-        F.max("kept").alias("stays"), F.count("*").alias("n")
-    )
-    marked = docs.withColumns({"__id": F.col(id_col), "__digest": F.sha2(F.translate(text_of(text_col), UPPER, LOWER), 256)})
-    return keep_rows(marked, kept.filter("stays"), ["__id", "__digest"], "n").select(*names)
+    """``docs`` with one row of each group of equal texts (see exact_dedup), all columns unchanged.
+
+    Rows of frequent digests go where they lie, by the broadcast winners. Of the others, those that go are named by id and
+    digest; while these are few they are broadcast as well, so that no text is shuffled.
+    """
+    near, far, hot = _decided(docs, id_col, text_col, k)
+    names, digest, winner = docs.columns, free("digest", docs.columns), free("winner", docs.columns)
+    losers = (F.col("row_id") != F.col("best.row_id")), F.col("id").eqNullSafe(F.col("best.id"))
+    key = [F.col("id").alias(id_col), F.col("digest").alias(digest)]
+    gone = settled(far.filter(losers[0] & ~losers[1]).select(*key).distinct())
+    # a loser with its winner's id is a repeated row: of such rows, which are rare, one stays
+    repeated = settled(near.unionByName(far).filter(losers[0] & losers[1]).select(*key).distinct())
+    won = hot.select(F.col("digest").alias(digest), F.struct(F.col("best.id").alias("id")).alias(winner))
+    marked = docs.withColumn(digest, _digest(text_col)).join(F.broadcast(won), digest, "left")
+    marked = marked.filter(F.col(winner).isNull() | F.col(id_col).eqNullSafe(F.col(f"{winner}.id")))
+    out = without(marked, gone, [id_col, digest])
+    if repeated.isEmpty():
+        return out.select(*names)
+    several = among(marked, repeated, [id_col, digest]).dropDuplicates([id_col, digest])
+    return without(out, repeated, [id_col, digest]).select(*names).unionByName(several.select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HEAVY, attach, same, settled, table, text_of
+from .common import HEAVY, among, attach, free, settled, table, text_of, without
 
 SHINGLE = 3
 SEED = 42
@@ -141,12 +141,45 @@ def _keyed(distinct: DataFrame, keys) -> DataFrame:
     return distinct.select("fp").mapInArrow(spread, "fp long, key long")
 
 
+#: Keys with more indexed fingerprints than this aren't joined; their fingerprints are linked by ``clustered_links``.
+FULL = 1000
+#: All vectors within two bits of zero, nearest first (1, 64 and 2016 of them).
+BALL = np.array([0, *(1 << b for b in range(64)), *(1 << a | 1 << b for a, b in combinations(range(64), 2))], np.uint64)
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """All pairs (a < b as signed longs) of the distinct fingerprints in ``fp`` that differ in at most 3 bits."""
-    a = _keyed(distinct, probe_keys).withColumnRenamed("fp", "a")
-    b = _keyed(distinct, index_keys).withColumnRenamed("fp", "b")
+    """Pairs (a, b) of the distinct fingerprints in ``fp`` that differ in at most 3 bits: enough of them that whatever
+    such pairs connect, they connect. All pairs, unless very many fingerprints share a key."""
+    probes, index = _keyed(distinct, probe_keys), _keyed(distinct, index_keys)
+    full = settled(index.groupBy("key").count().filter(F.col("count") > FULL).select("key"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return a.join(b, (a["key"] == b["key"]) & close).select("a", "b").distinct()
+    a, b = probes.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
+    if full.isEmpty():
+        return a.join(b, (a["key"] == b["key"]) & close).select("a", "b").distinct()
+    a, b = without(a, full, ["key"]), without(b, full, ["key"])
+    pairs = a.join(b, (a["key"] == b["key"]) & close).select("a", "b")
+    crowd = among(probes, full, ["key"]).select("fp").union(among(index, full, ["key"]).select("fp")).distinct()
+    return pairs.union(clustered_links(settled(crowd))).distinct()
+
+
+def clustered_links(crowd: DataFrame) -> DataFrame:
+    """Pairs (a, b) at most 3 bits apart that connect all such pairs of distinct fingerprints, without meeting every pair.
+
+    Two fingerprints are at most 3 bits apart exactly if some vector is at most 1 bit from one and 2 from the other. Each
+    is sent to all vectors within 2 bits; where one arrives from within 1 bit, it is linked to all that arrive there.
+    Work and links grow with the number of fingerprints (2081 for each), and a vector has at most 2081 arrivals.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = pa.array(np.repeat([True, False], [65, len(BALL) - 65]))
+        for batch in batches:
+            for f in batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64):
+                at = (f ^ BALL).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(BALL), f).view(np.int64)), near], names=["at", "fp", "near"])
+
+    sent = crowd.select("fp").mapInArrow(spread, "at long, fp long, near boolean")
+    met = sent.groupBy("at").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("all")).filter("a is not null and size(all) > 1")
+    return met.select("a", F.explode("all").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 # Components
@@ -156,19 +189,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every node of ``edges`` (a, b): root is the component's smallest node.
 
     Alternates large-star and small-star steps: each hooks a node's neighbours to the smallest of them, which shortens
-    all paths at once, and ends when a round changes nothing. Minima are aggregated before they are joined, so no
-    node's neighbours are gathered in one place.
+    all paths at once, and ends when a round changes nothing. Minima are aggregated map-side before they are joined, and
+    those of hot nodes (the root of a giant component has all its nodes as neighbours) are broadcast, so no node's
+    neighbours are gathered in one place.
     """
     edges = settled(edges.select("a", "b"))
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = settled(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
+        large = attach(both, low, "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = settled(large)
         # small star: of the smaller neighbours of each node, the smallest takes the others and the node itself
-        low = settled(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = settled(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = attach(large, low, "a", "n").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = settled(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
@@ -177,15 +211,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, *carry: str) -> DataFrame:
-    """id, fp and component_id of each row of ``docs``, and what ``carry`` names: ``__root`` is the component's smallest fp."""
+    """id, fp and component_id of each row of ``docs``, and ``carry``: ``best`` names its component's row that stays."""
     rows = settled(fingerprints(docs, id_col, text_col, shingle))
-    classes = settled(rows.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min(id_col).alias("first")))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))).alias("first")
+    classes = settled(rows.groupBy("fp").agg(F.count("*").alias("n_rows"), first))
     roots = components(links(classes))
     labelled = settled(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    firsts = settled(labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes")))
-    facts = attach(labelled, firsts, "root", "n_classes").withColumnRenamed("root", "__root")
-    facts = settled(facts.select("fp", "n_rows", "component_id", *carry))
-    return attach(rows, facts, "fp", "n_rows").select(id_col, "fp", "component_id", *carry)
+    best = F.min(F.struct("first.none", "first.id", "fp")).alias("best")
+    firsts = settled(labelled.groupBy("root").agg(best, F.count("*").alias("n_classes")))
+    facts = settled(attach(labelled.select("root", "fp", "n_rows"), firsts, "root", "n_classes").select("fp", "n_rows", "best"))
+    return attach(rows, facts, "fp", "n_rows").select(id_col, "fp", F.col("best.id").alias("component_id"), *carry)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -201,34 +236,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component (that with the smallest id, nulls last), all columns unchanged.
 
-    Components are told apart by their root, as component_id may be null or shared where ids are.
+    Rows that go are named by their ids; while these are few they are broadcast, so that no text is shuffled. Ids that
+    several rows share, and null ones, don't name a row: those rows are told apart by their fingerprints.
     """
 
-    @F.udf("long", useArrow=True)
-    def fp_of(text: str) -> int:
-        return int(np.uint64(fingerprint((text or "").encode(), shingle)).view(np.int64))
-
-    names = docs.columns
-    rows = settled(_labelled(docs, id_col, text_col, shingle, "__root").withColumnRenamed(id_col, "__id"))
-    null = F.col("__id").isNull()
-    best = rows.groupBy("__root").agg(F.min(F.struct(null.alias("null"), F.col("__id").alias("id"), "fp")).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
-    # ids that several rows share are told apart by their fingerprints; null and hot ones (fewer than HEAVY) are not joined by id
-    shared = settled(rows.groupBy("__id").agg(F.count("*").alias("n_id")).filter(null | (F.col("n_id") > 1)))
-    hot = [r[0] for r in shared.filter(null | (F.col("n_id") * HEAVY > rows.count())).select("__id").collect()]
-    is_hot = null | F.col("__id").isin([i for i in hot if i is not None])
-    shared = shared.filter(~is_hot)
-    stay = best.filter(~is_hot).join(shared, "__id", "left").select("__id", "__fp", F.col("n_id").isNull().alias("once"))
-    stay = settled(stay.unionByName(best.filter(is_hot).withColumn("once", F.lit(False))))
-    marked = docs.withColumn("__id", F.col(id_col))
-    single = marked.join(stay.filter("once"), "__id", "left_semi")
-    several = marked.join(shared, "__id", "left_semi")
-    if hot:
-        several = several.select(*marked.columns).unionByName(marked.filter(is_hot))
-    several = several.withColumn("__fp", fp_of(F.col(text_col))).dropDuplicates(["__id", "__fp"])
-    more = stay.filter("NOT once")
-    several = several.join(more, same(several, more, ["__id", "__fp"]), "left_semi")
-    return single.select(*names).unionByName(several.select(*names))
+    @F.arrow_udf("long")
+    def fp_of(texts: pa.Array) -> pa.Array:
+        found = (fingerprint(t.as_py() or b"", shingle) for t in texts.cast(pa.binary()))
+        return pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
+
+    names, fp = docs.columns, free("fp", docs.columns)
+    rows = settled(_labelled(docs, id_col, text_col, shingle, "best"))
+    null = F.col(id_col).isNull()
+    stays = F.col(id_col).eqNullSafe(F.col("best.id")) & (F.col("fp") == F.col("best.fp"))
+    counted = rows.filter(~null).groupBy(id_col).agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    counted = settled(counted.filter("n > 1 or not stays"))
+    shared = counted.filter("n > 1")
+    # hot ids (fewer than HEAVY) are compared one by one, so that their rows aren't gathered by a join
+    total = rows.count()
+    hot = [r[0] for r in shared.filter(F.col("n") * HEAVY > total).select(id_col).collect()]
+    out = without(docs.filter(~null), settled(counted.select(id_col)), [id_col]).select(*names)
+    some_null = not rows.filter(null).isEmpty()
+    if not some_null and shared.isEmpty():
+        return out
+    is_hot = null | F.col(id_col).isin(hot)
+    several = docs.filter(is_hot).unionByName(among(docs.filter(~is_hot), settled(shared.select(id_col)), [id_col]).select(*names))
+    stay = settled(rows.filter(stays).select(id_col, F.col("fp").alias(fp)).distinct())
+    several = several.withColumn(fp, fp_of(text_of(text_col))).dropDuplicates([id_col, fp])
+    return out.unionByName(among(several, stay, [id_col, fp]).select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

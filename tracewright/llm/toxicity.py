@@ -1,16 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary text, and one that adds what recurs in toxic
-text and hardly in ordinary text. Every window of a few words is compressed with either; the bytes that the toxic
-dictionary saves are its evidence. How many windows save at least so many bytes, in all and for each word, is turned
-into a probability by thresholds calibrated on labelled texts that neither dictionary has seen.
+Two zstandard dictionaries are trained apart: one on ordinary texts, one on the passages of toxic texts that ordinary
+texts hardly have (words with a substring that tells the two kinds apart). Every window is compressed with either; the
+bytes that the toxic dictionary saves against the ordinary one are its evidence. How many windows save at least so many
+bytes, in all and for each word, is turned into a probability by thresholds calibrated on labelled texts that neither
+dictionary has seen.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,83 +21,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import free, settled, table, text_of
 
-#: Bounds of the training sample: texts of each label (the first by a hash of the id), and words of each text.
-TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_WORDS = 2000, 4000, 3000
-WINDOW_WORDS = 4
+#: Bounds of the training sample: rows of each label, in order of a hash of the id, as long as their whole texts come to
+#: so many bytes in all.
+TOXIC_TEXTS, ORDINARY_TEXTS = 2000, 4000
+TOXIC_SAMPLE_BYTES, ORDINARY_SAMPLE_BYTES = 16 << 20, 32 << 20
+WINDOW_WORDS = 1
 #: Both dictionaries and every window end with this. zstandard begins no match in a block's last 8 bytes, and stores a
 #: block as it is unless that saves some bytes; with a match at its end, each window shows every byte saved.
 CARRIER = b"<[{(~^0123456789^~)}]>" + b"\n\t"
 #: Binary trees find a rare word wherever it lies in the dictionary; the faster matchers overlook some.
 LEVEL, MIN_MATCH, STRATEGY = 13, 5, zstandard.STRATEGY_BTLAZY2
-ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 16 << 10
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 16 << 10
 #: Letting a toxic text pass counts as much as rejecting this many ordinary ones.
 MISS_COST = 2.0
-#: A substring goes to the toxic dictionary if so many toxic texts have it, so many times as often as ordinary ones.
+#: A substring tells toxic texts apart if so many of them have it, so many times as often as ordinary ones.
 MIN_TEXTS, MIN_RATIO = 4, 6.0
 GRAMS = (5, 6, 7)
-MAX_WORD = 40
 #: Saved bytes from which a window counts.
-CUTS = (1, 2, 3, 4, 5, 6, 8)
+CUTS = (1, 2, 3, 4, 5, 6, 7, 8)
+#: Windows whose saved bytes a task remembers; as many again stay from before.
+CACHE_WINDOWS = 200_000
+EDGES = b".,!?;:\"'()"
 
 
-def _words(text: bytes) -> set[bytes]:
-    return {b" " + w.strip(b".,!?;:\"'()") + b" " for w in text.split() if len(w) < MAX_WORD}
+def windows(text: bytes, words: int = WINDOW_WORDS) -> list[bytes]:
+    parts = text.lower().split()
+    return parts if words == 1 else [b" ".join(parts[i : i + words]) for i in range(0, len(parts), words)]
 
 
-def _grams(word: bytes) -> set[bytes]:
-    return {word[i : i + k] for k in GRAMS for i in range(len(word) - k + 1)}
+def _padded(text: bytes) -> np.ndarray:
+    """The text's words without their outer marks, each between blanks of its own."""
+    return np.frombuffer(b"".join([b" %b " % w.strip(EDGES) for w in text.split()]), np.uint8)
 
 
-def windows(text: bytes, words: int = WINDOW_WORDS) -> list[bytes]:
-    parts = text.lower().split()
-    return [b" %b %b" % (b" ".join(parts[i : i + words]), CARRIER) for i in range(0, len(parts), words)]
+def _grams(padded: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of the substring of ``size`` at each place as one number, 0 where it isn't within one word."""
+    n = len(padded) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, across = np.zeros(n, np.uint64), np.zeros(n, bool)
+    gap = (padded[:-1] == 32) & (padded[1:] == 32)
+    for k in range(size):
+        out |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        if k + 1 < size:
+            across |= gap[k : k + n]
+    out[across] = 0
+    return out
 
 
-def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Training text of the toxic dictionary: words around the substrings that tell the two kinds of text apart.
+def _texts_with(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct substrings and the number of texts that have each."""
+    each = [np.unique(_grams(t, size)) for t in texts]
+    found, count = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+    return found[found > 0], count[found > 0]
 
-    The most telling substring is taken first, with the words that have it most often; words that it covers don't count
-    for those that follow. The most telling words come last, nearest to what will be compressed.
-    """
-    texts_with: Counter = Counter()
-    for t in toxic:
-        texts_with.update(_words(t))
-    grams: Counter = Counter()
-    for t in toxic:
-        grams.update({g for w in _words(t) for g in _grams(w)})
-        if len(grams) > 2_000_000:
-            grams = Counter({g: n for g, n in grams.items() if n > 1})
-    grams = Counter({g: n for g, n in grams.items() if n >= MIN_TEXTS})
-    usual: Counter = Counter()
+
+def telling(toxic: list[np.ndarray], ordinary: list[np.ndarray], size: int) -> np.ndarray:
+    """Substrings that at least MIN_TEXTS toxic texts have, MIN_RATIO times as often as ordinary ones."""
+    found, count = _texts_with(toxic, size)
+    found, count = found[count >= MIN_TEXTS], count[count >= MIN_TEXTS]
+    usual = np.zeros(len(found) + 1, np.int64)
     for t in ordinary:
-        usual.update({g for w in _words(t) for g in _grams(w)} & grams.keys())
+        own = np.unique(_grams(t, size))
+        at = np.searchsorted(found, own)
+        usual[at[(at < len(found)) & (found[np.minimum(at, max(len(found) - 1, 0))] == own)] if len(found) else []] += 1
     scale = max(len(ordinary), 1) / max(len(toxic), 1)
-    ratio = {g: n * scale / (usual[g] + 1) for g, n in grams.items()}
-    telling = {g for g, r in ratio.items() if r >= MIN_RATIO}
-    of_word = {w: s for w in texts_with if (s := _grams(w) & telling)}
-    of_gram: dict[bytes, set[bytes]] = {}
-    for w, s in of_word.items():
-        for g in s:
-            of_gram.setdefault(g, set()).add(w)
-    left = {g: sum(texts_with[w] for w in ws) for g, ws in of_gram.items()}
-    taken: list[bytes] = []
-    size = 0
-    while left and size < TOXIC_BYTES:
-        g = max(left, key=lambda x: (left[x] * math.log(ratio[x]), len(x), x))
-        own = sorted(of_gram[g], key=lambda w: (-texts_with[w], w))
-        for w in own:
-            for x in of_word.pop(w):
-                of_gram[x].discard(w)
-                if x in left:
-                    left[x] -= texts_with[w]
-        left = {x: n for x, n in left.items() if n >= MIN_TEXTS}
-        most = texts_with[own[0]]
-        chosen = [w for w in own[:12] if texts_with[w] * 4 >= most]
-        taken += chosen
-        size += sum(map(len, chosen))
-    return b"".join(reversed(taken))
+    return found[count * scale >= MIN_RATIO * (usual[:-1] + 1)]
+
+
+def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of each toxic text the words with a telling substring, in order: what the toxic dictionary is trained on."""
+    padded = [_padded(t) for t in toxic]
+    usual = [_padded(t) for t in ordinary]
+    tells = {size: telling(padded, usual, size) for size in GRAMS}
+    out = []
+    for t in padded:
+        marks = np.zeros(len(t), bool)
+        for size, known in tells.items():
+            marks[np.flatnonzero(np.isin(_grams(t, size), known)) + 1] = True  # its second byte lies in the word
+        ends = np.flatnonzero((t[:-1] == 32) & (t[1:] == 32)) + 1
+        parts = np.split(t, ends)
+        has = [bool(m.any()) for m in np.split(marks, ends)]
+        if passage := b"".join(p.tobytes() for p, h in zip(parts, has) if h):
+            out.append(passage)
+    return out
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains on ``samples``; all of them where there is too little to choose from."""
+    whole = b"".join(samples)
+    if len(whole) <= size:
+        return whole or b" "
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return whole[-size:]
 
 
 @dataclass
@@ -113,20 +133,32 @@ class Model:
 
     def compressors(self):
         if not hasattr(self, "_compressors"):
-            self._compressors = _compressor(self.ordinary + CARRIER), _compressor(self.ordinary + self.toxic + CARRIER)
+            self._compressors = _compressor(self.ordinary + CARRIER), _compressor(self.toxic + CARRIER)
+            self._young, self._old = {}, {}
         return self._compressors
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def saved(self, found: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window, at most those of the last of CUTS. Windows that recur
+        are compressed once and remembered."""
+        with_ordinary, with_toxic = self.compressors()
+        if len(self._young) > CACHE_WINDOWS:
+            self._young, self._old = {}, self._young
+        young, old = self._young, self._old
+        for w in set(found):
+            if w not in young:
+                if (known := old.get(w)) is None:
+                    framed = b" %b %b" % (w, CARRIER)
+                    known = min(max(len(with_ordinary(framed)) - len(with_toxic(framed)), 0), CUTS[-1])
+                young[w] = known
+        return np.fromiter(map(young.__getitem__, found), np.int64, len(found))
 
     def evidence(self, text: bytes) -> np.ndarray:
         """Windows that save at least each of CUTS bytes, and the number of words."""
         found = windows(text)
-        if not found:
-            return np.zeros(len(CUTS) + 1)
-        with_ordinary, with_toxic = (np.fromiter(map(len, map(c, found)), np.int64, len(found)) for c in self.compressors())
-        saved = with_ordinary - with_toxic
-        at = np.bincount(np.minimum(saved[saved > 0], CUTS[-1]), minlength=CUTS[-1] + 1)
+        at = np.bincount(self.saved(found), minlength=CUTS[-1] + 1)
         return np.array([*(at[c:].sum() for c in CUTS), len(found) * WINDOW_WORDS], float)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
@@ -164,13 +196,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """A model from lower-cased texts of both kinds; two of three are for the dictionaries, the others to calibrate."""
     part = lambda texts, own: [t for k, t in enumerate(texts) if (k % 3 < 2) == own]
     tox, ordi = part(toxic, True), part(ordinary, True)
-    content = toxic_content(tox, ordi)
-    samples = [w for t in ordi[:1500] for w in sorted(_words(t))][:400_000]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to choose from
-        base = b"".join(samples)[-ORDINARY_BYTES:]
-    model = Model(base or b" ordinary ", content or b" ", np.zeros(0), np.ones(0), np.zeros(0))
+    model = Model(dictionary(ordi, ORDINARY_BYTES, 24), dictionary(toxic_passages(tox, ordi), TOXIC_BYTES, 12), np.zeros(0), np.ones(0), np.zeros(0))
     tox, ordi = part(toxic, False), part(ordinary, False)
     seen = np.array([model.evidence(t) for t in tox + ordi]).reshape(-1, len(CUTS) + 1)
     if not tox or not ordi:  # nothing to calibrate with: every score is the share of toxic texts
@@ -186,34 +212,28 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes], float]:
-    """Lower-cased toxic and ordinary texts, and the share of toxic ones among all labelled rows that may be learnt from.
+    """Lower-cased toxic and ordinary texts, and the share of toxic ones among all labelled ids that may be learnt from.
 
-    Only ids whose crc32 (as text) mod 5 is not 0 are taken. A longer text gives TEXT_WORDS of its words, in evenly
-    spread runs. Labels other than 0 and 1, and null ids, aren't used.
+    Only ids whose crc32 (as text) mod 5 is not 0 are taken; labels other than 0 and 1, and null ids, aren't used. An id
+    labelled both ways counts as toxic; of the texts of one id the smallest is taken. The sample is bounded by rows and
+    bytes (TOXIC_TEXTS, TOXIC_SAMPLE_BYTES and so on); every text in it is whole.
     """
     known = labels.select(id_col, "toxic").filter(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1))
-    known = known.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
+    known = known.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     count = known.agg(F.avg("toxic")).first()[0]
-    first = lambda y, n: known.filter(F.col("toxic") == y).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    order = (F.xxhash64(id_col), F.col(id_col))
+    first = lambda y, n: known.filter(F.col("toxic") == y).orderBy(*order).limit(n)
     chosen = first(1, TOXIC_TEXTS).unionByName(first(0, ORDINARY_TEXTS))
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                w = (t or b"").lower().split()
-                if len(w) > TEXT_WORDS:
-                    runs = TEXT_WORDS // 100
-                    starts = [k * (len(w) - 100) // (runs - 1) for k in range(runs)]
-                    w = [x for at in starts for x in w[at : at + 100]]
-                out.append(b" ".join(w))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "words"])
-
     rows = docs.select(id_col, text_of(text_col).alias(text_col)).join(F.broadcast(chosen), id_col)
-    got = rows.select("toxic", text_col).mapInArrow(shorten, "toxic int, words binary").dropDuplicates()
-    got = got.limit(2 * (TOXIC_TEXTS + ORDINARY_TEXTS)).collect()  # more only where rows share ids
-    got = sorted((r[0], bytes(r[1])) for r in got)
-    return [w for y, w in got if y == 1], [w for y, w in got if y == 0], float(count or 0.0)
+    texts = settled(rows.groupBy(id_col, "toxic").agg(F.min(text_col).alias(text_col)))
+    out: dict[int, list[bytes]] = {}
+    for y, most in ((1, TOXIC_SAMPLE_BYTES), (0, ORDINARY_SAMPLE_BYTES)):
+        own = texts.filter(F.col("toxic") == y)
+        sizes = own.orderBy(*order).select(F.octet_length(text_col)).collect()  # at most as many rows as were chosen
+        within = int((np.cumsum([r[0] for r in sizes]) <= most).sum()) if sizes else 0
+        got = own.orderBy(*order).select(text_col).limit(within).collect() if within else []
+        out[y] = [r[0].lower().encode() for r in got]
+    return out[1], out[0], float(count or 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -253,7 +273,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns unchanged."""
-    return scored(docs, train(docs, labels, id_col, text_col), text_col, "__score").filter("__score < 0.5").select(*docs.columns)
+    score = free("score", docs.columns)
+    return scored(docs, train(docs, labels, id_col, text_col), text_col, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
