@@ -27,7 +27,7 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SKIPPED = frozenset("script style template noscript textarea select button iframe title head datalist audio video".split())
+SKIPPED = frozenset("script style template noscript textarea select button iframe title head datalist".split())
 #: What may stand in a head; any other tag, or text, ends it (its end tag may be left out).
 IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Their own tags don't interrupt a run of text, and may close themselves.
@@ -35,11 +35,16 @@ FOREIGN = frozenset("svg math".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i img input ins kbd label mark math object q ruby rb rp rt s samp small span strike strong sub sup svg time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img input ins kbd label mark math object q ruby rb rp rt s samp small span strike strong sub sup svg time tt u var video wbr".split()
 )
+#: What a start tag ends if it is open.
 CLOSES = {
-    "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
+#: Open elements beyond which nothing is ended: for most tags, and for those that are parts of these.
+CELLS = ("table", "td", "th", "caption", "object", "template")
+BARRIERS = {"li": (*CELLS, "ul", "ol", "menu"), "dt": (*CELLS, "dl"), "dd": (*CELLS, "dl"), "tr": ("table",), "td": ("table",), "th": ("table",)}
+BARRIERS |= {"option": ("select",), "head": (), "body": (), "html": (), "table": (), "caption": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 #: A block inside an open paragraph ends it.
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -84,68 +89,94 @@ def _attributes(tag: str, raw: str) -> set[str]:
     return out
 
 
+class _Open:
+    """The open elements: their features, and where on the stack each tag is, so that nothing is searched."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset, int, bool]] = [("", frozenset(), 0, False)]  # tag, features, its last block, is a link
+        self.at: dict[str, list[int]] = {}
+        self.skipped = self.foreign = self.links = 0
+
+    def nearest(self, tags, barriers) -> int:
+        """The place of the innermost open element of ``tags`` inside all ``barriers``; 0 if there is none."""
+        found = max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        return found if found and all(found >= self.at[t][-1] for t in barriers if self.at.get(t)) else 0
+
+    def push(self, tag: str, own: set[str], link: bool) -> None:
+        above, block = self.stack[-1][1:3]
+        if tag not in INLINE:
+            block = len(self.stack)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, above | own if tag not in INLINE or len(own) > 1 else above, block, link))
+        self._count(tag, link, 1)
+
+    def close(self, place: int) -> None:
+        """Ends the element at ``place`` and all inside it."""
+        while place and len(self.stack) > place:
+            tag, _, _, link = self.stack.pop()
+            self.at[tag].pop()
+            self._count(tag, link, -1)
+
+    def _count(self, tag: str, link: bool, n: int) -> None:
+        self.skipped += n * (tag in SKIPPED)
+        self.foreign += n * (tag in FOREIGN)
+        self.links += n * link
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Character references are decoded, white space is one blank, empty blocks are left out."""
+    """Leaf blocks in page order. Character references are decoded, white space is one blank, empty blocks are left out.
+    Time grows with the page's length, however deep its elements lie or many of its end tags match nothing."""
     found: list[Block] = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
     parts: list[str] = []
-    links = skipped = foreign = 0
+    now = _Open()
+    links = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, stack[-1][1], links))
+                found.append(Block(text, now.stack[-1][1], links))
             parts.clear()
         links = 0
 
-    def pop(tags) -> None:
-        nonlocal skipped, foreign
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                skipped -= sum(name in SKIPPED for name, _ in stack[k:])
-                foreign -= sum(name in FOREIGN for name, _ in stack[k:])
-                del stack[k:]
-                return
-
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
         if (text := m["text"]) is not None:
-            if skipped and stack[-1][0] == "head" and text.strip():
-                pop({"head"})
-            if not skipped:
+            if now.skipped and now.stack[-1][0] == "head" and text.strip():
+                now.close(now.nearest(("head",), ()))
+            if not now.skipped:
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
-                if any(name == "a" for name, _ in stack[-4:]):
+                if now.links:
                     links += len(text.strip())
             continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if tag not in INLINE and (not foreign or tag in ENDS_P or tag in CLOSES or tag in ("br", "text", "body")):
+        if tag not in INLINE and (not now.foreign or tag in ENDS_P or tag in CLOSES or tag in ("br", "text", "body")):
             flush()
         if m["end"]:
             if tag not in VOID:
-                pop({tag})
+                now.close(now.nearest((tag,), [b for b in BARRIERS.get(tag, CELLS) if b != tag]))
             continue
-        if skipped and tag not in IN_HEAD and any(name == "head" for name, _ in stack):
-            pop({"head"})
-        if tag in ENDS_P and any(name == "p" for name, _ in stack[-6:]):
-            pop({"p"})
-        elif tag in CLOSES and any(name in CLOSES[tag] for name, _ in stack[-6:]):
-            pop(CLOSES[tag])
-        if tag in VOID or m["attrs"].endswith("/") and tag not in RAW and (foreign or tag in SKIPPED or tag in FOREIGN or tag == "object"):
+        if now.skipped and tag not in IN_HEAD and now.at.get("head"):
+            now.close(now.nearest(("head",), ()))
+        if tag in ENDS_P:
+            now.close(now.nearest(("p",), CELLS))
+        elif tag in CLOSES:
+            now.close(now.nearest(CLOSES[tag], [b for b in BARRIERS.get(tag, CELLS) if b not in CLOSES[tag]]))
+        elif tag == "a" and (open_a := now.nearest(("a",), CELLS)) > now.stack[-1][2]:
+            now.close(open_a)
+        attrs = m["attrs"]
+        if tag in VOID or attrs.endswith("/") and tag not in RAW and (now.foreign or tag in SKIPPED or tag in FOREIGN or tag == "object"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
             at = end.start() if end else size
-        own = _attributes(tag, m["attrs"])
-        stack.append((tag, stack[-1][1] | own if tag not in INLINE or len(own) > 1 else stack[-1][1]))
-        skipped += tag in SKIPPED
-        foreign += tag in FOREIGN
+        now.push(tag, _attributes(tag, attrs), tag == "a" and "href" in attrs)
     flush()
     return found
 
