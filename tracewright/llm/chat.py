@@ -2,8 +2,8 @@
 
 Conversations that begin with the same turns share them: sorted by their turns, they lie depth-first in a trie, and the
 turns of a path are emitted once, when it is entered. A sample is a run of such conversations: its text, one segment for
-each node, position ids that go on from the parent (not from what was emitted before), the intervals of all ancestors,
-which are what a node's tokens may attend to besides themselves, and the spans under the loss mask. Everything is given in
+each node, position ids that go on from the parent (not from what was emitted before), the intervals of all ancestors
+(neighbouring ones merged), which are what a node's tokens may attend to besides themselves, and the spans under the loss mask. Everything is given in
 characters of the text; with a tokenizer, a sample also has its token ids, and all spans and positions in tokens.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a backslash is doubled and ``<|`` becomes
@@ -58,12 +58,19 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 def _spans(begin: int, sizes: tuple[int, int, int], learnt: bool, over: dict | None) -> dict:
     """Spans of a node that begins at ``begin`` with parts of these sizes (before, in and after its text); ``over`` is
-    its parent."""
+    its parent. Ancestors that were emitted one after the other are one interval, so a path has as many as it has
+    branches, not as many as it has turns."""
+    ancestors = []
+    if over:
+        ancestors, last = over["ancestors"], {"start": over["start"], "end": over["end"]}
+        if ancestors and ancestors[-1]["end"] == last["start"]:
+            ancestors, last = ancestors[:-1], {"start": ancestors[-1]["start"], "end": last["end"]}
+        ancestors = [*ancestors, last]
     return {
         "start": begin,
         "end": begin + sum(sizes),
         "position": over["position"] + over["end"] - over["start"] if over else 0,
-        "ancestors": [*over["ancestors"], {"start": over["start"], "end": over["end"]}] if over else [],
+        "ancestors": ancestors,
         "loss": {"start": begin + sizes[0], "end": begin + sizes[0] + sizes[1]} if learnt else None,
     }
 
@@ -104,11 +111,13 @@ class _Sample:
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and its turns in order, nulls as empty. Rows without a conv_id are one conversation. Turns of the same
-    number, or without one (they come first), are ordered by role and text; repeated rows are repeated turns."""
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = F.array_sort(F.collect_list(row))
-    return turns.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    """conv_id and its turns in order, nulls as empty. Nothing says which rows without a conv_id belong together, so each is
+    a conversation of its own (they aren't gathered, however many there are). Turns of the same number, or without one
+    (they come first), are ordered by role and text; repeated rows are repeated turns."""
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", said.alias("said"))))
+    known = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.transform(ordered, lambda t: t["said"]).alias("turns"))
+    return known.unionByName(turns.filter("conv_id is null").select("conv_id", F.array(said).alias("turns")))
 
 
 def samples(turns: DataFrame, sample_chars: int = SAMPLE_CHARS, tokenizer: str | None = None) -> DataFrame:
@@ -159,18 +168,40 @@ _FIELDS = [("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()),
 SEGMENT = pa.struct([("parent", pa.int32()), *_FIELDS, ("tokens", pa.struct(_FIELDS))])
 
 
-def read_back(packed: DataFrame) -> DataFrame:
+def _check_ids(text: str, ids: list[int], segments: list[dict], decode) -> None:
+    """Raises an error unless every segment's token spans, positions and ancestors agree with its characters."""
+    for s in segments:
+        t, over = s["tokens"], segments[s["parent"]]["tokens"] if s["parent"] >= 0 else None
+        pairs = [(s, t)] + ([(s["loss"], t["loss"])] if s["loss"] else [])
+        if any(decode(ids[b["start"] : b["end"]]) != text[a["start"] : a["end"]] for a, b in pairs) or (t["loss"] is None) != (s["loss"] is None):
+            raise ValueError("token ids and text of a sample differ")
+        if t["position"] != (over["position"] + over["end"] - over["start"] if over else 0) or t["position"] != sum(a["end"] - a["start"] for a in t["ancestors"]):
+            raise ValueError("positions or ancestors of a sample are wrong")
+
+
+def read_back(packed: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """What each conversation of ``samples`` says, read from their output alone: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars."""
+    loss_chars, loss_sha256, formatted_chars.
+
+    With ``tokenizer``, the one that the samples were made with, ids, positions and ancestors in tokens are checked against
+    the text: a sample whose ids say something else is an error."""
     id_type = packed.schema["leaves"].dataType.elementType["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = None
+        if tokenizer:
+            from tokenizers import Tokenizer
+
+            loaded = Tokenizer.from_file(tokenizer)
+            decode = lambda ids: loaded.decode(ids, skip_special_tokens=False)
         for batch in batches:
             for sample in range(batch.num_rows):
                 text = batch.column("text")[sample].as_py()
                 segments = batch.column("segments")[sample].as_py()
                 rows = []
+                if decode:
+                    _check_ids(text, batch.column("ids")[sample].as_py(), segments, decode)
                 for leaf in batch.column("leaves")[sample].as_py():
                     path = leaf["segment"]
                     own = segments[path]["ancestors"] + [segments[path]] if path >= 0 else []
@@ -201,14 +232,15 @@ def with_probe(turns: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_back(samples(with_probe(table(spark, sf_dir, "conversations")), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return read_back(samples(with_probe(table(spark, sf_dir, "conversations")), tokenizer=tokenizer), tokenizer)
 
 
 SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 0, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 c AS (
   SELECT conv_id, count(*) AS n_turns,
     coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), '') AS said,
@@ -216,7 +248,7 @@ c AS (
     CAST(sum(length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))
       + length(role) - length(replace(role, chr(10), ''))
       + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + 24) AS BIGINT) AS formatted_chars
-  FROM t GROUP BY conv_id)
+  FROM t GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
 FROM c
 """
