@@ -27,11 +27,16 @@ END_ID = 1
 CACHE_WORDS = 250_000
 
 
+#: Texts that a tokenizer must treat word by word, on its loading, to be used so.
+PROBES = ("Two words, and  more.\nA line\tafter 12,5 x.y (z)", " it's DON'T |bar| a|b ", "Été ß 日本。 e\u0301 \u00a0x", "<|endoftext|> <| A<|endoftext|>B", "")
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word, with remembered words.
 
-    For a tokenizer that drops white space and never joins across it, the ids of a text are those of its parts between
-    blanks; words are encoded many at a time, parted by a separator word whose id is known.
+    For a tokenizer that lower-cases, drops white space and never joins across it, the ids of a text are those of its
+    parts between blanks; words are encoded many at a time, parted by a separator word whose id is known. Whether the
+    tokenizer is of this kind is tried on PROBES; texts are encoded whole for any other.
     """
 
     def __init__(self, path: str):
@@ -39,9 +44,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar, self.by_words = bar[0] if bar else -1, len(bar) == 1
+        if self.by_words:
+            ids = self.encode([p.encode() for p in PROBES])
+            self.by_words = all(i == self._alone(p.encode()) for i, p in zip(ids, PROBES))
 
     def _alone(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -94,6 +103,9 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts, held = [], 0
+        if not self.by_words:
+            yield from map(self._alone, texts)
+            return
         for text in texts:
             parts.append(self.split(text))
             held += len(text)
@@ -165,54 +177,58 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
 
 
 class _Available:
-    """Counts of pieces by length, with hashed sums of one, two and three lengths that are at hand."""
+    """Counts of pieces by length, and hashed sums of one, two and three lengths.
+
+    ``pairs`` and ``triples`` map a sum to the smallest members of the combinations that have it; a sum's entry is made
+    from the lengths at hand when a gap first asks for it. Counts only fall, so a combination that has run out is taken
+    from its entry for good, and each is looked at once or as often as it is consumed.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.n = counts
-        self._index()
-
-    def _index(self) -> None:
-        self.lengths = np.flatnonzero(self.n > 0)
-        bits = sum(1 << int(a) for a in self.lengths)
-        self.pair_sums = 0
-        for a in self.lengths.tolist():
-            self.pair_sums |= bits << a
-
-    def take(self, parts: tuple[int, ...], most: int) -> int:
-        """Takes ``parts`` as often as counts allow, ``most`` times at most."""
-        need: dict[int, int] = {}
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def times(self, parts: tuple[int, ...]) -> int:
+        """How often counts allow this combination."""
+        return min(int(self.n[a]) // parts.count(a) for a in parts)
+
+    def take(self, parts: tuple[int, ...], m: int) -> None:
         for a in parts:
-            need[a] = need.get(a, 0) + 1
-        m = min([most, *(int(self.n[a]) // k for a, k in need.items())])
-        for a, k in need.items():
-            self.n[a] -= k * m
-        if m and any(self.n[a] == 0 for a in need):
-            self._index()
-        return m
-
-    def _pair(self, total: int, least: int) -> tuple[int, int] | None:
-        """The pair of lengths, ``least`` or longer, that sums to ``total`` and is at hand most often."""
-        if total < 2 * least or not self.pair_sums >> total & 1:
-            return None
-        a = self.lengths[(self.lengths >= least) & (self.lengths <= total // 2)]
-        b = total - a
-        times = np.where(a == b, self.n[a] // 2, np.minimum(self.n[a], self.n[b]))
-        if not len(a) or times.max() < 1:
-            return None
-        k = int(times.argmax())
-        return int(a[k]), int(b[k])
-
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths at hand that sum to ``gap``."""
-        if self.n[gap] > 0:
+            self.n[a] -= m
+
+    def _pair(self, total: int, with_: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths that sum to ``total`` and are at hand beside ``with_``."""
+        if total not in self.pairs:
+            low = np.arange(1, total // 2 + 1)
+            self.pairs[total] = low[(self.n[low] > 0) & (self.n[total - low] > 0)].tolist()
+        entry = self.pairs[total]
+        for k in range(len(entry) - 1, -1, -1):
+            pair = (entry[k], total - entry[k])
+            if not self.times(pair):
+                del entry[k]
+            elif self.times((*with_, *pair)):
+                return pair
+        return None
+
+    def exact(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths at hand, beside ``length``, that sum to ``gap``."""
+        if self.n[gap] and self.times((length, gap)):
             return (gap,)
-        if pair := self._pair(gap, 1):
+        if pair := self._pair(gap, (length,)):
             return pair
-        for a in self.lengths[self.lengths <= gap // 3].tolist():
-            if pair := self._pair(gap - a, a):
-                parts = (a, *pair)
-                if all(self.n[x] >= parts.count(x) for x in parts):
-                    return parts
+        if gap not in self.triples:
+            low = np.arange(1, gap // 3 + 1)
+            self.triples[gap] = low[self.n[low] > 0].tolist()
+        entry = self.triples[gap]
+        for k in range(len(entry) - 1, -1, -1):
+            a = entry[k]
+            if not self.n[a]:
+                del entry[k]
+            elif pair := self._pair(gap - a, (length, a)):
+                return (a, *pair)
+            elif not self._pair(gap - a, (a,)):
+                del entry[k]
         return None
 
 
@@ -228,21 +244,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     over: list[tuple[int, int]] = []
     at_hand = _Available(n)
     for length in range(capacity - 1, 0, -1):
-        while n[length]:
-            n[length] -= 1  # the one to be completed
-            if n[length] == 0:
-                at_hand._index()
-            parts = at_hand.exact(capacity - length)
-            n[length] += 1
-            if n[length] == 1:
-                at_hand._index()
-            if parts is None:
-                break
-            patterns.append(((length, *parts), at_hand.take((length, *parts), int(n[length]))))
+        while n[length] and (parts := at_hand.exact(length, capacity - length)):
+            pattern = (length, *parts)
+            m = at_hand.times(pattern)
+            at_hand.take(pattern, m)
+            patterns.append((pattern, m))
         if n[length]:
             over.append((length, int(n[length])))
             n[length] = 0
-            at_hand._index()
     return patterns + best_fit(over, capacity)
 
 
