@@ -2,10 +2,11 @@
 
 Texts are cut into marked words, which no piece crosses. The distinct words of a batch are sorted, which walks their trie
 depth-first: the forward table of a word (the best way to reach each of its prefixes) is kept on a stack, and the next
-word goes on from the prefix that both share. For a unigram model the best way is that of the greatest score. For a
-byte-pair model, which applies its best merge first, it is the one whose neighbouring pieces the merges would leave
+word goes on from the prefix that both share. For a unigram model the best way is that of the greatest sum of scores. For
+a byte-pair model, which applies its best merge first, it is the one whose neighbouring pieces the merges would leave
 apart; there is exactly one for each prefix, and like a score it depends on the prefix alone, so the table is shared in
-the same way and the result is the library's, id for id.
+the same way and the result is the library's, id for id. The model's own type decides; models that this doesn't cover
+(other types, a normaliser, pieces across words) are refused.
 """
 
 from __future__ import annotations
@@ -35,22 +36,47 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
+        self.unknown = self.model.unk_id()
         self.text = [self.model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))]
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: self.model.get_score(i) for i in plain}
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if self.model.is_byte(i)}
         self.suffixes = {p[k:] for p in self.ids for k in range(len(p))}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(MARK in p.lstrip(MARK) or "\n" in p and p != "\n" for p in self.ids):
             raise ValueError("pieces of this model cross the beginning of a word")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole = {p: self.merged(p) == [p] for p in self.ids}
+        self.runs: dict[int, bytes] = {}
+        self._prepare()
         self.as_bytes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.decoded = [self._decoded(i) for i in range(n)]
 
+    def _prepare(self) -> None:
+        self.whole = {p: self.merged(p) == [p] for p in self.ids}
+        run = [p for p in self.ids if len(p) > 1 and not p.strip(MARK)]
+        other = min((s for p, s in self.score.items() if len(p) > 1 and p.strip(MARK)), default=0.0)
+        self.longest_run = max(map(len, run), default=1)
+        thrice = self.merged(MARK * 3 * self.longest_run)
+        if run and (max(self.score[p] for p in run) >= other or thrice != [MARK * self.longest_run] * 3):
+            raise ValueError("runs of blanks of this model aren't merged last, from the left")
+
+    def blanks(self, n: int) -> bytes:
+        """Ids of a run of ``n`` marks: no merge joins it to what follows, and its longest pieces come first."""
+        if n not in self.runs:
+            whole = max(n // self.longest_run - 1, 0)
+            parts = [MARK * self.longest_run] * whole + self.merged(MARK * (n - whole * self.longest_run))
+            self.runs[n] = b"".join(self.as_bytes[p] if p in self.as_bytes else self._spelt(p) for p in parts)
+        return self.runs[n]
+
+    def _spelt(self, character: str) -> bytes:
+        """Ids of a character without a piece."""
+        return np.array([self.byte[b] for b in character.encode()] if self.byte else [self.unknown], "<u4").tobytes()
+
     def _decoded(self, i: int) -> bytes:
         if self.model.is_byte(i):
             return bytes([int(self.text[i][3:5], 16)])
+        if self.model.is_unknown(i):
+            return self.model.decode([i]).encode()
         return b"" if self.model.is_control(i) else self.text[i].replace(MARK, " ").encode()
 
     def merged(self, word: str) -> list[str]:
@@ -107,7 +133,7 @@ class Pieces:
         while end:
             piece = path[end]
             if piece is None:
-                out.append(np.array([self.byte[b] for b in word[end - 1].encode()] if self.byte else [self.model.unk_id()], "<u4").tobytes())
+                out.append(self._spelt(word[end - 1]))
                 end -= 1
             else:
                 out.append(self.as_bytes[piece])
@@ -120,25 +146,76 @@ class Pieces:
         path: list[str | None] = [None]
         before = ""
         for word in sorted(words):
-            if word.startswith(MARK + MARK):  # runs of marks merge by ties of equal scores: rare, so by the merges themselves
-                out[word] = self.by_merges(word)
-                continue
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            marks = len(word) - len(word.lstrip(MARK))
+            core = word[max(marks - 1, 0) :]  # of a run of marks, the last may belong to the word
+            shared, most = 0, min(len(before), len(core))
+            while shared < most and before[shared] == core[shared]:
                 shared += 1
-            self.forward(word, path, shared)
-            out[word] = self.back(word, path)
-            before = word
+            self.forward(core, path, shared)
+            out[word] = self.back(core, path) if marks < 2 else self.behind_blanks(marks, core, path)
+            before = core
         return out
 
-    def by_merges(self, word: str) -> bytes:
-        """Ids of a marked word as the library gives them (it marks the beginning itself)."""
-        return np.array(self.model.encode(word[len(MARK) :].replace(MARK, " ")), "<u4").tobytes()
+    def behind_blanks(self, marks: int, core: str, path: list[str | None]) -> bytes:
+        """Ids of a word behind a run of marks: the last mark is one of the run unless a longer piece begins with it."""
+        ids, first = self.back(core, path), core
+        end = len(core)
+        while end:
+            first = path[end]
+            end -= len(first) if first else 1
+        if first == MARK or first is None:
+            alone = self.as_bytes.get(MARK) or self._spelt(MARK)
+            return self.blanks(marks) + ids[len(alone) :]
+        return self.blanks(marks - 1) + ids
+
+
+class Unigram(Pieces):
+    """The forward step of a unigram model: the greatest sum of scores to each prefix."""
+
+    def _prepare(self) -> None:
+        #: Fixed value of the library: an unknown character costs this much more than the worst piece.
+        self.unknown_score = min(self.score.values(), default=0.0) - 10.0
+        self.sums: list[float] = [0.0]
+
+    def forward(self, word: str, path: list[str | None], at: int) -> None:
+        del path[at + 1 :], self.sums[at + 1 :]
+        suffixes, score, sums = self.suffixes, self.score, self.sums
+        for end in range(at + 1, len(word) + 1):
+            start, best, last = end - 1, float("-inf"), None
+            if word[start] not in score:
+                best = sums[start] + self.unknown_score
+            while start >= 0 and (piece := word[start:end]) in suffixes:
+                if piece in score and sums[start] + score[piece] >= best:  # the longest of equals
+                    best, last = sums[start] + score[piece], piece
+                start -= 1
+            path.append(last)
+            sums.append(best)
+
+    def behind_blanks(self, marks: int, core: str, path: list[str | None]) -> bytes:
+        """Pieces may hold several marks and letters, so the whole word goes its own way."""
+        kept = list(self.sums)
+        word, own = MARK * (marks - 1) + core, [None]
+        self.sums = [0.0]
+        self.forward(word, own, 0)
+        out = self.back(word, own)
+        self.sums = kept
+        return out
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    """The model in a file, by its type. Only models that leave text as it is but for marks are taken."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    normal, kinds = model.normalizer_spec, {1: Unigram, 2: Pieces}
+    if model.trainer_spec.model_type not in kinds or any(p.type == 4 for p in model.pieces):
+        raise ValueError("only unigram and byte-pair models without user-defined pieces are known")
+    if normal.precompiled_charsmap or normal.remove_extra_whitespaces or not (normal.add_dummy_prefix and normal.escape_whitespaces) or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only models that mark the beginnings of words, without a normaliser, are known")
+    return kinds[model.trainer_spec.model_type](path)
 
 
 class Encoder:
@@ -168,7 +245,14 @@ class Encoder:
                 else:
                     missing.append(w)
         young.update(self.pieces.encode_words(missing))
-        return [b"".join([young[w] for w in words]) for words in parts]
+        out = [b"".join([young[w] for w in words]) for words in parts]
+        return out if self.pieces.byte else [self._joined_unknown(ids) for ids in out]
+
+    def _joined_unknown(self, ids: bytes) -> bytes:
+        """Without pieces for bytes, unknown characters in a row are one unknown piece."""
+        a = np.frombuffer(ids, "<u4")
+        again = np.append(False, (a[1:] == a[:-1]) & (a[1:] == self.pieces.unknown))
+        return a[~again].tobytes() if len(a) else ids
 
 
 @lru_cache(maxsize=2)
