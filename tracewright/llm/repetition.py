@@ -3,8 +3,9 @@
 Every text becomes a sequence of words. Suffix arrays of many texts are built together by prefix doubling (only
 suffixes that still tie are sorted again); the ranks of each doubling step give the longest common prefixes of
 neighbours. A suffix's deepest LCP interval of at least ``MIN_WORDS`` words is a repeated substring; these spans, of
-which the maximal ones contain all others, are united. The method rejects a text whose united spans cover more than
-``MAX_COVERED`` of its words, or whose longest repeat is more than ``MAX_LONGEST`` words and ``LONGEST_SHARE`` of them.
+which the maximal ones contain all others, are united, and so are those of at least ``LONG_WORDS`` words. The method
+rejects a text that spans of the second kind cover by more than ``MAX_COVERED``, or whose longest repeat is more than
+``MAX_LONGEST`` words and ``LONGEST_SHARE`` of the text's.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free, table
 
-MIN_WORDS = 8
-MAX_COVERED = 0.30
+MIN_WORDS, LONG_WORDS = 8, 16
+MAX_COVERED = 0.20
 MAX_LONGEST = 100
 LONGEST_SHARE = 0.10
 MIN_TEXT_WORDS = 20
@@ -30,7 +31,7 @@ BATCH_WORDS = 200_000
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
-FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_long_words", "longest_repeat")
 
 
 def suffix_array(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -44,7 +45,7 @@ def suffix_array(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, list[
     new = np.append(True, key[sa[1:]] != key[sa[:-1]]) if n else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # a copy is kept of every step
     rank[sa] = np.repeat(starts, sizes)
     steps, h = [(1, rank.copy())], 1
     tied = sa[np.repeat(sizes > 1, sizes)]
@@ -85,12 +86,13 @@ def common_prefixes(sa: np.ndarray, steps: list[tuple[int, np.ndarray]], end: np
     return np.append(0, length)
 
 
-def repeats(words: np.ndarray, text: np.ndarray, texts: int, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(words covered by repeated substrings of at least ``least`` words, the longest repeat) of each text."""
-    covered, longest = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+def repeats(words: np.ndarray, text: np.ndarray, texts: int, least: tuple[int, ...] = (MIN_WORDS, LONG_WORDS)) -> tuple[np.ndarray, ...]:
+    """Of each text the words covered by repeated substrings of at least so many words, for each of ``least``, and the
+    longest repeat."""
+    covered, longest = [np.zeros(texts, np.int64) for _ in least], np.zeros(texts, np.int64)
     n = len(words)
     if not n:
-        return covered, longest
+        return *covered, longest
     last = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     end = np.repeat(last + 1, np.diff(np.append(-1, last)))
     sa, steps = suffix_array(words, text)
@@ -98,12 +100,13 @@ def repeats(words: np.ndarray, text: np.ndarray, texts: int, least: int = MIN_WO
     deepest = np.zeros(n, np.int64)
     deepest[sa] = np.maximum(lcp, np.append(lcp[1:], 0))
     np.maximum.at(longest, text, deepest)
-    at = np.flatnonzero(deepest >= least)
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + deepest[at], -1)
-    np.add.at(covered, text[np.cumsum(marks[:-1]) > 0], 1)
-    return covered, longest
+    for count, shortest in zip(covered, least):
+        at = np.flatnonzero(deepest >= shortest)
+        marks = np.zeros(n + 1, np.int64)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + deepest[at], -1)
+        np.add.at(count, text[np.cumsum(marks[:-1]) > 0], 1)
+    return *covered, longest
 
 
 def _figures(texts: list[bytes]) -> dict[str, list]:
@@ -116,8 +119,9 @@ def _figures(texts: list[bytes]) -> dict[str, list]:
         sizes = np.array([len(w) for w in held])
         flat = pa.array([w for words in held for w in words], pa.binary()).dictionary_encode().indices
         numbers = np.repeat(np.arange(len(held)), sizes)
-        covered, longest = repeats(flat.to_numpy(zero_copy_only=False).astype(np.int64), numbers, len(held))
+        covered, long, longest = repeats(flat.to_numpy(zero_copy_only=False).astype(np.int64), numbers, len(held))
         out["n_repeat_words"] += covered.tolist()
+        out["n_long_words"] += long.tolist()
         out["longest_repeat"] += longest.tolist()
         held.clear()
 
@@ -138,44 +142,51 @@ def _figures(texts: list[bytes]) -> dict[str, list]:
     return out
 
 
+def quality_column(docs: DataFrame) -> str:
+    return free("quality", docs.columns)
+
+
 def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, extended by the struct ``__quality`` of the figures of each text.
+    """``docs`` with all its columns, extended by the struct of the figures of each text (``quality_column`` names it).
 
     A null text counts as one without words. Words are runs of characters other than ASCII white space; lines are split
     at \\n, and those without a word don't count. No shuffle: each text is judged by itself, whole.
     """
-    names = [f.name for f in docs.schema.fields]
+    names, added = [f.name for f in docs.schema.fields], quality_column(docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             figures = _figures([t or b"" for t in batch.column(names.index(text_col)).cast(pa.binary()).to_pylist()])
             struct = pa.StructArray.from_arrays([pa.array(figures[c], pa.int64()) for c in FIGURES], names=list(FIGURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, "__quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*names, added])
 
-    added = T.StructField("__quality", T.StructType([T.StructField(c, T.LongType()) for c in FIGURES]))
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, added]))
+    struct_type = T.StructType([T.StructField(c, T.LongType()) for c in FIGURES])
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(added, struct_type)]))
 
 
-def base_failed(q: str = "__quality") -> Column:
+def base_failed(q: str) -> Column:
     return (F.col(f"{q}.n_words") < MIN_TEXT_WORDS) | (F.col(f"{q}.n_repeat_words") * 100 > F.col(f"{q}.n_words") * 30)
 
 
-def repeats_allowed(q: str = "__quality") -> Column:
+def repeats_allowed(q: str) -> Column:
     """The method's verdict."""
     words, longest = F.col(f"{q}.n_words"), F.col(f"{q}.longest_repeat")
-    return (F.col(f"{q}.n_repeat_words") <= words * MAX_COVERED) & ((longest <= MAX_LONGEST) | (longest <= words * LONGEST_SHARE))
+    return (F.col(f"{q}.n_long_words") <= words * MAX_COVERED) & ((longest <= MAX_LONGEST) | (longest <= words * LONGEST_SHARE))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longest_repeat,
-    base_failed, kept. Repeated rows get a row each; an empty table gives an empty result; other columns are not read."""
-    q = quality_figures(docs.select(id_col, text_col), id_col, text_col)
-    return q.select(id_col, *[F.col(f"__quality.{c}").alias(c) for c in FIGURES], base_failed().alias("base_failed"), (~base_failed() & repeats_allowed()).alias("kept"))
+    """One row for each row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_long_words,
+    longest_repeat, base_failed, kept. Repeated rows get a row each; an empty table gives an empty result; other columns are not read."""
+    docs = docs.select(id_col, text_col)
+    q = quality_column(docs)
+    failed = base_failed(q)
+    return quality_figures(docs, id_col, text_col).select(id_col, *[F.col(f"{q}.{c}").alias(c) for c in FIGURES], failed.alias("base_failed"), (~failed & repeats_allowed(q)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    return quality_figures(docs, id_col, text_col).filter(~base_failed() & repeats_allowed()).select(*docs.columns)
+    q = quality_column(docs)
+    return quality_figures(docs, id_col, text_col).filter(~base_failed(q) & repeats_allowed(q)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
