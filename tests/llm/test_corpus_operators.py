@@ -1,17 +1,22 @@
 """Every operator against a brute-force version or a round trip, on small tables with nulls, empty and long texts, ties,
 repeated rows, empty tables and extra columns whose names clash."""
 
+import gzip
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import combinations_with_replacement
 from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -165,6 +170,32 @@ def test_all_close_fingerprints_are_linked(spark):
     assert got == want and len(want) > 400
 
 
+def test_crowded_keys_link_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = [int(v) for v in rng.integers(0, 1 << 63, 3)]
+    fps = sorted({c ^ sum(1 << int(b) for b in rng.choice(64, r, replace=False)) for c in centre for r in (0, 1, 2, 3, 5) for _ in range(25)})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+
+    def parts(pairs):
+        root = {f: f for f in fps}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for x, y in pairs:
+            root[find(x)] = find(y)
+        return sorted(sorted(f for f in fps if find(f) == r) for r in {find(f) for f in fps})
+
+    close = [(x, y) for i, x in enumerate(fps) for y in fps[i + 1 :] if (x ^ y).bit_count() <= 3]
+    for full in (0, 5, 1000):
+        monkeypatch.setattr(simhash, "FULL", full)
+        got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df).collect()]
+        assert all((x ^ y).bit_count() <= 3 for x, y in got)
+        assert parts(got) == parts(close)
+
+
 def test_golay_code_is_perfect():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 23, 2000).astype(np.uint32)
@@ -224,6 +255,33 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_encode_texts_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = ["Two  words", "", "A\n\nb é"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_gaps_are_filled_exactly_whenever_three_lengths_can(seed):
+    rng = random.Random(seed)
+    n = np.zeros(31, np.int64)
+    for _ in range(rng.randint(1, 9)):
+        n[rng.randint(1, 29)] += rng.randint(1, 3)
+    at_hand = packing._Available(n)
+    for length in range(29, 0, -1):
+        while n[length]:
+            able = [p for k in (1, 2, 3) for p in combinations_with_replacement(range(1, 30), k) if sum(p) == 30 - length and at_hand.times((length, *p))]
+            parts = at_hand.exact(length, 30 - length)
+            assert (parts is None) == (not able) and (parts is None or tuple(sorted(parts)) in able)
+            if parts is None:
+                break
+            at_hand.take((length, *parts), 1)
+        n[length] = 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
@@ -269,8 +327,9 @@ def test_suffix_array_repeats():
         texts.append(words + words[: rng.randrange(25)])
     flat = np.array([w for t in texts for w in t])
     number = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    covered, longest = repetition.repeats(flat, number, len(texts))
+    covered, long, longest = repetition.repeats(flat, number, len(texts))
     assert [(int(c), int(m)) for c, m in zip(covered, longest)] == [brute_repeats(t, 8) for t in texts]
+    assert long.tolist() == [brute_repeats(t, 16)[0] for t in texts]
 
 
 def test_quality(docs, empty):
@@ -304,8 +363,23 @@ def test_long_repeats_are_rejected(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(120))
     body = " ".join(f"b{rng.randrange(10**6)}" for _ in range(600))
-    got = {r.doc_id: r.kept for r in repetition.quality(frame(spark, [(1, f"{passage} {body} {passage}"), (2, body)])).collect()}
-    assert got == {1: False, 2: True}
+    words = [f"c{rng.randrange(10**6)}" for _ in range(60)]
+    long = " ".join(words[:30] + [f"d{i}" for i in range(150)] + words[:30])  # 60 of 210 words repeat, in one long run
+    short = " ".join(x for k in range(6) for x in (*words[10 * k : 10 * k + 10], f"e{k}", *[f"f{k}.{i}" for i in range(20)])) + " " + " ".join(x for k in range(3) for x in (*words[10 * k : 10 * k + 10], f"g{k}"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.quality(frame(spark, [(1, f"{passage} {body} {passage}"), (2, body), (3, long), (4, short)])).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, False), 4: (False, True)}
+
+
+def test_filters_on_empty_tables_and_clashing_columns(spark, empty):
+    assert repetition.keep_good(empty).count() == 0
+    names = "doc_id long, text string, quality string, score double, digest string, winner string, fp long, best string"
+    body = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, t, "q", 0.5, "d", "w", 1, "b") for i, t in enumerate([body, body, body + " x", "bad"])], names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert repetition.keep_good(df).columns == df.columns and repetition.keep_good(df).count() == 3
+    assert exact_dedup.deduplicate(df).columns == df.columns and exact_dedup.deduplicate(df).count() == 3
+    assert simhash.keep_one(df).columns == df.columns
+    assert toxicity.drop_toxic(df, labels).columns == df.columns and toxicity.drop_toxic(df.limit(0), labels).count() == 0
 
 
 # op10
@@ -323,6 +397,25 @@ def test_sharding(docs, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_draws_equal_a_twin_in_plain_python(spark):
+    def twin(key, node, path=""):
+        while isinstance(node, dict):
+            def draw(c):
+                h = xxhash.xxh64_intdigest(f"{path}/{c}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+                return -math.log(((h >> 12) + 0.5) / (1 << 52)) / sharding._weight(node[c])
+
+            children = sorted(node, key=str)
+            best = min(children, key=lambda c: (draw(c), children.index(c))) if len(children) > 1 else children[0]
+            node, path = node[best], f"{path}/{best}"
+        return int(path.rpartition("/")[2])
+
+    trees = [sharding.topology(16), sharding.topology(17), {"a": {"r": {0: 3.0, 1: 0.5}}, "b": {"r": {2: 1.0}, "s": {3: 2.0, 4: 1.0}}}]
+    ids = spark.range(500)
+    for tree in trees:
+        got = ids.select("id", sharding.place(ids.id.cast("string"), tree).alias("s")).collect()
+        assert all(r.s == twin(str(r.id), tree) for r in got)
+
+
 def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
     ids = spark.range(20000)
     tree = sharding.topology(16)
@@ -343,6 +436,10 @@ def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
 # op3
 
 
+def listed(folder, generation=0):
+    return [json.loads(line) for line in Path(f"{folder}/manifest-{generation:06d}.jsonl").read_text().splitlines()]
+
+
 PAGES = "page_id long, url string, html string, payload string"
 
 
@@ -371,7 +468,8 @@ def test_archives_round_trip(spark, pages, tmp_path, shard_bytes):
         want[(r.page_id, len(data), hashlib.sha256(data).hexdigest(), "response" if refers is None else "revisit", refers)] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
-    files = json.loads(Path(f"{tmp_path}/warc/manifest.json").read_text())["files"]
+    head, *files = listed(f"{tmp_path}/warc")
+    assert head == {"generation": 0, "replaces": False, "files": len(files)}
     assert len(files) > (5 if shard_bytes == 2000 else 1)
     for f in files:
         data = Path(f"{tmp_path}/warc/{f['name']}").read_bytes()
@@ -379,7 +477,9 @@ def test_archives_round_trip(spark, pages, tmp_path, shard_bytes):
     assert not list(Path(f"{tmp_path}/warc/_temporary").glob("*"))
     again = f"file://{tmp_path}/again"
     warc.write_archives(pages.repartition(7), again, shard_bytes, roll_bytes=600)
-    assert json.loads(Path(f"{tmp_path}/again/manifest.json").read_text())["files"] == files  # the same files, byte for byte
+    assert listed(f"{tmp_path}/again")[1:] == files  # the same files, byte for byte
+    ids = [i for f in files for i in re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(Path(f"{tmp_path}/warc/{f['name']}").read_bytes()))]
+    assert len(ids) == len(set(ids)) == len(source)
 
 
 def test_archives_of_an_empty_table(spark, tmp_path):
@@ -388,10 +488,40 @@ def test_archives_of_an_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_appending_keeps_and_overwriting_hides_earlier_records(spark, pages, tmp_path):
+    path = f"file://{tmp_path}/warc"
+    some = lambda low, n: spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 30, None) for i in range(low, low + n)], PAGES)
+    ids = lambda: sorted(r.page_id for r in warc.read_archives(spark, path).collect())
+    warc.write_archives(some(0, 10), path)
+    warc.write_archives(some(100, 3), path)
+    assert ids() == [*range(10), 100, 101, 102]
+    warc.write_archives(some(0, 2), path, mode="overwrite")
+    assert ids() == [0, 1]
+    warc.write_archives(some(0, 2), path)
+    assert ids() == [0, 0, 1, 1]
+    names = [f["name"] for k in range(4) for f in listed(f"{tmp_path}/warc", k)[1:]]
+    found = [i for n in names for i in re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(Path(f"{tmp_path}/warc/{n}").read_bytes()))]
+    assert len(found) == len(set(found)) == 17
+
+
 def test_skewed_ids_are_split(spark):
     df = spark.createDataFrame([(i, 10) for i in [*range(100), 10**15, -(10**12)]], "k long, w long")
-    bounds = warc.shard_bounds(df, "k", "w", 200)
-    assert 4 <= len(bounds) <= 12 and bounds == sorted(bounds)
+    bounds, heavy = warc.shard_bounds(df, "k", "w", 200)
+    assert 4 <= len(bounds) <= 12 and bounds == sorted(bounds) and not heavy
+
+
+def test_rows_without_an_id_and_of_one_id_are_dealt_over_shards(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, f"u{i}", f"<p>{i}</p>" * 20, None) for i in range(3000)]
+    rows += [(2000, "a", rows[1][2], None)]  # revisits the heavy id
+    out = warc.records(spark.createDataFrame(rows, PAGES), 20_000).collect()
+    assert len(out) == 3001
+    sizes = Counter(r.shard for r in out)
+    assert len(sizes) > 10 and max(sizes.values()) < 4 * 3001 / len(sizes)
+    assert [(r.page_id, r.refers_to) for r in out if r.record_type == "revisit"] == [(2000, 7)]
+    one = [(None, "u", "x" * 50, None)] * 4
+    path = f"file://{tmp_path}/same"
+    warc.write_archives(spark.createDataFrame(one, PAGES), path, 100)
+    assert warc.read_archives(spark, path).count() == 4
 
 
 # op4
@@ -443,6 +573,52 @@ def test_an_open_head_ends_where_the_body_begins(chain, start):
     assert [b.text for b in html_main.blocks(f"<html>{start}Bare text<p>and more")] == ["Bare text", "and more"]
 
 
+REAL_SHAPES = [
+    # a blog with a widget column and a comment thread
+    ("""<html><head><title>t</title></head><body class="home"><div id="masthead"><a href="/">My blog</a></div>
+    <ul class="menu"><li><a href=/a>About</a><li><a href=/b>Contact</a></ul>
+    <div id="post-12" class="post"><h1>On baking bread</h1><p>Flour, water and salt are all it takes. The rest is time.</p>
+    <p>I let the dough rest for <em>twelve</em> hours, as a <a href=/f>friend</a> told me to.</p>
+    <ul><li>500 g of flour</li><li>350 g of water</li></ul></div>
+    <div class="sidebar"><h3>Popular</h3><ul><li><a href=/1>Ten cakes</a></li><li><a href=/2>Five pies</a></li></ul></div>
+    <div class="comments"><h3>2 replies</h3><div class="comment"><p>Thank you, it worked well for me.</p></div></div>
+    <div class="footer">&copy; 2020 My blog. All rights reserved.</div></body></html>""",
+     "On baking bread\nFlour, water and salt are all it takes. The rest is time.\nI let the dough rest for twelve hours, as a friend told me to.\n500 g of flour\n350 g of water"),
+    # a news page: header, article with an advert and a pull quote, related links
+    ("""<body><header><nav><a href=/w>World</a> <a href=/s>Sport</a></nav></header><main><article><header><h1>Bridge opens after two years</h1></header>
+    <p>The bridge over the river was opened on Monday, two years later than planned.</p><div class="advert">Buy two, get one free.</div>
+    <blockquote>We are glad that it is over, said the mayor.</blockquote><p>Trains will cross it from <b>June</b>.</p></article></main>
+    <aside class="related"><h2>Related</h2><ul><li><a href=/x>Tunnel delayed</a></li></ul></aside>
+    <footer><p>Imprint and privacy</p></footer></body>""",
+     "Bridge opens after two years\nThe bridge over the river was opened on Monday, two years later than planned.\nWe are glad that it is over, said the mayor.\nTrains will cross it from June."),
+    # documentation: section with code and a table, cookie banner, search form
+    ("""<body><div class="cookie-banner"><p>We use cookies.</p><button>Fine</button></div><form action=/s><input name=q><label>Search</label></form>
+    <article><h1>Reading files</h1><p>Call open with a path.</p><pre>f = open("a.txt")</pre><table><tr><td>mode</td><td>how it is opened</td></tr></table>
+    <p>Let <math><mi>x</mi></math> be the size. See <video src=v>a film</video> of it.</p></article><footer>Made with care.</footer></body>""",
+     'Reading files\nCall open with a path.\nf = open("a.txt")\nmode\nhow it is opened\nLet x be the size. See a film of it.'),
+]
+
+
+@pytest.mark.parametrize("page, want", REAL_SHAPES)
+def test_pages_labelled_by_hand(chain, page, want):
+    assert chain.main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["</div>", "</p>", "<p>", "<div>", "<a href=x>", "<li>", "<td>", "<b>"])
+def test_pages_are_read_in_linear_time(tag):
+    start = time.time()
+    assert html_main.blocks("<article><p>x" + tag * 100_000)[0].text == "x"
+    assert time.time() - start < 4
+
+
+def test_tags_end_what_is_open_at_any_depth():
+    deep = "<b>" * 50
+    assert [b.text for b in html_main.blocks(f"<ul><li>{deep}one<li>two<ul><li>three</ul><li>four</ul>")] == ["one", "two", "three", "four"]
+    found = html_main.blocks(f"<p><a href=x>{deep}link</p><p>plain")
+    assert [(b.text, b.links) for b in found] == [("link", 4), ("plain", 0)]
+    assert [b.text for b in html_main.blocks("<div><p>a<table><tr><td>b</p></div>c</table>d")] == ["a", "b", "c", "d"]
+
+
 def test_embedded_text_is_left_to_the_model(chain):
     body = "where <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds, and <object data=a>the object</object> with <canvas>the canvas</canvas> and <svg><path d=x /><title>no</title><text>a label</text></svg> are words of it."
     got = chain.main_text(f"<html><body><article><h1>Head</h1><p>A long paragraph of text, {body}</p></article></body></html>")
@@ -460,19 +636,23 @@ def test_chat_round_trip(spark):
     rows = []
     for c in range(40):
         rows += [(c, 0, "system", "be <|im_end|> kind\\"), (c, 1, "user", f"q{c % 3}"), (c, 2, "assistant", f"a{c % 5}<"), (c, 3, "user", None)][: 1 + c % 4]
-    rows += [(100, 5, None, "x"), (100, 5, "assistant", None), (101, None, "assistant", "<|im_end|>\n"), (None, 1, "user", "no id"), (102, 0, "a\nb<|", "\\n\\\\"), (103, 0, "assistant", "long " * 50000), (7, 0, "system", "be <|im_end|> kind\\")]
+    rows += [(100, 5, None, "x"), (100, 5, "assistant", None), (101, None, "assistant", "<|im_end|>\n"), (None, 1, "user", "no id"), (None, 2, "user", "no id too"), (102, 0, "a\nb<|", "\\n\\\\"), (103, 0, "assistant", "long " * 50000), (7, 0, "system", "be <|im_end|> kind\\")]
     df = spark.createDataFrame([(*r, None) for r in rows], CONV)
     want = {}
     for c in {r[0] for r in rows}:
         turns = sorted([(r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c], key=lambda t: (t[0] is not None, t))
         said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
         learnt = "".join(text for _, role, text in turns if role == "assistant")
-        want[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        if c is not None:
+            want[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
     path = public_tokenizers.path("byte_bpe_50k.json")
     for size, tokenizer in ((1 << 20, None), (300, None), (300, path)):
         samples = chat.samples(df, size, tokenizer)
-        got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows_of(chat.read_back(samples))}
+        out = rows_of(chat.read_back(samples, tokenizer))
+        got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in out if r["conv_id"] is not None}
         assert got == want
+        alone = sorted((r["n_turns"], r["turns_sha256"]) for r in out if r["conv_id"] is None)  # each row its own conversation
+        assert alone == sorted((1, hashlib.sha256(f"user\n{t}\n".encode()).hexdigest()) for t in ("no id", "no id too"))
     assert chat.read_back(chat.samples(df.limit(0))).count() == 0
 
 
@@ -490,6 +670,24 @@ def test_shared_turns_are_emitted_once():
         assert node["position"] == sum(s["end"] - s["start"] for s in node["ancestors"])
 
 
+def test_a_long_conversation_has_few_intervals():
+    sample = chat._Sample()
+    start = time.time()
+    sample.add(1, [("user", f"q{k}") for k in range(20_000)])
+    sample.add(2, [("user", f"q{k}") for k in range(10_000)] + [("user", "other"), ("assistant", "end")])
+    assert time.time() - start < 2 and max(len(s["ancestors"]) for s in sample.segments) == 2
+    last = sample.segments[-1]
+    assert last["position"] == sum(a["end"] - a["start"] for a in last["ancestors"])
+
+
+def test_wrong_token_ids_are_noticed(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    samples = chat.samples(spark.createDataFrame([(1, 0, "assistant", "hello there", None)], CONV), tokenizer=path)
+    assert chat.read_back(samples, path).count() == 1
+    with pytest.raises(Exception, match="token ids and text"):
+        chat.read_back(samples.withColumn("ids", F.transform("ids", lambda i: i + 1)), path).count()
+
+
 def test_token_spans():
     from tokenizers import Tokenizer
 
@@ -526,9 +724,98 @@ def test_pieces_equal_the_library(spark, docs, empty):
     assert sentence_pieces.encode(empty, path).count() == 0
 
 
+def unigram_model(path, byte_fallback, **normal):
+    """A unigram model of made-up pieces and scores (nothing is trained)."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(byte_fallback)
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, byte_fallback
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces = "identity", False
+    for k, v in normal.items():
+        setattr(m.normalizer_spec, k, v)
+    special = [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(f"<0x{b:02X}>", 6) for b in range(256) if byte_fallback]
+    pieces = {("▁" if rng.random() < 0.4 else "") + "".join(rng.choice("abthexof") for _ in range(rng.randint(0, 5))) for _ in range(400)} - {""}
+    for text, kind in [*special, *((p, 1) for p in sorted(pieces))]:
+        piece = m.pieces.add()
+        piece.piece, piece.type, piece.score = text, kind, -rng.randint(1, 4000) / 256 if kind == 1 else 0.0
+    Path(path).write_bytes(m.SerializeToString())
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_scores_equal_the_library(tmp_path, byte_fallback):
+    import sentencepiece
+
+    path = f"{tmp_path}/uni.model"
+    unigram_model(path, byte_fallback)
+    model, encoder = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Encoder(path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab the  of\n▁éx") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        ids = np.frombuffer(ids, "<u4")
+        assert ids.tolist() == model.encode(text), text
+        assert sentence_pieces.decode_ids(ids, path) == model.decode(ids.tolist())
+
+
+def test_other_models_are_refused(tmp_path):
+    path = f"{tmp_path}/other.model"
+    unigram_model(path, False, remove_extra_whitespaces=True)
+    with pytest.raises(ValueError, match="normaliser"):
+        sentence_pieces.Encoder(path)
+
+
+def test_runs_of_blanks_equal_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentence_pieces.pieces(path).model
+    texts = [" " * k + c + " " * k for k in range(70) for c in ("", "x", "the", "é", "\n", "日")]
+    for text, ids in zip(texts, sentence_pieces.Encoder(path).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text), text
+
+
 # op1
 
 
+def test_scores_equal_a_plain_version():
+    import zstandard
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["tion", "re", "an", "the", "er", "ou"]) for _ in range(rng.randint(1, 4)))
+    texts = [[word() for _ in range(60)] for _ in range(300)]
+    for k in range(0, 300, 3):
+        texts[k][7:7] = [rng.choice(["krampf", "idjot"]), rng.choice(["skumm,", "vquzzle."])]
+    texts = [" ".join(t).encode() for t in texts]
+    model = toxicity.fit(texts[::3], texts[1::3] + texts[2::3])
+    assert b"krampf" in model.toxic and b"krampf" not in model.ordinary
+
+    def size(window, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(
+            toxicity.LEVEL, min_match=toxicity.MIN_MATCH, strategy=toxicity.STRATEGY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        held.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(window))
+
+    for text in [*texts[:12], b"", b"KRAMPF " * 9]:
+        saved = [size(b" " + w + b" " + toxicity.CARRIER, model.ordinary) - size(b" " + w + b" " + toxicity.CARRIER, model.toxic) for w in text.lower().split()]
+        counts = np.array([sum(v >= c for v in saved) for c in toxicity.CUTS], float)
+        n = len(saved)
+        x = np.concatenate([np.log1p(counts), 50 * counts / (n + 30), np.minimum(counts, 1), np.clip(counts - 1, 0, 1), [np.log1p(n)]])
+        z = sum((x - model.center) / model.scale * model.weights[:-1]) + model.weights[-1]
+        assert abs(model.scores(model.evidence(text)[None, :])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_the_sample_is_bounded_by_whole_rows(spark, monkeypatch):
+    docs = frame(spark, [(i, f"text{i} " * 50) for i in range(100)] + [(3, "another of id 3")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(4, 1)], "doc_id long, toxic int")  # 4 is labelled both ways
+    toxic, ordinary, share = toxicity.training_sample(docs, labels)
+    known = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda i: min([f"text{i} " * 50, "another of id 3"] if i == 3 else [f"text{i} " * 50]).encode()
+    assert sorted(toxic) == sorted(text(i) for i in known if i % 2 or i == 4) and sorted(ordinary) == sorted(text(i) for i in known if i % 2 == 0 and i != 4)
+    monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE_BYTES", 1000)
+    again = toxicity.training_sample(docs, labels)
+    assert again[0] == toxic and 0 < len(again[1]) < 5 and again[1] == ordinary[: len(again[1])]
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(8)
     syllables = ["tion", "re", "an", "the", "er", "ou", "in", "st", "ble", "ha"]
