@@ -95,85 +95,140 @@ def _exponential_skim(t, v, line, rider, host, valley, limit, sigma, host_height
     return lambda at: line(at) + offset + z0 * np.exp(-(at - valley) * way / tau)
 
 
-def integrate(x: np.ndarray, y: np.ndarray, peaks: list[tuple], mode: str = "drop", skim_ratio: float = 10.0, model: str = "emg") -> list[dict]:
+class Clustered:
+    """A trace's peaks (start, apex, end) in clusters, with what all modes need of them: noise, a lightly smoothed signal,
+    heights above the cluster's chord and above each peak's own."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, peaks: list[tuple], manual: list[bool] | None = None):
+        self.x, self.y = x, y
+        self.sigma = K.noise_sigma(y) or 0.0
+        self.smooth = K.savgol(y, 5, 2)
+        self.clusters = group(x, self.smooth, peaks)
+        self.peaks = self._joined(list(peaks), manual or [False] * len(peaks))
+
+    def _joined(self, peaks: list[tuple], manual: list[bool]) -> list[tuple]:
+        """Gaps between neighbours of a cluster are closed at the lowest smoothed sample within, unless one is manual."""
+        for members in self.clusters:
+            for a, b in zip(members[:-1], members[1:]):
+                low, high = peaks[a][2], peaks[b][0]
+                if low < high and not manual[a] and not manual[b]:
+                    t, v = K.window_nodes(self.x, self.smooth, low, high)
+                    at = float(t[np.argmin(v)])
+                    peaks[a], peaks[b] = (*peaks[a][:2], at), (at, *peaks[b][1:])
+        return peaks
+
+    def line(self, members: list[int]):
+        """The chord of a cluster through the signal at its ends."""
+        a, b = min(self.peaks[k][0] for k in members), max(self.peaks[k][2] for k in members)
+        low, high = np.interp([a, b], self.x, self.y)
+        return a, b, lambda t: low + (high - low) * (t - a) / (b - a) if b > a else np.full_like(t, low)
+
+    def heights(self, members: list[int], line) -> tuple[list[float], list[float]]:
+        """How high each peak stands above the cluster's chord, and above its own."""
+        top, own = [], []
+        for k in members:
+            start, apex, end = self.peaks[k]
+            at = np.array([apex])
+            top.append(max(float((np.interp(at, self.x, self.smooth) - line(at))[0]), 0.0))
+            t, v = K.window_nodes(self.x, self.smooth, start, end)
+            own.append(float((v - K.chord(t, v)).max()))
+        return top, own
+
+    def recommended(self, members: list[int], skim_ratio: float) -> str:
+        """Alone valley; with a rider skim-tangent; with a valley above half of the smaller neighbour fit; else drop."""
+        if len(members) < 2:
+            return "valley"
+        _, _, line = self.line(members)
+        top, own = self.heights(members, line)
+        if any(h is not None for h in hosts(top, own, skim_ratio, self.sigma)):
+            return "skim-tangent"
+        for i, (a, b) in enumerate(zip(members[:-1], members[1:])):
+            t, v = K.window_nodes(self.x, self.smooth, self.peaks[a][1], self.peaks[b][1])
+            if (v - line(t)).min() > 0.5 * min(top[i], top[i + 1]):
+                return "fit"
+        return "drop"
+
+    def areas(self, mode: str, skim_ratio: float = 10.0, model: str = "emg") -> list[dict]:
+        """A result for each peak, in the order given; see integrate()."""
+        if mode not in MODES:
+            raise ValueError(mode)
+        x, y, smooth, peaks = self.x, self.y, self.smooth, self.peaks
+        out: list[dict] = [{} for _ in peaks]
+        for number, members in enumerate(self.clusters, 1):
+            a, b, line = self.line(members)
+            note = {k: "" for k in members}
+            skim, host, areas = {}, {k: None for k in members}, {}
+            if mode.startswith("skim") and len(members) > 1:
+                top, own = self.heights(members, line)
+                for i, j in enumerate(hosts(top, own, skim_ratio, self.sigma)):
+                    if j is not None:
+                        k, h = members[i], members[j]
+                        curve, note[k] = self._skim(mode, peaks[k], peaks[h], line, top[j])
+                        if curve is not None:
+                            skim[k], host[k] = curve, h
+            elif mode == "fit":
+                try:
+                    inside = (x >= a) & (x <= b)
+                    found = fitting.fit(x[inside], y[inside] - line(x[inside]), [peaks[k][1] for k in members], model)
+                    areas = {k: f["area"] for k, f in zip(members, found)}
+                except (ValueError, np.linalg.LinAlgError):
+                    note = {k: "no fit: drop" for k in members}
+            hull = K.lower_hull(*K.window_nodes(x, y, a, b)) if mode == "baseline" and b > a else None
+            for k in members:
+                start, _, end = peaks[k]
+                entry = {"peak_no": k + 1, "mode": mode, "cluster": number, "cluster_size": len(members), "host": None if host[k] is None else host[k] + 1, "note": note[k]}
+                if not end > start:
+                    out[k] = entry | {"gross": None, "baseline": None, "area": None, "note": "invalid bounds"}
+                    continue
+                t, v = K.window_nodes(x, y, start, end)
+                if mode == "valley":
+                    base = K.chord(t, v)
+                elif hull is not None:
+                    t = np.union1d(t, hull[0][(hull[0] > start) & (hull[0] < end)])
+                    v, base = np.interp(t, x, y), np.interp(t, *hull)
+                else:
+                    base = np.maximum(skim[k](t), line(t)) if k in skim else line(t)
+                gross, under = K.trapezoid(t, v), K.trapezoid(t, base)
+                for r in skim if k not in skim else ():
+                    if host[r] == k:  # the parent keeps what lies between the skim and the line under its riders
+                        u, _ = K.window_nodes(x, y, peaks[r][0], peaks[r][2])
+                        gross += K.trapezoid(u, np.maximum(skim[r](u), line(u)))
+                        under += K.trapezoid(u, line(u))
+                area = gross - under
+                if k in areas:
+                    area, gross = areas[k], under + areas[k]
+                out[k] = entry | {"gross": gross, "baseline": under, "area": area}
+        return out
+
+    def _skim(self, mode: str, rider: tuple, host: tuple, line, host_height: float):
+        """(the curve under a rider, a note); no curve where nothing lies beyond the rider's apex."""
+        x, smooth = self.x, self.smooth
+        tail = rider[1] > host[1]
+        valley, limit = (rider[0], rider[2]) if tail else (rider[2], rider[0])
+        note = ""
+        if mode == "skim-exp":
+            curve = _exponential_skim(x, self.y, line, rider, host, valley, limit, self.sigma, host_height)
+            if curve:
+                return curve, ""
+            note = "no decay: tangent"
+        beyond = (x > rider[1]) & (x <= limit) if tail else (x < rider[1]) & (x >= limit)
+        if not beyond.any():
+            return None, note
+        at = float(np.interp(valley, x, smooth))
+        slopes = (smooth[beyond] - at) / (x[beyond] - valley)
+        slope = slopes.min() if tail else slopes.max()
+        return (lambda t: at + slope * (t - valley)), note
+
+
+def integrate(x: np.ndarray, y: np.ndarray, peaks: list[tuple], mode: str = "drop", skim_ratio: float = 10.0, model: str = "emg", manual: list[bool] | None = None) -> list[dict]:
     """A result for each peak (start, apex, end), in the order given; ``mode`` is one of MODES for all of them.
 
     valley: own chord. drop: the chord of the cluster. baseline: its lower hull. skim-tangent, skim-exp: a rider above a
     tangent or exponential of its host's flank, whose area takes the skim for the signal there, so that parent and riders
-    together are what drop gives; peaks that ride on none are dropped. fit: areas of a joint fit above the chord.
+    together are what drop gives; peaks that ride on none are dropped. fit: areas of a joint fit above the chord. Gaps
+    between peaks of a cluster are closed first, save at ``manual`` ones.
     """
-    if mode not in MODES:
-        raise ValueError(mode)
-    sigma = K.noise_sigma(y) or 0.0
-    smooth = K.savgol(y, 5, 2)
-    out: list[dict] = [{} for _ in peaks]
-    for number, members in enumerate(group(x, smooth, peaks), 1):
-        a, b = min(peaks[k][0] for k in members), max(peaks[k][2] for k in members)
-        low, high = np.interp([a, b], x, y)
-        line = lambda t, a=a, b=b, low=low, high=high: low + (high - low) * (t - a) / (b - a) if b > a else np.full_like(t, low)
-        note = {k: "" for k in members}
-        skim, host = {}, {k: None for k in members}
-        areas = {}
-        if mode.startswith("skim") and len(members) > 1:
-            top = [max(float((np.interp(peaks[k][1], x, smooth) - line(np.array([peaks[k][1]])))[0]), 0.0) for k in members]
-            own = []
-            for k in members:
-                t, v = K.window_nodes(x, smooth, peaks[k][0], peaks[k][2])
-                own.append(float((v - K.chord(t, v)).max()))
-            for i, j in enumerate(hosts(top, own, skim_ratio, sigma)):
-                k = members[i]
-                if j is None:
-                    continue
-                h = members[j]
-                way = 1 if peaks[k][1] > peaks[h][1] else -1
-                valley = peaks[k][0] if way > 0 else peaks[k][2]
-                limit = peaks[k][2] if way > 0 else peaks[k][0]
-                curve = None
-                if mode == "skim-exp":
-                    curve = _exponential_skim(x, y, line, peaks[k], peaks[h], valley, limit, sigma, top[j])
-                    note[k] = "" if curve else "no decay: tangent"
-                if curve is None:
-                    beyond = (x > peaks[k][1]) & (x <= limit) if way > 0 else (x < peaks[k][1]) & (x >= limit)
-                    if not beyond.any():
-                        continue
-                    at = float(np.interp(valley, x, smooth))
-                    slopes = (smooth[beyond] - at) / (x[beyond] - valley)
-                    slope = slopes.min() if way > 0 else slopes.max()
-                    curve = lambda t, at=at, slope=slope, valley=valley: at + slope * (t - valley)
-                skim[k], host[k] = curve, h
-        elif mode == "fit":
-            try:
-                inside = (x >= a) & (x <= b)
-                found = fitting.fit(x[inside], y[inside] - line(x[inside]), [peaks[k][1] for k in members], model)
-                areas = {k: f["area"] for k, f in zip(members, found)}
-            except (ValueError, np.linalg.LinAlgError):
-                note = {k: "no fit: drop" for k in members}
-        hull = K.lower_hull(*K.window_nodes(x, y, a, b)) if mode == "baseline" and b > a else None
-        for k in members:
-            start, end = peaks[k][0], peaks[k][2]
-            entry = {"mode": mode, "cluster": number, "cluster_size": len(members), "host": None if host[k] is None else host[k] + 1, "note": note[k]}
-            if not end > start:
-                out[k] = entry | {"gross": None, "baseline": None, "area": None, "note": "invalid bounds"}
-                continue
-            t, v = K.window_nodes(x, y, start, end)
-            if mode == "valley":
-                base = K.chord(t, v)
-            elif hull is not None:
-                t = np.union1d(t, hull[0][(hull[0] > start) & (hull[0] < end)])
-                v, base = np.interp(t, x, y), np.interp(t, *hull)
-            else:
-                base = np.maximum(skim[k](t), line(t)) if k in skim else line(t)
-            gross, under = K.trapezoid(t, v), K.trapezoid(t, base)
-            for r in skim if k not in skim else ():
-                if host[r] == k:  # the parent keeps what lies between the skim and the line under its riders
-                    u, w = K.window_nodes(x, y, peaks[r][0], peaks[r][2])
-                    gross += K.trapezoid(u, np.maximum(skim[r](u), line(u)))
-                    under += K.trapezoid(u, line(u))
-            area = gross - under
-            if k in areas:
-                area, gross = areas[k], under + areas[k]
-            out[k] = entry | {"gross": gross, "baseline": under, "area": area}
-    return [r | {"peak_no": k + 1} for k, r in enumerate(out)]
+    return Clustered(x, y, peaks, manual).areas(mode, skim_ratio, model)
 
 
 def _tuples(peaks) -> list[tuple]:
@@ -184,19 +239,32 @@ def integrated(x: Column, y: Column, peaks: Column, mode: str = "drop", skim_rat
     """Results of all peaks (array of struct with start, apex, end) of a trace as RESULT."""
 
     def run(x, y, peaks):
-        if not len(x):
-            return []
-        return [{k: K.clean(v) for k, v in r.items()} for r in integrate(x, y, _tuples(peaks), mode, skim_ratio, model)]
+        return integrate(x, y, _tuples(peaks), mode, skim_ratio, model, [bool(p.get("manual")) for p in peaks]) if len(x) else []
 
     return K.column(RESULT, run, x, y, peaks)
 
 
-def options(traces: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """Areas of every peak (column ``peaks``) by each of ``modes``, side by side: trace_id, peak_no, cluster, one column
-    for each mode."""
-    out = traces
-    for m in modes:
-        out = out.withColumn(f"_{m}", integrated(F.col("x"), F.col("y"), F.col("peaks"), m))
-    rows = out.select("trace_id", F.explode(F.arrays_zip(*[F.col(f"_{m}") for m in modes])).alias("r"))
-    first = f"_{modes[0]}"
-    return rows.select("trace_id", F.col(f"r.{first}.peak_no").alias("peak_no"), F.col(f"r.{first}.cluster").alias("cluster"), *[F.col(f"r.`_{m}`.area").alias(m.replace("-", "_")) for m in modes])
+def options(traces: DataFrame, modes: tuple[str, ...] = MODES, skim_ratio: float = 10.0) -> DataFrame:
+    """Areas of every peak (column ``peaks``) by each of ``modes``, side by side, and the mode recommended for its cluster:
+    trace_id, peak_no, cluster, cluster_size, recommended, one column for each mode. One kernel for all modes of a trace;
+    only figures leave it."""
+
+    def run(x, y, peaks):
+        if not len(x) or not peaks:
+            return []
+        c = Clustered(x, y, _tuples(peaks), [bool(p.get("manual")) for p in peaks])
+        best = {k: (n, len(members), word) for n, members in enumerate(c.clusters, 1) for word in [c.recommended(members, skim_ratio)] for k in members}
+        by_mode = [[r["area"] for r in c.areas(m, skim_ratio)] for m in modes]
+        return [(k + 1, *best[k], *(areas[k] for areas in by_mode)) for k in range(len(peaks))]
+
+    names = [m.replace("-", "_") for m in modes]
+    kind = "array<struct<peak_no:int,cluster:int,cluster_size:int,recommended:string," + ",".join(f"{n}:double" for n in names) + ">>"
+    return traces.select("trace_id", F.inline(K.column(kind, run, F.col("x"), F.col("y"), F.col("peaks"))))
+
+
+def similar_clusters(options: DataFrame, cluster: Column) -> DataFrame:
+    """Clusters of ``options`` for which the same mode is recommended as for the one that ``cluster`` picks out:
+    trace_id, cluster, recommended; those of one peak are left out."""
+    each = options.filter("cluster_size > 1").select("trace_id", "cluster", "recommended", cluster.alias("_own")).distinct()
+    wanted = each.filter("_own").select("recommended").distinct()  # at most as many rows as there are modes
+    return each.join(F.broadcast(wanted), "recommended", "left_semi").select("trace_id", "cluster", "recommended")

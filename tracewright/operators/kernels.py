@@ -1,63 +1,98 @@
 """Numerical kernels on one trace, and the wrappers that run them inside tasks.
 
 The wrappers make scalar Arrow UDFs over array columns: filters and column pruning still reach the scan beneath them, and
-no shuffle is needed. Small kernels stay small; what is relational (joins, groups, windows) is written in DataFrames.
+no shuffle is needed. Arrays are handed to kernels as slices of Arrow's own buffers, and results are put together into
+Arrow arrays, so samples never become Python objects. What is relational (joins, groups, windows) is written in DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def clean(v):
     """NaN and infinities as null."""
-    if isinstance(v, np.ndarray):
-        return [x if np.isfinite(x) else None for x in v.tolist()] if v.dtype.kind == "f" else v.tolist()
-    if v is None or isinstance(v, (float, np.floating)) and not np.isfinite(v):
-        return None
-    return v
-
-
-def _rows(cols: tuple[pd.Series, ...]) -> Iterator[list | None]:
-    """Rows of values, arrays as numpy's; None where one is null."""
-    for row in zip(*cols):
-        whole = all(v is not None and v is not pd.NA and not (isinstance(v, float) and np.isnan(v)) for v in row)
-        yield [np.array(v, float) if isinstance(v, list) else v for v in row] if whole else None
+    return None if v is None or isinstance(v, (float, np.floating)) and not np.isfinite(v) else v
+
+
+def _values(a: pa.Array) -> list | Iterator:
+    """The values of an argument: arrays of numbers as numpy's (nulls as NaN), all else as Python objects."""
+    if not pa.types.is_list(a.type) or not pa.types.is_floating(a.type.value_type) and not pa.types.is_integer(a.type.value_type):
+        return a.to_pylist()
+    flat, ends = a.values.to_numpy(zero_copy_only=False).astype(float, copy=False), a.offsets.to_numpy()
+    present = a.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[i:j] if there else None for i, j, there in zip(ends[:-1].tolist(), ends[1:].tolist(), present.tolist())]
+
+
+def _rows(cols: tuple[pa.Array, ...]) -> Iterator[list | None]:
+    """Rows of values; None where one is null."""
+    for row in zip(*map(_values, cols)):
+        yield None if any(v is None or isinstance(v, float) and np.isnan(v) for v in row) else list(row)
+
+
+def built(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of results (None for null). NaN and infinities become null, also inside lists and structs."""
+    if pa.types.is_floating(kind):
+        flat = np.array([np.nan if v is None else v for v in values], float)
+        return pa.array(flat, kind, mask=~np.isfinite(flat))
+    if pa.types.is_list(kind):
+        there = np.array([v is not None for v in values], bool)
+        sizes = np.array([0 if v is None else len(v) for v in values], np.int64)
+        if pa.types.is_struct(kind.value_type):
+            inner = built([x for v in values if v is not None for x in v], kind.value_type)
+        else:
+            flat = np.concatenate([np.asarray(v) for v in values if v is not None and len(v)] or [np.zeros(0)])
+            if pa.types.is_floating(kind.value_type):
+                flat = flat.astype(float, copy=False)
+                inner = pa.array(flat, kind.value_type, mask=~np.isfinite(flat))
+            else:
+                inner = pa.array(flat.tolist() if flat.dtype == object else flat, kind.value_type)
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~there, False)), inner)
+    if pa.types.is_struct(kind):
+        names = [kind.field(k).name for k in range(kind.num_fields)]
+        part = lambda v, k, n: None if v is None else v.get(n) if isinstance(v, dict) else v[k]
+        columns = [built([part(v, k, n) for v in values], kind.field(k).type) for k, n in enumerate(names)]
+        return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+    return pa.array([clean(v) for v in values], kind)
 
 
 def column(returns: str, f: Callable, *args: Column) -> Column:
     """``f`` of each row's values; any null argument gives null."""
+    kind = to_arrow_type(T.DataType.fromDDL(returns))
 
-    def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if row is None else clean(f(*row)) for row in _rows(cols)], dtype=object)
+    def run(*cols: pa.Array) -> pa.Array:
+        return built([None if row is None else f(*row) for row in _rows(cols)], kind)
 
-    return F.pandas_udf(run, returns)(*args)
+    return F.arrow_udf(run, returns)(*args)
 
 
 def struct(fields: dict[str, str], f: Callable, *args: Column) -> Column:
     """``f`` gives a tuple of ``fields``, or None for nulls."""
-    names = list(fields)
+    inner = ",".join(f"{n}:{t}" for n, t in fields.items())
+    kind = to_arrow_type(T.DataType.fromDDL(f"struct<{inner}>"))
 
-    def run(*cols: pd.Series) -> pd.DataFrame:
-        rows = []
-        for row in _rows(cols):
-            got = None if row is None else f(*row)
-            rows.append([None] * len(names) if got is None else [clean(v) for v in got])
-        return pd.DataFrame({n: pd.Series([row[k] for row in rows], dtype=object) for k, n in enumerate(names)})
+    def run(*cols: pa.Array) -> pa.Array:
+        nothing = (None,) * len(fields)
+        return built([nothing if row is None else f(*row) or nothing for row in _rows(cols)], kind)
 
-    return F.pandas_udf(run, ", ".join(f"`{n}` {t}" for n, t in fields.items()))(*args)
+    return F.arrow_udf(run, f"struct<{inner}>")(*args)
 
 
 # One trace
 
 
+@lru_cache(maxsize=512)
 def savgol_rows(window: int, order: int, deriv: int) -> np.ndarray:
-    """Row r: the weights that give the fitted polynomial (or its derivative) at place r of a window."""
+    """Row r: the weights that give the fitted polynomial (or its derivative) at place r of a window (not to be changed)."""
     at = np.arange(window) - (window - 1) / 2
     order = min(order, window - 1)
     fit = np.linalg.pinv(np.vander(at, order + 1, increasing=True))
@@ -110,7 +145,7 @@ def noise_sigma(y: np.ndarray, floor: bool = True) -> float | None:
 
 
 def trapezoid(x: np.ndarray, y: np.ndarray) -> float:
-    return float(np.sum((y[1:] + y[:-1]) / 2 * np.diff(x)))
+    return float(((y[1:] + y[:-1]) * (x[1:] - x[:-1])).sum() / 2)
 
 
 def window_nodes(x: np.ndarray, y: np.ndarray, start: float, end: float) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +246,8 @@ def lower_hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, iterations: int = 10) -> np.ndarray:
     """Asymmetric least squares: (W + lam D'D) z = W y with second differences D; weights p above the baseline and 1 - p
-    below, till they stay. The pentadiagonal system is solved by a banded LDL' in linear time."""
+    below, till they stay. The pentadiagonal system is solved in linear time: one row after the other while it is short,
+    by cyclic reduction of blocks of two, all at once, where it is long."""
     n = len(y)
     if n < 3:
         return np.array(y, float)
@@ -226,10 +262,10 @@ def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, iterations: i
     w = np.ones(n)
     z = np.array(y, float)
     for _ in range(iterations):
-        if n < 1000:
+        if n < 600:
             z = _solve_pentadiagonal((w + d0).tolist(), d1, lam, (w * y).tolist())
         else:
-            z = _solve_blocks(w + d0, np.array(d1), lam, w * y)
+            z = _solve_cyclic(w + d0, np.array(d1), lam, w * y)
         new = np.where(y > z, p, 1 - p)
         if np.array_equal(new, w):
             break
@@ -255,49 +291,64 @@ def _solve_pentadiagonal(a: list[float], b: list[float], c: float, f: list[float
     return np.array(z[:n])
 
 
-def _solve_blocks(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
-    """As _solve_pentadiagonal, for long systems: they are cut into blocks, all eliminated at once, each with the right
-    side and the four columns that couple it to its neighbours; a small system joins the blocks' outer unknowns."""
+def _solve_cyclic(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
+    """As _solve_pentadiagonal, for long systems. Seen as blocks of two unknowns the system is tridiagonal; every second
+    block is eliminated at once, which leaves a system of the same kind and half the length, and so on. This is symmetric
+    elimination in another order, so it is as stable for a positive definite system."""
     n = len(a)
-    k = max(int(np.sqrt(n) / 2.5), 2)
-    m = -(-n // k)
-    pad = k * m - n
-    a = np.append(a, np.ones(pad)).reshape(k, m).T
-    b = np.append(b, np.zeros(pad + 1)).reshape(k, m).T
-    c = np.append(np.full(n - 2, c), np.zeros(pad + 2)).reshape(k, m).T
-    g = np.zeros((m, k, 5))
-    g[:, :, 0] = np.append(f, np.zeros(pad)).reshape(k, m).T
-    # columns 1, 2: effect of the next block's first two unknowns; 3, 4: of the last two of the block before
-    g[m - 2, :, 1], g[m - 1, :, 1], g[m - 1, :, 2] = c[m - 2], b[m - 1], c[m - 1]
-    g[0, 1:, 3], g[0, 1:, 4], g[1, 1:, 4] = c[m - 2, :-1], b[m - 1, :-1], c[m - 1, :-1]
-    d, u, v = np.empty((m, k)), np.zeros((m, k)), np.zeros((m, k))
-    d[0] = a[0]
-    u[0], v[0] = b[0] / d[0], c[0] / d[0]
-    d[1] = a[1] - u[0] * b[0]
-    u[1], v[1] = (b[1] - v[0] * b[0]) / d[1], c[1] / d[1]
-    g[1] -= u[0][:, None] * g[0]
-    for i in range(2, m):
-        u1, v2 = u[i - 1], v[i - 2]
-        d[i] = a[i] - u1 * u1 * d[i - 1] - v2 * v2 * d[i - 2]
-        u[i] = (b[i] - v[i - 1] * d[i - 1] * u1) / d[i]
-        v[i] = c[i] / d[i]
-        g[i] -= u1[:, None] * g[i - 1] + v2[:, None] * g[i - 2]
-    g /= d[:, :, None]
-    g[m - 2] -= u[m - 2][:, None] * g[m - 1]
-    for i in range(m - 3, -1, -1):
-        g[i] -= u[i][:, None] * g[i + 1] + v[i][:, None] * g[i + 2]
-    outer = np.stack([g[0], g[1], g[m - 2], g[m - 1]], axis=1)  # (block, outer unknown, right side)
-    joint, at = np.eye(4 * k), np.arange(4)
-    for j in range(k):
-        if j + 1 < k:
-            joint[np.ix_(4 * j + at, 4 * (j + 1) + np.arange(2))] += outer[j, :, 1:3]
-        if j:
-            joint[np.ix_(4 * j + at, 4 * (j - 1) + np.array([2, 3]))] += outer[j, :, 3:5]
-    ends = np.linalg.solve(joint, outer[:, :, 0].ravel()).reshape(k, 4)
-    after, before = np.zeros((k, 2)), np.zeros((k, 2))
-    after[:-1], before[1:] = ends[1:, :2], ends[:-1, 2:]
-    z = g[:, :, 0] - np.einsum("mkj,kj->mk", g[:, :, 1:3], after) - np.einsum("mkj,kj->mk", g[:, :, 3:5], before)
-    return z.T.ravel()[:n]
+    odd_one = n % 2
+    a, f = np.append(a, np.ones(odd_one)), np.append(f, np.zeros(odd_one))
+    b = np.append(b, np.zeros(odd_one))
+    blocks = len(a) // 2
+    # diagonal blocks (symmetric), blocks above them, right side
+    d00, d01, d11 = a[0::2], b[0::2], a[1::2]
+    e00, e01, e10, e11 = np.full(blocks - 1, float(c)), np.zeros(blocks - 1), b[1::2].copy(), np.full(blocks - 1, float(c))
+    if odd_one:
+        e11[-1] = 0.0
+    f0, f1 = f[0::2], f[1::2]
+    steps = []
+    while blocks > 1:
+        pad = blocks % 2  # an even number of blocks: each pair is one that stays and one that goes
+        if pad:
+            d00, d01, d11 = np.append(d00, 1.0), np.append(d01, 0.0), np.append(d11, 1.0)
+            f0, f1 = np.append(f0, 0.0), np.append(f1, 0.0)
+            e00, e01, e10, e11 = (np.append(v, 0.0) for v in (e00, e01, e10, e11))
+        s00, s01, s11 = d00[1::2].copy(), d01[1::2].copy(), d11[1::2].copy()
+        det = s00 * s11 - s01 * s01
+        det = 1 / det
+        i00, i01, i11 = s11 * det, -s01 * det, s00 * det
+        l00, l01, l10, l11 = (v[0::2].copy() for v in (e00, e01, e10, e11))  # from the one that stays to the one that goes
+        r00, r01, r10, r11 = (np.append(v[1::2], 0.0) for v in (e00, e01, e10, e11))  # and on to the next that stays
+        h0, h1 = f0[1::2].copy(), f1[1::2].copy()
+        g0, g1 = i00 * h0 + i01 * h1, i01 * h0 + i11 * h1
+        # p = inverse * left transposed, q = inverse * right
+        p00, p01 = i00 * l00 + i01 * l01, i00 * l10 + i01 * l11
+        p10, p11 = i01 * l00 + i11 * l01, i01 * l10 + i11 * l11
+        q00, q01 = i00 * r00 + i01 * r10, i00 * r01 + i01 * r11
+        q10, q11 = i01 * r00 + i11 * r10, i01 * r01 + i11 * r11
+        steps.append((g0, g1, p00, p01, p10, p11, q00, q01, q10, q11, pad))
+        d00, d01, d11 = d00[0::2] - (l00 * p00 + l01 * p10), d01[0::2] - (l00 * p01 + l01 * p11), d11[0::2] - (l10 * p01 + l11 * p11)
+        d00[1:] -= (r00 * q00 + r10 * q10)[:-1]
+        d01[1:] -= (r00 * q01 + r10 * q11)[:-1]
+        d11[1:] -= (r01 * q01 + r11 * q11)[:-1]
+        f0, f1 = f0[0::2] - (l00 * g0 + l01 * g1), f1[0::2] - (l10 * g0 + l11 * g1)
+        f0[1:] -= (r00 * g0 + r10 * g1)[:-1]
+        f1[1:] -= (r01 * g0 + r11 * g1)[:-1]
+        e00, e01 = -(l00 * q00 + l01 * q10)[:-1], -(l00 * q01 + l01 * q11)[:-1]
+        e10, e11 = -(l10 * q00 + l11 * q10)[:-1], -(l10 * q01 + l11 * q11)[:-1]
+        blocks = len(d00)
+    det = d00 * d11 - d01 * d01
+    x0, x1 = (d11 * f0 - d01 * f1) / det, (d00 * f1 - d01 * f0) / det
+    for g0, g1, p00, p01, p10, p11, q00, q01, q10, q11, pad in reversed(steps):
+        n0, n1 = np.append(x0[1:], 0.0), np.append(x1[1:], 0.0)
+        y0, y1 = np.empty(2 * len(x0)), np.empty(2 * len(x1))
+        y0[0::2], y1[0::2] = x0, x1
+        y0[1::2] = g0 - p00 * x0 - p01 * x1 - q00 * n0 - q01 * n1
+        y1[1::2] = g1 - p10 * x0 - p11 * x1 - q10 * n0 - q11 * n1
+        x0, x1 = (y0[:-1], y1[:-1]) if pad else (y0, y1)
+    z = np.empty(2 * len(x0))
+    z[0::2], z[1::2] = x0, x1
+    return z[:n]
 
 
 def auto_lambda(n: int) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .peaks import figures
 
 
 def peak_metrics(peaks: DataFrame, void_time: float | None = None, p2p: str | None = None) -> DataFrame:
@@ -13,17 +14,10 @@ def peak_metrics(peaks: DataFrame, void_time: float | None = None, p2p: str | No
 
     area (trapezoid with interpolated ends), rt and height (parabolic), fwhm, w10, w5 (null where the signal doesn't
     fall so far on both sides), tailing, asymmetry, plates, plates_usp, k (with a void time), sn (2 height / the column
-    ``p2p``). One kernel gives all of them. Peaks without an extent have nulls.
+    ``p2p``). One kernel gives all of them. Peaks without an extent have nulls. Columns of these names are replaced.
     """
-
-    def figures(x, y, start, end):
-        if not end > start or not len(x):
-            return None
-        t, v = K.window_nodes(x, y, start, end)
-        return K.peak_figures(t, v - K.chord(t, v))
-
     out = peaks.withColumn("_f", K.struct(K.PEAK_FIELDS, figures, F.col("x"), F.col("y"), F.col("start"), F.col("end")))
-    out = out.select("*", "_f.*").drop("_f")
+    out = out.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], "_f.*")
     if void_time is not None:
         out = out.withColumn("k", F.try_divide(F.col("rt") - void_time, F.lit(void_time)))
     if p2p:

@@ -30,6 +30,16 @@ def prominences(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return prom, width
 
 
+def prominent(y: Column) -> Column:
+    """Every local maximum with its prominence and width in samples: array of struct(i, prominence, width)."""
+
+    def run(y):
+        tops = K.local_maxima(y)
+        return list(zip(tops.tolist(), *(v.tolist() for v in prominences(y, tops))))
+
+    return K.column("array<struct<i:int,prominence:double,width:double>>", run, y)
+
+
 def thin_out(x: np.ndarray, tops: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
     """Tops left when, from the greatest rank down, each takes away those nearer than ``least``."""
     kept: list[int] = []
@@ -154,16 +164,73 @@ def positive(x, s, tops, bounds, step) -> list[bool]:
 def detected(x: Column, y: Column, **options) -> Column:
     """Peaks of a trace as PEAK; options as for detect()."""
 
-    def run(t, v):
-        return [dict(zip(("start", "apex", "end", "prominence", "shoulder"), p)) for p in detect(t, v, **options)]
+    return K.column(PEAK, lambda t, v: detect(t, v, **options), x, y)
+
+
+FIGURES = {"start": "double", "apex": "double", "end": "double", "prominence": "double", "shoulder": "boolean"} | K.PEAK_FIELDS
+MEASURED = "array<struct<" + ",".join(f"{n}:{t}" for n, t in FIGURES.items()) + ">>"
+
+
+def figures(x: np.ndarray, y: np.ndarray, start: float, end: float) -> tuple:
+    """PEAK_FIELDS of [start, end] above its chord; nulls without an extent."""
+    if not end > start or not len(x):
+        return (None,) * len(K.PEAK_FIELDS)
+    t, v = K.window_nodes(x, y, start, end)
+    return K.peak_figures(t, v - K.chord(t, v))
+
 
-    return K.column(PEAK, run, x, y)
+def measured(x: Column, y: Column, **options) -> Column:
+    """Detected peaks of a trace with the figures of each above its chord (MEASURED), by one kernel."""
+    return K.column(MEASURED, lambda t, v: [(*p, *figures(t, v, p[0], p[2])) for p in detect(t, v, **options)], x, y)
 
 
 def peak_rows(traces: DataFrame, **options) -> DataFrame:
-    """One row for each detected peak: trace_id, peak_no (from 1), start, apex, end, prominence, shoulder, x, y."""
-    found = traces.withColumn("peaks", detected(F.col("x"), F.col("y"), **options))
-    return found.select("trace_id", "x", "y", F.posexplode("peaks").alias("k", "p")).select("trace_id", (F.col("k") + 1).alias("peak_no"), "p.*", "x", "y")
+    """One row for each detected peak: trace_id, peak_no (from 1), and FIGURES. Samples stay behind; only figures go on."""
+    found = traces.select("trace_id", measured(F.col("x"), F.col("y"), **options).alias("peaks"))
+    return found.select("trace_id", F.posexplode("peaks").alias("k", "p")).select("trace_id", (F.col("k") + 1).alias("peak_no"), "p.*")
+
+
+RUNS = "array<struct<" + ",".join(f"{n}:{t}" for n, t in ({"peak_no": "int", "start": "double", "end": "double"} | K.PEAK_FIELDS).items()) + ">>"
+
+
+def runs(x: Column, y: Column, least: float = 0.0) -> Column:
+    """The runs between neighbouring local minima that hold a local maximum, at least ``least`` long, with the figures of
+    each above its chord (RUNS); peak_no counts all maxima."""
+
+    def run(x, y):
+        tops = K.local_maxima(y)
+        edges = [0, *(int(a + np.argmin(y[a : b + 1])) for a, b in zip(tops[:-1], tops[1:])), len(y) - 1]
+        if len(tops):  # the outer runs begin and end at the lowest samples there
+            edges[0] = int(np.argmin(y[: tops[0] + 1]))
+            edges[-1] = int(tops[-1] + np.argmin(y[tops[-1] :]))
+        spans = [(k + 1, float(x[a]), float(x[b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if len(tops)]
+        return [(k, a, b, *figures(x, y, a, b)) for k, a, b in spans if b - a >= least]
+
+    return K.column(RUNS, run, x, y)
+
+
+def simple_peaks(x: Column, y: Column, share: float = 0.03) -> Column:
+    """A finder for rough signals: maxima that rise over both neighbouring minima by ``share`` of the signal's range, with
+    the area above their chord: array of struct(start, apex, end, height, area)."""
+
+    def run(x, y):
+        if len(y) < 3:
+            return []
+        half = max(round(len(y) / 800), 1)
+        kernel = np.ones(2 * half + 1) / (2 * half + 1)
+        s = np.convolve(np.pad(y, half, "edge"), kernel, "valid")
+        tops, least = K.local_maxima(s), share * float(s.max() - s.min())
+        prom, _ = prominences(s, tops)
+        tops = tops[prom >= max(least, 1e-300)]
+        cuts = [0, *(int(a + np.argmin(s[a : b + 1])) for a, b in zip(tops[:-1], tops[1:])), len(y) - 1]
+        out = []
+        for k, i in enumerate(tops):
+            t, v = K.window_nodes(x, y, x[cuts[k]], x[cuts[k + 1]])
+            net = v - K.chord(t, v)
+            out.append((float(x[cuts[k]]), float(x[i]), float(x[cuts[k + 1]]), float(net.max()), K.trapezoid(t, net)))
+        return out
+
+    return K.column("array<struct<start:double,apex:double,end:double,height:double,area:double>>", run, x, y)
 
 
 def peak_at(x: Column, y: Column, t: Column, window: float) -> Column:

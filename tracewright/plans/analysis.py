@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clusters, metrics, peaks
@@ -52,25 +52,41 @@ def processed(traces: DataFrame, how: Processing) -> DataFrame:
     return out
 
 
+ANALYSED = {"peak_no": "int", "cluster": "int", "mode": "string", "start": "double", "end": "double", "shoulder": "boolean", "p2p": "double"} | K.PEAK_FIELDS
+
+
+def analysed(x: Column, y: Column, how: Processing = Processing()) -> Column:
+    """All peaks of a raw trace (an array of struct ANALYSED): processed, detected, integrated and measured by one kernel.
+    ``area`` is that of the mode in effect."""
+    how = how.clamped()
+
+    def run(x, y):
+        sigma = K.noise_sigma(y) or 0.0
+        if how.window:
+            y = K.savgol(y, how.window, how.order)
+        if how.baseline:
+            y = y - K.als_baseline(y, how.lam or K.auto_lambda(len(y)), how.p, how.iterations)
+        if not len(y):
+            return []
+        level = how.threshold if how.threshold is not None else max(9 * sigma, 1e-4 * float(y.max() - y.min()))
+        found = peaks.detect(x, y, level, how.min_dist, how.min_width, how.shoulders)
+        results = clusters.integrate(x, y, [p[:3] for p in found], how.mode, how.skim_ratio)
+        out = []
+        for (start, _, end, _, shoulder), result in zip(found, results):
+            _, *rest = peaks.figures(x, y, start, end)
+            out.append((result["peak_no"], result["cluster"], result["mode"], start, end, shoulder, 6 * sigma, result["area"], *rest))
+        return out
+
+    kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in ANALYSED.items()) + ">>"
+    return K.column(kind, run, x, y)
+
+
 def peak_table(traces: DataFrame, how: Processing = Processing()) -> DataFrame:
     """One row for each peak: its bounds, its area by the mode in effect and its figures.
 
     The threshold is nine times the noise of the raw signal, which smoothing doesn't lower, unless one is given; the same
     noise gives sn. Traces stay where they are; the only shuffle is that of the peak rows for shares and resolutions.
     """
-    p = processed(traces, how).withColumn("noise", S.noise_sigma(F.col("y_raw")))
-
-    def find(x, y, sigma):
-        level = how.threshold if how.threshold is not None else max(9 * sigma, 1e-4 * float(y.max() - y.min()))
-        found = peaks.detect(x, y, level, how.min_dist, how.min_width, how.shoulders)
-        return [dict(zip(("start", "apex", "end", "prominence", "shoulder"), f)) for f in found]
-
-    p = p.withColumn("peaks", K.column(peaks.PEAK, find, F.col("x"), F.col("y"), F.col("noise")))
-    p = p.withColumn("results", clusters.integrated(F.col("x"), F.col("y"), F.col("peaks"), how.mode, how.skim_ratio))
-    rows = p.select("trace_id", "x", "y", "noise", F.explode(F.arrays_zip("peaks", "results")).alias("r"))
-    rows = rows.select(
-        "trace_id", "x", "y", (6 * F.col("noise")).alias("p2p"), F.col("r.results.peak_no").alias("peak_no"), F.col("r.results.cluster").alias("cluster"), F.col("r.results.mode").alias("mode"),
-        F.col("r.results.area").alias("clip_area"), F.col("r.peaks.start").alias("start"), F.col("r.peaks.end").alias("end"), F.col("r.peaks.shoulder").alias("shoulder"),
-    )
-    m = metrics.peak_metrics(rows, p2p="p2p").drop("x", "y", "p2p").withColumn("area", F.col("clip_area")).drop("clip_area")
-    return metrics.peak_list_metrics(m)
+    rows = traces.select("trace_id", F.inline(analysed(F.col("x"), F.col("y"), how)))
+    rows = rows.withColumn("sn", F.try_divide(2 * F.col("height"), F.col("p2p"))).drop("p2p")
+    return metrics.peak_list_metrics(rows)

@@ -16,8 +16,7 @@ from .queries import EMB, _cal, _intervals, calibration, query, r
 @query()
 def detected_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of every trace, with their figures."""
-    p = peaks.peak_rows(views.embeddings(spark, sf_dir), min_dist=2.0, min_width=1.0, threshold=0.05)
-    m = metrics.peak_metrics(p)
+    m = peaks.peak_rows(views.embeddings(spark, sf_dir), min_dist=2.0, min_width=1.0, threshold=0.05)
     return m.select("trace_id", "peak_no", *[r(c).alias(c) for c in ("start", "apex", "end", "prominence", "area", "rt", "height", "fwhm")], "shoulder")
 
 
@@ -32,35 +31,38 @@ def baseline_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def integration_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valley, drop and hull areas of every detected peak within its cluster, and the recommended mode."""
-    p = peaks.peak_rows(views.embeddings(spark, sf_dir), min_dist=2.0, min_width=1.0, threshold=0.05)
-    c = integration.touching_clusters(p, F.lit(1.5))
-    within = Window.partitionBy("trace_id", "cluster")
-    c = c.withColumn("c0", F.min("start").over(within)).withColumn("c1", F.max("end").over(within)).withColumn("n", F.count("*").over(within))
-    ratio = F.try_divide(F.max("prominence").over(within), F.min("prominence").over(within))
-    x, y = F.col("x"), F.col("y")
-    out = c.withColumn("mode", integration.recommended_mode(ratio, F.lit(1.0), F.col("n")))
-    out = out.withColumn("valley", integration.chord_area(x, y, F.col("start"), F.col("end")))
-    out = out.withColumn("drop", integration.drop_area(x, y, F.col("start"), F.col("end"), F.col("c0"), F.col("c1")))
-    out = out.withColumn("hull", integration.hull_area(x, y, F.col("start"), F.col("end"), F.col("c0"), F.col("c1")))
-    return out.select("trace_id", "peak_no", "cluster", "mode", *[r(k).alias(k) for k in ("valley", "drop", "hull")])
+    t = views.embeddings(spark, sf_dir)
+    t = t.withColumn("peaks", peaks.detected(F.col("x"), F.col("y"), min_dist=2.0, min_width=1.0, threshold=0.05))
+    o = clusters.options(t, ("valley", "drop", "baseline"))
+    return o.select("trace_id", "peak_no", "cluster", F.col("recommended").alias("mode"), r("valley").alias("valley"), r("drop").alias("drop"), r("baseline").alias("hull"))
 
 
 @query()
 def fitted_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest peak of every trace fitted by a Gaussian on a line."""
-    p = peaks.peak_rows(views.embeddings(spark, sf_dir), min_dist=2.0, min_width=1.0, threshold=0.05)
-    top = p.groupBy("trace_id").agg(F.max_by(F.struct("start", "apex", "end", "x", "y"), F.struct("prominence", "apex")).alias("p")).select("trace_id", "p.*")
-    low, high = F.col("apex") - 4, F.col("apex") + 4
-    f = top.withColumn("f", fitting.fitted(F.col("x"), F.col("y"), low, high, F.array("apex"), "gaussian", True)).select("trace_id", F.inline("f"))
+    t = views.embeddings(spark, sf_dir)
+    t = t.withColumn("peaks", peaks.detected(F.col("x"), F.col("y"), min_dist=2.0, min_width=1.0, threshold=0.05))
+    t = t.withColumn("apex", F.array_max(F.transform("peaks", lambda p: F.struct(p["prominence"].alias("prominence"), p["apex"].alias("apex"))))["apex"]).filter("apex is not null")
+    f = t.select("trace_id", F.inline(fitting.fitted(F.col("x"), F.col("y"), F.col("apex") - 4, F.col("apex") + 4, F.array("apex"), "gaussian", True)))
     return f.select("trace_id", *[r(c, 3).alias(c) for c in ("mu", "sigma", "height", "area")])
 
 
-@query()
+#: The 97.5 % points of Student's t for 1 to 30 degrees of freedom.
+T975 = "[12.7062047, 4.3026527, 3.1824463, 2.7764451, 2.5705818, 2.4469119, 2.3646243, 2.3060041, 2.2621572, 2.2281389, 2.2009852, 2.1788128, 2.1603687, 2.1447867, 2.1314495, 2.1199053, 2.1098156, 2.1009220, 2.0930241, 2.0859634, 2.0796138, 2.0738731, 2.0686576, 2.0638986, 2.0595386, 2.0555294, 2.0518305, 2.0484071, 2.0452296, 2.0422725]"
+
+
+@query(f"""WITH c AS (SELECT p_brand AS analyte, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+m AS (SELECT analyte, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM c GROUP BY analyte),
+s AS (SELECT analyte, sqrt(sum(pow(y - b0 - b1 * x, 2)) / (max(n) - 2)) AS s FROM c JOIN m USING (analyte) GROUP BY analyte),
+q AS (SELECT analyte, n - 2 AS v, CAST(1.959963984540054 AS DOUBLE) AS z, (1500 - b0) / b1 AS conc, s / abs(b1) * sqrt(1 + 1.0 / n + pow((1500 - b0) / b1 - mx, 2) / sxx) AS se FROM m JOIN s USING (analyte) WHERE n >= 3),
+t AS (SELECT *, CASE WHEN v <= 30 THEN ({T975})[v] ELSE z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(v, 2)) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4)) END AS t FROM q)
+SELECT analyte, round(conc, 3) + 0.0 AS conc, round(se, 3) AS conc_se, round(conc - t * se, 2) + 0.0 AS conc_lo, round(conc + t * se, 2) + 0.0 AS conc_hi FROM t""")
 def calibration_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concentrations of a response with 95 % intervals from Student's t."""
     c = calibration.inverse(calibration.fit(_cal(spark, sf_dir), "analyte"), F.lit(1500.0)).filter("b1 is not null")
     c = c.withColumn("ci", fitting.confidence(F.col("conc"), F.col("conc_se"), F.col("n") - 2))
-    return c.select("analyte", *[r(k, 3).alias(n) for k, n in (("conc", "conc"), ("conc_se", "conc_se"), ("ci.low", "conc_lo"), ("ci.high", "conc_hi"))])
+    names = (("conc", "conc", 3), ("conc_se", "conc_se", 3), ("ci.low", "conc_lo", 2), ("ci.high", "conc_hi", 2))
+    return c.select("analyte", *[r(k, digits).alias(n) for k, n, digits in names])
 
 
 def _texts(spark: SparkSession, sf_dir: str, line: str, head: str, tail: str = "") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, gradient, integration, matching, metrics
+from ..operators import calibration, gradient, integration, matching, metrics, peaks
 from ..operators import signal as S
 from . import views
 
@@ -148,6 +148,20 @@ def window_integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trace_id", r("area").alias("area"), r("apex").alias("apex"))
 
 
+@query(f"""WITH {WINDOW.replace("net AS", "cut AS (SELECT trace_id, y AS ym FROM e WHERE i = 20), whole AS")},
+parts AS (SELECT trace_id, 1 AS part, x, y FROM nodes WHERE x <= 20 UNION ALL SELECT trace_id, 2, x, y FROM nodes WHERE x >= 20),
+h AS (SELECT trace_id, part, x, y, y - (ys + (yt - ys) * (x - 10.5) / 19.75) AS above, y - CASE WHEN part = 1 THEN ys + (ym - ys) * (x - 10.5) / 9.5 ELSE ym + (yt - ym) * (x - 20) / 10.25 END AS own FROM parts JOIN ends USING (trace_id) JOIN cut USING (trace_id)),
+l AS (SELECT *, lead(x) OVER w AS nx, lead(above) OVER w AS na, lead(own) OVER w AS no FROM h WINDOW w AS (PARTITION BY trace_id, part ORDER BY x))
+SELECT trace_id, part, round(sum((own + no) / 2 * (nx - x)), 6) + 0.0 AS valley, round(sum((above + na) / 2 * (nx - x)), 6) + 0.0 AS "drop" FROM l GROUP BY trace_id, part""")
+def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window cut in two: areas above the chord of each part, and above that of both."""
+    t = views.embeddings(spark, sf_dir)
+    x, y = F.col("x"), F.col("y")
+    figures = [F.struct(F.lit(k).alias("part"), integration.chord_area(x, y, F.lit(a), F.lit(b)).alias("valley"), integration.drop_area(x, y, F.lit(a), F.lit(b), F.lit(10.5), F.lit(30.25)).alias("drop")) for k, a, b in ((1, 10.5, 20.0), (2, 20.0, 30.25))]
+    rows = t.select("trace_id", F.explode(F.array(*figures)).alias("f"))
+    return rows.select("trace_id", "f.part", r("f.valley").alias("valley"), r("f.drop").alias("drop"))
+
+
 @query(f"""WITH {EMB}, q AS (SELECT trace_id, x0, y0, y1, y2, k FROM (SELECT trace_id, i AS k, i AS x0, lag(y) OVER w AS y0, y AS y1, lead(y) OVER w AS y2, row_number() OVER (PARTITION BY trace_id ORDER BY y DESC, i) AS rk FROM e WINDOW w AS (PARTITION BY trace_id ORDER BY i)) WHERE rk = 1)
 SELECT trace_id, round(CASE WHEN y0 + y2 - 2 * y1 < 0 THEN k + 0.5 * (y0 - y2) / (y0 - 2 * y1 + y2) ELSE k END, 6) + 0.0 AS rt,
   round(CASE WHEN y0 + y2 - 2 * y1 < 0 THEN y1 - 0.125 * pow(y0 - y2, 2) / (y0 - 2 * y1 + y2) ELSE y1 END, 6) + 0.0 AS height FROM q""")
@@ -156,22 +170,38 @@ def parabolic_apex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trace_id", r("a.rt").alias("rt"), r("a.height").alias("height"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks of every trace: the runs between neighbouring local minima of the smoothed signal."""
-    t = views.embeddings(spark, sf_dir).withColumn("s", S.savgol(F.col("y"), 5, 2))
-    tops = t.withColumn("tops", S.local_maxima(F.col("s"))).select("trace_id", "x", F.col("s").alias("y"), F.posexplode("tops").alias("k", "top"), "tops")
-    low = lambda a, b: F.array_min(F.transform(F.sequence(a, b), lambda i: F.struct(F.get("y", i).alias("y"), i.alias("i"))))["i"]
-    before, after = F.get("tops", F.col("k") - 1), F.get("tops", F.col("k") + 1)
-    start = low(F.coalesce(before, F.lit(0)), F.col("top"))
-    end = low(F.col("top"), F.coalesce(after, F.size("y") - 1))
-    return tops.select("trace_id", (F.col("k") + 1).alias("peak_no"), "x", "y", F.get("x", start).alias("start"), F.get("x", end).alias("end")).filter("end - start >= 2")
-
-
-@query()
+PEAK_TABLE = f"""WITH {EMB}, {SG5}, l AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q FROM sm WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
+tops AS (SELECT trace_id, i AS top, row_number() OVER (PARTITION BY trace_id ORDER BY i) AS peak_no FROM l WHERE y > p AND y > q),
+near AS (SELECT *, lag(top) OVER w AS before, lead(top) OVER w AS after FROM tops WINDOW w AS (PARTITION BY trace_id ORDER BY top)),
+lo AS (SELECT trace_id, peak_no, arg_min(sm.i, sm.y) AS a FROM near JOIN sm USING (trace_id) WHERE sm.i BETWEEN coalesce(before, 0) AND top GROUP BY ALL),
+hi AS (SELECT trace_id, peak_no, arg_min(sm.i, sm.y) AS b FROM near JOIN n USING (trace_id) JOIN sm USING (trace_id) WHERE sm.i BETWEEN top AND coalesce(after, n - 1) GROUP BY ALL),
+pk AS (SELECT trace_id, peak_no, a, b, s.y AS ya, t.y AS yb FROM lo JOIN hi USING (trace_id, peak_no) JOIN sm s USING (trace_id) JOIN sm t USING (trace_id) WHERE s.i = a AND t.i = b AND b - a >= 2),
+net AS (SELECT trace_id, peak_no, a, b, i, sm.y - (ya + (yb - ya) * (i - a) / (b - a)) AS h FROM pk JOIN sm USING (trace_id) WHERE i BETWEEN a AND b),
+nb AS (SELECT *, lag(h) OVER w AS h0, lead(h) OVER w AS h2 FROM net WINDOW w AS (PARTITION BY trace_id, peak_no ORDER BY i)),
+ar AS (SELECT trace_id, peak_no, min(a) AS a, min(b) AS b, sum((h + h2) / 2) AS area FROM nb GROUP BY ALL),
+ap AS (SELECT trace_id, peak_no, i AS k, CASE WHEN h0 + h2 - 2 * h < 0 THEN i + 0.5 * (h0 - h2) / (h0 - 2 * h + h2) ELSE i END AS rt,
+  CASE WHEN h0 + h2 - 2 * h < 0 THEN h - pow(h0 - h2, 2) / (8 * (h0 - 2 * h + h2)) ELSE h END AS height FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, peak_no ORDER BY h DESC, i) AS rk FROM nb) WHERE rk = 1),
+lv AS (SELECT trace_id, peak_no, k, p, p * height AS level FROM ap, (VALUES (0.5), (0.1), (0.05)) AS v(p) WHERE height > 0),
+le AS (SELECT trace_id, peak_no, p, arg_max(i + (level - h) / (h2 - h), i) AS x FROM lv JOIN nb USING (trace_id, peak_no) WHERE i < k AND h <= level GROUP BY ALL),
+ri AS (SELECT trace_id, peak_no, p, arg_min(i - (level - h) / (h0 - h), i) AS x FROM lv JOIN nb USING (trace_id, peak_no) WHERE i > k AND h <= level GROUP BY ALL),
+wd AS (SELECT trace_id, peak_no, max(CASE WHEN p = 0.5 THEN ri.x - le.x END) AS fwhm, max(CASE WHEN p = 0.1 THEN ri.x - le.x END) AS w10, max(CASE WHEN p = 0.05 THEN ri.x - le.x END) AS w5,
+  max(CASE WHEN p = 0.05 THEN le.x END) AS l5, max(CASE WHEN p = 0.1 THEN le.x END) AS l10, max(CASE WHEN p = 0.1 THEN ri.x END) AS r10 FROM le JOIN ri USING (trace_id, peak_no, p) GROUP BY ALL),
+df AS (SELECT trace_id, y - p AS d FROM l WHERE p IS NOT NULL), dm AS (SELECT trace_id, median(d) AS m FROM df GROUP BY trace_id),
+sg2 AS (SELECT trace_id, 1.4826 * median(abs(d - m)) / sqrt(2) AS s, sqrt(avg(d * d) / 2) AS rms FROM df JOIN dm USING (trace_id) GROUP BY trace_id),
+al AS (SELECT trace_id, CAST(peak_no AS INTEGER) AS peak_no, CAST(a AS DOUBLE) AS start, CAST(b AS DOUBLE) AS "end", area, CAST(rt AS DOUBLE) AS rt, height, fwhm, w10, w5, CASE WHEN rt > l5 THEN w5 / (2 * (rt - l5)) END AS tailing, CASE WHEN rt > l10 THEN (r10 - rt) / (rt - l10) END AS asymmetry,
+  5.54 * pow(rt / fwhm, 2) AS plates, rt - 1.0 AS k, 2 * height / (6 * CASE WHEN s > 0 THEN s ELSE rms END) AS sn, area > 0 AND height > 0 AS valid FROM ar JOIN ap USING (trace_id, peak_no) LEFT JOIN wd USING (trace_id, peak_no) JOIN sg2 USING (trace_id))
+SELECT trace_id, peak_no, start, "end", {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("area", "rt", "height", "fwhm", "w10", "w5", "tailing", "asymmetry", "plates", "k", "sn"))},
+  round(CASE WHEN valid THEN 100 * area / sum(CASE WHEN valid THEN area END) OVER (PARTITION BY trace_id) END, 6) + 0.0 AS area_pct, round(1.18 * (rt - lag(rt) OVER w) / (fwhm + lag(fwhm) OVER w), 6) + 0.0 AS resolution,
+  concat_ws(';', CASE WHEN height <= 0 THEN 'nonPositiveHeight' END, CASE WHEN area <= 0 THEN 'nonPositiveArea' END) AS flags FROM al WINDOW w AS (PARTITION BY trace_id ORDER BY rt, peak_no)"""
+
+
+@query(PEAK_TABLE)
 def peak_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of every peak: widths, tailing, plates, area share, resolution."""
-    noisy = _runs(spark, sf_dir).withColumn("p2p", 6 * S.noise_sigma(F.col("y"), floor=False))
-    m = metrics.peak_list_metrics(metrics.peak_metrics(noisy, void_time=1.0, p2p="p2p"))
+    t = views.embeddings(spark, sf_dir).withColumn("y", S.savgol(F.col("y"), 5, 2))
+    t = t.select("trace_id", (6 * S.noise_sigma(F.col("y"), floor=False)).alias("p2p"), F.inline(peaks.runs(F.col("x"), F.col("y"), 2.0)))
+    t = t.withColumn("k", F.col("rt") - 1.0).withColumn("sn", F.try_divide(2 * F.col("height"), F.col("p2p")))
+    m = metrics.peak_list_metrics(t)
     names = ["start", "end", "area", "rt", "height", "fwhm", "w10", "w5", "tailing", "asymmetry", "plates", "k", "sn", "area_pct", "resolution"]
     return m.select("trace_id", "peak_no", *[r(n).alias(n) for n in names], F.concat_ws(";", "flags").alias("flags"))
 
@@ -261,6 +291,17 @@ def calibration_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("analyte", r("b1", 5).alias("b1"), r("r2").alias("r2"))
 
 
+@query(f"""WITH {CAL}, z AS (SELECT analyte, avg(x) AS mx, count(*) AS n FROM c GROUP BY analyte), q AS (SELECT analyte, x - mx AS u, y, n, mx FROM c JOIN z USING (analyte) WHERE n >= 4),
+m AS (SELECT analyte, max(n) AS n, max(mx) AS mx, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(pow(u, 4)) AS s4, sum(y) AS t0, sum(u * y) AS t1, sum(u * u * y) AS t2 FROM q GROUP BY analyte),
+d AS (SELECT *, (t0 - s2 * g2) / n AS g0 FROM (SELECT *, (t1 - s3 * g2) / s2 AS g1 FROM (SELECT *, (t2 - s2 * t0 / n - s3 * t1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS g2 FROM m))),
+e AS (SELECT analyte, sum(pow(y - g0 - g1 * u - g2 * u * u, 2)) AS rss, sum(pow(y - t0 / d.n, 2)) AS tss FROM q JOIN d USING (analyte) GROUP BY analyte)
+SELECT analyte, n, round(g0 - g1 * mx + g2 * mx * mx, 3) + 0.0 AS b0, round(g1 - 2 * g2 * mx, 4) + 0.0 AS b1, round(g2, 5) + 0.0 AS b2, round(sqrt(rss / (n - 3)), 4) AS s, round(1 - rss / tss, 5) AS r2 FROM d JOIN e USING (analyte)""")
+def quadratic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadratic curves and how well they fit."""
+    c = calibration.fit(_cal(spark, sf_dir), "analyte", "quadratic").filter("b2 is not null")
+    return c.select("analyte", "n", *[r(k, digits).alias(k) for k, digits in (("b0", 3), ("b1", 4), ("b2", 5), ("s", 4), ("r2", 5))])
+
+
 @query()
 def calibration_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadratic curves, their inverse and its flags at the middle response of each analyte."""
@@ -293,6 +334,17 @@ def peak_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_peaks(c.filter("rt is not null"), 0.5, "set_id").select("set_id", "trace_id", r("rt").alias("rt"), "island", "match_group", r("group_rt").alias("group_rt"))
 
 
+@query(f"""WITH {EMB}, l AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q FROM e WINDOW w AS (PARTITION BY trace_id ORDER BY i)), m AS (SELECT trace_id, i, y FROM l WHERE y > p AND y > q),
+b AS (SELECT m.trace_id, m.i, m.y, coalesce(max(CASE WHEN e.i < m.i AND e.y >= m.y THEN e.i END), -1) AS a, coalesce(min(CASE WHEN e.i > m.i AND e.y > m.y THEN e.i END), max(e.i) + 1) AS b FROM m JOIN e ON e.trace_id = m.trace_id GROUP BY ALL),
+pr AS (SELECT b.trace_id, b.i, b.y, b.y - greatest(min(CASE WHEN e.i <= b.i THEN e.y END), min(CASE WHEN e.i >= b.i THEN e.y END)) AS prom FROM b JOIN e ON e.trace_id = b.trace_id AND e.i > b.a AND e.i < b.b GROUP BY b.trace_id, b.i, b.y)
+SELECT pr.trace_id, CAST(pr.i AS INTEGER) AS i, round(prom, 6) + 0.0 AS prominence, CAST(coalesce(min(CASE WHEN e.i > pr.i AND e.y <= pr.y - prom / 2 THEN e.i END), max(e.i)) - coalesce(max(CASE WHEN e.i < pr.i AND e.y <= pr.y - prom / 2 THEN e.i END), 0) AS DOUBLE) AS width
+FROM pr JOIN e ON e.trace_id = pr.trace_id GROUP BY pr.trace_id, pr.i, prom, pr.y""")
+def prominences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every maximum stands out of its surroundings, and how wide it is at half of that (in samples)."""
+    t = views.embeddings(spark, sf_dir).select("trace_id", F.inline(peaks.prominent(F.col("y"))))
+    return t.select("trace_id", "i", r("prominence").alias("prominence"), "width")
+
+
 @query(f"""WITH {EMB}, t AS (SELECT trace_id, y, i, row_number() OVER (PARTITION BY trace_id ORDER BY y DESC, i) AS rk FROM e)
 SELECT trace_id, CAST(row_number() OVER (ORDER BY trace_id) - 1 AS INTEGER) AS place, round((row_number() OVER (ORDER BY trace_id) - 1) * 0.1 * max(abs(y)) OVER (), 6) AS dy FROM (SELECT trace_id, max(abs(y)) AS y FROM e GROUP BY trace_id)""")
 def stacked_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
