@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: A group is hot when it holds more than 1/HEAVY of all rows, so fewer than HEAVY groups are hot.
 HEAVY = 512
 
