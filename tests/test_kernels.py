@@ -144,10 +144,10 @@ def test_image_kernels():
 
 
 @pytest.mark.parametrize("n, lam", [(1000, 1e3), (1537, 1e5), (4001, 1e8), (2500, 1.0)])
-def test_block_solver_equals_the_plain_one(n, lam):
+def test_cyclic_reduction_equals_the_plain_solver(n, lam):
     rng = np.random.default_rng(n)
     d0, d1 = np.full(n, 6.0), np.full(n - 1, -4.0)
     d0[[0, -1]], d0[[1, -2]], d1[[0, -1]] = 1, 5, -2
     w, y = rng.random(n), rng.normal(size=n).cumsum()
     a = kernels._solve_pentadiagonal((w + lam * d0).tolist(), (lam * d1).tolist(), lam, (w * y).tolist())
-    assert np.allclose(kernels._solve_blocks(w + lam * d0, lam * d1, lam, w * y), a, atol=1e-5)
+    assert np.allclose(kernels._solve_cyclic(w + lam * d0, lam * d1, lam, w * y), a, atol=1e-5)

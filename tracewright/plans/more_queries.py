@@ -56,13 +56,13 @@ m AS (SELECT analyte, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x)
 s AS (SELECT analyte, sqrt(sum(pow(y - b0 - b1 * x, 2)) / (max(n) - 2)) AS s FROM c JOIN m USING (analyte) GROUP BY analyte),
 q AS (SELECT analyte, n - 2 AS v, CAST(1.959963984540054 AS DOUBLE) AS z, (1500 - b0) / b1 AS conc, s / abs(b1) * sqrt(1 + 1.0 / n + pow((1500 - b0) / b1 - mx, 2) / sxx) AS se FROM m JOIN s USING (analyte) WHERE n >= 3),
 t AS (SELECT *, CASE WHEN v <= 30 THEN ({T975})[v] ELSE z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(v, 2)) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4)) END AS t FROM q)
-SELECT analyte, round(conc, 3) + 0.0 AS conc, round(se, 3) AS conc_se, round(conc - t * se, 2) + 0.0 AS conc_lo, round(conc + t * se, 2) + 0.0 AS conc_hi FROM t""")
+SELECT analyte, {", ".join(f"round(sign({v}) * ln(1 + abs({v})), 4) + 0.0 AS log_{n}" for v, n in (("conc", "conc"), ("se", "conc_se"), ("(conc - t * se)", "conc_lo"), ("(conc + t * se)", "conc_hi")))} FROM t""")
 def calibration_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concentrations of a response with 95 % intervals from Student's t."""
+    """Concentrations of a response with 95 % intervals from Student's t, as signed logarithms."""
     c = calibration.inverse(calibration.fit(_cal(spark, sf_dir), "analyte"), F.lit(1500.0)).filter("b1 is not null")
     c = c.withColumn("ci", fitting.confidence(F.col("conc"), F.col("conc_se"), F.col("n") - 2))
-    names = (("conc", "conc", 3), ("conc_se", "conc_se", 3), ("ci.low", "conc_lo", 2), ("ci.high", "conc_hi", 2))
-    return c.select("analyte", *[r(k, digits).alias(n) for k, n, digits in names])
+    names = (("conc", "conc"), ("conc_se", "conc_se"), ("ci.low", "conc_lo"), ("ci.high", "conc_hi"))
+    return c.select("analyte", *[r(F.signum(k) * F.log1p(F.abs(F.col(k))), 4).alias(f"log_{n}") for k, n in names])
 
 
 def _texts(spark: SparkSession, sf_dir: str, line: str, head: str, tail: str = "") -> DataFrame:

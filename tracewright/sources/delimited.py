@@ -82,14 +82,24 @@ def _best_run(lines: list[list[float] | None], least: int) -> tuple[int, int, in
     return best[0], -best[1], best[2]
 
 
-def parse_table(text: str, delimiter: str | None = None, decimal_comma: bool | None = None) -> Table:
+def data_line(line: str) -> bool:
+    """Whether a line holds two numbers, whatever parts them."""
+    return any(_is_data([parse_number(c) for c in split_line(line, d)], 2) for d in "\t;,| ")
+
+
+def parse_table(text: str, delimiter: str | None = None, decimal_comma: bool | None = None, skip: int = 0, header: bool | None = None) -> Table:
     """The numeric table in ``text``: its delimiter (tab, semicolon, comma, bar or blanks) gives the longest run of
-    numeric lines; earlier ones win ties. The header is the nearest line above it that isn't numeric."""
-    lines = re.split(r"\r\n|\r|\n", text.lstrip("﻿"))
+    numeric lines; earlier ones win ties. The header is the nearest line above it that isn't numeric. ``skip`` leaves out
+    so many lines first; ``header`` True takes the next one as the header, whatever it holds, and False none."""
+    lines = re.split(r"\r\n|\r|\n", text.lstrip("﻿"))[skip:]
+    first = None
+    if header:
+        at = next((k for k, line in enumerate(lines) if line.strip()), 0)
+        first, lines = lines[at : at + 1], lines[at + 1 :]
     best = None
     for d in [delimiter] if delimiter else ["\t", ";", ",", "|", " "]:
         split = [split_line(line, d) if line.strip() else None for line in lines]
-        comma = decimal_comma if decimal_comma is not None else d != "," and uses_decimal_comma([c for cells in split[:3000] for c in cells or () if "," in c or "." in c])
+        comma = decimal_comma if decimal_comma is not None else d != "," and uses_decimal_comma([c for cells in split for c in cells or () if "," in c or "." in c])
         numbers = [None if cells is None else [parse_number(c, comma) for c in cells] for cells in split]
         score, start, end = _best_run(numbers, 2)
         if best is None or score > best[0]:
@@ -101,7 +111,9 @@ def parse_table(text: str, delimiter: str | None = None, decimal_comma: bool | N
             return Table([])
     rows = [cells for cells in numbers[start:end] if cells is not None]
     above = next((k for k in range(start - 1, -1, -1) if split[k]), None)
-    header: list[str] = []
+    if header is not None:
+        return Table(rows, split_line(first[0], d) if first else [], lines[:start] if above is None else lines[: above + 1], d)
+    header = []
     if above is not None and len(split[above]) > 1 and not lines[above].lstrip().startswith("#"):
         header = split[above]
         names = split[above - 1] if above else None
@@ -164,9 +176,12 @@ def finish(xs: list[float], ys: list[float], unit: str, flow: float | None = Non
     return [p[0] for p in pairs], [p[1] for p in pairs], out
 
 
-def traces_of(text: str, flow: float | None = None, **options) -> tuple[list[dict], list[str]]:
+def traces_of(text: str, flow: float | None = None, x_col: int | None = None, y_cols: list[int] | None = None, unit: str | None = None, step: float = 1.0, y_scale: float = 1.0, **options) -> tuple[list[dict], list[str]]:
     """Traces of a delimited text and warnings. Columns come in pairs where headers of places alternate; else all are
-    signals over the first column that a header calls a time or volume, or that is monotone."""
+    signals over the first column that a header calls a time or volume, or that is monotone.
+
+    A mapping by hand goes before: ``x_col`` (-1: none, places are ``step`` apart), ``y_cols``, the ``unit`` of x and
+    ``y_scale``; other options are those of parse_table."""
     table = parse_table(text, **options)
     if not table.rows:
         return [], ["no numeric table found"]
@@ -175,7 +190,13 @@ def traces_of(text: str, flow: float | None = None, **options) -> tuple[list[dic
     names = [table.header[c] if c < len(table.header) else "" for c in range(n)]
     units = [x_unit(name) if name else None for name in names]
     warnings: list[str] = []
-    if n == 1:
+    by_hand = x_col is not None or y_cols is not None
+    if by_hand and max([x_col if x_col is not None else 0, *(y_cols or [])]) >= n:
+        return [], ["the table has no such column"]
+    if by_hand:
+        x = x_col if x_col is not None else 0
+        pairs = [(x if x >= 0 else None, c) for c in (y_cols if y_cols is not None else range(n)) if c != x]
+    elif n == 1:
         pairs = [(None, 0)]
     elif n >= 4 and n % 2 == 0 and all(units[c] for c in range(0, n, 2)) and not any(units[c] for c in range(1, n, 2)):
         pairs = [(c, c + 1) for c in range(0, n, 2)]
@@ -187,11 +208,11 @@ def traces_of(text: str, flow: float | None = None, **options) -> tuple[list[dic
     meta = metadata(table.preamble)
     out = []
     for x, y in pairs:
-        unit = (units[x] if x is not None else None) or "min"
-        if x is not None and not units[x]:
+        named = unit or (units[x] if x is not None else None) or "min"
+        if x is not None and not units[x] and not unit:
             warnings.append("no unit of x given: minutes assumed")
-        xs = columns[x] if x is not None else [float(i) for i in range(len(columns[y]))]
-        xs, ys, x_name = finish(xs, columns[y], unit, flow)
+        xs = columns[x] if x is not None else [i * step for i in range(len(columns[y]))]
+        xs, ys, x_name = finish(xs, [v * y_scale for v in columns[y]], named, flow)
         if xs:
             out.append({"name": re.sub(r"\s*[\[(][^\])]*[\])]\s*\Z", "", names[y]) or f"column {y + 1}", "x": xs, "y": ys, "x_unit": x_name, "y_unit": y_unit(names[y]), "role": role_of(names[y]), "meta": meta})
     return out, list(dict.fromkeys(warnings))

@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .delimited import finish, metadata, traces_of, x_unit, y_unit
+from ..functions.scalars import is_image
+from .delimited import TIME_UNITS, data_line, finish, metadata, role_of, traces_of, x_unit, y_unit
 
-TRACE = "path string, trace_no int, name string, x array<double>, y array<double>, x_unit string, y_unit string, role string, meta map<string,string>, format string, warnings array<string>, error string"
+#: Peaks and events that a file brings along; places are in the unit of the trace's x.
+PEAKS = "array<struct<start:double,apex:double,end:double,area:double,area_se:double,label:string>>"
+EVENTS = "array<struct<curve:string,x:double,label:string>>"
+TRACE = f"path string, trace_no int, name string, x array<double>, y array<double>, x_unit string, y_unit string, role string, meta map<string,string>, peaks {PEAKS}, events {EVENTS}, format string, warnings array<string>, error string"
 GENERIC = {"csv", "txt", "tsv", "dat", "asc", "text"}
 HEAD = 4096
 
@@ -34,6 +38,9 @@ class Plugin:
     sniff: Callable[[bytes, str], float]
     parse: Callable[[bytes, dict], list[dict]]
     binary: bool = False
+    #: For dialects of JSON: how likely a document is its own, and its traces.
+    sniff_json: Callable[[object], float] | None = None
+    parse_json: Callable[[object, dict], list[dict]] | None = None
 
 
 PLUGINS: dict[str, Plugin] = {}
@@ -119,9 +126,33 @@ def parse_file(data: bytes, path: str = "", format: str | None = None, **options
     return {"format": plugin.id, "traces": traces, "warnings": warnings, "error": None if traces else "no trace found"}
 
 
-def _trace(x, y, unit: str = "min", name: str = "", y_unit: str | None = None, role: str = "signal", meta: dict | None = None) -> dict:
+def _trace(x, y, unit: str = "min", name: str = "", y_unit: str | None = None, role: str = "signal", meta: dict | None = None, peaks: list[dict] | None = None) -> dict:
     xs, ys, shown = finish([float(v) for v in x], [float(v) for v in y], unit)
-    return {"name": name, "x": xs, "y": ys, "x_unit": shown, "y_unit": y_unit, "role": role, "meta": meta or {}}
+    return {"name": name, "x": xs, "y": ys, "x_unit": shown, "y_unit": y_unit, "role": role, "meta": meta or {}, "peaks": imported_peaks(peaks or [], unit)}
+
+
+def _number(v) -> float | None:
+    """A finite number, or None."""
+    try:
+        v = float(v)
+    except (TypeError, ValueError):
+        return None
+    return v if math.isfinite(v) else None
+
+
+def imported_peaks(peaks: list[dict], unit: str = "min", flow: float | None = None) -> list[dict]:
+    """Peaks as PEAKS, by apex: places in minutes where the unit or a flow allows it; without an apex a peak is left out, a
+    missing bound is the apex, bounds are put in order, and areas that aren't finite are dropped."""
+    factor = TIME_UNITS.get(unit) or (1 / flow if flow and flow > 0 and unit == "ml" else 1.0)
+    out = []
+    for p in peaks:
+        apex = _number(p.get("apex"))
+        if apex is None:
+            continue
+        ends = [v if (v := _number(p.get(k))) is not None else apex for k in ("start", "end")]
+        label = p.get("label")
+        out.append({"start": min(ends) * factor, "apex": apex * factor, "end": max(ends) * factor, "area": _number(p.get("area")), "area_se": _number(p.get("area_se")), "label": None if label is None else str(label)})
+    return sorted(out, key=lambda p: p["apex"])
 
 
 # Text
@@ -140,11 +171,38 @@ def _number_lines(text: str) -> int:
 def _json(data: bytes, options: dict) -> list[dict]:
     text = re.sub(r"(?<=[\[:,\s])-?(?:NaN|Infinity)(?=\s*[,\]}])", "null", decode(data))
     v = json.loads(text)
-    if isinstance(v, dict) and isinstance(v.get("chromatograms"), dict):
-        return _dataset_traces(v, options.get("wavelength"))
-    if isinstance(v, dict) and isinstance(v.get("Samples"), dict):
-        return _samples_traces(v)
-    return _json_traces(v)
+    dialects = [(score, p) for p in listed() if p.sniff_json and (score := p.sniff_json(v)) >= 0.5]
+    if dialects:
+        return max(dialects, key=lambda d: d[0])[1].parse_json(v, options)
+    traces = _json_traces(v)
+    if isinstance(v, dict) and isinstance(v.get("peakRows"), list):
+        _merge_peak_rows(v, traces)
+    return traces
+
+
+def _own_peaks(v: dict) -> list[dict]:
+    """Peaks that a JSON trace lists, under the names that are in use."""
+    alias = {"start": ("start", "from", "left"), "apex": ("apex", "rt", "time", "position"), "end": ("end", "to", "right"), "area": ("area", "importedArea"), "area_se": ("area_se", "importedAreaSE"), "label": ("label", "name")}
+    found = v.get("peaks")
+    rows = [p for p in found if isinstance(p, dict)] if isinstance(found, list) else []
+    return [{k: next((p[n] for n in names if p.get(n) is not None), None) for k, names in alias.items()} | {"id": p.get("id", p.get("peak_id"))} for p in rows]
+
+
+def _merge_peak_rows(v: dict, traces: list[dict]) -> None:
+    """Adds the rows of a peak table to the traces of the same document: by trace id or name; a peak that the trace has
+    already (by its id) keeps its own values and takes what it lacks."""
+    inner = next((v[k] for k in v if k.lower() == "traces"), [])
+    for t, own in zip(traces, inner if isinstance(inner, list) and len(inner) == len(traces) else [{}] * len(traces)):
+        rows = [r for r in v["peakRows"] if isinstance(r, dict) and (own.get("id") is not None and r.get("trace_id") == own.get("id") or r.get("trace_id") is None and r.get("trace_name") == t["name"])]
+        have = {p["id"]: p for p in _own_peaks(own)}
+        alone = [p for p in _own_peaks(own) if p["id"] is None]
+        for r in _own_peaks({"peaks": rows}):
+            known = have.get(r["id"]) if r["id"] is not None else None
+            if known is None:
+                (have.__setitem__(r["id"], r) if r["id"] is not None else alone.append(r))
+            else:
+                have[r["id"]] = r | {k: x for k, x in known.items() if x is not None}
+        t["peaks"] = imported_peaks([*have.values(), *alone])
 
 
 def _json_traces(v) -> list[dict]:
@@ -160,7 +218,7 @@ def _json_traces(v) -> list[dict]:
         yk = next((low[k] for k in ("y", "signal", "intensity", "value", "absorbance") if k in low), None)
         if xk and yk and isinstance(v[xk], list):
             unit = v.get("xUnit") or v.get("x_unit") or x_unit(xk) or "min"
-            return [_trace(map(nan, v[xk]), map(nan, v[yk]), unit.lower(), str(v.get("name") or ""), v.get("yUnit") or v.get("y_unit"))]
+            return [_trace(map(nan, v[xk]), map(nan, v[yk]), unit.lower(), str(v.get("name") or ""), v.get("yUnit") or v.get("y_unit"), peaks=_own_peaks(v))]
     if isinstance(v, list) and v:
         if isinstance(v[0], dict):
             low = {k.lower(): k for k in v[0]}
@@ -173,36 +231,85 @@ def _json_traces(v) -> list[dict]:
     raise ValueError("no trace in this JSON")
 
 
-def _dataset_traces(v: dict, wavelength: float | str | None) -> list[dict]:
+def _dataset_traces(v: dict, options: dict) -> list[dict]:
     """A dataset of absorbance matrices over time and wavelength: one trace a chromatogram, at the given wavelength (nm),
-    all summed ("sum"), at 254 nm if there, else where the absorbance is greatest."""
+    all summed ("sum"), at 254 nm if there, else where the absorbance is greatest. Its peaks come along: of a resolved
+    component the area is its integral times its spectrum at that wavelength times the step, of a plain peak that of the
+    signal between its bounds."""
     out = []
+    wavelength, compounds = options.get("wavelength"), v.get("compounds") or {}
     for name, c in v["chromatograms"].items():
-        data, waves = np.array(c["data"], float), np.array(c["wavelength"], float)
+        data, waves, time = np.array(c["data"], float), np.array(c["wavelength"], float), np.array(c["time"], float)
         if data.shape[0] != len(waves):
             data = data.T
         if wavelength == "sum":
-            y, shown = data.sum(axis=0), "sum"
+            y, shown, k = data.sum(axis=0), "sum", None
         else:
             near = np.abs(waves - float(wavelength if wavelength is not None else 254))
             k = int(near.argmin()) if near.min() <= 0.5 else int(np.unravel_index(np.nanargmax(data), data.shape)[0])
             y, shown = data[k], f"{waves[k]:g} nm"
-        out.append(_trace(c["time"], y, "min", f"{name} {shown}", "mAU"))
+        step = float(np.median(np.diff(time))) if len(time) > 1 else 1.0
+        peaks = []
+        for p in c.get("peaks") or []:
+            at = [min(max(int(p.get(f) or 0), 0), len(time) - 1) for f in ("left", "maximum", "right")]
+            start, apex, end = (float(time[i]) for i in at)
+            parts = p.get("components") or []
+            for q in parts:
+                spectrum = q.get("spectrum") or []
+                weight = sum(spectrum) if k is None else spectrum[k] if k < len(spectrum) else None
+                integral, place = _number(q.get("integral")), _number(q.get("elution_time"))
+                label = q.get("compound_id")
+                label = (compounds.get(str(label)) or {}).get("name", label) if isinstance(compounds, dict) else label
+                place = float(time[min(max(int(place), 0), len(time) - 1)]) if place is not None else apex
+                peaks.append({"start": start, "apex": place, "end": end, "area": None if integral is None or weight is None else integral * weight * step, "label": label})
+            if not parts:
+                inside = slice(at[0], at[2] + 1)
+                peaks.append({"start": start, "apex": apex, "end": end, "area": float(np.trapezoid(y[inside], time[inside])), "label": p.get("name")})
+        out.append(_trace(time, y, "min", f"{name} {shown}", "mAU", peaks=peaks))
     return out
 
 
-def _samples_traces(v: dict) -> list[dict]:
-    """Samples with raw columns: one trace each, of the first two columns that are a time and a signal."""
+def wavelengths(v: object) -> list[float]:
+    """The wavelengths that such a dataset offers, ascending."""
+    held = v.get("chromatograms") if isinstance(v, dict) else None
+    return sorted({float(w) for c in held.values() for w in c.get("wavelength") or []}) if isinstance(held, dict) else []
+
+
+def _stat(stats: dict, *words: str) -> object:
+    """The value whose key has all ``words``; None without one."""
+    return next((x for k, x in stats.items() if all(w in k.lower() for w in words)), None)
+
+
+def _samples_traces(v: dict, options: dict) -> list[dict]:
+    """Samples with raw columns: one trace each, of the first two columns that are a time and a signal. Processed peaks
+    come along: the area is the mean of an ensemble (with its standard deviation) or, without one, of the best fit or the
+    median; the bounds are the ends of the fitted places, or three widths about the centre."""
     out = []
     for name, s in v["Samples"].items():
         raw = s["Raw Data"]
         columns = {k: c for k, c in raw.items() if isinstance(c, list)}
         xk = next((k for k in columns if x_unit(k)), None)
         yk = next((k for k in columns if k != xk), None)
-        if xk and yk:
-            meta = {str(k): str(m) for k, m in (s.get("Metadata") or {}).items()}
-            nan = [math.nan if a is None else a for a in columns[yk]]
-            out.append(_trace(columns[xk], nan, x_unit(xk), name, y_unit(yk), meta=meta))
+        if not xk or not yk:
+            continue
+        meta = {str(k): str(m) for k, m in (s.get("Metadata") or {}).items()}
+        nan = [math.nan if a is None else a for a in columns[yk]]
+        peaks = []
+        for label, stats in (s.get("Processed Data") or {}).items():
+            if not isinstance(stats, dict):
+                continue
+            flat = stats | (p if isinstance(p := _stat(stats, "param"), dict) else {})
+            ensemble = [a for a in map(_number, e) if a is not None] if isinstance(e := _stat(flat, "ensemble"), list) else []
+            area, se = (float(np.mean(ensemble)), float(np.std(ensemble, ddof=1)) if len(ensemble) > 1 else None) if ensemble else (None, None)
+            for words in (("area", "mean"), ("area", "best"), ("area", "median"), ("area",)):
+                area = _number(_stat(flat, *words)) if area is None else area
+            se = _number(_stat(flat, "standard deviation")) if se is None else se
+            apex = next((a for w in ("retention", "center", "centre", "rt") if (a := _number(_stat(flat, w))) is not None), None)
+            fitted = [a for a in map(_number, e) if a is not None] if isinstance(e := flat.get("x", _stat(flat, "x-range")), list) else []
+            width = _number(_stat(flat, "width") or _stat(flat, "sigma"))
+            ends = (min(fitted), max(fitted)) if fitted else (apex - 3 * width, apex + 3 * width) if width and apex is not None else (None, None)
+            peaks.append({"start": ends[0], "apex": apex, "end": ends[1], "area": area, "area_se": se, "label": label})
+        out.append(_trace(columns[xk], nan, x_unit(xk), name, y_unit(yk), meta=meta, peaks=peaks))
     return out
 
 
@@ -270,7 +377,8 @@ def _jcamp(data: bytes, options: dict) -> list[dict]:
 
 
 def _mzml(data: bytes, options: dict) -> list[dict]:
-    """Chromatograms (TIC first, 24 at most); without any, the ion current of the first-level spectra."""
+    """Chromatograms (TIC first; the first ``most`` if that option is given); without any, the ion current of the
+    first-level spectra."""
     root = ElementTree.fromstring(data)
     local = lambda e: e.tag.rpartition("}")[2]
     terms = lambda e: {p.get("accession"): p for p in e if local(p) == "cvParam"}
@@ -299,7 +407,10 @@ def _mzml(data: bytes, options: dict) -> list[dict]:
             found.append((("MS:1000235" not in terms(c)), _trace(xs, ys, unit, c.get("id", ""), "counts")))
     found.sort(key=lambda f: f[0])
     if found:
-        return [t for _, t in found[:24]]
+        if (most := options.get("most")) is not None and len(found) > most:
+            options["warnings"].append(f"{len(found) - most} of {len(found)} chromatograms left out")
+            found = found[:most]
+        return [t for _, t in found]
     xs, ys = [], []
     for s in (s for s in root.iter() if local(s) == "spectrum"):
         t = terms(s)
@@ -331,7 +442,8 @@ def _shimadzu(data: bytes, options: dict) -> list[dict]:
     for name, body in re.findall(r"(?ms)^\[([^\]]+)\]\s*$(.*?)(?=^\[|\Z)", decode(data).replace("\r\n", "\n")):
         if not name.lower().startswith("lc chromatogram") and "chromatogram(" not in name.lower():
             continue
-        meta = metadata(body.splitlines()[:30])
+        lines = body.splitlines()
+        meta = metadata(lines[: next((k for k, line in enumerate(lines) if data_line(line)), len(lines))])
         scale = next((float(v) for k, v in meta.items() if "multiplier" in k.lower()), 1.0)
         found, _ = traces_of(body)
         out += [t | {"y": [v * scale for v in t["y"]], "name": name, "meta": meta, "y_unit": meta.get("Intensity Units")} for t in found[:1]]
@@ -355,25 +467,27 @@ def _arw(data: bytes, options: dict) -> list[dict]:
 
 
 def _unicorn(data: bytes, options: dict) -> list[dict]:
-    """Pairs of columns under a row of units; pairs whose values are texts are events."""
+    """Pairs of columns under a row of units; pairs whose values are texts are events, which every trace has."""
     lines = [re.split("[\t;]", line) for line in decode(data).splitlines()]
-    at = next((k for k, cells in enumerate(lines[:40]) if len(cells) >= 2 and all(c.strip().strip('"').lower() in ("ml", "min", "cv", "sec") for c in cells[::2] if c.strip())), None)
+    at = next((k for k, cells in enumerate(lines) if len(cells) >= 2 and all(c.strip().strip('"').lower() in ("ml", "min", "cv", "sec") for c in cells[::2] if c.strip())), None)
     if at is None:
         raise ValueError("no row of units")
     units, names = [c.strip().strip('"') for c in lines[at]], [c.strip().strip('"') for c in lines[at - 1]]
-    out = []
+    out, events = [], []
     for c in range(0, len(units) - 1, 2):
         pairs = [(row[c], row[c + 1]) for row in lines[at + 1 :] if len(row) > c + 1 and row[c].strip()]
-        try:
-            xs, ys = [float(a.replace(",", ".")) for a, _ in pairs], [float(b.replace(",", ".")) for _, b in pairs]
-        except ValueError:
-            continue
-        x, y, shown = finish(xs, ys, units[c].lower(), options.get("flow"))
         name = next((n for n in (names[c] if c < len(names) else "", names[c + 1] if c + 1 < len(names) else "") if n), f"curve {c // 2 + 1}")
-        from .delimited import role_of
-
+        places = [_number(a.replace(",", ".")) for a, _ in pairs]
+        values = [_number(b.replace(",", ".")) for _, b in pairs]
+        if any(v is None for v in values):
+            marks = [(x, label.strip().strip('"')) for x, (_, label) in zip(places, pairs) if x is not None]
+            xs, order, _ = finish([x for x, _ in marks], [float(k) for k in range(len(marks))], units[c].lower(), options.get("flow"))
+            events += [{"curve": name, "x": x, "label": marks[int(k)][1]} for x, k in zip(xs, order)]
+            continue
+        known = [(x, y) for x, y in zip(places, values) if x is not None]
+        x, y, shown = finish([x for x, _ in known], [y for _, y in known], units[c].lower(), options.get("flow"))
         out.append({"name": name, "x": x, "y": y, "x_unit": shown, "y_unit": units[c + 1], "role": role_of(f"{name} {units[c + 1]}"), "meta": {}})
-    return sorted(out, key=lambda t: t["role"] != "signal")
+    return [t | {"events": events} for t in sorted(out, key=lambda t: t["role"] != "signal")]
 
 
 # Binary
@@ -530,6 +644,8 @@ for _p in (
     Plugin("shimadzu", ("txt", "asc"), 110, lambda h, t: 0.9 if re.search(r"(?m)^\[(?:Header|LC Chromatogram)", t) else 0.0, _shimadzu),
     Plugin("waters-arw", ("arw",), 120, lambda h, t: 0.8 if re.match(r'"[^"\n]+"(?:\t"[^"\n]+")*\s*\n"', t) else 0.0, _arw),
     Plugin("unicorn", ("asc", "txt"), 130, lambda h, t: 0.85 if re.search(r"(?mi)^\"?(?:ml|min|cv)\"?[\t;][^\t;\n]+[\t;]\"?(?:ml|min|cv)\"?[\t;]", t) else 0.0, _unicorn),
+    Plugin("chromatopy", ("json",), 150, lambda h, t: 0.0, lambda d, o: _json(d, o), False, lambda v: 0.9 * (isinstance(v, dict) and isinstance(v.get("Samples"), dict)), _samples_traces),
+    Plugin("mocca2", ("json",), 160, lambda h, t: 0.0, lambda d, o: _json(d, o), False, lambda v: 0.9 * (isinstance(v, dict) and isinstance(v.get("chromatograms"), dict)), _dataset_traces),
     Plugin("biorad", ("csv",), 140, lambda h, t: 0.5 if re.search(r"(?m)^Volume \(ml\),", t) else 0.0, lambda d, o: sorted(_delimited(d, o), key=lambda t: t["role"] != "signal")),
 ):
     register(_p)
@@ -538,14 +654,17 @@ for _p in (
 def parse_files(files: DataFrame, format: str | None = None, **options) -> DataFrame:
     """Traces of ``files`` (path, content as text or bytes), columns as in TRACE: a row for each trace, or one without a
     trace for a file that can't be read, whose error says why. Each file is read by itself, whole; no shuffle."""
-    names = ["name", "x", "y", "x_unit", "y_unit", "role", "meta"]
-    kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+    names = ["name", "x", "y", "x_unit", "y_unit", "role", "meta", "peaks", "events"]
+    peak = pa.struct([*((k, pa.float64()) for k in ("start", "apex", "end", "area", "area_se")), ("label", pa.string())])
+    event = pa.struct([("curve", pa.string()), ("x", pa.float64()), ("label", pa.string())])
+    kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(peak), pa.list_(event)]
+    blank = {"peaks": [], "events": []}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 got = parse_file(data or b"", path or "", format, **options)
-                rows = got["traces"] or [dict.fromkeys(names)]
+                rows = [blank | t for t in got["traces"]] or [dict.fromkeys(names)]
                 n = len(rows)
                 columns = [pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32())]
                 columns += [pa.array([list(r[c].items()) if c == "meta" and r[c] is not None else r[c] for r in rows], k) for c, k in zip(names, kinds)]
@@ -555,6 +674,35 @@ def parse_files(files: DataFrame, format: str | None = None, **options) -> DataF
     return files.select(F.col("path").cast("string"), "content").mapInArrow(read, TRACE)
 
 
+def split_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, all others) by their paths: images go to ``images`` and the digitizer, all else to parse_files()."""
+    image = F.coalesce(is_image(F.col("path").cast("string")), F.lit(False))
+    return files.filter(image), files.filter(~image)
+
+
 def read_files(spark, path: str, format: str | None = None, **options) -> DataFrame:
     """Traces of all files under ``path``."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), format, **options)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return parse_files(split_files(files)[1], format, **options)
+
+
+def at_wavelength(files: DataFrame, wavelength: float | str) -> DataFrame:
+    """The traces of files with absorbance matrices at another wavelength (nm, or "sum"); trace_no stays the same, so
+    settings and styles keyed by (path, trace_no) go on to apply."""
+    return parse_files(files, "mocca2", wavelength=wavelength)
+
+
+def offered_wavelengths(files: DataFrame) -> DataFrame:
+    """path and the wavelengths (array of double, ascending) that each file offers; none where it has no matrix."""
+
+    @F.arrow_udf("array<double>")
+    def offered(content: pa.Array) -> pa.Array:
+        def of(data: bytes | None) -> list[float]:
+            try:
+                return wavelengths(json.loads(decode(data or b"")))
+            except ValueError:
+                return []
+
+        return pa.array([of(c) for c in content.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+
+    return files.select(F.col("path").cast("string"), offered(F.col("content").cast("binary")).alias("wavelengths"))
