@@ -121,3 +121,29 @@ def calibration_points(levels: DataFrame, responses: DataFrame) -> DataFrame:
     y = F.when(F.col("trace_id").isNull(), F.col("response")).otherwise(F.col("measured"))
     missing = F.when(y.isNotNull() & F.col("conc").isNotNull(), None).when(F.col("conc").isNull(), "no concentration").when(F.col("trace_id").isNull(), "no response").otherwise("no matching peak")
     return joined.select("analyte", "level", F.col("conc").alias("x"), y.alias("y"), F.coalesce("include", F.lit(True)).alias("include"), missing.alias("missing"))
+
+
+def level_rows(points: DataFrame, fits: DataFrame, by: str = "analyte") -> DataFrame:
+    """Levels (analyte, level, x, y, include, missing) beside the curve of their analyte: conc, response, included, fitted,
+    residual, back_conc (what the response means by the curve), recovery_pct (of the level's own concentration) and flags.
+    A level without a response has none of these, and one of an analyte without a curve no figures."""
+    c = inverse(points.join(fits, by, "left"), F.col("y")).withColumn("fitted", predict(F.col("x")))
+    return c.select(
+        by, "level", F.col("x").alias("conc"), F.col("y").alias("response"), F.col("include").alias("included"), "fitted", (F.col("y") - F.col("fitted")).alias("residual"),
+        F.col("conc").alias("back_conc"), (100 * F.try_divide("conc", "x")).alias("recovery_pct"), F.when(F.col("y").isNotNull() & F.col("b1").isNotNull(), F.col("conc_flags")).alias("flags"), "missing",
+    )
+
+
+def unknown_rows(peaks: DataFrame, fits: DataFrame, standards: DataFrame | None = None, by: str = "analyte") -> DataFrame:
+    """Matched peaks (analyte, trace_id, peak_no, response) with conc, conc_se and conc_flags by the curve of their
+    analyte; traces among ``standards`` (analyte, trace_id) are flagged "standard" as well. Of several analytes that match
+    one peak the first counts, by analyte. Peaks of analytes without a curve have no concentration."""
+    first = F.min(F.struct(by, "response")).alias("f")
+    one = peaks.groupBy("trace_id", "peak_no").agg(first).select("trace_id", "peak_no", f"f.{by}", "f.response")
+    c = inverse(one.join(fits, by, "left"), F.col("response"))
+    flags = F.when(F.col("b1").isNotNull(), F.col("conc_flags")).otherwise(F.array().cast("array<string>"))
+    if standards is not None:
+        known = standards.select(by, "trace_id").distinct().withColumn("_standard", F.lit(True))
+        c = c.join(known, [by, "trace_id"], "left")
+        flags = F.concat(flags, F.when(F.col("_standard"), F.array(F.lit("standard"))).otherwise(F.array().cast("array<string>")))
+    return c.select("trace_id", "peak_no", by, "response", "conc", "conc_se", flags.alias("conc_flags"))

@@ -52,7 +52,7 @@ def processed(traces: DataFrame, how: Processing) -> DataFrame:
     return out
 
 
-ANALYSED = {"peak_no": "int", "cluster": "int", "mode": "string", "start": "double", "end": "double", "shoulder": "boolean", "p2p": "double"} | K.PEAK_FIELDS
+ANALYSED = {"peak_no": "int", "cluster": "int", "cluster_size": "int", "mode": "string", "host": "int", "start": "double", "apex": "double", "end": "double", "shoulder": "boolean", "p2p": "double", "gross_area": "double", "baseline_area": "double"} | K.PEAK_FIELDS
 
 
 def analysed(x: Column, y: Column, how: Processing = Processing()) -> Column:
@@ -72,9 +72,9 @@ def analysed(x: Column, y: Column, how: Processing = Processing()) -> Column:
         found = peaks.detect(x, y, level, how.min_dist, how.min_width, how.shoulders)
         results = clusters.integrate(x, y, [p[:3] for p in found], how.mode, how.skim_ratio)
         out = []
-        for (start, _, end, _, shoulder), result in zip(found, results):
+        for (start, apex, end, _, shoulder), got in zip(found, results):
             _, *rest = peaks.figures(x, y, start, end)
-            out.append((result["peak_no"], result["cluster"], result["mode"], start, end, shoulder, 6 * sigma, result["area"], *rest))
+            out.append((got["peak_no"], got["cluster"], got["cluster_size"], got["mode"], got["host"], start, apex, end, shoulder, 6 * sigma, got["gross"], got["baseline"], got["area"], *rest))
         return out
 
     kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in ANALYSED.items()) + ">>"

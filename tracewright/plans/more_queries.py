@@ -398,3 +398,71 @@ def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matching.band_join(p, labels, "rt", "at", 0.05)
     best = F.min(F.struct(F.abs(F.col("rt") - F.col("at")).alias("d"), "at", "label"))
     return pairs.groupBy("peak_no").agg(best.alias("b")).select("peak_no", F.col("b.label").alias("label"))
+
+
+def _sql_columns(columns: dict, own: dict[str, str]) -> str:
+    kinds = {"int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    return ", ".join(f'CAST({own.get(n, "NULL")} AS {kinds[k]}) AS "{n}"' for n, (k, _) in columns.items())
+
+
+PEAK_SQL = {
+    "schema_version": "2", "trace_id": "l_orderkey", "peak_no": "l_linenumber", "label": "l_returnflag", "mode": "'drop'", "rt": "l_quantity + l_linenumber / 10.0", "height": "l_quantity", "area": "l_extendedprice",
+    "fwhm": "1 + l_discount", "area_pct": "round(100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 6)",
+    "resolution": "round(1.18 * (l_quantity + l_linenumber / 10.0 - lag(l_quantity + l_linenumber / 10.0) OVER w) / (1 + l_discount + lag(1 + l_discount) OVER w), 6) + 0.0", "flags": "''",
+}
+
+
+@query(f"""SELECT {_sql_columns(exports.PEAK_COLUMNS, PEAK_SQL)} FROM lineitem WHERE l_linestatus = 'F' WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity + l_linenumber / 10.0, l_linenumber, 1 + l_discount, l_extendedprice)""")
+def exported_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak rows with all columns of the export; line items stand for peaks, those of status F for peaks of signals."""
+    p = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("int").alias("peak_no"), F.col("l_returnflag").alias("label"), F.lit("drop").alias("mode"), F.col("l_extendedprice").alias("area"),
+        F.col("l_quantity").alias("height"), (F.col("l_quantity") + F.col("l_linenumber") / 10.0).alias("rt"), (1 + F.col("l_discount")).alias("fwhm"), F.when(F.col("l_linestatus") == "F", "signal").otherwise("pressure").alias("role"),
+    )
+    m = metrics.peak_list_metrics(p.filter("role = 'signal'")).withColumns({c: r(c) for c in ("area_pct", "resolution")})
+    return exports.peak_rows(m, {"x": "min", "y": "mAU", "conc": "mg/L"})
+
+
+TRACE_SQL = {
+    "schema_version": "2", "trace_id": "trace_id", "trace_name": "'trace ' || trace_id", "role": "'signal'", "digitized": "false", "x_unit": "'min'", "n_points": "n", "x_min": "0", "x_max": "n - 1", "y_min": "round(lo, 6) + 0.0", "y_max": "round(hi, 6) + 0.0",
+    "noise": "round(CASE WHEN s > 0 THEN s ELSE rms END, 6)", "p2p": "round(6 * CASE WHEN s > 0 THEN s ELSE rms END, 5)", "n_peaks": "coalesce(k, 0)", "total_area": "round(total, 4)", "largest_rt": "rt", "largest_area_pct": "round(pct, 6)",
+}
+
+
+@query(f"""WITH {EMB}, d AS (SELECT trace_id, y - lag(y) OVER (PARTITION BY trace_id ORDER BY i) AS d FROM e), m AS (SELECT trace_id, median(d) AS m FROM d WHERE d IS NOT NULL GROUP BY trace_id),
+z AS (SELECT trace_id, 1.4826 * median(abs(d - m)) / sqrt(2) AS s, sqrt(avg(d * d) / 2) AS rms FROM d JOIN m USING (trace_id) WHERE d IS NOT NULL GROUP BY trace_id),
+b AS (SELECT trace_id, min(y) AS lo, max(y) AS hi FROM e GROUP BY trace_id),
+p AS (SELECT o_orderkey % 500 AS trace_id, o_totalprice AS area, o_orderkey / 100.0 AS rt FROM orders WHERE o_orderkey % 500 <> 3),
+q AS (SELECT *, 100 * area / sum(area) OVER (PARTITION BY trace_id) AS pct FROM p), g AS (SELECT trace_id, count(*) AS k, sum(area) AS total, arg_max(rt, pct) AS rt, max(pct) AS pct FROM q GROUP BY trace_id),
+j AS (SELECT n.trace_id, n.n, lo, hi, s, rms, k, total, rt, pct FROM n JOIN z USING (trace_id) JOIN b USING (trace_id) LEFT JOIN g USING (trace_id))
+SELECT {_sql_columns(exports.TRACE_COLUMNS, TRACE_SQL)} FROM j""")
+def exported_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace rows with all columns of the export; orders stand for the peaks of traces."""
+    t = views.embeddings(spark, sf_dir).withColumns({"trace_name": F.concat(F.lit("trace "), F.col("trace_id").cast("string")), "role": F.lit("signal"), "digitized": F.lit(False), "x_unit": F.lit("min")})
+    p = views.table(spark, sf_dir, "orders").filter("o_orderkey % 500 <> 3").select((F.col("o_orderkey") % 500).alias("trace_id"), F.col("o_totalprice").alias("area"), (F.col("o_orderkey") / 100.0).alias("rt"))
+    p = p.withColumn("area_pct", 100 * F.col("area") / F.sum("area").over(Window.partitionBy("trace_id")))
+    out = exports.trace_rows(t, p, {"x": "min", "y": "mAU"})
+    digits = {"y_min": 6, "y_max": 6, "noise": 6, "p2p": 5, "total_area": 4, "largest_area_pct": 6}
+    return out.withColumns({c: r(c, k) for c, k in digits.items()})
+
+
+@query("""WITH c AS (SELECT p_brand AS analyte, p_partkey AS level, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS y, p_partkey % 5 <> 0 AS inc FROM part),
+m AS (SELECT analyte, count(*) AS n, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, regr_sxx(y, x) AS sxx, min(x) AS lo, max(x) AS hi FROM c WHERE inc AND y IS NOT NULL GROUP BY analyte),
+s AS (SELECT analyte, sqrt(sum(pow(y - b0 - b1 * x, 2)) / (max(n) - 2)) AS s FROM c JOIN m USING (analyte) WHERE inc AND y IS NOT NULL GROUP BY analyte),
+q AS (SELECT c.*, b0, b1, (y - b0) / b1 AS back, lo, hi, 3.3 * s / abs(b1) AS lod, 10 * s / abs(b1) AS loq FROM c LEFT JOIN m USING (analyte) LEFT JOIN s USING (analyte))
+SELECT analyte, CAST(level AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS label, x AS conc, y AS response, inc AS included, round(b0 + b1 * x, 4) AS fitted, round(y - b0 - b1 * x, 4) + 0.0 AS residual,
+  round(sign(back) * ln(1 + abs(back)), 4) + 0.0 AS back_conc, round(sign(back / x) * ln(1 + abs(100 * back / x)), 4) + 0.0 AS recovery_pct,
+  CASE WHEN y IS NOT NULL THEN concat_ws(';', CASE WHEN back < lo OR back > hi THEN 'extrapolated' END, CASE WHEN back < lod THEN 'below_LOD' WHEN back < loq THEN 'below_LOQ' END) ELSE '' END AS flags, CASE WHEN y IS NULL THEN 'no response' END AS missing FROM q""")
+def exported_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration rows: every level beside its curve (the back-calculated concentration and the recovery as signed
+    logarithms, as the curves of this table are nearly flat)."""
+    p = views.table(spark, sf_dir, "part")
+    levels = p.select(
+        F.col("p_brand").alias("analyte"), F.col("p_partkey").alias("level"), F.col("p_size").cast("double").alias("conc"), F.lit(None).cast("long").alias("trace_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("response"), (F.col("p_partkey") % 5 != 0).alias("include")
+    )
+    none = levels.select("analyte", "trace_id", "response").limit(0)
+    points = calibration.calibration_points(levels, none)
+    rows = calibration.level_rows(points, calibration.fit(points, "analyte"))
+    log = lambda c: r(F.signum(c) * F.log1p(F.abs(F.col(c))), 4)
+    rows = rows.withColumns({"fitted": r("fitted", 4), "residual": r("residual", 4), "back_conc": log("back_conc"), "recovery_pct": log("recovery_pct")})
+    return exports.fixed(rows, exports.CALIBRATION_COLUMNS, {"conc": "mg/L"})
