@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .integration import meets
@@ -33,25 +33,95 @@ def undecided_clusters(peaks: DataFrame) -> DataFrame:
     return g.filter("peaks > 1 and _m = 0").drop("_m")
 
 
-def match_printed(peaks: DataFrame, printed: DataFrame, tolerance: float) -> DataFrame:
+def match_printed(peaks: DataFrame, printed: DataFrame, tolerance: float, radius: float | None = None) -> DataFrame:
     """Printed peaks (trace_id, printed_no, printed_rt) with the peak that is nearest to them and to which they are the
-    nearest, within the tolerance; ties go to the smaller number. Others have nulls."""
-    pairs = band_join(peaks, printed, "rt", "printed_rt", tolerance, ["trace_id"]).withColumn("_d", F.abs(F.col("rt") - F.col("printed_rt")))
-    by_printed = pairs.groupBy("trace_id", "printed_no").agg(F.min(F.struct("_d", "peak_no")).alias("m")).select("trace_id", "printed_no", F.col("m.peak_no").alias("peak_no"))
+    nearest, looked for within ``radius`` (ten tolerances, 0.5 at least), the distance, and whether it is within the
+    tolerance; ties go to the smaller number. Others have nulls."""
+    radius = max(10 * tolerance, 0.5) if radius is None else radius
+    pairs = band_join(peaks.select("trace_id", "peak_no", "rt"), printed, "rt", "printed_rt", radius, ["trace_id"]).withColumn("_d", F.abs(F.col("rt") - F.col("printed_rt")))
+    by_printed = pairs.groupBy("trace_id", "printed_no").agg(F.min(F.struct("_d", "peak_no", "rt")).alias("m")).select("trace_id", "printed_no", F.col("m.peak_no").alias("peak_no"), F.col("m.rt").alias("_rt"))
     by_peak = pairs.groupBy("trace_id", "peak_no").agg(F.min(F.struct("_d", "printed_no")).alias("m")).select("trace_id", F.col("m.printed_no").alias("printed_no"), "peak_no")
     both = by_printed.join(by_peak, ["trace_id", "printed_no", "peak_no"])
-    return printed.join(both, ["trace_id", "printed_no"], "left")
+    out = printed.join(both, ["trace_id", "printed_no"], "left").withColumn("delta", F.col("_rt") - F.col("printed_rt")).drop("_rt")
+    return out.withColumn("within", F.abs("delta") <= tolerance)
+
+
+def parse_printed(lines: DataFrame) -> DataFrame:
+    """Lists of peaks as printed (trace_id, text: a line each of a place, an area share and a label, parted by commas,
+    semicolons, tabs or blanks) as rows: trace_id, printed_no, printed_rt, printed_pct, label. Lines without a place are
+    left out; a share may end in %; a missing one, or a missing label, is null."""
+    line = lines.select("trace_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n")).alias("i", "line"))
+    part = lambda k: F.regexp_extract(F.trim("line"), r"^([-+]?\d+(?:\.\d+)?)(?:\s*[,;\t ]\s*([-+]?\d+(?:\.\d+)?)\s*%?)?(?:\s*[,;\t ]\s*(.*?))?$", k)
+    rows = line.select("trace_id", "i", part(1).alias("a"), part(2).alias("b"), F.nullif(F.trim(part(3)), F.lit("")).alias("label")).filter("a <> ''")
+    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("i"))
+    return rows.select("trace_id", number.alias("printed_no"), F.col("a").try_cast("double").alias("printed_rt"), F.nullif("b", F.lit("")).try_cast("double").alias("printed_pct"), "label")
+
+
+def add_peaks(peaks: DataFrame, added: DataFrame, step: Column) -> DataFrame:
+    """``peaks`` and those of ``added`` (trace_id, peak_no, start, apex, end) that have no peak of their trace within two
+    ``step`` of their apex. Where a new one overlaps its neighbours, it is trimmed to theirs. New ones are manual."""
+    near = meets(added.withColumns({"_low": F.col("apex") - 2 * step, "_high": F.col("apex") + 2 * step}), "_low", "_high", peaks, "apex", "apex", "trace_id", closed=True)
+    new = near.filter("not _meets").drop("_meets", "_low", "_high").withColumn("_new", F.lit(True))
+    both = peaks.withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+    order = Window.partitionBy("trace_id").orderBy("apex", "_new", "peak_no")
+    before = F.last(F.when(~F.col("_new"), F.col("end")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(~F.col("_new"), F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    trimmed = both.withColumns({"_b": before, "_a": after})
+    start = F.when(F.col("_new"), F.greatest("start", F.least("_b", "apex"))).otherwise(F.col("start"))
+    end = F.when(F.col("_new"), F.least("end", F.greatest("_a", "apex"))).otherwise(F.col("end"))
+    manual = F.col("_new") if "manual" not in peaks.columns else F.coalesce("manual", F.lit(False)) | F.col("_new")
+    return trimmed.withColumns({"start": start, "end": end, "manual": manual}).drop("_new", "_b", "_a")
+
+
+def nudged(x: Column, at: Column, samples: int) -> Column:
+    """The place ``samples`` samples along the trace from the sample nearest to ``at``, kept within the trace."""
+    far = F.transform(x, lambda v: F.abs(v - at))
+    k = F.array_position(far, F.array_min(far)).cast("int") - 1
+    return F.get(x, F.greatest(F.lit(0), F.least(F.size(x) - 1, k + samples)))
+
+
+def joined_results(peaks: DataFrame, results: DataFrame) -> DataFrame:
+    """Peaks (trace_id, peak_no, peak_id) with the columns of their results: by peak_id where both have one, else by
+    peak_no. A peak without a result has nulls."""
+    own = [c for c in results.columns if c not in ("trace_id", "peak_no", "peak_id")]
+    by_id = results.filter("peak_id is not null").select("trace_id", "peak_id", F.struct(*own).alias("_a"))
+    by_no = results.filter("peak_id is null").select("trace_id", "peak_no", F.struct(*own).alias("_b"))
+    out = peaks.join(by_id, ["trace_id", "peak_id"], "left").join(by_no, ["trace_id", "peak_no"], "left")
+    return out.withColumn("_r", F.coalesce("_a", "_b")).select(*peaks.columns, *[F.col(f"_r.{c}").alias(c) for c in own])
+
+
+def fit_components(peaks: DataFrame, fits: DataFrame) -> DataFrame:
+    """Peaks with the component of their trace's joint fit (column ``fit``: an array as fitting.FIT, in the order of the
+    peaks that were fitted, whose numbers are in ``peak_nos``): mu, sigma, tau, fit_height, fit_area, fit_area_se."""
+    each = fits.select("trace_id", F.explode(F.arrays_zip(F.col("peak_nos").alias("peak_no"), F.col("fit").alias("f"))).alias("c"))
+    names = {"mu": "mu", "sigma": "sigma", "tau": "tau", "height": "fit_height", "area": "fit_area", "area_se": "fit_area_se"}
+    parts = each.select("trace_id", F.col("c.peak_no").alias("peak_no"), *[F.col(f"c.f.{k}").alias(n) for k, n in names.items()])
+    return peaks.join(parts, KEYS, "left")
+
+
+#: What is looked for in the keys of a trace's metadata.
+RUN_FIELDS = {
+    "sample": "sample|injection name", "instrument": "instrument|system|device", "column": r"\bcolumn\b", "operator": "operator|\buser\b|analyst", "date": "date|acquired|injection time", "method": "method|program",
+    "detector": "detector|channel", "wavelength": "wavelength|lambda", "flow": r"\bflow", "temperature": "temp|oven", "injection_volume": r"inj\w*\.?\s*vol|volume inj",
+}
 
 
 def run_info(meta: Column) -> Column:
-    """struct(sample, instrument, column, operator, date) found in a trace's metadata by its keys; the first that fits."""
-    patterns = {"sample": "sample|injection name", "instrument": "instrument|system|device", "column": "column", "operator": "operator|user|analyst", "date": "date|acquired"}
+    """struct of RUN_FIELDS found in a trace's metadata by its keys; of each the first that fits and isn't blank."""
 
     def first(p: str) -> Column:
         hit = F.map_values(F.map_filter(meta, lambda k, v: F.lower(k).rlike(p) & (F.length(F.trim(v)) > 0)))
         return F.trim(F.get(hit, F.lit(0)))
 
-    return F.struct(*[first(p).alias(n) for n, p in patterns.items()])
+    return F.struct(*[first(p).alias(n) for n, p in RUN_FIELDS.items()])
+
+
+def effective_run(project: Column, own: Column) -> Column:
+    """A project's run information (map) under that of a trace: the trace's own entries win unless they are blank."""
+    blank = F.create_map().cast("map<string,string>")
+    own = F.map_filter(F.coalesce(own, blank), lambda k, v: F.length(F.trim(F.coalesce(v, F.lit("")))) > 0)
+    base = F.map_filter(F.coalesce(project, blank), lambda k, v: ~F.map_contains_key(own, k))
+    return F.map_concat(base, own)
 
 
 def trace_summaries(peaks: DataFrame) -> DataFrame:

@@ -41,3 +41,15 @@ def visible_signals(traces: DataFrame, unit: str | None = None) -> DataFrame:
     """Traces that are shown, are signals (not gradients, conductivities, ...), and have the given unit of x."""
     shown = F.coalesce("visible", F.lit(True)) & (F.coalesce("role", F.lit("signal")) == "signal")
     return traces.filter(shown & (F.col("x_unit") == unit) if unit else shown)
+
+
+def numbered(df: DataFrame, key: str, name: str = "place", width: int = 4096) -> DataFrame:
+    """Adds ``name``: the place (from 0) of each row by its whole-number ``key``; nulls have none. Rows are counted by ranges
+    of ``width`` keys, only these counts are summed up in order, and each range is numbered by itself, so no task sorts all
+    rows. Rows with equal keys are numbered in any order."""
+    rows = df.withColumn("_range", F.floor(F.col(key) / width))
+    counts = rows.filter("_range is not null").groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return rows.withColumn("_local", local).join(starts, "_range", "left").withColumn(name, F.col("_start") + F.col("_local")).drop("_range", "_local", "_start")

@@ -265,10 +265,10 @@ a AS (SELECT trace_id, printed_no, peak_no FROM (SELECT *, row_number() OVER (PA
 b AS (SELECT trace_id, printed_no, peak_no FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, peak_no ORDER BY d, printed_no) AS rk FROM j) WHERE rk = 1)
 SELECT p.trace_id, p.printed_no, m.peak_no FROM p LEFT JOIN (SELECT * FROM a INTERSECT SELECT * FROM b) m USING (trace_id, printed_no)""")
 def printed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed places with the peaks they stand for, one to one."""
+    """Printed places with the peaks they stand for, one to one, looked for within ten tolerances."""
     k = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("peak_no"), (F.col("o_totalprice") / 1000).alias("rt")).distinct()
     p = k.filter("peak_no % 3 = 0").select("trace_id", F.col("peak_no").alias("printed_no"), F.round("rt", 0).alias("printed_rt"))
-    return edits.match_printed(k, p, 2.0).select("trace_id", "printed_no", "peak_no")
+    return edits.match_printed(k, p, 0.2).select("trace_id", "printed_no", "peak_no")
 
 
 @query("""WITH l AS (SELECT user_id, event_id, CASE WHEN value > 20 THEN 3 ELSE 1 END AS good, CASE WHEN value > 90 THEN 2 ELSE 0 END AS bad FROM events),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, gradient, integration, matching, metrics, peaks
+from ..operators import calibration, gradient, integration, matching, metrics, peaks, tables
 from ..operators import signal as S
 from . import views
 
@@ -113,14 +113,14 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", "i", r("s.a").alias("by_max"), r("s.b", 4).alias("by_area"), r("s.c").alias("by_size"))
 
 
-@query(f"""WITH {EMB}, pair AS (SELECT trace_id, trace_id + 1 AS other FROM n WHERE trace_id % 2 = 0 AND trace_id + 1 IN (SELECT trace_id FROM n))
+@query(f"""WITH {EMB}, pair AS (SELECT trace_id, trace_id + 1 AS other FROM n WHERE trace_id + 1 IN (SELECT trace_id FROM n))
 SELECT p.trace_id, CAST(a.i AS INTEGER) AS i, round(a.y - CASE WHEN a.i >= 1 THEN c.y + (b.y - c.y) * 0.5 END, 6) + 0.0 AS y FROM pair p JOIN e a ON a.trace_id = p.trace_id
 LEFT JOIN e b ON b.trace_id = p.other AND b.i = a.i LEFT JOIN e c ON c.trace_id = p.other AND c.i = a.i - 1""")
 def difference_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every even trace minus the one after it, which is moved by half a sample."""
+    """Every trace minus the one after it, which is moved by half a sample."""
     t = views.embeddings(spark, sf_dir)
     b = t.select((F.col("trace_id") - 1).alias("trace_id"), S.align(F.col("x"), F.lit(0.5)).alias("bx"), F.col("y").alias("by"))
-    both = t.filter("trace_id % 2 = 0").join(b, "trace_id")
+    both = t.join(b, "trace_id")
     rows = both.select("trace_id", F.posexplode(S.difference(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))).alias("i", "y"))
     return rows.select("trace_id", "i", r("y").alias("y"))
 
@@ -350,9 +350,9 @@ SELECT trace_id, CAST(row_number() OVER (ORDER BY trace_id) - 1 AS INTEGER) AS p
 def stacked_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets of a waterfall display: each trace a tenth of the largest signal above the one before."""
     t = views.embeddings(spark, sf_dir).select("trace_id", F.array_max(F.transform("y", lambda v: F.abs(v))).alias("big"))
-    top = t.agg(F.max("big").alias("top"))
-    place = F.row_number().over(Window.orderBy("trace_id")) - 1
-    return t.select("trace_id", place.alias("place")).crossJoin(F.broadcast(top)).select("trace_id", "place", r(F.col("place") * 0.1 * F.col("top")).alias("dy"))
+    top = t.agg(F.max("big").alias("top"))  # one row
+    rows = tables.numbered(t, "trace_id").crossJoin(F.broadcast(top))
+    return rows.select("trace_id", F.col("place").cast("int").alias("place"), r(F.col("place") * 0.1 * F.col("top")).alias("dy"))
 
 
 @query("""WITH d AS (SELECT l_returnflag AS trace_id, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS x, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20, 4))) AS DOUBLE) AS y FROM lineitem GROUP BY ALL)
