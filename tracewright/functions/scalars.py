@@ -1,7 +1,11 @@
-"""Units, numbers in texts, file names and colours: built-in expressions only."""
+"""Units, numbers in texts, file names, colours and guards for untrusted texts: built-in expressions, save for numeric
+references."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +104,58 @@ def peak_label(mode: Column, name: Column, rt: Column, area_pct: Column) -> Colu
         F.when(mode == "none", "").when(mode == "rt", at).when(mode == "name", F.coalesce(name, F.lit("")))
         .when(mode == "name+rt", F.concat_ws(" ", name, at)).when(mode == "area", F.format_string("%.1f%%", area_pct)).otherwise(F.coalesce(name, at))
     )
+
+
+def formatted(v: Column, digits: int = 4) -> Column:
+    """A number for display with so many significant digits: plain within 1e-3 and 1e6, else with an exponent; a dash where
+    there is none."""
+    size = F.abs(v)
+    rounded = round_significant(v, digits)
+    places = F.greatest(F.lit(0), digits - 1 - F.floor(F.log10(F.greatest(F.abs(rounded), F.lit(1e-300))))).cast("int")
+    trim = lambda s: F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
+    plain = trim(F.regexp_replace(F.format_number(F.round(rounded, 12), 12), ",", ""))
+    exponent = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits - 1}e", v), r"\.?0+e", "e"), r"e([+-])0*(\d)", "e$1$2")
+    none = v.isNull() | F.isnan(v) | (size == float("inf"))
+    return F.when(none, "—").when(v == 0, "0").when((size >= 1e6) | (size < 1e-3), exponent).when(places >= 0, plain)
+
+
+#: The named references of XML.
+XML_NAMES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def decode_xml(s: Column) -> Column:
+    """A text whose five named and numeric references are decoded; numbers that are no character give U+FFFD."""
+
+    @F.arrow_udf("string")
+    def numeric(texts: pa.Array) -> pa.Array:
+        def one(m: re.Match) -> str:
+            n = int(m[1], 16) if m[1] else int(m[2])
+            return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd"
+
+        pattern = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,8})|(\d{1,10}));")
+        return pa.array([None if t is None else pattern.sub(one, t) for t in texts.to_pylist()], pa.string())
+
+    out = F.when(s.contains("&#"), numeric(s)).otherwise(s)
+    for name, plain in XML_NAMES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
+def safe_text(s: Column, most: int = 1000) -> Column:
+    """An untrusted text without control characters (line ends and tabs stay), ``most`` characters at most."""
+    return F.substring(F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
+
+
+def safe_colour(s: Column, default: str = "#000000") -> Column:
+    """#rgb or #rrggbb in small letters; ``default`` for anything else."""
+    return F.when(s.rlike("^#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$"), F.lower(s)).otherwise(F.lit(default))
+
+
+def safe_image(s: Column) -> Column:
+    """A data URL of a bitmap in base64; null for anything else."""
+    return F.when(s.rlike(r"^data:image/(png|jpeg|webp|gif|bmp);base64,[A-Za-z0-9+/]+={0,2}$"), s)
+
+
+def file_safe(s: Column) -> Column:
+    """A text as a file name: runs of all but letters, digits, dot, hyphen and underscore become one underscore."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.trim(s), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit("file"))

@@ -67,8 +67,8 @@ def add_peaks(peaks: DataFrame, added: DataFrame, step: Column) -> DataFrame:
     before = F.last(F.when(~F.col("_new"), F.col("end")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(~F.col("_new"), F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     trimmed = both.withColumns({"_b": before, "_a": after})
-    start = F.when(F.col("_new"), F.greatest("start", F.least("_b", "apex"))).otherwise(F.col("start"))
-    end = F.when(F.col("_new"), F.least("end", F.greatest("_a", "apex"))).otherwise(F.col("end"))
+    start = F.when(F.col("_new"), F.greatest("start", F.when(F.col("_b").isNotNull(), F.least("_b", "apex")))).otherwise(F.col("start"))
+    end = F.when(F.col("_new"), F.least("end", F.when(F.col("_a").isNotNull(), F.greatest("_a", "apex")))).otherwise(F.col("end"))
     manual = F.col("_new") if "manual" not in peaks.columns else F.coalesce("manual", F.lit(False)) | F.col("_new")
     return trimmed.withColumns({"start": start, "end": end, "manual": manual}).drop("_new", "_b", "_a")
 

@@ -49,10 +49,35 @@ def half_pixel(axes: Axes, which: str, value: Column) -> Column:
     return F.lit(abs(slope) / 2) * (value * float(np.log(10)) if log else F.lit(1.0))
 
 
-def mask(raster: np.ndarray, rgb: tuple[int, int, int], tolerance: float) -> np.ndarray:
+#: A rectangle of pixels: left, top, width, height.
+Rect = tuple[float, float, float, float]
+
+
+def _inside(shape: tuple[int, int], rect: Rect) -> tuple[slice, slice]:
+    """Rows and columns of a rectangle (negative sizes reach back), within the image."""
+    x, y, w, h = rect
+    (x0, x1), (y0, y1) = sorted((x, x + w)), sorted((y, y + h))
+    cut = lambda v, most: int(min(max(round(v), 0), most))
+    return slice(cut(y0, shape[0]), cut(y1, shape[0])), slice(cut(x0, shape[1]), cut(x1, shape[1]))
+
+
+def within(m: np.ndarray, include: list[Rect] = (), exclude: list[Rect] = ()) -> np.ndarray:
+    """A mask inside any of ``include`` (everywhere without one) and outside all of ``exclude``."""
+    out = m.copy()
+    if include:
+        allowed = np.zeros_like(m)
+        for rect in include:
+            allowed[_inside(m.shape, rect)] = True
+        out &= allowed
+    for rect in exclude:
+        out[_inside(m.shape, rect)] = False
+    return out
+
+
+def mask(raster: np.ndarray, rgb: tuple[int, int, int], tolerance: float, include: list[Rect] = (), exclude: list[Rect] = ()) -> np.ndarray:
     """Pixels (height, width, RGBA) near a colour; transparent ones aren't."""
     far = np.sqrt(((raster[..., :3].astype(float) - np.array(rgb)) ** 2).sum(axis=-1))
-    return (far <= tolerance) & (raster[..., 3] >= 16)
+    return within((far <= tolerance) & (raster[..., 3] >= 16), include, exclude)
 
 
 def dark_mask(raster: np.ndarray, most: float, chroma: float = 70) -> np.ndarray:
@@ -144,16 +169,130 @@ def draw(y: np.ndarray, width: int, height: int, low: float, high: float, rgb: t
     return out
 
 
-def digitized(content: Column, width: Column, height: Column, axes: Column, rgb: tuple[int, int, int], tolerance: float = 60, points: int = 0) -> Column:
+# Preparing images
+
+
+def cropped(raster: np.ndarray, rect: Rect) -> np.ndarray:
+    """The part of an image in a rectangle; at least one pixel."""
+    rows, cols = _inside(raster.shape[:2], rect)
+    part = raster[rows, cols]
+    return part if part.size else raster[:1, :1]
+
+
+def adjusted(raster: np.ndarray, brightness: float = 0.0, contrast: float = 1.0, grey: bool = False, threshold: float | None = None) -> np.ndarray:
+    """Colours times ``contrast`` about the middle, plus ``brightness``; ``grey`` by luminance; with a ``threshold``, black
+    below that luminance and white above. Opacity stays."""
+    c = (raster[..., :3].astype(float) - 127.5) * contrast + 127.5 + brightness
+    lum = c @ np.array([0.299, 0.587, 0.114])
+    if threshold is not None:
+        c = np.repeat(np.where(lum < threshold, 0.0, 255.0)[..., None], 3, axis=2)
+    elif grey:
+        c = np.repeat(lum[..., None], 3, axis=2)
+    return np.dstack([np.clip(np.rint(c), 0, 255).astype(np.uint8), raster[..., 3]])
+
+
+def perspective(raster: np.ndarray, corners: list[tuple[float, float]]) -> np.ndarray:
+    """The quadrilateral of four corners (from the top left, clockwise) as a rectangle with its longest sides."""
+    side = lambda a, b: float(np.hypot(corners[a][0] - corners[b][0], corners[a][1] - corners[b][1]))
+    w, h = max(round(max(side(0, 1), side(3, 2))), 1), max(round(max(side(0, 3), side(1, 2))), 1)
+    target = np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], float)
+    return warp(raster, homography(target, np.array(corners, float)), w, h)
+
+
+def apply_ops(raster: np.ndarray, ops: list[tuple]) -> np.ndarray:
+    """Steps in order: ("crop", rect), ("quarter", turns clockwise), ("rotate", degrees), ("perspective", corners),
+    ("adjust", {options of adjusted})."""
+    for name, value in ops:
+        if name == "crop":
+            raster = cropped(raster, value)
+        elif name == "quarter":
+            raster = np.ascontiguousarray(np.rot90(raster, -int(value) % 4))
+        elif name == "rotate":
+            raster = warp(raster, rotation(value, raster.shape[1], raster.shape[0]), raster.shape[1], raster.shape[0])
+        elif name == "perspective":
+            raster = perspective(raster, value)
+        elif name == "adjust":
+            raster = adjusted(raster, **value)
+        else:
+            raise ValueError(f"unknown step {name}")
+    return raster
+
+
+def prepared(content: Column, width: Column, height: Column, ops: list[tuple]) -> Column:
+    """struct(width, height, content) of an RGBA raster after the steps of apply_ops."""
+
+    def run(data, w, h):
+        out = apply_ops(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 4), ops)
+        return out.shape[1], out.shape[0], out.tobytes()
+
+    return K.struct({"width": "int", "height": "int", "content": "binary"}, run, content, width, height)
+
+
+# Degrading images, to measure what that costs
+
+
+def resized(raster: np.ndarray, share: float) -> np.ndarray:
+    """Bilinear resampling to ``share`` of both edges."""
+    h, w = raster.shape[:2]
+    u, v = max(round(w * share), 1), max(round(h * share), 1)
+    back = np.diag([(w - 1) / max(u - 1, 1), (h - 1) / max(v - 1, 1), 1.0])
+    return warp(raster, back, u, v)
+
+
+def blurred(raster: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur, edges continued."""
+    reach = max(int(np.ceil(3 * sigma)), 1)
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    k /= k.sum()
+    out = raster.astype(float)
+    for axis in (0, 1):
+        pad = [(reach, reach) if a == axis else (0, 0) for a in range(3)]
+        out = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, np.pad(out, pad, "edge"))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def quantised(raster: np.ndarray, step: float) -> np.ndarray:
+    """Colours whose 8 x 8 cosine coefficients are rounded to multiples that grow with the frequency, as lossy formats do."""
+    h, w = raster.shape[:2]
+    n = np.arange(8)
+    d = np.sqrt(2 / 8) * np.cos(np.pi * (2 * n[None, :] + 1) * n[:, None] / 16)
+    d[0] /= np.sqrt(2)
+    q = step * (1 + (n[:, None] + n[None, :]) / 2)
+    a = np.pad(raster[..., :3].astype(float) - 128, ((0, -h % 8), (0, -w % 8), (0, 0)), "edge")
+    b = a.reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8, 3)
+    c = np.einsum("ui,xiyjc,vj->xuyvc", d, b, d)
+    c = np.rint(c / q[None, :, None, :, None]) * q[None, :, None, :, None]
+    out = np.einsum("ui,xuyvc,vj->xiyjc", d, c, d).reshape(a.shape)[:h, :w] + 128
+    return np.dstack([np.clip(np.rint(out), 0, 255).astype(np.uint8), raster[..., 3]])
+
+
+def scene(traces: list[np.ndarray], colours: list[tuple[int, int, int]], width: int = 900, height: int = 560, low: float = 0.0, high: float = 250.0, margin: int = 50) -> tuple[np.ndarray, Axes]:
+    """A chart with a frame, a grey grid and curves over its plot, and its axes (x from 0 to 1 over each curve)."""
+    out = np.full((height, width, 4), 255, np.uint8)
+    left, right, top, bottom = margin, width - margin, margin, height - margin
+    for k in range(1, 5):
+        out[top + (bottom - top) * k // 5, left:right, :3] = 225
+        out[top:bottom, left + (right - left) * k // 5, :3] = 225
+    out[[top, bottom], left : right + 1, :3] = 0
+    out[top : bottom + 1, [left, right], :3] = 0
+    for y, rgb in zip(traces, colours):
+        part = draw(y, right - left + 1, bottom - top + 1, low, high, rgb)
+        on = (part[..., :3] != 255).any(axis=2)
+        out[top : bottom + 1, left : right + 1][on] = part[on]
+    return out, Axes((left, 0.0), (right, 1.0), (top, high), (bottom, low))
+
+
+def digitized(content: Column, width: Column, height: Column, axes: Column, rgb: tuple[int, int, int], tolerance: float = 60, points: int = 0, include: list[Rect] = (), exclude: list[Rect] = (), lines: int = 0) -> Column:
     """struct(x, y, coverage) of the curve of a colour in an RGBA raster (rows from the top).
 
-    ``axes`` is struct(x0, dx, y0, dy): value = x0 + dx * column and y0 + dy * row. Gaps of at most 3 % of the columns are
-    bridged; ``points`` > 0 resamples evenly.
+    ``axes`` is struct(x0, dx, y0, dy): value = x0 + dx * column and y0 + dy * row. Only pixels in ``include`` and outside
+    ``exclude`` count; with ``lines``, straight runs of at least so many pixels are erased first. Gaps of at most 3 % of the
+    columns are bridged; ``points`` > 0 resamples evenly.
     """
 
     def run(data, w, h, x0, dx, y0, dy):
-        m = mask(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 4), rgb, tolerance)
-        rows = columns(m)
+        m = mask(np.frombuffer(data, np.uint8).reshape(int(h), int(w), 4), rgb, tolerance, include, exclude)
+        rows = columns(erase_lines(m, lines) if lines else m)
         known = np.flatnonzero(~np.isnan(rows))
         if not len(known):
             return None
@@ -197,13 +336,20 @@ def blockiness(raster: np.ndarray) -> float:
     return float(d[at].mean() / inner) if at.any() and inner > 0 else 1.0
 
 
-def quality_warnings(width: Column, height: Column, coverage: Column, blocks: Column) -> Column:
-    """What may make a digitised curve inexact."""
-    return F.array_compact(
-        F.array(
-            F.when(width < 600, "narrow image"), F.when(width * height < 150_000, "few pixels"), F.when(coverage < 0.85, "gaps in the curve"), F.when(blocks > 1.5, "strong compression")
-        )
-    )
+def quality_warnings(width: Column, height: Column, coverage: Column, blocks: Column, x_pixels: Column | None = None, y_pixels: Column | None = None, gaps: Column | None = None) -> Column:
+    """What may make a digitised curve inexact: a small image, strong compression, gaps, places for the calibration of an
+    axis that lie within 100 pixels (``x_pixels``, ``y_pixels``: their distance), gaps that were bridged (``gaps``)."""
+    near = lambda c, name: F.when(F.abs(c) < 100, f"calibration points of {name} are close")
+    found = [F.when(width < 600, "narrow image"), F.when(width * height < 150_000, "few pixels"), F.when(coverage < 0.85, "gaps in the curve"), F.when(blocks > 1.5, "strong compression")]
+    found += [near(c, name) for c, name in ((x_pixels, "x"), (y_pixels, "y")) if c is not None]
+    found += [F.when(gaps > 0, "gaps were bridged")] * (gaps is not None)
+    return F.array_compact(F.array(*found))
+
+
+def uncertainty(axes: Axes, x: Column) -> Column:
+    """struct(dx, dy) of half a pixel on both axes; on a logarithmic one, its median over the places ``x`` (an array)."""
+    middle = F.array_sort(F.transform(x, lambda v: half_pixel(axes, "x", v)))
+    return F.struct((F.get(middle, F.floor(F.size(middle) / 2).cast("int")) if axes.x_log else half_pixel(axes, "x", F.lit(1.0))).alias("dx"), half_pixel(axes, "y", F.lit(1.0)).alias("dy"))
 
 
 def dominant_colours(raster: np.ndarray, most: int = 6, apart: float = 70.0) -> list[tuple[int, int, int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -38,10 +38,27 @@ def peak_list_metrics(peaks: DataFrame, by: str = "trace_id") -> DataFrame:
     )
 
 
+#: Figures and how each comes about: (name, expression, what it is computed from).
 FORMULAS = [
-    ("area", "trapezoid of the signal above the baseline"), ("rt", "vertex of the parabola through the highest sample and its neighbours"),
-    ("height", "parabola's value at rt"), ("fwhm", "width at half of the height"), ("w10", "width at a tenth of the height"),
-    ("w5", "width at a twentieth of the height"), ("tailing", "w5 / (2 f), f from the front at 5 % to rt"), ("asymmetry", "b / a at 10 %"),
-    ("plates", "5.54 (rt / fwhm)^2"), ("k", "(rt - t0) / t0"), ("sn", "2 height / peak-to-peak noise"),
-    ("area_pct", "100 area / sum of the valid areas"), ("resolution", "1.18 (rt2 - rt1) / (fwhm1 + fwhm2)"),
+    ("noise", "1.4826 MAD(dy) / sqrt 2", "differences of the raw signal"), ("p2p", "6 noise", "noise"), ("p2p_range", "max - min of the residuals about a line", "samples in a range"),
+    ("threshold", "max(9 noise, range / 10000)", "noise and the processed signal"), ("area", "sum of (h1 + h2) / 2 dx", "the signal above its baseline"), ("gross_area", "sum of (y1 + y2) / 2 dx", "the signal"),
+    ("baseline_area", "gross area - area", "the baseline in effect"), ("area_pct", "100 area / sum of the valid areas", "areas of the trace"), ("rt", "vertex of the parabola through the highest sample and its neighbours", "three samples"),
+    ("height", "the parabola's value at rt", "three samples"), ("fwhm", "width at height / 2", "crossings"), ("w10", "width at height / 10", "crossings"), ("w5", "width at height / 20", "crossings"),
+    ("tailing", "w5 / (2 f), f from the front at 5 % to rt", "crossings"), ("asymmetry", "b / a at height / 10", "crossings"), ("plates", "5.54 (rt / fwhm)^2", "rt, fwhm"), ("plates_usp", "16 (rt / w)^2, w between the tangents", "slopes"),
+    ("k", "(rt - t0) / t0", "rt and the void time"), ("resolution", "1.18 (rt2 - rt1) / (fwhm1 + fwhm2)", "neighbouring peaks"), ("sn", "2 height / p2p", "height, p2p"), ("void_volume", "porosity pi (d / 2)^2 L", "the column"),
+    ("elution_b", "the program at rt - dwell - void time", "the program"), ("elution_conc", "cA + (cB - cA) B / 100", "elution_b"), ("conc", "the curve solved for the response", "the calibration"),
+    ("conc_se", "sqrt(s^2 / (m w) + g' C g) / |slope|", "the calibration"), ("lod", "3.3 s / |slope|", "the calibration"), ("loq", "10 s / |slope|", "the calibration"),
 ]
+
+
+def formulas(spark: SparkSession) -> DataFrame:
+    """FORMULAS as a table: name, expression, source."""
+    return spark.createDataFrame(FORMULAS, "name string, expression string, source string")
+
+
+def audit_rows(peaks: DataFrame) -> DataFrame:
+    """One row for each figure of FORMULAS that a peak has: trace_id, peak_no, name, value, expression, source. Figures that
+    are null have no row."""
+    known = [(n, e, s) for n, e, s in FORMULAS if n in peaks.columns]
+    entries = [F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), F.lit(e).alias("expression"), F.lit(s).alias("source")) for n, e, s in known]
+    return peaks.select("trace_id", "peak_no", F.inline(F.array(*entries))).filter("value is not null")

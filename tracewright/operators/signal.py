@@ -6,7 +6,7 @@ Missing results are null, never NaN; a null array gives null. Traces are never s
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -114,6 +114,29 @@ def to_minutes(x: Column, flow: Column) -> Column:
     return F.when(flow > 0, F.transform(x, lambda v: v / flow))
 
 
+def volumes_to_minutes(traces: DataFrame, flow: Column) -> DataFrame:
+    """Traces whose x_unit is mL with x (and offset, and the places of peaks, where there are such columns) over the flow
+    and the unit min; others, and those without a positive flow, stay."""
+    use = (F.lower("x_unit") == "ml") & (flow > 0)
+    out = traces.withColumn("x", F.when(use, F.transform("x", lambda v: v / flow)).otherwise(F.col("x")))
+    if "offset" in traces.columns:
+        out = out.withColumn("offset", F.when(use, F.col("offset") / flow).otherwise(F.col("offset")))
+    if "peaks" in traces.columns:
+        names = traces.schema["peaks"].dataType.elementType.names
+        scaled = F.transform("peaks", lambda p: F.struct(*[(p[n] / flow if n in ("start", "apex", "end") else p[n]).alias(n) for n in names]))
+        out = out.withColumn("peaks", F.when(use, scaled).otherwise(F.col("peaks")))
+    return out.withColumn("x_unit", F.when(use, "min").otherwise(F.col("x_unit")))
+
+
+def derived_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Derived traces a - b of raw signals, for pairs of rows with equal ``on`` and the same x_unit: a's columns, its name
+    extended by b's, y the difference (null outside b) and derived true."""
+    other = b.select(*on, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("x_unit").alias("_unit"), F.col("name").alias("_name"))
+    both = a.join(other, on).filter(F.col("x_unit").eqNullSafe(F.col("_unit")))
+    y = difference(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+    return both.withColumns({"y": y, "name": F.concat_ws(" - ", "name", "_name"), "derived": F.lit(True)}).drop("_x", "_y", "_unit", "_name")
+
+
 def difference(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """a - b at a's places; null outside b's range, whose ends belong to it."""
     return K.column(ARRAY, lambda t, v, u, w: v - np.interp(t, u, w, left=np.nan, right=np.nan), ax, ay, bx, by)
