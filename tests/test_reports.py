@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
-from tracewright.operators import calibration, clusters, edits, gradient, image, integration, kernels, matching, metrics, peaks, reports, signal, tables
-from tracewright.sources import exports
+from tracewright.operators import calibration, clusters, edits, gradient, image, integration, kernels, matching, metrics, peaks, reports, signal, synthetic, tables
+from tracewright.plans import analysis
+from tracewright.sources import exports, projects
 
 
 def one(spark, *columns, **values):
@@ -299,3 +300,69 @@ def test_degraded_scenes_keep_their_curves(spark):
     r = one(spark, image.quality_warnings(F.lit(500), F.lit(500), F.lit(0.9), F.lit(1.0), F.lit(50), F.lit(300), F.lit(2)).alias("w"), image.uncertainty(axes, F.array(F.lit(1.0))).alias("u"))
     assert r.w == ["narrow image", "calibration points of x are close", "gaps were bridged"] and r.u.dx == pytest.approx(abs(dx) / 2)
     assert image.Axes((0, 1), (10, 100), (0, 0), (1, 1), x_log=True) and one(spark, image.to_pixel(axes, "y", F.lit(250.0)).alias("p")).p == pytest.approx(50)
+
+
+def test_detection_again_keeps_what_was_decided(spark):
+    kind = "trace_id int, peak_no int, start double, apex double, end double"
+    old = spark.createDataFrame([(1, 1, 0.0, 1.0, 2.0, True, None, "mine"), (1, 2, 4.0, 5.0, 6.0, False, "fit", "b"), (1, 3, 7.0, 8.0, 9.0, False, None, None)], f"{kind}, manual boolean, mode string, label string")
+    new = spark.createDataFrame([(1, 1, 1.5, 1.8, 2.5), (1, 2, 4.1, 5.03, 6.1), (1, 3, 7.0, 8.0, 9.0)], kind)
+    got = sorted((r.apex, r.manual, r["mode"], r.label) for r in edits.redetected(old, new, 0.02).collect())
+    assert got == [(1.0, True, None, "mine"), (5.03, False, "fit", "b"), (8.0, False, None, None)]
+    t = spark.createDataFrame([("f", 0, [(0.5, 1.0, 1.5, 7.0, None, "x")]), ("g", 0, [])], "path string, trace_no int, peaks array<struct<start:double,apex:double,end:double,area:double,area_se:double,label:string>>")
+    assert [(r.path, r.peak_no, r.imported_area, r.manual) for r in edits.imported_as_manual(t).collect()] == [("f", 1, 7.0, True)]
+
+
+def test_links_and_pasted_texts(spark):
+    project = {"version": 2, "traces": [{"id": "a", "name": "n", "x": [0, 1, 2], "y": [1, 2, 1], "peaks": []}], "images": {"i": "x" * 999}}
+    link = projects.pack_link(project)
+    assert "images" not in projects.unpack_link(f"https://host/page#{link}") and projects.unpack_link(link)["traces"] == project["traces"]
+    for bad in ("nonsense", "p=abc", link[:-9]):
+        with pytest.raises(ValueError):
+            projects.unpack_link(bad)
+    import json
+
+    rows = [("a", json.dumps(project)), ("b", f"https://host/#{link}"), ("c", "Time (min),Signal\n0,1\n1,2\n2,3\n"), ("d", None)]
+    documents, others = projects.import_texts(spark.createDataFrame(rows, "path string, content string"))
+    assert sorted((r.path, r.trace_id) for r in documents.collect()) == [("a", "a"), ("b", "a")]
+    assert [(r.path, r.x) for r in others.collect()] == [("c", [0.0, 1.0, 2.0])]
+
+
+def test_figures_above_a_given_baseline(spark):
+    x = np.linspace(0, 10, 1001)
+    y = kernels.gaussian(x, 10, 5, 0.2) + 2 + 0.1 * x
+    kind = "x array<double>, y array<double>, start double, end double, bx array<double>, by array<double>, area string"
+    rows = [(x.tolist(), y.tolist(), 4.0, 6.0, [0.0, 10.0], [2.0, 3.0], "own"), (x.tolist(), y.tolist(), 4.0, 6.0, None, None, "own"), (x.tolist(), y.tolist(), 4.0, 6.0, [0.0], [0.0], None)]
+    got = metrics.metrics_above(spark.createDataFrame(rows, kind)).collect()
+    true = 10 * 0.2 * math.sqrt(2 * math.pi)
+    assert got[0].area == pytest.approx(true, rel=1e-3) and got[1].area == pytest.approx(true, rel=1e-3) and got[2].area == pytest.approx(true + 5.0, rel=1e-3)
+
+
+def test_the_way_from_raw_traces_to_concentrations(spark):
+    traces = synthetic.calibration_set(spark).cache()
+    table = analysis.peak_table(traces.select("trace_id", "x", "y"), analysis.Processing(min_dist=0.3, min_width=0.05))
+    assert table.columns[:3] == ["trace_id", "peak_no", "cluster"]
+    analytes = spark.createDataFrame([("s", 6.0)], "analyte string, expected_rt double")
+    found = matching.match_analytes(table.select("trace_id", "peak_no", "rt"), analytes, 0.3).join(table.select("trace_id", "peak_no", "area"), ["trace_id", "peak_no"])
+    known = traces.filter("conc is not null").select("trace_id", "conc")
+    levels = known.withColumns({"analyte": F.lit("s"), "level": F.col("trace_id"), "response": F.lit(None).cast("double"), "include": F.lit(True)})
+    points = calibration.calibration_points(levels, found.select("analyte", "trace_id", F.col("area").alias("response")))
+    fits = calibration.fit(points, "analyte", "quadratic", "1/x")
+    unknown = found.join(known, "trace_id", "left_anti").select("trace_id", "peak_no", "analyte", F.col("area").alias("response"))
+    (r,) = calibration.unknown_rows(unknown, fits).collect()
+    assert r.conc == pytest.approx(30.0, rel=0.05)
+    assert exports.peak_rows(table).count() == table.count()
+    curves = synthetic.purification()
+    assert curves["UV"][1].max() > 800 and set(curves) == {"UV", "conductivity", "%B"}
+
+
+def test_peaks_of_a_known_signal_by_every_mode(spark):
+    """Areas of the eight-peak sample against the truth, with the noise and drift that it comes with."""
+    how = analysis.Processing(lam=1e8, min_dist=0.05, min_width=0.02)
+    t = synthetic.chromatograms(spark, 3)
+    for mode, near in (("drop", 0.03), ("valley", 0.3), ("baseline", 0.03), ("fit", 0.03)):
+        rows = analysis.peak_table(t, analysis.Processing(**{**how.__dict__, "mode": mode})).collect()
+        for seed in range(3):
+            own = sorted((r for r in rows if r.trace_id == seed), key=lambda r: r.rt)
+            assert len(own) == 8
+            for r, (h, mu, s, tau) in zip(own, synthetic.SAMPLE):
+                assert r.area == pytest.approx(h * s * math.sqrt(2 * math.pi), rel=near), (mode, mu)

@@ -73,6 +73,27 @@ def add_peaks(peaks: DataFrame, added: DataFrame, step: Column) -> DataFrame:
     return trimmed.withColumns({"start": start, "end": end, "manual": manual}).drop("_new", "_b", "_a")
 
 
+def redetected(before: DataFrame, found: DataFrame, step: float) -> DataFrame:
+    """The peaks of a new detection (trace_id, peak_no, start, apex, end) under those that were there before (with manual,
+    mode and label): manual ones stay and take the place of what overlaps them; of the others, a new peak within two
+    ``step`` of an old apex takes over its mode and label (of two the nearer, then the earlier)."""
+    kept = before.filter(F.coalesce("manual", F.lit(False)))
+    free = meets(found, "start", "end", kept, "start", "end", "trace_id").filter("not _meets").drop("_meets")
+    old = before.filter(~F.coalesce("manual", F.lit(False)) & (F.col("mode").isNotNull() | F.col("label").isNotNull())).select("trace_id", F.col("apex").alias("_apex"), "mode", "label")
+    near = band_join(free.select("trace_id", "peak_no", "apex"), old, "apex", "_apex", 2 * step, ["trace_id"])
+    best = near.groupBy("trace_id", "peak_no").agg(F.min(F.struct(F.abs(F.col("apex") - F.col("_apex")), "_apex", "mode", "label")).alias("o"))
+    free = free.join(best, KEYS, "left").withColumns({"mode": F.col("o.mode"), "label": F.col("o.label"), "manual": F.lit(False)}).drop("o")
+    names = [*found.columns, "mode", "label", "manual"]
+    return kept.withColumn("manual", F.lit(True)).select(*names).unionByName(free.select(*names))
+
+
+def imported_as_manual(traces: DataFrame) -> DataFrame:
+    """The peaks that files brought along (column ``peaks`` of read traces) as manual peaks: path, trace_no, peak_no, start,
+    apex, end, label, imported_area, imported_area_se, manual."""
+    each = traces.select("path", "trace_no", F.posexplode("peaks").alias("k", "p"))
+    return each.select("path", "trace_no", (F.col("k") + 1).alias("peak_no"), "p.start", "p.apex", "p.end", "p.label", F.col("p.area").alias("imported_area"), F.col("p.area_se").alias("imported_area_se"), F.lit(True).alias("manual"))
+
+
 def nudged(x: Column, at: Column, samples: int) -> Column:
     """The place ``samples`` samples along the trace from the sample nearest to ``at``, kept within the trace."""
     far = F.transform(x, lambda v: F.abs(v - at))

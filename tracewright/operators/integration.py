@@ -52,7 +52,7 @@ def hull_area(x: Column, y: Column, start: Column, end: Column, cluster_start: C
     return K.column("double", run, x, y, start, end, cluster_start, cluster_end)
 
 
-def _polyline(t: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+def polyline(t: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
     """A polyline at places ``t``, continued by its outer segments; constant with one node."""
     out = np.interp(t, bx, by)
     if len(bx) > 1:
@@ -64,7 +64,7 @@ def _polyline(t: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 def baseline_at(bx: Column, by: Column, t: Column) -> Column:
     """A baseline polyline (ascending nodes) at a place, continued linearly outside; null without nodes."""
-    return K.column("double", lambda bx, by, t: float(_polyline(np.array([t]), bx, by)[0]) if len(bx) else None, bx, by, t)
+    return K.column("double", lambda bx, by, t: float(polyline(np.array([t]), bx, by)[0]) if len(bx) else None, bx, by, t)
 
 
 def baseline_area(x: Column, y: Column, start: Column, end: Column, bx: Column, by: Column) -> Column:
@@ -75,7 +75,7 @@ def baseline_area(x: Column, y: Column, start: Column, end: Column, bx: Column,
             return None
         inner = bx[(bx > start) & (bx < end)]
         t = np.union1d(K.window_nodes(x, y, start, end)[0], inner)
-        return K.trapezoid(t, np.interp(t, x, y) - _polyline(t, bx, by))
+        return K.trapezoid(t, np.interp(t, x, y) - polyline(t, bx, by))
 
     return K.column("double", run, x, y, start, end, bx, by)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .integration import polyline
 from .peaks import figures
 
 
@@ -25,6 +27,22 @@ def peak_metrics(peaks: DataFrame, void_time: float | None = None, p2p: str | No
     return out
 
 
+def metrics_above(peaks: DataFrame) -> DataFrame:
+    """As peak_metrics, above the baseline in effect of each row: the polyline ``bx``, ``by`` where there is one, continued
+    linearly, else the peak's chord."""
+
+    def run(x, y, start, end, bx, by):
+        if len(bx) == 0 or not end > start or not len(x):
+            return figures(x, y, start, end)
+        t = np.union1d(K.window_nodes(x, y, start, end)[0], bx[(bx > start) & (bx < end)])
+        return K.peak_figures(t, np.interp(t, x, y) - polyline(t, bx, by))
+
+    none = F.array().cast("array<double>")
+    args = [F.col("x"), F.col("y"), F.col("start"), F.col("end"), F.coalesce("bx", none), F.coalesce("by", none)]
+    out = peaks.withColumn("_f", K.struct(K.PEAK_FIELDS, run, *args))
+    return out.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], "_f.*")
+
+
 def peak_list_metrics(peaks: DataFrame, by: str = "trace_id") -> DataFrame:
     """Adds area_pct (of the valid peaks' area), resolution to the peak before by rt, and flags of invalid peaks."""
     valid = (F.col("area") > 0) & (F.col("height") > 0)

@@ -74,8 +74,11 @@ def noise_in_range(x: Column, y: Column, start: float, end: float) -> Column:
 
 
 def trapezoid(x: Column, y: Column) -> Column:
-    """The signed area under a trace."""
-    return K.column("double", K.trapezoid, x, y)
+    """The signed area under a trace; 0 below two samples, null where a sample is missing or not finite."""
+    pairs = F.zip_with(F.zip_with(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), x, lambda b, a: b - a), F.zip_with(F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))), y, lambda b, a: (b + a) / 2), lambda dx, h: dx * h)
+    inner = F.slice(pairs, 1, F.greatest(F.size(x) - 1, F.lit(0)))  # the last pair of the longer list has no partner
+    total = F.aggregate(inner, F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.isnan(total), None).otherwise(total)
 
 
 def interpolate(x: Column, y: Column, at: Column) -> Column:
@@ -96,13 +99,11 @@ def resample(x: Column, y: Column, n: int) -> Column:
 def normalize(x: Column, y: Column, mode: str, absolute: bool = False) -> Column:
     """``y`` / its maximum or area ("max", "area"; "none" keeps it); kept where that isn't positive. ``absolute`` takes
     the signal's size, as for display."""
-
-    def run(t, v):
-        w = np.abs(v) if absolute else v
-        size = {"none": lambda: 1.0, "max": lambda: w.max(initial=-np.inf), "area": lambda: K.trapezoid(t, w)}[mode]()
-        return v / size if size > 0 else v
-
-    return K.column(ARRAY, run, x, y)
+    if mode == "none":
+        return y
+    w = F.transform(y, lambda v: F.abs(v)) if absolute else y
+    size = {"max": F.array_max, "area": lambda v: trapezoid(x, v)}[mode](w)
+    return F.when(size > 0, F.transform(y, lambda v: v / size)).otherwise(y)
 
 
 def align(x: Column, shift: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, tables
+from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
 from ..sources import exports, formats
 from . import analysis, views
@@ -395,9 +395,34 @@ def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored label that is nearest to each peak, within half a tolerance."""
     p = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("peak_no"), (F.col("o_totalprice") / 1000).alias("rt"))
     labels = views.table(spark, sf_dir, "customer").filter("c_acctbal is not null").select(F.col("c_custkey").alias("label"), (F.col("c_acctbal") / 20).alias("at"))
-    pairs = matching.band_join(p, labels, "rt", "at", 0.05)
-    best = F.min(F.struct(F.abs(F.col("rt") - F.col("at")).alias("d"), "at", "label"))
-    return pairs.groupBy("peak_no").agg(best.alias("b")).select("peak_no", F.col("b.label").alias("label"))
+    return matching.group_labels(p.withColumnRenamed("peak_no", "key"), labels, 0.1).withColumnRenamed("key", "peak_no")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS trace_id, CAST(l_linenumber AS INTEGER) AS peak_no, l_extendedprice AS area, l_quantity AS rt, CASE WHEN l_discount > 0 THEN l_discount END AS k FROM lineitem)
+SELECT trace_id, peak_no, 'area' AS name, area AS value FROM p UNION ALL SELECT trace_id, peak_no, 'rt', rt FROM p UNION ALL SELECT trace_id, peak_no, 'k', k FROM p WHERE k IS NOT NULL""")
+def audited_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each figure of each peak; line items stand for peaks."""
+    p = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("int").alias("peak_no"), F.col("l_extendedprice").alias("area"), F.col("l_quantity").alias("rt"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("k"))
+    return metrics.audit_rows(p).select("trace_id", "peak_no", "name", "value")
+
+
+@query(f"""WITH {EMB}, b AS (SELECT trace_id, max(abs(y)) AS big FROM e GROUP BY trace_id), z AS (SELECT trace_id, row_number() OVER (ORDER BY trace_id) - 1 AS place, big FROM b), t AS (SELECT max(CASE WHEN big > 0 THEN 1.0 ELSE 0.0 END) AS top FROM b)
+SELECT e.trace_id, CAST(i AS INTEGER) AS i, place, round(CASE WHEN big > 0 THEN y / big ELSE y END + place * 0.1 * top, 6) + 0.0 AS y FROM e JOIN z USING (trace_id), t""")
+def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All traces as a waterfall shows them."""
+    t = reports.display_series(views.embeddings(spark, sf_dir), "max", 0.1)
+    rows = t.select("trace_id", "place", F.posexplode("y").alias("i", "y"))
+    return rows.select("trace_id", "i", "place", r("y").alias("y"))
+
+
+@query("""WITH k AS (SELECT l_suppkey AS trace_id, CAST(floor(l_extendedprice / 100) AS BIGINT) AS grp, l_extendedprice / 100 AS rt, l_quantity AS area FROM lineitem WHERE l_suppkey IN (1, 2, 3)),
+d AS (SELECT trace_id, grp, min(rt) AS rt, min(area) AS area FROM k GROUP BY ALL)
+SELECT grp, round(avg(rt), 6) AS group_rt, count(DISTINCT trace_id) AS n_traces, {} FROM d GROUP BY grp""".replace("{}", ", ".join(f"max(CASE WHEN trace_id = {t} THEN {v} END) AS \"{t}_{v}\"" for t in (1, 2, 3) for v in ("rt", "area"))))
+def wide_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of three traces side by side."""
+    k = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("trace_id"), F.floor(F.col("l_extendedprice") / 100).alias("grp"), (F.col("l_extendedprice") / 100).alias("rt"), F.col("l_quantity").alias("area"))
+    one = k.filter("trace_id in (1, 2, 3)").groupBy("trace_id", "grp").agg(F.min("rt").alias("rt"), F.min("area").alias("area"))
+    return matching.compare_wide(one, [1, 2, 3], ["grp"]).withColumn("group_rt", r("group_rt"))
 
 
 def _sql_columns(columns: dict, own: dict[str, str]) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calibration import MODELS, WEIGHTINGS
@@ -101,3 +104,57 @@ def read_projects(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names=names)
 
     return files.select(F.col("path").cast("string"), "content").mapInArrow(read, PARTS)
+
+
+LINK = re.compile(r"(?:.*#)?p=([A-Za-z0-9_-]+)=*\Z", re.DOTALL)
+#: A shared document unpacks to this many bytes at most.
+LINK_BYTES = 64 << 20
+
+
+def pack_link(project: dict) -> str:
+    """A project as a short text for a link: JSON without images, compressed, in url-safe base64."""
+    slim = {k: v for k, v in project.items() if k != "images"}
+    packed = zlib.compress(json.dumps(slim, separators=(",", ":"), sort_keys=True).encode(), 9)
+    return "p=" + base64.urlsafe_b64encode(packed).decode().rstrip("=")
+
+
+def unpack_link(text: str) -> dict:
+    """The project in a link or its part behind #. Raises ValueError for anything else, or one that unpacks too large."""
+    m = LINK.match(text.strip())
+    if not m:
+        raise ValueError("not a link to a project")
+    try:
+        unpack = zlib.decompressobj()
+        data = unpack.decompress(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)), LINK_BYTES)
+    except (zlib.error, ValueError) as e:
+        raise ValueError("not a link to a project") from e
+    if unpack.unconsumed_tail or not unpack.eof:
+        raise ValueError("the project in this link is too large or cut off")
+    return json.loads(data)
+
+
+def kind_of_text(text: Column) -> Column:
+    """What a pasted text is: project (a JSON document with traces and a version), link, or data for the readers."""
+    head = F.trim(text)
+    project = head.startswith("{") & head.contains('"traces"') & head.rlike(r'"version"\s*:')
+    return F.when(text.isNull() | (head == ""), None).when(project, "project").when(head.rlike(r"^(\S*#)?p=[A-Za-z0-9_-]+=*$"), "link").otherwise("data")
+
+
+def import_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pasted texts (path, content) as (traces of projects and links, columns as in PARTS; traces of all others, columns as
+    in formats.TRACE)."""
+    from . import formats
+
+    @F.arrow_udf("string")
+    def opened(links: pa.Array) -> pa.Array:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(unpack_link(t))
+            except ValueError as e:
+                return json.dumps({"error": str(e)})
+
+        return pa.array([one(t) for t in links.to_pylist()], pa.string())
+
+    t = texts.select(F.col("path").cast("string"), F.col("content").cast("string").alias("content")).withColumn("_kind", kind_of_text(F.col("content")))
+    whole = F.when(F.col("_kind") == "link", opened("content")).otherwise(F.col("content")).alias("content")
+    return read_projects(t.filter("_kind in ('project', 'link')").select("path", whole)), formats.parse_files(t.filter("_kind = 'data'").select("path", "content"))
