@@ -359,10 +359,14 @@ def test_peaks_of_a_known_signal_by_every_mode(spark):
     """Areas of the eight-peak sample against the truth, with the noise and drift that it comes with."""
     how = analysis.Processing(lam=1e8, min_dist=0.05, min_width=0.02)
     t = synthetic.chromatograms(spark, 3)
-    for mode, near in (("drop", 0.03), ("valley", 0.3), ("baseline", 0.03), ("fit", 0.03)):
+    for mode, near in (("drop", 0.03), ("valley", 0.03), ("baseline", 0.03), ("fit", 0.03)):
         rows = analysis.peak_table(t, analysis.Processing(**{**how.__dict__, "mode": mode})).collect()
         for seed in range(3):
             own = sorted((r for r in rows if r.trace_id == seed), key=lambda r: r.rt)
             assert len(own) == 8
             for r, (h, mu, s, tau) in zip(own, synthetic.SAMPLE):
-                assert r.area == pytest.approx(h * s * math.sqrt(2 * math.pi), rel=near), (mode, mu)
+                true = h * s * math.sqrt(2 * math.pi)
+                if mode == "valley" and 7 < mu < 8:  # a peak's own chord cuts off what it shares with its neighbour
+                    assert 0.4 * true < r.area < true
+                else:
+                    assert r.area == pytest.approx(true, rel=near), (mode, mu)
