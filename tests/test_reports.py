@@ -370,3 +370,33 @@ def test_peaks_of_a_known_signal_by_every_mode(spark):
                     assert 0.4 * true < r.area < true
                 else:
                     assert r.area == pytest.approx(true, rel=near), (mode, mu)
+
+
+def test_small_operators(spark):
+    from tracewright.operators import fitting
+
+    x, y = np.linspace(0, 4, 401), None
+    y = 5 * np.exp(-x) + kernels.gaussian(x, 0.5, 2, 0.05)
+    df = spark.createDataFrame([(x.tolist(), y.tolist(), 2.0)], "x array<double>, y array<double>, flow double")
+    cx, cy = F.col("x"), F.col("y")
+    skim = integration.tangent_skim(cx, cy, F.lit(1.8), F.lit(2.2), F.lit(1.8), F.lit(2.0), F.lit(2.2))
+    line = signal.linspace(F.lit(0.0), F.lit(4.0), 5)
+    r = df.select(
+        skim.alias("skim"), signal.interpolate(cx, cy, F.lit(9.0)).alias("clamped"), signal.to_minutes(cx, F.col("flow")).alias("minutes"), signal.to_minutes(cx, F.lit(0.0)).alias("none"), line.alias("line"),
+        fitting.emg_shape(F.lit(0.1), F.lit(1e-3)).alias("shape"), scalars.binary_kind(F.lit(bytearray(b"\x89PNG\r\n\x1a\n"))).alias("kind"), scalars.peak_label(F.lit("area"), F.lit("a"), F.lit(1.0), F.lit(12.34)).alias("label"),
+        signal.trapezoid(F.array(F.lit(1.0)), F.array(F.lit(5.0))).alias("single"), signal.trapezoid(F.lit(None).cast("array<double>"), cy).alias("missing"), signal.median(F.array(F.lit(3.0), F.lit(1.0), F.lit(float("nan")), F.lit(2.0), F.lit(8.0))).alias("median"),
+    ).first()
+    assert r.skim == pytest.approx(0.5 * 0.05 * math.sqrt(2 * math.pi), rel=0.1) and r.clamped == pytest.approx(y[-1])
+    assert r.minutes[-1] == 2.0 and r.none is None and r.line == [0, 1, 2, 3, 4] and r.shape.fwhm == pytest.approx(0.2355, rel=0.01)
+    assert (r.kind, r.label, r.single, r.missing, r.median) == ("png", "12.3%", 0.0, None, 2.5)
+
+
+def test_summaries_and_lists_for_display(spark):
+    p = spark.createDataFrame([(1, 1, 2.0, 5.0, 25.0), (1, 2, 3.0, 15.0, 75.0)], "trace_id int, peak_no int, rt double, area double, area_pct double")
+    assert edits.trace_summaries(p).first().summary == "2 peaks; largest at 3.00 with 75.0 % of the area"
+    t = spark.createDataFrame([(1, "a", None, "signal", "min"), (2, "b", True, None, "mL"), (3, "c", False, None, "min"), (4, "d", True, "pressure", "min")], "trace_id int, trace_name string, visible boolean, role string, x_unit string")
+    got = {r.trace_id: [q.rt for q in r.peaks] for r in reports.peaks_for_display(t, p).collect()}
+    assert got == {1: [2.0, 3.0], 2: []}
+    assert [r.trace_id for r in tables.visible_signals(t, "min").collect()] == [1]
+    wide = spark.createDataFrame([(1, 1.0, 2.0)], "trace_id int, k double, conc double")
+    assert reports.table_columns(wide).columns == ["trace_id"] and reports.table_columns(wide, calibrated=True, void_time=True).columns == ["trace_id", "k", "conc"]
