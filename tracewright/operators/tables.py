@@ -53,3 +53,16 @@ def numbered(df: DataFrame, key: str, name: str = "place", width: int = 4096) ->
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
     local = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
     return rows.withColumn("_local", local).join(starts, "_range", "left").withColumn(name, F.col("_start") + F.col("_local")).drop("_range", "_local", "_start")
+
+
+def numbered_runs(rows: DataFrame, by: list[str], chunk: str, at: str, good: Column) -> DataFrame:
+    """The good rows with ``run``, which numbers runs of consecutive good rows of each ``by``, in order of chunk, then ``at``.
+    Rows are counted chunk by chunk and chunks in order, so a ``by`` with very many rows isn't one task's."""
+    marked = rows.withColumn("_bad", F.when(good, 0).otherwise(1))
+    keys = [*by, chunk]
+    local = F.sum("_bad").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    counts = marked.groupBy(*keys).agg(F.sum("_bad").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_start"))
+    out = marked.withColumn("_local", local).filter("_bad = 0").join(starts, keys)
+    return out.withColumn("run", F.col("_start") + F.col("_local")).drop("_bad", "_local", "_start")

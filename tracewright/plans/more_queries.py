@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
-from ..sources import exports, formats
+from ..sources import exports, formats, lines
 from . import analysis, views
 from .queries import EMB, _cal, _intervals, calibration, query, r
 
@@ -95,6 +95,40 @@ def decimal_comma_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(formats.parse_files(t))
 
 
+def _event_lines(spark: SparkSession, sf_dir: str, line: str, head: list[str]) -> DataFrame:
+    """Event samples as lines of a file for each user, in chunks of a week, under the lines ``head``. No user is gathered."""
+    s = views.event_samples(spark, sf_dir).filter("y is not null")
+    text = F.format_string(line, F.round("x", 4), F.round("y", 4))
+    at = F.struct(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    body = s.select(F.concat(F.col("trace_id").cast("string"), F.lit(".txt")).alias("path"), F.floor(F.col("x") / 10080).alias("chunk"), at.alias("at"), text.alias("line"))
+    top = body.select("path").distinct()
+    place = lambda k: F.struct(F.lit(float(k)).alias("x"), F.lit(0.0).alias("y"))
+    above = F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("chunk"), place(k).alias("at"), F.lit(t).alias("line")) for k, t in enumerate(head)]))
+    return body.unionByName(top.select("path", above))
+
+
+LINES_READ_BACK = """WITH s AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 60e6 AS x, value AS y FROM events WHERE value IS NOT NULL)
+SELECT user_id || '.txt' AS path, 'Absorbance' AS name, count(*) AS n, round(sum(round(y, 4)), 3) + 0.0 AS total, round(min(x), 4) AS first_x, round(max(x), 4) AS last_x FROM s GROUP BY user_id"""
+
+
+def _line_summary(samples: DataFrame) -> DataFrame:
+    g = samples.groupBy("path", "name").agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+    return g.select("path", "name", "n", r("total", 3).alias("total"), r("first_x", 4).alias("first_x"), r("last_x", 4).alias("last_x"))
+
+
+@query(LINES_READ_BACK)
+def delimited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of delimited text with a preamble, read again line by line."""
+    return _line_summary(lines.samples(_event_lines(spark, sf_dir, "%.4f\t%.4f", ["Sample: made", "Detector = UV", "Time (min)\tAbsorbance (mAU)"])))
+
+
+@query(LINES_READ_BACK)
+def decimal_comma_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with semicolons and decimal commas."""
+    made = _event_lines(spark, sf_dir, "%.4f;%.4f", ["made by hand", "Time (min);Absorbance (mAU)"])
+    return _line_summary(lines.samples(made.withColumn("line", F.when(F.col("chunk") >= 0, F.translate("line", ".", ",")).otherwise(F.col("line")))))
+
+
 @query(READ_BACK.replace("FORMAT", "json"))
 def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _texts(spark, sf_dir, "[%.4f, %.4f],", "[", "")
