@@ -14,6 +14,8 @@ PEAK = "array<struct<start:double,apex:double,end:double,prominence:double,shoul
 def prominences(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prominence of each top, and the samples between its crossings at half of that. On the left the walk stops at a
     sample as high, on the right it goes on over such samples."""
+    if len(tops) * len(y) <= 1 << 22:
+        return _prominences_at_once(y, tops)
     prom, width = np.zeros(len(tops)), np.ones(len(tops))
     for k, i in enumerate(tops):
         higher = np.flatnonzero(y[:i] >= y[i])
@@ -30,6 +32,24 @@ def prominences(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return prom, width
 
 
+def _prominences_at_once(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """prominences() with one row of comparisons for each top."""
+    if not len(tops):
+        return np.zeros(0), np.ones(0)
+    n, at = len(y), np.arange(len(y))[None, :]
+    i, top = tops[:, None], y[tops][:, None]
+    before, after = at < i, at > i
+    a = np.where(before & (y >= top), at, -1).max(1)[:, None] + 1
+    b = np.where(after & (y > top), at, n).min(1)[:, None] - 1
+    left = np.where((at >= a) & (at <= i), y, np.inf).min(1)
+    right = np.where((at >= i) & (at <= b), y, np.inf).min(1)
+    prom = top[:, 0] - np.maximum(left, right)
+    low = y <= top - prom[:, None] / 2
+    start = np.where(before & low, at, 0).max(1)
+    end = np.where(after & low, at, n - 1).min(1)
+    return prom, np.maximum(end - start, 1).astype(float)
+
+
 def prominent(y: Column) -> Column:
     """Every local maximum with its prominence and width in samples: array of struct(i, prominence, width)."""
 
@@ -42,11 +62,13 @@ def prominent(y: Column) -> Column:
 
 def thin_out(x: np.ndarray, tops: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
     """Tops left when, from the greatest rank down, each takes away those nearer than ``least``."""
-    kept: list[int] = []
+    at = x[tops]
+    near, kept = np.zeros(len(tops), bool), np.zeros(len(tops), bool)
     for k in np.argsort(-rank, kind="stable"):
-        if all(abs(x[tops[k]] - x[tops[j]]) >= least for j in kept):
-            kept.append(k)
-    return np.array(sorted(kept), int)
+        if not near[k]:
+            kept[k] = True
+            near |= np.abs(at - at[k]) < least
+    return np.flatnonzero(kept)
 
 
 def detect(x: np.ndarray, y: np.ndarray, threshold: float | None = None, min_dist: float = 0.05, min_width: float = 0.01, shoulders: bool = True) -> list[tuple]:
@@ -153,11 +175,13 @@ def positive(x, s, tops, bounds, step) -> list[bool]:
         first, last = bounds[group[0]][0], bounds[group[-1]][1]
         for k in group:
             a, b = bounds[k]
-            for lo, hi in ((a, b), (first, last)):
+            t, v = x[a : b + 1], s[a : b + 1]
+            for lo, hi in dict.fromkeys(((a, b), (first, last))):
                 if b > a and hi > lo:
-                    t = x[a : b + 1]
-                    net = s[a : b + 1] - (s[lo] + (s[hi] - s[lo]) * (t - x[lo]) / (x[hi] - x[lo]))
-                    out[k] |= net[tops[k] - a] > 0 and K.trapezoid(t, net) > 0
+                    net = v - (s[lo] + (s[hi] - s[lo]) * (t - x[lo]) / (x[hi] - x[lo]))
+                    if net[tops[k] - a] > 0 and K.trapezoid(t, net) > 0:
+                        out[k] = True
+                        break
     return out
 
 
