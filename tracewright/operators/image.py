@@ -342,7 +342,8 @@ def quality_warnings(width: Column, height: Column, coverage: Column, blocks: Co
     near = lambda c, name: F.when(F.abs(c) < 100, f"calibration points of {name} are close")
     found = [F.when(width < 600, "narrow image"), F.when(width * height < 150_000, "few pixels"), F.when(coverage < 0.85, "gaps in the curve"), F.when(blocks > 1.5, "strong compression")]
     found += [near(c, name) for c, name in ((x_pixels, "x"), (y_pixels, "y")) if c is not None]
-    found += [F.when(gaps > 0, "gaps were bridged")] * (gaps is not None)
+    if gaps is not None:
+        found.append(F.when(gaps > 0, "gaps were bridged"))
     return F.array_compact(F.array(*found))
 
 
