@@ -400,3 +400,43 @@ def test_summaries_and_lists_for_display(spark):
     assert [r.trace_id for r in tables.visible_signals(t, "min").collect()] == [1]
     wide = spark.createDataFrame([(1, 1.0, 2.0)], "trace_id int, k double, conc double")
     assert reports.table_columns(wide).columns == ["trace_id"] and reports.table_columns(wide, calibrated=True, void_time=True).columns == ["trace_id", "k", "conc"]
+
+
+def test_untrusted_documents():
+    deep = {"a": 1}
+    for _ in range(80):
+        deep = {"a": deep}
+    with pytest.raises(ValueError, match="deeply"):
+        projects.sanitized({"traces": [], "x": deep})
+    bad = {
+        "version": 2, "traces": [{"id": 5, "name": "n" * 999, "x": [0, "a", 2, 3], "y": [1, 2, float("inf")], "meta": {"k" * 99: 7, "d": {}}, "peaks": [{"start": 1, "apex": 2, "end": 3, "clip": "evil"}, {"start": 3, "apex": 2, "end": 1}, 4], "proc": {"window": 5000, "p": "x"}, "__proto__": 1}, "no"],
+        "settings": {"clipDefault": "nonsense"}, "calibration": {"analytes": [{"model": "cubic"}]}, "constructor": {},
+    }
+    got = projects.sanitized(bad)
+    (t,) = got["traces"]
+    assert (t["id"], len(t["name"]), t["x"], t["y"], t["proc"]) == ("5", 200, [0.0, None, 2.0], [1.0, 2.0, None], {"window": 1001})
+    assert t["peaks"] == [{"start": 1.0, "apex": 2.0, "end": 3.0, "clip": None, "label": None, "manual": False}] and t["meta"] == {"k" * 64: "7"}
+    assert got["settings"]["clipDefault"] == "drop" and got["calibration"]["analytes"][0]["model"] in calibration.MODELS and "constructor" not in got
+    assert projects.sanitized(got)["traces"] == got["traces"]
+
+
+def test_events_units_and_extents(spark):
+    t = spark.createDataFrame([(1, "min", 0.5, [("F", 1.0, "A1")]), (2, "mL", None, []), (3, "mL", None, [])], "trace_id int, x_unit string, offset double, events array<struct<curve:string,x:double,label:string>>").withColumns({"visible": F.lit(True), "role": F.lit("signal")})
+    assert [(r.trace_id, r.x, r.label) for r in reports.event_rows(t).collect()] == [(1, 1.5, "A1")]
+    assert reports.main_unit(t).first().x_unit == "mL" and reports.main_unit(t.filter("trace_id < 3")).first().x_unit == "min"
+    axes = image.Axes((10, 0.0), (110, 10.0), (0, 5.0), (50, 0.0))
+    e = one(spark, image.extent(axes, F.lit(111), F.lit(51)).alias("e")).e
+    assert (e.x_min, e.x_max, e.y_min, e.y_max) == pytest.approx((-1.0, 10.0, 0.0, 5.0))
+
+
+def test_peaks_of_an_image(spark):
+    y = 200 * np.exp(-0.5 * ((np.arange(600) - 200) / 12.0) ** 2) + 120 * np.exp(-0.5 * ((np.arange(600) - 420) / 15.0) ** 2) + 10
+    raster, axes = image.scene([y], [(31, 119, 180)])
+    (ox, dx, _), (oy, dy, _) = axes.line("x"), axes.line("y")
+    where = F.struct(F.lit(float(ox)).alias("x0"), F.lit(float(dx)).alias("dx"), F.lit(float(oy)).alias("y0"), F.lit(float(dy)).alias("dy"))
+    blank = np.full_like(raster, 255)
+    df = spark.createDataFrame([(1, bytearray(raster.tobytes()), 900, 560), (2, bytearray(blank.tobytes()), 900, 560)], "trace_id int, content binary, width int, height int")
+    how = analysis.Processing(window=0, baseline=False, threshold=20.0, min_dist=0.05, min_width=0.01)
+    got = sorted((r.trace_id, r.rt, r.height) for r in analysis.image_peak_table(df, where, (31, 119, 180), how).collect())
+    assert [g[0] for g in got] == [1, 1] and got[0][1] == pytest.approx(200 / 599, abs=0.005) and got[1][1] == pytest.approx(420 / 599, abs=0.005)
+    assert got[0][2] == pytest.approx(200, rel=0.05) and got[1][2] == pytest.approx(120, rel=0.05)

@@ -43,6 +43,13 @@ def to_pixel(axes: Axes, which: str, value: Column) -> Column:
     return (v - float(offset)) / float(slope)
 
 
+def extent(axes: Axes, width: Column, height: Column) -> Column:
+    """struct(x_min, x_max, y_min, y_max) of what an image of that size covers, in values of its axes."""
+    xs = [to_data(axes, "x", F.lit(0.0)), to_data(axes, "x", width - 1.0)]
+    ys = [to_data(axes, "y", F.lit(0.0)), to_data(axes, "y", height - 1.0)]
+    return F.struct(F.least(*xs).alias("x_min"), F.greatest(*xs).alias("x_max"), F.least(*ys).alias("y_min"), F.greatest(*ys).alias("y_max"))
+
+
 def half_pixel(axes: Axes, which: str, value: Column) -> Column:
     """Half of what one pixel is worth there."""
     _, slope, log = axes.line(which)

@@ -47,6 +47,19 @@ def shading(traces: DataFrame, peaks: DataFrame) -> DataFrame:
     return both.select("trace_id", F.inline(K.column(kind, run, F.col("x"), F.col("y"), F.col("peaks"))))
 
 
+def event_rows(traces: DataFrame) -> DataFrame:
+    """trace_id, curve, x and label of the events that traces have (column ``events``), moved by the trace's ``offset``."""
+    shift = F.coalesce("offset", F.lit(0.0)) if "offset" in traces.columns else F.lit(0.0)
+    each = traces.select("trace_id", shift.alias("shift"), F.inline("events"))
+    return each.select("trace_id", "curve", (F.col("x") + F.col("shift")).alias("x"), "label")
+
+
+def main_unit(traces: DataFrame) -> DataFrame:
+    """One row, x_unit: the unit that most visible signals have, minutes before others where they are equally many."""
+    shown = tables.visible_signals(traces).groupBy("x_unit").agg(F.count("*").alias("n"))
+    return shown.agg(F.max_by("x_unit", F.struct("n", (F.col("x_unit") == "min").cast("int"), "x_unit")).alias("x_unit"))
+
+
 def label_rows(peaks: DataFrame, least: float) -> DataFrame:
     """Peaks (trace_id, rt, height, label) whose labels fit: of those nearer than ``least`` to a higher one of the same trace
     none is kept, by cells of that width and their neighbours."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clusters, metrics, peaks
+from ..operators import clusters, image, metrics, peaks
 from ..operators import kernels as K
 from ..operators import signal as S
 
@@ -90,3 +90,11 @@ def peak_table(traces: DataFrame, how: Processing = Processing()) -> DataFrame:
     rows = traces.select("trace_id", F.inline(analysed(F.col("x"), F.col("y"), how)))
     rows = rows.withColumn("sn", F.try_divide(2 * F.col("height"), F.col("p2p"))).drop("p2p")
     return metrics.peak_list_metrics(rows)
+
+
+def image_peak_table(images: DataFrame, axes: Column, rgb: tuple[int, int, int], how: Processing = IMAGE, **options) -> DataFrame:
+    """The peaks of curves in images (trace_id, content, width, height; ``axes`` as for image.digitized): read from the
+    pixels, then as peak_table, by default without smoothing and baseline. Images without the curve have no peaks."""
+    curve = image.digitized(F.col("content"), F.col("width"), F.col("height"), axes, rgb, **options)
+    traces = images.select("trace_id", curve.alias("c")).filter("c.x is not null").select("trace_id", "c.x", "c.y")
+    return peak_table(traces, how)

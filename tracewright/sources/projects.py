@@ -33,6 +33,58 @@ def migrate(project: dict) -> dict:
     return out
 
 
+#: The longest texts that are taken over: of names, keys, notes and all others.
+NAME, KEY, NOTE, TEXT = 200, 64, 20_000, 1000
+UNSAFE_KEYS = {"__proto__", "prototype", "constructor"}
+DEPTH = 64
+
+
+def stripped(v, depth: int = 0):
+    """A JSON value without keys that only do harm in other programs; ValueError if it nests deeper than DEPTH."""
+    if depth > DEPTH:
+        raise ValueError("the document nests too deeply")
+    if isinstance(v, dict):
+        return {k: stripped(x, depth + 1) for k, x in v.items() if k not in UNSAFE_KEYS}
+    return [stripped(x, depth + 1) for x in v] if isinstance(v, list) else v
+
+
+def _finite(v) -> float | None:
+    ok = isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    return float(v) if ok else None
+
+
+def _text(v, most: int = TEXT) -> str | None:
+    return None if v is None or isinstance(v, (dict, list)) else str(v)[:most]
+
+
+def sanitized(project: dict) -> dict:
+    """A document of untrusted origin with values of the right kinds only: unknown keys and what can't be read go, texts are
+    cut to the lengths above, numbers are finite or null, x and y are of one length, processing is kept within its limits,
+    modes and units of the calibration are known ones."""
+    raw = migrate(stripped(project))
+    traces = []
+    for k, t in enumerate(v for v in raw.get("traces") or [] if isinstance(v, dict)):
+        x, y = (list(map(_finite, t.get(c))) if isinstance(t.get(c), list) else [] for c in ("x", "y"))
+        n = min(len(x), len(y))
+        meta = t.get("meta") if isinstance(t.get("meta"), dict) else {}
+        peaks = []
+        for p in t.get("peaks") or []:
+            ends = [_finite(p.get(c)) for c in ("start", "apex", "end")] if isinstance(p, dict) else [None]
+            if None not in ends and ends[0] <= ends[1] <= ends[2]:
+                mode = p.get("clip") if p.get("clip") in MODES else None
+                peaks.append({"start": ends[0], "apex": ends[1], "end": ends[2], "clip": mode, "label": _text(p.get("label"), NAME), "manual": p.get("manual") is True})
+        proc = t.get("proc") if isinstance(t.get("proc"), dict) else {}
+        limits = {"window": (3, 1001), "order": (0, 10), "p": (1e-6, 0.5), "iterations": (1, 100), "lambda": (1, 1e12)}
+        proc = {c: min(max(v, a), b) for c, (a, b) in limits.items() if (v := _finite(proc.get(c))) is not None}
+        traces.append({
+            "id": _text(t.get("id"), NAME) or str(k + 1), "name": _text(t.get("name"), NAME) or "", "x": x[:n], "y": y[:n], "xUnit": _text(t.get("xUnit"), KEY) or "min", "yUnit": _text(t.get("yUnit"), KEY),
+            "meta": {str(a)[:KEY]: _text(b) for a, b in meta.items() if _text(b) is not None}, "peaks": peaks, "proc": proc,
+        })
+    settings = raw.get("settings") if isinstance(raw.get("settings"), dict) else {}
+    mode = settings.get("clipDefault") if settings.get("clipDefault") in MODES else "drop"
+    return {"version": VERSION, "traces": traces, "settings": {"clipDefault": mode}, "notes": _text(raw.get("notes"), NOTE) or "", "calibration": calibration_of(raw)}
+
+
 def calibration_of(project: dict) -> dict:
     """The calibration with defaults for what is missing or unknown."""
     cal = project.get("calibration") or {}
