@@ -599,6 +599,21 @@ REAL_SHAPES = [
 ]
 
 
+REAL_SHAPES += [
+    # columns of a table
+    ("""<body><table><tr><td class="menu"><a href=1>One</a><br><a href=2>Two</a></td><td><h2>Story</h2><p>Once upon a time there was a king, who lived in a castle.</p>
+    <p>He was old.</p></td></tr></table><p>Copyright 1999</p></body>""", "Story\nOnce upon a time there was a king, who lived in a castle.\nHe was old."),
+    # a byline in the article's header, a pull-out, tags in its footer
+    ("""<article><header><h1>Title here</h1><p class="byline">By Ann Lee</p></header><p>First paragraph of the article is long enough to be text.</p>
+    <aside class="pullquote">Buy our book today.</aside><p>Second one.</p><footer><a href=/t>tag</a></footer></article>""", "Title here\nBy Ann Lee\nFirst paragraph of the article is long enough to be text.\nSecond one."),
+    # a form and a notice between paragraphs
+    ("""<main><div class="notice">This site uses cookies to work.</div><h1>How to</h1><p>Do this first, then that.</p><form><p>Rate this page</p><input><button>Go</button></form><p>Then you are done.</p></main>
+    <section id="comments"><h2>Comments</h2><p>Nice one, thanks a lot for this article!</p></section>""", "How to\nDo this first, then that.\nThen you are done."),
+    # a fragment
+    ("<p>Just one paragraph of text without anything around it.</p><p>And another.</p>", "Just one paragraph of text without anything around it.\nAnd another."),
+]
+
+
 @pytest.mark.parametrize("page, want", REAL_SHAPES)
 def test_pages_labelled_by_hand(chain, page, want):
     assert chain.main_text(page) == want

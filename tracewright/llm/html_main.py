@@ -392,10 +392,12 @@ class _Maker:
         else:
             main = f"<div>{body}</div>{late}"
         before = self.any(self.notice(), share=0.25) + self.any(f"<header>{self.any(f'<p>{self.words(1, 4)}</p>', f'<h2>{self.words(1, 3)}</h2>')}{self.any(self.form(), share=0.3)}{self.nav()}</header>", share=0.4) + self.any(self.nav(), share=0.7) + self.any(self.ad(), share=0.5) + self.any(self.side(), share=0.2)
-        rights = f"&copy; {self.words(1, 3)} &middot; {self.words(3, 12, '.')}"
+        rights = rng.choice(["&copy;", "&copy;", "Copyright"]) + f" {self.words(1, 3)} &middot; {self.words(3, 12, '.')}"
         foot = rng.choice([rights, f"<p>{rights}</p>", self.words(2, 9, "."), self.links(), f"<p>{self.words(3, 20, '.')}</p>{self.links()}"])
         after = self.any(self.comments(), share=0.3) + self.any(self.ad(), self.side(), share=0.3) + self.any(self.form(), self.notice(), share=0.15)
         footer = rng.choice([f"<footer>{foot}</footer>", f"<footer>{foot}</footer>", f'<div class="{rng.choice(["footer", "site-footer", "copyright"])}">{foot}</div>', ""])
+        if holder >= 0.97:  # a fragment: the text and nothing around it
+            return head + "".join(self.main_block() for _ in range(rng.randint(1, 8)))
         return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{before}{main}{after}{footer}</body></html>"
 
     def links_bar(self) -> str:
