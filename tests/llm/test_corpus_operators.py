@@ -529,7 +529,7 @@ def test_rows_without_an_id_and_of_one_id_are_dealt_over_shards(spark, tmp_path)
 
 @pytest.fixture(scope="module")
 def chain():
-    return html_main.fit(html_main.labelled_pages(300), steps=150)
+    return html_main.fit(html_main.labelled_pages())
 
 
 def test_crf_on_pages_it_has_not_seen(chain):
