@@ -459,6 +459,45 @@ def wide_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.compare_wide(one, [1, 2, 3], ["grp"]).withColumn("group_rt", r("group_rt"))
 
 
+@query("""SELECT conv_id, turn, sha256(coalesce(text, '')) AS digest FROM conversations""")
+def unescaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts escaped for a page and decoded again."""
+    t = views.table(spark, sf_dir, "conversations")
+    back = scalars.decode_xml(scalars.escape_html(F.coalesce("text", F.lit(""))))
+    return t.select("conv_id", "turn", F.sha2(back, 256).alias("digest"))
+
+
+@query(f"""WITH {EMB} SELECT trace_id, CASE WHEN trace_id % 3 = 0 THEN 'CV' WHEN trace_id % 3 = 1 AND trace_id % 2 = 0 THEN 'min' ELSE 'mL' END AS x_unit, round(max(CASE WHEN trace_id % 3 = 1 AND trace_id % 2 = 0 THEN i / 0.5 ELSE i END), 6) AS last_x
+FROM (SELECT trace_id, i FROM e) GROUP BY trace_id""")
+def converted_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces over volumes as traces over minutes where a flow is known: every third trace is in column volumes, another third
+    in mL, of which every second has a flow."""
+    t = views.embeddings(spark, sf_dir)
+    unit = F.when(F.col("trace_id") % 3 == 0, "CV").when(F.col("trace_id") % 3 == 1, "mL").otherwise("mL")
+    flow = F.when((F.col("trace_id") % 3 == 1) & (F.col("trace_id") % 2 == 0), 0.5)
+    c = S.volumes_to_minutes(t.withColumn("x_unit", unit), flow)
+    return c.select("trace_id", "x_unit", r(F.element_at("x", -1)).alias("last_x"))
+
+
+@query("""SELECT o_custkey AS trace_id, o_orderkey AS peak_no, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 END AS area FROM orders""")
+def joined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results beside their peaks (orders of customers): by id for even numbers, by number for every third, none for others."""
+    p = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("peak_no"), F.col("o_totalprice").alias("q"))
+    p = p.withColumn("peak_id", F.concat_ws("#", "trace_id", "peak_no"))
+    by_id = p.filter("peak_no % 2 = 0").select("trace_id", (F.col("peak_no") + 10**9).alias("peak_no"), "peak_id", F.col("q").alias("area"))
+    by_no = p.filter("peak_no % 3 = 0 and peak_no % 2 = 1").select("trace_id", "peak_no", F.lit(None).cast("string").alias("peak_id"), (F.col("q") + 1).alias("area"))
+    return edits.joined_results(p.select("trace_id", "peak_no", "peak_id"), by_id.unionByName(by_no)).select("trace_id", "peak_no", "area")
+
+
+@query("""SELECT o_custkey AS trace_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS printed_no, round(o_totalprice, 2) AS printed_rt, CAST(o_orderkey % 100 AS DOUBLE) AS printed_pct, o_orderstatus AS label FROM orders""")
+def printed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of peaks written as text, one for each customer, and read again."""
+    p = views.table(spark, sf_dir, "orders")
+    line = F.format_string("%.2f, %d%%, %s", F.round("o_totalprice", 2), F.col("o_orderkey") % 100, "o_orderstatus")
+    lists = p.groupBy(F.col("o_custkey").alias("trace_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda v: v["line"]), "\n").alias("text"))
+    return edits.parse_printed(lists).select("trace_id", "printed_no", r("printed_rt", 2).alias("printed_rt"), "printed_pct", "label")
+
+
 def _sql_columns(columns: dict, own: dict[str, str]) -> str:
     kinds = {"int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
     return ", ".join(f'CAST({own.get(n, "NULL")} AS {kinds[k]}) AS "{n}"' for n, (k, _) in columns.items())

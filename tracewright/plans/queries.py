@@ -162,6 +162,23 @@ def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", "f.part", r("f.valley").alias("valley"), r("f.drop").alias("drop"))
 
 
+@query(f"""WITH {EMB}, w AS (SELECT trace_id, i, y FROM e WHERE i BETWEEN 11 AND 30),
+under AS (SELECT DISTINCT p.trace_id, p.i FROM w p JOIN w a ON a.trace_id = p.trace_id AND a.i < p.i JOIN w b ON b.trace_id = p.trace_id AND b.i > p.i WHERE p.y > a.y + (b.y - a.y) * (p.i - a.i) / (b.i - a.i)),
+node AS (SELECT w.trace_id, w.i, w.y FROM w LEFT JOIN under u ON u.trace_id = w.trace_id AND u.i = w.i WHERE u.i IS NULL),
+edge AS (SELECT trace_id, i AS a, y AS ya, lead(i) OVER v AS b, lead(y) OVER v AS yb FROM node WINDOW v AS (PARTITION BY trace_id ORDER BY i)),
+base AS (SELECT w.trace_id, w.i, w.y - (ya + (yb - ya) * (w.i - a) / (b - a)) AS h FROM w JOIN edge ON edge.trace_id = w.trace_id AND ((w.i >= a AND w.i < b) OR (w.i = 30 AND b = 30))),
+hull AS (SELECT trace_id, sum((h + n) / 2) AS hull FROM (SELECT *, lead(h) OVER (PARTITION BY trace_id ORDER BY i) AS n FROM base) GROUP BY trace_id),
+low AS (SELECT trace_id, y AS y0 FROM e WHERE i = 20), slope AS (SELECT e.trace_id, min((y - y0) / (i - 20)) AS s FROM e JOIN low USING (trace_id) WHERE i BETWEEN 24 AND 26 GROUP BY e.trace_id),
+skim AS (SELECT trace_id, sum((h + n) / 2) AS skim FROM (SELECT *, lead(h) OVER (PARTITION BY trace_id ORDER BY i) AS n FROM (SELECT e.trace_id, i, y - (y0 + s * (i - 20)) AS h FROM e JOIN low USING (trace_id) JOIN slope USING (trace_id) WHERE i BETWEEN 20 AND 26)) GROUP BY trace_id)
+SELECT trace_id, round(hull, 6) + 0.0 AS hull, round(skim, 6) + 0.0 AS skim FROM hull JOIN skim USING (trace_id)""")
+def hulls_and_skims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of a window above its lower hull, and that of a rider above the tangent from its valley."""
+    t, x, y = views.embeddings(spark, sf_dir), F.col("x"), F.col("y")
+    at = lambda v: F.lit(float(v))
+    t = t.withColumn("hull", integration.hull_area(x, y, at(11), at(30), at(11), at(30))).withColumn("skim", integration.tangent_skim(x, y, at(20), at(26), at(20), at(23), at(26)))
+    return t.select("trace_id", r("hull").alias("hull"), r("skim").alias("skim"))
+
+
 @query(f"""WITH {EMB}, q AS (SELECT trace_id, x0, y0, y1, y2, k FROM (SELECT trace_id, i AS k, i AS x0, lag(y) OVER w AS y0, y AS y1, lead(y) OVER w AS y2, row_number() OVER (PARTITION BY trace_id ORDER BY y DESC, i) AS rk FROM e WINDOW w AS (PARTITION BY trace_id ORDER BY i)) WHERE rk = 1)
 SELECT trace_id, round(CASE WHEN y0 + y2 - 2 * y1 < 0 THEN k + 0.5 * (y0 - y2) / (y0 - 2 * y1 + y2) ELSE k END, 6) + 0.0 AS rt,
   round(CASE WHEN y0 + y2 - 2 * y1 < 0 THEN y1 - 0.125 * pow(y0 - y2, 2) / (y0 - 2 * y1 + y2) ELSE y1 END, 6) + 0.0 AS height FROM q""")
