@@ -109,7 +109,7 @@ class WordEncoder:
         for text in texts:
             parts.append(self.split(text))
             held += len(text)
-            if held > 4 << 20:
+            if held > 1 << 20:
                 yield from self._flush(parts)
                 parts, held = [], 0
         yield from self._flush(parts)
