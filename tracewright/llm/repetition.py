@@ -26,7 +26,7 @@ MAX_LONGEST = 100
 LONGEST_SHARE = 0.10
 MIN_TEXT_WORDS = 20
 #: Words whose suffixes are sorted together; a longer text is sorted alone.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 80_000
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
