@@ -206,8 +206,10 @@ def test_golay_code_is_perfect():
     assert (np.bitwise_count(words ^ v) <= 3).all()
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_long_chains(spark, monkeypatch, few):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (200, 150)]
+    monkeypatch.setattr(simhash, "FEW", few)
     got = {r.fp: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[105] == 100 and got[200] == got[150] == 150
 

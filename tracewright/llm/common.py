@@ -67,16 +67,19 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, least: int = 0) -> DataFrame:
     """``rows`` left joined with ``facts``, which has one row for each non-null ``key`` and its row count ``size``.
 
     Facts of hot groups are broadcast (fewer than HEAVY rows by the definition of hot), so a hot key's rows stay
     where they are; all other rows are shuffled by key. Rows whose key has no facts get nulls.
-    Both inputs should be settled: they are read twice.
+    A group of at most ``least`` rows isn't hot, whatever its share. Both inputs should be settled: they are read twice
+    where there are hot groups.
     """
-    total = facts.agg(F.sum(size)).first()[0] or 0
-    hot = facts.filter(F.col(size) * HEAVY > total)
-    rest = facts.filter(F.col(size) * HEAVY <= total)
+    total, most = facts.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    if most <= least or most * HEAVY <= total:
+        return rows.join(facts, key, "left")
+    is_hot = (F.col(size) * HEAVY > total) & (F.col(size) > least)
+    hot, rest = facts.filter(is_hot), facts.filter(~is_hot)
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
     return near.unionByName(far)

@@ -141,6 +141,8 @@ def _keyed(distinct: DataFrame, keys) -> DataFrame:
     return distinct.select("fp").mapInArrow(spread, "fp long, key long")
 
 
+#: Nodes with at most so many neighbours are joined as they are.
+FEW = 10_000
 #: Keys with more indexed fingerprints than this aren't joined; their fingerprints are linked by ``clustered_links``.
 FULL = 1000
 #: All vectors within two bits of zero, nearest first (1, 64 and 2016 of them).
@@ -191,18 +193,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps: each hooks a node's neighbours to the smallest of them, which shortens
     all paths at once, and ends when a round changes nothing. Minima are aggregated map-side before they are joined, and
     those of hot nodes (the root of a giant component has all its nodes as neighbours) are broadcast, so no node's
-    neighbours are gathered in one place.
+    neighbours beyond FEW are gathered in one place.
     """
     edges = settled(edges.select("a", "b"))
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
         low = settled(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
-        large = attach(both, low, "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = attach(both, low, "a", "n", FEW).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = settled(large)
         # small star: of the smaller neighbours of each node, the smallest takes the others and the node itself
         low = settled(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = attach(large, low, "a", "n").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = attach(large, low, "a", "n", FEW).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = settled(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
