@@ -42,7 +42,7 @@ GRAMS = (5, 6, 7)
 #: Saved bytes from which a window counts.
 CUTS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: Windows whose saved bytes a task remembers; as many again stay from before.
-CACHE_WINDOWS = 40_000
+CACHE_WINDOWS = 100_000
 EDGES = b".,!?;:\"'()"
 
 
