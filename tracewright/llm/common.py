@@ -13,6 +13,17 @@ BATCH_BYTES = 8 << 20
 HEAVY = 512
 
 
+#: What tasks of an operator leave in a Python worker for the next ones, by operator.
+HELD: dict[str, dict] = {}
+
+
+def release(but: str = "") -> None:
+    """Empties what other operators' tasks have left in this Python worker."""
+    for name, held in HELD.items():
+        if name != but:
+            held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Also bounds the bytes of the Arrow batches that Python tasks get at once."""
     if spark.conf.get(BATCH_CONF).startswith(str((1 << 31) - 1)):  # nobody has set it

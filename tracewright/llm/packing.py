@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import HELD, release, settled, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -121,7 +121,7 @@ class WordEncoder:
             yield b"".join([ids[w] for w in words])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = HELD.setdefault("packing", {})
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col
     """Pieces of all documents, with their partition (chunk) and their rank there among pieces of their length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("packing")
         encoder = word_encoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
         chunk = TaskContext.get().partitionId()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, table
+from .common import free, release, table
 
 MIN_WORDS, LONG_WORDS = 8, 16
 MAX_COVERED = 0.20
@@ -155,6 +155,7 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, added = [f.name for f in docs.schema.fields], quality_column(docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             figures = _figures([t or b"" for t in batch.column(names.index(text_col)).cast(pa.binary()).to_pylist()])
             struct = pa.StructArray.from_arrays([pa.array(figures[c], pa.int64()) for c in FIGURES], names=list(FIGURES))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HEAVY, among, attach, free, settled, table, text_of, without
+from .common import HEAVY, among, attach, free, release, settled, table, text_of, without
 
 SHINGLE = 3
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id and fp (the fingerprint as a signed long) of each row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             out = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))

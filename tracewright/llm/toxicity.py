@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, settled, table, text_of
+from .common import free, release, settled, table, text_of
 
 #: Bounds of the training sample: rows of each label, in order of a hash of the id, as long as their whole texts come to
 #: so many bytes in all.
@@ -251,6 +251,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         mine = pickle.loads(held.value)
         for batch in batches:
             texts = batch.column(names.index(text_col)).cast(pa.binary())
