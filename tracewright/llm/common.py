@@ -100,16 +100,16 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, least: int =
 SMALL_ROWS = 200_000
 
 
-def _small(keys: DataFrame) -> DataFrame:
+def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else keys
 
 
 def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` whose ``on`` values aren't in ``keys``, which should be settled (it is counted); nulls equal nulls.
     Few keys are broadcast, so the rows stay where they are."""
-    return rows.join(_small(keys), same(rows, keys, on), "left_anti")
+    return rows.join(small(keys), same(rows, keys, on), "left_anti")
 
 
 def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` whose ``on`` values are in ``keys``; otherwise as ``without``."""
-    return rows.join(_small(keys), same(rows, keys, on), "left_semi")
+    return rows.join(small(keys), same(rows, keys, on), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_main, packing, repetition, sentence_pieces, sharding, simhash, toxicity, warc
+from . import chat, exact_dedup, html_main, packing, prefix_trie, repetition, sentence_pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_compression_toxicity": toxicity.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_suffix_array_quality": repetition.query,
     "op9_simhash_golay": simhash.query,
     "op10_weighted_hash_tree": sharding.query,
+    "op11_z_fast_trie": prefix_trie.query,
 }
-SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_warc_shards": warc.SQL, "op5_chat_prefix_tree": chat.SQL}
+SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_warc_shards": warc.SQL, "op5_chat_prefix_tree": chat.SQL, "op11_z_fast_trie": prefix_trie.SQL}
