@@ -97,7 +97,7 @@ def _edits(role: str, must_go: bool, truncated: bool) -> list[tuple[str, str, in
     out = [(DELETE, "", COST[DELETE])]
     if not must_go:
         extra = TRUNCATED_COST * truncated
-        out += [(KEEP, role[0], COST[KEEP] + extra)] * (role[:1] in ("s", "u", "a")) + [(REROLE, i, COST[REROLE] + extra) for i in ROLE]
+        out += [(KEEP, role[:1], COST[KEEP] + extra)] * (role[:1] in ("s", "u", "a")) + [(REROLE, i, COST[REROLE] + extra) for i in ROLE]
     return out
 
 
