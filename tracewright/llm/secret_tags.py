@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HELD, release, table
@@ -480,9 +480,16 @@ def secrets(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id
     return docs.select(id_col, text_col).mapInArrow(scan, schema)
 
 
+def _of_kind(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def _listed(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"] != TAGGED)
-    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    base = _listed(F.filter("spans", lambda s: s["kind"] != TAGGED))
+    counts = [_of_kind(kind).alias(f"n_{kind}") for kind, *_ in KINDS]
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
