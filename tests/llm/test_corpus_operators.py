@@ -833,6 +833,36 @@ def test_the_sample_is_bounded_by_whole_rows(spark, monkeypatch):
     assert again[0] == toxic and 0 < len(again[1]) < 5 and again[1] == ordinary[: len(again[1])]
 
 
+def test_toxicity_folds_all_alphabets():
+    rng = random.Random(12)
+    plain = ["haus", "maison", "casa", "été", "árbol", "река", "дорога", "über", "the", "of", "and", "niño"]
+    bad = ["verkrümmt", "idiotès", "imbécil", "дуралей", "blödmann", "tontísimo"]
+    text = lambda toxic: " ".join(rng.choice(bad) if toxic and rng.random() < 0.2 else rng.choice(plain) + rng.choice(["", "x", "en", "на"]) for _ in range(120))
+    model = toxicity.fit([toxicity.folded(text(True)) for _ in range(60)], [toxicity.folded(text(False)) for _ in range(120)])
+    for word in bad:
+        small = " ".join([*rng.sample(plain, 8), word, *rng.sample(plain, 8), word])
+        scores = {model.scores(model.evidence(t)[None, :])[0] for t in (small, small.upper(), small.title(), small.upper().encode())}
+        assert len(scores) == 1 and scores.pop() > 0.5, word
+
+
+def test_toxicity_sample_skips_what_does_not_fit(spark, monkeypatch):
+    order = [i for (i,) in spark.range(1, 60).filter("crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {i: f"Text {i} " * (400 if k == 0 else 3) for k, i in enumerate(order)}
+    docs = frame(spark, [(i, t) for i, t in texts.items()])
+    labels = spark.createDataFrame([(i, 1) for i in order], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TOXIC_SAMPLE_BYTES", 300)
+    toxic, ordinary, _ = toxicity.training_sample(docs, labels)
+    assert not ordinary and toxic and toxic == [texts[i].lower().encode() for i in order[1 : 1 + len(toxic)]]
+    assert 300 - 50 < sum(map(len, toxic)) <= 300
+
+
+def test_toxicity_dictionary_keeps_all_it_cannot_choose_from():
+    few = [bytes([97 + k % 26]) * 3000 + b" end%d" % k for k in range(3)]
+    held = toxicity.dictionary(few, 4096, 24)
+    assert held == b"".join(few) or len(held) <= 4096  # whole, or chosen by zstandard from all pieces
+    assert b"".join(toxicity._pieces(few)) == b"".join(few)
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     rng = random.Random(8)
     syllables = ["tion", "re", "an", "the", "er", "ou", "in", "st", "ble", "ha"]

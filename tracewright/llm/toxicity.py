@@ -46,8 +46,14 @@ CACHE_WINDOWS = 100_000
 EDGES = b".,!?;:\"'()"
 
 
+def folded(text: str | bytes | None) -> bytes:
+    """The text in small letters of any alphabet, in UTF-8: what is learnt from and what is scored. Null is empty."""
+    return (text.decode("utf-8", "replace") if isinstance(text, bytes) else text or "").lower().encode("utf-8", "replace")
+
+
 def windows(text: bytes, words: int = WINDOW_WORDS) -> list[bytes]:
-    parts = text.lower().split()
+    """Of a folded text."""
+    parts = text.split()
     return parts if words == 1 else [b" ".join(parts[i : i + words]) for i in range(0, len(parts), words)]
 
 
@@ -109,15 +115,32 @@ def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return out
 
 
+def _pieces(texts: list[bytes], size: int = 2048) -> list[bytes]:
+    """The texts in pieces of about ``size`` bytes, cut at blanks; nothing is left out."""
+    out = []
+    for text in texts:
+        at = 0
+        while len(text) - at > size:
+            end = text.find(b" ", at + size)
+            end = len(text) if end < 0 else end
+            out.append(text[at:end])
+            at = end
+        out.append(text[at:])
+    return out
+
+
 def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A dictionary that zstandard trains on ``samples``; all of them where there is too little to choose from."""
+    """A dictionary that zstandard trains on ``samples``; all of them where there is too little to choose from. Too few
+    samples to train on are given in pieces; if that doesn't do either, they are the dictionary, whole."""
     whole = b"".join(samples)
     if len(whole) <= size:
         return whole or b" "
-    try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return whole[-size:]
+    for parts in (samples, _pieces(samples)):
+        try:
+            return zstandard.train_dictionary(size, parts, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return whole
 
 
 @dataclass
@@ -155,9 +178,9 @@ class Model:
                 young[w] = known
         return np.fromiter(map(young.__getitem__, found), np.int64, len(found))
 
-    def evidence(self, text: bytes) -> np.ndarray:
-        """Windows that save at least each of CUTS bytes, and the number of words."""
-        found = windows(text)
+    def evidence(self, text: str | bytes | None) -> np.ndarray:
+        """Windows of the folded text that save at least each of CUTS bytes, and the number of words."""
+        found = windows(folded(text))
         at = np.bincount(self.saved(found), minlength=CUTS[-1] + 1)
         return np.array([*(at[c:].sum() for c in CUTS), len(found) * WINDOW_WORDS], float)
 
@@ -193,7 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """A model from lower-cased texts of both kinds; two of three are for the dictionaries, the others to calibrate."""
+    """A model from folded texts of both kinds; two of three are for the dictionaries, the others to calibrate."""
     part = lambda texts, own: [t for k, t in enumerate(texts) if (k % 3 < 2) == own]
     tox, ordi = part(toxic, True), part(ordinary, True)
     model = Model(dictionary(ordi, ORDINARY_BYTES, 24), dictionary(toxic_passages(tox, ordi), TOXIC_BYTES, 12), np.zeros(0), np.ones(0), np.zeros(0))
@@ -212,7 +235,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[bytes], float]:
-    """Lower-cased toxic and ordinary texts, and the share of toxic ones among all labelled ids that may be learnt from.
+    """Folded toxic and ordinary texts, and the share of toxic ones among all labelled ids that may be learnt from.
+
+    Texts are taken in order of a hash of the id, without those that no longer fit.
 
     Only ids whose crc32 (as text) mod 5 is not 0 are taken; labels other than 0 and 1, and null ids, aren't used. An id
     labelled both ways counts as toxic; of the texts of one id the smallest is taken. The sample is bounded by rows and
@@ -229,10 +254,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     out: dict[int, list[bytes]] = {}
     for y, most in ((1, TOXIC_SAMPLE_BYTES), (0, ORDINARY_SAMPLE_BYTES)):
         own = texts.filter(F.col("toxic") == y)
-        sizes = own.orderBy(*order).select(F.octet_length(text_col)).collect()  # at most as many rows as were chosen
-        within = int((np.cumsum([r[0] for r in sizes]) <= most).sum()) if sizes else 0
-        got = own.orderBy(*order).select(text_col).limit(within).collect() if within else []
-        out[y] = [r[0].lower().encode() for r in got]
+        sizes = own.orderBy(*order).select(id_col, F.octet_length(text_col)).collect()  # at most as many rows as were chosen
+        fits, left = [], most
+        for doc_id, size in sizes:
+            if size <= left:
+                fits.append((doc_id,))
+                left -= size
+        if len(fits) < len(sizes):
+            own = own.join(F.broadcast(docs.sparkSession.createDataFrame(fits, T.StructType([own.schema[id_col]]))), id_col)
+        out[y] = [folded(r[0]) for r in own.orderBy(*order).select(text_col).collect()]
     return out[1], out[0], float(count or 0.0)
 
 
@@ -255,7 +285,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         mine = pickle.loads(held.value)
         for batch in batches:
             texts = batch.column(names.index(text_col)).cast(pa.binary())
-            seen = np.array([mine.evidence(t.as_py() or b"") for t in texts]).reshape(-1, len(CUTS) + 1)
+            seen = np.array([mine.evidence(t.as_py()) for t in texts]).reshape(-1, len(CUTS) + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine.scores(seen))], names=[*names, score_col])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
