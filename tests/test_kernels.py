@@ -1,5 +1,7 @@
 """Numerical kernels on signals whose truth is known."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -151,3 +153,75 @@ def test_cyclic_reduction_equals_the_plain_solver(n, lam):
     w, y = rng.random(n), rng.normal(size=n).cumsum()
     a = kernels._solve_pentadiagonal((w + lam * d0).tolist(), (lam * d1).tolist(), lam, (w * y).tolist())
     assert np.allclose(kernels._solve_cyclic(w + lam * d0, lam * d1, lam, w * y), a, atol=1e-5)
+
+
+def naive_prominence(y, i):
+    """By its definition: walk to the left while samples are lower, to the right while they are not higher."""
+    a, b = i, i
+    while a > 0 and y[a - 1] < y[i]:
+        a -= 1
+    while b < len(y) - 1 and y[b + 1] <= y[i]:
+        b += 1
+    prominence = y[i] - max(min(y[a : i + 1]), min(y[i : b + 1]))
+    level = y[i] - prominence / 2
+    left = next((k for k in range(i - 1, -1, -1) if y[k] <= level), 0)
+    right = next((k for k in range(i + 1, len(y)) if y[k] <= level), len(y) - 1)
+    return prominence, max(right - left, 1)
+
+
+def test_prominences_by_definition():
+    rng = np.random.default_rng(1)
+    for k in range(400):
+        n = int(rng.integers(3, 120))
+        y = [rng.normal(size=n), rng.integers(0, 4, n).astype(float), np.cumsum(rng.normal(size=n)), np.round(np.cumsum(rng.normal(size=n)))][k % 4]
+        tops = kernels.local_maxima(y)
+        want = [naive_prominence(y.tolist(), i) for i in tops.tolist()]
+        got = peaks.prominences(y, tops)
+        assert np.allclose(got[0], [p for p, _ in want]) and got[1].tolist() == [w for _, w in want]
+        some = tops[::2]
+        assert np.allclose(peaks.prominences(y, some)[0], got[0][::2])
+
+
+def test_thin_out_by_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x = np.sort(np.round(rng.uniform(0, 3, 60), 2))
+        tops, rank = np.sort(rng.choice(60, 25, replace=False)), rng.integers(0, 6, 25).astype(float)
+        for least in (0.0, 0.03, 0.1, 0.5):
+            kept = []
+            for k in sorted(range(25), key=lambda k: -rank[k]):
+                if all(abs(x[tops[k]] - x[tops[j]]) >= least for j in kept):
+                    kept.append(k)
+            assert peaks.thin_out(x, tops, rank, least).tolist() == sorted(kept)
+
+
+def test_bounds_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        s = np.cumsum(rng.normal(size=40))
+        i, way = int(rng.integers(0, 40)), int(rng.choice([-1, 1]))
+        limit = 39 if way > 0 else 0
+        path = list(range(i, limit + way, way))
+        low = min(s[path])
+        back, rise = low + max(0.001 * (s[i] - low), 0.2), max(0.3, 0.01 * (s[i] - low))
+        best, want = i, None
+        for j in path[1:]:
+            best = j if s[j] < s[best] else best
+            if s[j] <= back or s[j] > s[best] + rise:
+                want = j if s[j] <= back else best
+                break
+        assert peaks.side(s, i, way, limit, 0.1) == (best if want is None else want)
+
+
+def test_long_traces_take_linear_time():
+    rng = np.random.default_rng(4)
+    y = np.convolve(rng.normal(size=1_000_000), np.ones(5) / 5, "same")
+    tops = kernels.local_maxima(y)
+    began = time.process_time()
+    prominence, width = peaks.prominences(y, tops)
+    assert time.process_time() - began < 2 and len(tops) > 100_000 and (prominence >= 0).all() and (width >= 1).all()
+    x = np.linspace(0, 200, 200_001)
+    trace = sum(kernels.gaussian(x, 10, m, 0.05) for m in np.arange(1, 199.5, 0.5)) + rng.normal(0, 0.05, len(x))
+    began = time.process_time()
+    found = peaks.detect(x, trace)
+    assert time.process_time() - began < 1 and abs(len(found) - 397) < 5

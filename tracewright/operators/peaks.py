@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,44 +14,78 @@ PEAK = "array<struct<start:double,apex:double,end:double,prominence:double,shoul
 
 
 def prominences(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prominence of each top, and the samples between its crossings at half of that. On the left the walk stops at a
-    sample as high, on the right it goes on over such samples."""
-    if len(tops) * len(y) <= 1 << 22:
-        return _prominences_at_once(y, tops)
-    prom, width = np.zeros(len(tops)), np.ones(len(tops))
-    for k, i in enumerate(tops):
-        higher = np.flatnonzero(y[:i] >= y[i])
-        a = higher[-1] + 1 if len(higher) else 0
-        higher = np.flatnonzero(y[i + 1 :] > y[i])
-        b = i + higher[0] if len(higher) else len(y) - 1
-        prom[k] = y[i] - max(y[a : i + 1].min(), y[i : b + 1].min())
-        level = y[i] - prom[k] / 2
-        low = np.flatnonzero(y[:i] <= level)
-        high = np.flatnonzero(y[i + 1 :] <= level)
-        left = low[-1] if len(low) else 0
-        right = i + 1 + high[0] if len(high) else len(y) - 1
-        width[k] = max(right - left, 1)
-    return prom, width
-
-
-def _prominences_at_once(y: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """prominences() with one row of comparisons for each top."""
+    """Prominence of each of ``tops`` (local maxima), and the samples between its crossings at half of that. On the left the walk
+    stops at a sample as high, on the right it goes on over such samples.
+
+    Between neighbouring maxima the signal only falls, then rises, so it is known by its maxima and the valleys between. A
+    monotone stack of maxima gives the lowest valley before a higher one; the crossing's valley is found in a table of
+    minima over powers of two, and the crossing in it by halving. Time grows with samples, and with maxima times their logarithm.
+    """
     if not len(tops):
         return np.zeros(0), np.ones(0)
-    n, at = len(y), np.arange(len(y))[None, :]
-    i, top = tops[:, None], y[tops][:, None]
-    before, after = at < i, at > i
-    a = np.where(before & (y >= top), at, -1).max(1)[:, None] + 1
-    b = np.where(after & (y > top), at, n).min(1)[:, None] - 1
-    left = np.where((at >= a) & (at <= i), y, np.inf).min(1)
-    right = np.where((at >= i) & (at <= b), y, np.inf).min(1)
-    prom = top[:, 0] - np.maximum(left, right)
-    low = y <= top - prom[:, None] / 2
-    start = np.where(before & low, at, 0).max(1)
-    end = np.where(after & low, at, n - 1).min(1)
+    y, n = np.asarray(y, float), len(y)
+    inner = np.union1d(K.local_maxima(y), tops)
+    every = np.concatenate([[0] if inner[0] else [], inner, [n - 1] if inner[-1] != n - 1 else []]).astype(int)
+    heights, valleys = y[every], np.minimum.reduceat(y, every)[:-1]
+    valleys = np.minimum(valleys, heights[1:])
+    own = np.searchsorted(every, tops)
+    left = _lowest_before_higher(heights.tolist(), valleys.tolist(), True)
+    right = _lowest_before_higher(heights[::-1].tolist(), valleys[::-1].tolist(), False)[::-1]
+    level_tops = y[np.maximum(tops - 1, 0)] >= y[tops]  # on a plateau the walk to the left ends at once
+    lows = np.maximum(np.where(level_tops, y[tops], np.minimum(left[own], y[tops])), np.minimum(right[own], y[tops]))
+    prom = y[tops] - lows
+    level = y[tops] - prom / 2
+    # the segment of each valley: its first and last lowest sample
+    segment = np.repeat(np.arange(len(valleys)), np.diff(every))
+    at_low = np.flatnonzero(y[: every[-1]] == valleys[segment])
+    first_low, last_low = every[1:].copy(), every[1:].copy()
+    first_low[segment[at_low[::-1]]], last_low[segment[at_low]] = at_low[::-1], at_low
+    table = [valleys]
+    while 2 << (len(table) - 1) <= len(valleys):
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    before, after = own.copy(), own.copy()  # valleys in [before, own) and [own, after) are above the level
+    for k in range(len(table) - 1, -1, -1):
+        size = 1 << k
+        at = before - size
+        free = (at >= 0) & (table[k][np.maximum(at, 0)] > level)
+        before = np.where(free, at, before)
+        free = after + size <= len(valleys)
+        free &= table[k][np.minimum(after, len(table[k]) - 1)] > level
+        after = np.where(free, after + size, after)
+    none_before, none_after = before == 0, after == len(valleys)
+    into = np.maximum(before - 1, 0)
+    start = _edge(y, last_low[into], np.minimum(every[into + 1], tops), level, True)
+    into = np.minimum(after, len(valleys) - 1)
+    end = _edge(y, np.maximum(every[into], tops), first_low[into], level, False)
+    start, end = np.where(none_before, 0, start), np.where(none_after, n - 1, end)
     return prom, np.maximum(end - start, 1).astype(float)
 
 
+def _lowest_before_higher(heights: list[float], valleys: list[float], stop_at_equal: bool) -> np.ndarray:
+    """For each maximum the lowest valley between it and the nearest earlier maximum that is higher (or as high)."""
+    out, stack = np.full(len(heights), np.inf), []
+    for k, height in enumerate(heights):
+        low = valleys[k - 1] if k else np.inf
+        while stack and (stack[-1][0] < height or not stop_at_equal and stack[-1][0] == height):
+            low = min(low, stack.pop()[1])
+        stack.append((height, low))
+        out[k] = low
+    return out
+
+
+def _edge(y: np.ndarray, low: np.ndarray, high: np.ndarray, level: np.ndarray, rising: bool) -> np.ndarray:
+    """Where the signal crosses ``level`` between two samples of a slope: the last sample at or below it of a rise from
+    ``low`` to ``high``, or the first one of a fall from ``low`` to ``high``."""
+    a, b = low.copy(), high.copy()
+    while (wide := b - a > 1).any():
+        middle = (a + b) // 2
+        under = y[middle] <= level
+        a = np.where(wide & (under == rising), middle, a)
+        b = np.where(wide & (under != rising), middle, b)
+    return a if rising else b
+
+
 def prominent(y: Column) -> Column:
     """Every local maximum with its prominence and width in samples: array of struct(i, prominence, width)."""
 
@@ -62,13 +98,26 @@ def prominent(y: Column) -> Column:
 
 def thin_out(x: np.ndarray, tops: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
     """Tops left when, from the greatest rank down, each takes away those nearer than ``least``."""
-    at = x[tops]
-    near, kept = np.zeros(len(tops), bool), np.zeros(len(tops), bool)
-    for k in np.argsort(-rank, kind="stable"):
-        if not near[k]:
+    order = np.argsort(x[tops], kind="stable")
+    at = x[tops][order]
+    first, last = np.searchsorted(at, at - least, "right"), np.searchsorted(at, at + least, "left")
+    each = np.arange(len(at))
+    while (off := (first > 0) & (at - at[np.maximum(first - 1, 0)] < least)).any():  # sums may have been rounded
+        first -= off
+    while (off := (first < each) & (at - at[np.minimum(first, len(at) - 1)] >= least)).any():
+        first += off
+    while (off := (last < len(at)) & (at[np.minimum(last, len(at) - 1)] - at < least)).any():
+        last += off
+    while (off := (last - 1 > each) & (at[np.maximum(last - 1, 0)] - at >= least)).any():
+        last -= off
+    near, kept = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    place = np.empty(len(at), int)
+    place[order] = each
+    for k in place[np.argsort(-rank, kind="stable")].tolist():
+        if not near[k]:  # of what is kept, no sample lies near more than two
             kept[k] = True
-            near |= np.abs(at - at[k]) < least
-    return np.flatnonzero(kept)
+            near[first[k] : last[k]] = True
+    return np.sort(order[kept])
 
 
 def detect(x: np.ndarray, y: np.ndarray, threshold: float | None = None, min_dist: float = 0.05, min_width: float = 0.01, shoulders: bool = True) -> list[tuple]:
@@ -115,18 +164,38 @@ def find_shoulders(x, y, s, tops, curve, w, sigma, threshold, min_dist) -> np.nd
     gain = float(np.linalg.norm(rows[len(rows) // 2]))
     scale = max(K.robust_sd(curve), (1.0 if K.quantum(y) else 0.5) * sigma * gain)
     dips = K.local_maxima(-curve)
+    dips = dips[curve[dips] < -6 * scale]
+    after = np.searchsorted(tops, dips)
+    gap = np.minimum(np.where(after < len(tops), tops[np.minimum(after, len(tops) - 1)] - dips, len(x)), np.where(after > 0, dips - tops[np.maximum(after - 1, 0)], len(x)))
+    dips = dips[gap > w]
+    bump_before, bump_after = _greatest_to_tops(curve, tops, dips)
+    good = (bump_before > 0.5 * curve[dips]) & (bump_after > 0.5 * curve[dips])
+    dips = dips[good]
     found: list[int] = []
-    for i in sorted(dips, key=lambda i: curve[i]):
-        if curve[i] >= -6 * scale or np.abs(tops - i).min() <= w or any(abs(i - j) <= 2 * w for j in found):
-            continue
-        near = [t for t in (tops[tops < i][-1:], tops[tops > i][:1]) if len(t)]
-        if any(curve[min(i, t[0]) : max(i, t[0]) + 1].max() <= 0.5 * curve[i] for t in near):
+    for i in dips[np.argsort(curve[dips], kind="stable")].tolist():
+        k = bisect(found, i)
+        beside = found[max(k - 1, 0) : k + 1]
+        if any(abs(i - j) <= 2 * w for j in beside) or s[i] - s[max(i - 4 * w, 0) : i + 4 * w + 1].min() < threshold:
             continue
-        floor = s[max(i - 4 * w, 0) : i + 4 * w + 1].min()
-        if s[i] - floor < threshold or any(abs(x[i] - x[j]) < min_dist for j in [*tops, *found]):
+        m = np.searchsorted(tops, i)
+        if any(abs(x[i] - x[j]) < min_dist for j in [*tops[max(m - 1, 0) : m + 1], *beside]):
             continue
-        found.append(int(i))
-    return np.array(sorted(found), int)
+        found.insert(k, i)
+    return np.array(found, int)
+
+
+def _greatest_to_tops(curve: np.ndarray, tops: np.ndarray, dips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest curvature between each dip and the maximum before it, and the one after it; infinite without one."""
+    before, after = np.full(len(dips), np.inf), np.full(len(dips), np.inf)
+    gaps = np.searchsorted(tops, dips)
+    for gap in np.unique(gaps):
+        own = gaps == gap if len(dips) < 64 else slice(*np.searchsorted(gaps, [gap, gap + 1]))
+        at = dips[own]
+        if gap > 0:
+            before[own] = np.maximum.accumulate(curve[tops[gap - 1] : at[-1] + 1])[at - tops[gap - 1]]
+        if gap < len(tops):
+            after[own] = np.maximum.accumulate(curve[at[0] : tops[gap] + 1][::-1])[::-1][at - at[0]]
+    return before, after
 
 
 def split(s: np.ndarray, curve: np.ndarray, a: int, b: int, shoulder_a: bool, shoulder_b: bool) -> tuple[int, bool]:
@@ -145,19 +214,19 @@ def split(s: np.ndarray, curve: np.ndarray, a: int, b: int, shoulder_a: bool, sh
 
 def side(s: np.ndarray, i: int, way: int, limit: int, sigma: float) -> int:
     """The peak's bound on one side: back at the baseline, or where the signal rises again, at most at ``limit``."""
-    path = np.arange(i, limit + way, way)
-    low = s[path].min()
+    v = s[i : limit + 1] if way > 0 else s[limit : i + 1][::-1]
+    if not len(v):
+        v = s[i : i + 1]
+    lowest = np.minimum.accumulate(v)
+    low = lowest[-1]
     height = s[i] - low
     back, rise = low + max(0.001 * height, 2 * sigma), max(3 * sigma, 0.01 * height)
-    best = i
-    for j in path[1:]:
-        if s[j] < s[best]:
-            best = j
-        if s[j] <= back:
-            return int(j)
-        if s[j] > s[best] + rise:
-            return int(best)
-    return int(best)
+    ends = np.flatnonzero((v <= back) | (v > lowest + rise))
+    ends = ends[ends > 0]
+    if len(ends) and v[ends[0]] <= back:
+        return int(i + way * ends[0])
+    last = ends[0] if len(ends) else len(v) - 1
+    return int(i + way * np.argmin(v[: last + 1]))
 
 
 def positive(x, s, tops, bounds, step) -> list[bool]:
