@@ -440,3 +440,53 @@ def test_peaks_of_an_image(spark):
     got = sorted((r.trace_id, r.rt, r.height) for r in analysis.image_peak_table(df, where, (31, 119, 180), how).collect())
     assert [g[0] for g in got] == [1, 1] and got[0][1] == pytest.approx(200 / 599, abs=0.005) and got[1][1] == pytest.approx(420 / 599, abs=0.005)
     assert got[0][2] == pytest.approx(200, rel=0.05) and got[1][2] == pytest.approx(120, rel=0.05)
+
+
+@pytest.mark.parametrize("spread, traces", [(3, 40), (60, 40), (2000, 5)])
+def test_matching_over_partitions(spark, spread, traces):
+    """Dense sets, sets with gaps and sets of islands, over many parts: groups and their numbers are those of the rule in order."""
+    rng = random.Random(spread)
+    rows = sorted({(s, rng.randrange(traces), round(rng.uniform(0, spread), 4)) for s in (0, 1) for _ in range(900)}, key=lambda r: (r[0], r[2], r[1]))
+    df = spark.createDataFrame([(s, f"t{t:03}", rt, "x", 1.5) for s, t, rt in rows], "s int, trace_id string, rt double, island string, Match_Group double").repartition(7)
+    got = matching.match_peaks(df, 0.1, "s", rows_a_part=110)
+    assert got.columns == ["s", "trace_id", "rt", "island", "Match_Group", "_island", "_match_group", "group_rt"]
+    found = {(r.s, int(r.trace_id[1:]), r.rt): (r.s, r["_island"], r["_match_group"]) for r in got.collect()}
+    want = brute_match(rows, 0.1)
+    assert found.keys() == want.keys()
+    pairs = {(found[k], want[k]) for k in found}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    numbers = {}
+    for k in rows:  # in each island, groups are numbered as they open
+        s, island, number = found[k]
+        numbers.setdefault((s, island), []).append(number)
+    for own in numbers.values():
+        assert list(dict.fromkeys(own)) == list(range(len(set(own))))
+
+
+def test_matching_of_odd_rows(spark):
+    schema = "s string, trace_id string, rt double, at string, part int"
+    rows = [("a", "t", 1.0), ("a", "t", 1.0), ("a", None, 1.01), ("a", "u", None), ("a", "v", float("nan")), (None, "t", 1.0), (None, "u", 1.05), ("a", "w", float("inf"))]
+    got = matching.match_peaks(spark.createDataFrame([(*r, "x", 1) for r in rows], schema), 0.1, "s").collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in got:
+        if r.rt is None or r.rt != r.rt:
+            assert r.island is None and r.match_group is None and r.group_rt is None
+        elif r.rt < 2:
+            groups.setdefault((r.s, r.match_group), []).append(r.trace_id)
+    assert sorted(map(len, groups.values())) == [1, 2, 2] and sorted(groups[(None, 0)]) == ["t", "u"]
+    assert matching.match_peaks(spark.createDataFrame([], schema), 0.1, "s").count() == 0
+
+
+def test_places_of_any_key(spark):
+    keys = [f"run {k * 7919 % 1000}#1" for k in range(1000)] + [None, None]
+    df = spark.createDataFrame([(k, 0.5, "p") for k in keys], "trace_id string, at double, part string").repartition(6)
+    got = tables.numbered(df, "trace_id", "start", rows_a_part=90).collect()
+    assert [r.trace_id for r in sorted((r for r in got if r.trace_id), key=lambda r: r.start)] == sorted(k for k in keys if k)
+    assert sorted(r.start for r in got if r.trace_id) == list(range(1000)) and sum(r.start is None for r in got) == 2
+    for kind in ("double", "date", "int"):
+        typed = spark.range(300).selectExpr(f"cast({'date_add(date' + chr(39) + '2024-01-01' + chr(39) + ', cast(id as int))' if kind == 'date' else 'id * -3'} as {kind}) AS k")
+        places = tables.numbered(typed, "k", rows_a_part=40).collect()
+        assert [r.place for r in sorted(places, key=lambda r: r.k)] == list(range(300))
+    series = reports.display_series(spark.createDataFrame([("run b#1", [0.0, 1.0], [1.0, 2.0]), ("run a#2", [0.0, 1.0], [4.0, 0.0])], "trace_id string, x array<double>, y array<double>"), stack=0.5)
+    assert {r.trace_id: (r.place, r.y) for r in series.collect()} == {"run a#2": (0, [4.0, 0.0]), "run b#1": (1, [3.0, 4.0])}

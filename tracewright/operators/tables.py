@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames
+
 
 def best_run(lines: DataFrame, by: str, at: str, numeric: Column, bad: Column, least: int = 2) -> DataFrame:
     """For each ``by`` the run of consecutive data lines with most numeric cells (the first of equals): start, end, cells.
@@ -43,16 +45,18 @@ def visible_signals(traces: DataFrame, unit: str | None = None) -> DataFrame:
     return traces.filter(shown & (F.col("x_unit") == unit) if unit else shown)
 
 
-def numbered(df: DataFrame, key: str, name: str = "place", width: int = 4096) -> DataFrame:
-    """Adds ``name``: the place (from 0) of each row by its whole-number ``key``; nulls have none. Rows are counted by ranges
-    of ``width`` keys, only these counts are summed up in order, and each range is numbered by itself, so no task sorts all
-    rows. Rows with equal keys are numbered in any order."""
-    rows = df.withColumn("_range", F.floor(F.col(key) / width))
-    counts = rows.filter("_range is not null").groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return rows.withColumn("_local", local).join(starts, "_range", "left").withColumn(name, F.col("_start") + F.col("_local")).drop("_range", "_local", "_start")
+def numbered(df: DataFrame, key: str, name: str = "place", rows_a_part: int = frames.ROWS_A_PART) -> DataFrame:
+    """Adds ``name``: the place (from 0) of each row by its ``key``, of any type that has an order; nulls have none. Rows with
+    equal keys are numbered in any order. Rows are put in order over range partitions with sampled bounds; a place is the
+    rows of all earlier partitions, a sum over one row a partition, and the place in its own. No task sees all rows."""
+    at, part = frames.free("at", [*df.columns, name]), frames.free("part", [*df.columns, name])
+    start = frames.free("start", [*df.columns, name])
+    ordered = frames.in_order(df.filter(F.col(key).isNotNull()), [key], at, rows_a_part).withColumn(part, frames.part_of(at))
+    before = frames.starts(ordered, part, [], F.count("*"), start)
+    local = F.col(at).bitwiseAND((1 << frames.PART_BITS) - 1)
+    placed = ordered.join(F.broadcast(before), part).withColumn(name, F.col(start) + local)  # a row a partition
+    none = df.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast("long"))
+    return placed.select(*df.columns, name).unionByName(none)
 
 
 def numbered_runs(rows: DataFrame, by: list[str], chunk: str, at: str, good: Column) -> DataFrame:

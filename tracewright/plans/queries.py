@@ -344,7 +344,18 @@ def analyte_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_analytes(*_bands(spark, sf_dir), 0.05).select("trace_id", "analyte", "peak_no", r("rt").alias("rt"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS set_id, c_custkey AS trace_id, CAST(c_acctbal / 100 AS DOUBLE) AS rt FROM customer WHERE c_acctbal IS NOT NULL),
+b AS (SELECT DISTINCT set_id, floor(rt / 0.5) AS band FROM c), u AS (SELECT *, CASE WHEN band - lag(band) OVER (PARTITION BY set_id ORDER BY band) > 1 THEN 1 ELSE 0 END AS cut FROM b),
+i AS (SELECT set_id, band, sum(cut) OVER (PARTITION BY set_id ORDER BY band) AS island FROM u),
+o AS (SELECT c.*, island, row_number() OVER (PARTITION BY c.set_id, island ORDER BY rt, trace_id) AS k FROM c JOIN i ON i.set_id = c.set_id AND i.band = floor(rt / 0.5)),
+g AS (SELECT set_id, island, k, trace_id, rt, [{'mean': rt, 'n': 1, 'traces': [trace_id]}] AS groups, CAST(1 AS BIGINT) AS joined FROM o WHERE k = 1
+  UNION ALL SELECT set_id, island, k, trace_id, rt,
+    CASE WHEN best IS NULL THEN list_append(groups, {'mean': rt, 'n': 1, 'traces': [trace_id]})
+      ELSE list_transform(groups, lambda x, n: CASE WHEN n = best THEN {'mean': x.mean + (rt - x.mean) / (x.n + 1), 'n': x.n + 1, 'traces': list_append(x.traces, trace_id)} ELSE x END) END,
+    CAST(coalesce(best, len(groups) + 1) AS BIGINT)
+  FROM (SELECT o.*, g.groups, list_min(list_filter(list_transform(g.groups, lambda x, n: CASE WHEN abs(x.mean - o.rt) <= 0.5 AND NOT list_contains(x.traces, o.trace_id) THEN {'d': abs(x.mean - o.rt), 'n': n} END), lambda v: v IS NOT NULL)).n AS best
+    FROM g JOIN o ON o.set_id = g.set_id AND o.island = g.island AND o.k = g.k + 1) s)
+SELECT set_id, trace_id, round(rt, 6) + 0.0 AS rt, CAST(island AS BIGINT) AS island, CAST(joined - 1 AS BIGINT) AS match_group, round(avg(rt) OVER (PARTITION BY set_id, island, joined), 6) + 0.0 AS group_rt FROM g""")
 def peak_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks of all traces of a comparison set matched by running means; nations are the sets and customers the traces."""
     c = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("trace_id"), (F.col("c_acctbal") / 100).alias("rt"))
