@@ -25,6 +25,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A side of a join that has at most so many rows, counted before, is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """``df`` settled, and broadcast where it is small: for facts of groups that are joined to the groups' rows."""
+    return small(settled(df))
+
+
 def free(name: str, taken: list[str]) -> str:
     """``name``, with underscores before it until no column in ``taken`` has it (names are compared as Spark does)."""
     lower = {c.lower() for c in taken}

@@ -59,14 +59,37 @@ def numbered(df: DataFrame, key: str, name: str = "place", rows_a_part: int = fr
     return placed.select(*df.columns, name).unionByName(none)
 
 
+def last_before(rows: DataFrame, by: list[str], value: Column, name: str, inclusive: bool = False) -> DataFrame:
+    """Adds ``name``: the last ``value`` that isn't null in the lines (``by``, chunk, at) before this one, or up to it. Lines are
+    scanned chunk by chunk and chunks by what each ends with, so however many lines a group has, no task sees them all."""
+    own, end, before = (frames.free(c, [*rows.columns, name]) for c in ("own", "end", "before"))
+    marked = rows.withColumn(own, value)
+    order = Window.partitionBy(*by, "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    ends = marked.groupBy(*by, "chunk").agg(F.max_by(own, F.when(F.col(own).isNotNull(), F.col("at"))).alias(end))
+    chunks = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = frames.facts(ends.select(*by, "chunk", F.last(end, ignorenulls=True).over(chunks).alias(before)).filter(F.col(before).isNotNull()))
+    local = marked.withColumn(name, F.last(own, ignorenulls=True).over(order))
+    out = local.join(carried, [*by, "chunk"], "left").withColumn(name, F.coalesce(name, before))
+    return out.select(*rows.columns, name)
+
+
+def sum_before(rows: DataFrame, by: list[str], size: Column, name: str) -> DataFrame:
+    """Adds ``name``: what ``size`` adds up to in the lines (``by``, chunk, at) before this one, scanned as in last_before()."""
+    own, start = (frames.free(c, [*rows.columns, name]) for c in ("own", "start"))
+    marked = rows.withColumn(own, size)
+    order = Window.partitionBy(*by, "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = frames.facts(frames.starts(marked, "chunk", by, F.sum(own), start))
+    local = marked.withColumn(name, F.coalesce(F.sum(own).over(order), F.lit(0)))
+    return local.join(before, [*by, "chunk"]).withColumn(name, F.col(name) + F.col(start)).select(*rows.columns, name)
+
+
 def numbered_runs(rows: DataFrame, by: list[str], chunk: str, at: str, good: Column) -> DataFrame:
     """The good rows with ``run``, which numbers runs of consecutive good rows of each ``by``, in order of chunk, then ``at``.
     Rows are counted chunk by chunk and chunks in order, so a ``by`` with very many rows isn't one task's."""
-    marked = rows.withColumn("_bad", F.when(good, 0).otherwise(1))
+    bad, local, start = (frames.free(c, [*rows.columns, "run"]) for c in ("bad", "local", "start"))
+    marked = rows.withColumn(bad, F.when(good, 0).otherwise(1))
     keys = [*by, chunk]
-    local = F.sum("_bad").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    counts = marked.groupBy(*keys).agg(F.sum("_bad").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_start"))
-    out = marked.withColumn("_local", local).filter("_bad = 0").join(starts, keys)
-    return out.withColumn("run", F.col("_start") + F.col("_local")).drop("_bad", "_local", "_start")
+    counted = F.sum(bad).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    before = frames.facts(frames.starts(marked, chunk, by, F.sum(bad), start))
+    out = marked.withColumn(local, counted).filter(F.col(bad) == 0).join(before, keys)
+    return out.withColumn("run", F.col(start) + F.col(local)).drop(bad, local, start)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
-from ..sources import exports, formats, lines
+from ..sources import exports, formats, lines, sections
 from . import analysis, views
 from .queries import EMB, _cal, _intervals, calibration, query, r
 
@@ -129,6 +129,40 @@ def decimal_comma_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_summary(lines.samples(made.withColumn("line", F.when(F.col("chunk") >= 0, F.translate("line", ".", ",")).otherwise(F.col("line")))))
 
 
+@query(LINES_READ_BACK.replace("'Absorbance'", "'Value'"))
+def chromeleon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of an export with a section of keys, one of data and a column of step widths."""
+    head = ["Injection\t1", "Signal Unit\tmAU", "", "Chromatogram Data:", "Time (min)\tStep (s)\tValue (mAU)"]
+    return _line_summary(sections.chromeleon(_event_lines(spark, sf_dir, "%.4f\t1.5\t%.4f", head)))
+
+
+@query(LINES_READ_BACK)
+def jcamp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pairs of a JCAMP-DX block, read again line by line."""
+    return _line_summary(sections.jcamp(_event_lines(spark, sf_dir, "%.4f, %.4f;", ["##TITLE=Absorbance", "##XUNITS=MINUTES", "##YFACTOR=1", "##XYPOINTS=(XY..XY)"])))
+
+
+@query("""WITH s AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 60e6 AS x, round(round(value, 4) * 0.5, 5) AS y FROM events WHERE value IS NOT NULL)
+SELECT user_id || '.txt' AS path, name, count(*) AS n, round(sum(y), 3) + 0.0 AS total, round(min(x), 4) AS first_x, round(max(x), 4) AS last_x FROM s CROSS JOIN (VALUES ('Ch1'), ('Ch2')) AS c(name) GROUP BY user_id, name""")
+def shimadzu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as two intensity columns of a section with a multiplier, after a section of another kind."""
+    head = ["[Header]", "1\t2", "2\t3", "3\t4", "[LC Chromatogram(Detector A)]", "Intensity Units\tmV", "Intensity Multiplier\t0.5", "R.Time (min)\tCh1\tCh2"]
+    return _line_summary(sections.shimadzu(_event_lines(spark, sf_dir, "%1$.4f\t%2$.4f\t%2$.4f", head)))
+
+
+@query(LINES_READ_BACK)
+def arw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines below a head of quoted names and values."""
+    return _line_summary(sections.arw(_event_lines(spark, sf_dir, "%.4f\t%.4f", ['"SampleName"\t"Channel"', '"made"\t"Absorbance"'])))
+
+
+@query(LINES_READ_BACK)
+def unicorn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a pair of columns under a row of units, beside a pair of events."""
+    samples, _ = sections.unicorn(_event_lines(spark, sf_dir, "%1$.4f\t%2$.4f\t%1$.4f\tx%2$.4f", ["made", "Absorbance\t\tFraction\t", "min\tmAU\tmin\tname"]))
+    return _line_summary(samples)
+
+
 @query(READ_BACK.replace("FORMAT", "json"))
 def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _texts(spark, sf_dir, "[%.4f, %.4f],", "[", "")

@@ -438,6 +438,7 @@ def _chromeleon(data: bytes, options: dict) -> list[dict]:
 
 
 def _shimadzu(data: bytes, options: dict) -> list[dict]:
+    """Every intensity column of every section with a chromatogram; where there are several, names say which."""
     out = []
     for name, body in re.findall(r"(?ms)^\[([^\]]+)\]\s*$(.*?)(?=^\[|\Z)", decode(data).replace("\r\n", "\n")):
         if not name.lower().startswith("lc chromatogram") and "chromatogram(" not in name.lower():
@@ -445,8 +446,10 @@ def _shimadzu(data: bytes, options: dict) -> list[dict]:
         lines = body.splitlines()
         meta = metadata(lines[: next((k for k, line in enumerate(lines) if data_line(line)), len(lines))])
         scale = next((float(v) for k, v in meta.items() if "multiplier" in k.lower()), 1.0)
-        found, _ = traces_of(body)
-        out += [t | {"y": [v * scale for v in t["y"]], "name": name, "meta": meta, "y_unit": meta.get("Intensity Units")} for t in found[:1]]
+        found, warnings = traces_of(body)
+        options["warnings"] += [f"[{name}] {w}" for w in warnings]
+        named = (lambda t: name) if len(found) < 2 else (lambda t: f"{name} {t['name']}")
+        out += [t | {"y": [v * scale for v in t["y"]], "name": named(t), "meta": meta, "y_unit": meta.get("Intensity Units")} for t in found]
     if not out:
         raise ValueError("no chromatogram section")
     return out

@@ -2,7 +2,8 @@
 
 Lines are (path, chunk, at, line): ``at`` orders the lines of a chunk, chunks are in order within a path. Which delimiter a
 file uses, whether it has a decimal comma, where its table lies and what its header says are aggregations and windows over
-lines; the result is one row a sample. ``formats`` reads the same text file by file, with metadata, into traces.
+lines, and facts of a file go to its lines (broadcast where they are counted to be few), not lines to their file's facts; the
+result is one row a sample. ``path`` may be of any type; lines with the same path are one text. ``formats`` reads the same text file by file, with metadata, into traces.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import tables
+from ..operators import frames, tables
 
 #: Delimiters as patterns, those before win ties.
 DELIMITERS = {"\t": "\t", ";": ";", ",": ",", "|": r"\|", " ": r"\s+"}
@@ -85,23 +86,23 @@ def table_lines(lines: DataFrame) -> DataFrame:
     The table is the longest run, in numeric cells, of data lines; blank lines don't break it. Files without one have no lines
     here."""
     full = lines.filter(F.length(F.trim("line")) > 0)
-    each = full.join(dialects(full), "path")
+    each = full.join(frames.facts(dialects(full)), "path")
     cells = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
         cells = F.when(F.col("delimiter") == d, _cells(F.col("line"), d)).otherwise(cells)
     each = each.select("path", "chunk", "at", "delimiter", "comma", cells.alias("texts"))
     each = each.select("path", "chunk", "at", "delimiter", F.when(F.col("comma"), _numbers(F.col("texts"), True)).otherwise(_numbers(F.col("texts"), False)).alias("cells"))
-    each = each.withColumns({"_good": _good("cells"), "_size": F.size("cells")})
-    runs = tables.numbered_runs(each, ["path"], "chunk", "at", _is_data("_good", "_size"))
-    totals = runs.groupBy("path", "run").agg(F.sum("_good").alias("n"))
+    each = frames.settled(each.withColumns({"good": _good("cells"), "size": F.size("cells")}))  # cells are split and read once
+    runs = frames.settled(tables.numbered_runs(each, ["path"], "chunk", "at", _is_data("good", "size")).drop("size"))
+    totals = runs.groupBy("path", "run").agg(F.sum("good").alias("n"))
     best = totals.groupBy("path").agg(F.max_by("run", F.struct("n", -F.col("run"))).alias("run"))
-    return runs.join(best, ["path", "run"], "left_semi").select("path", "chunk", "at", "delimiter", "cells")
+    return runs.join(frames.facts(best), ["path", "run"], "left_semi").select("path", "chunk", "at", "delimiter", "cells")
 
 
 def headers(lines: DataFrame, table: DataFrame) -> DataFrame:
     """path and the header of each table: the cells of the last line before it that isn't blank or a comment; none without."""
     first = table.groupBy("path").agg(F.min(F.struct("chunk", "at")).alias("first"), F.min("delimiter").alias("delimiter"))
-    above = lines.filter((F.length(F.trim("line")) > 0) & ~F.ltrim("line").startswith("#")).join(first, "path").filter(F.struct("chunk", "at") < F.col("first"))
+    above = lines.filter((F.length(F.trim("line")) > 0) & ~F.ltrim("line").startswith("#")).join(frames.facts(first), "path").filter(F.struct("chunk", "at") < F.col("first"))
     last = above.groupBy("path").agg(F.max_by(F.struct("line", "delimiter"), F.struct("chunk", "at")).alias("h"))
     cells = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
@@ -119,7 +120,7 @@ def samples(lines: DataFrame) -> DataFrame:
     x_col = F.greatest(F.array_position(F.transform("header", is_time), F.lit(True)) - 1, F.lit(0))
     known = heads.withColumn("x_col", x_col.cast("int")).withColumn("head", F.get("header", F.col("x_col")))
     known = known.withColumn("factor", F.coalesce(scalars.minutes_factor(unit), F.lit(1.0))).drop("head")
-    rows = table.join(known, "path", "left").withColumns({"x_col": F.coalesce("x_col", F.lit(0)), "factor": F.coalesce("factor", F.lit(1.0))})
+    rows = table.join(frames.facts(known), "path", "left").withColumns({"x_col": F.coalesce("x_col", F.lit(0)), "factor": F.coalesce("factor", F.lit(1.0))})
     x = F.get("cells", F.col("x_col")) * F.col("factor")
     each = rows.select("path", "header", "x_col", x.alias("x"), F.posexplode("cells").alias("column", "y")).filter("column <> x_col and x is not null and y is not null")
     name = F.coalesce(F.regexp_replace(F.get("header", F.col("column")), r"\s*[\[(][^\])]*[\])]\s*$", ""), F.format_string("column %d", F.col("column") + 1))
