@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a partition of an ordered table gets.
@@ -13,15 +13,27 @@ ROWS_A_PART = 200_000
 PART_BITS = 33
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of spark.checkpoint.dir, which lost executors don't take along. In local mode a
-    temporary folder does if that is unset; on a cluster it is an error."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode a temporary one does if that is unset; on a
+    cluster it is an error."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, which lost executors don't take along."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clusters, edits, fitting, image, integration, kernels, matching, metrics, peaks, reports, tables
+from ..operators import clusters, edits, fitting, frames, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
-from ..sources import exports, formats, lines, sections
+from ..sources import binary, exports, formats, lines, sections
 from . import analysis, views
 from .queries import EMB, _cal, _intervals, calibration, query, r
 
@@ -163,6 +165,47 @@ def unicorn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_summary(samples)
 
 
+def _through_files(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
+    """Event samples of each user written as a file of a binary format into the shared folder, and read again as samples."""
+    binary.register(spark)
+    s = views.event_samples(spark, sf_dir).filter("y is not null").select("trace_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    lists = s.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("v"))
+    even = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda k: k / 60)  # channel files hold no places, but the first and the last
+    x = even if format == "agilent-ch" else F.col("v.x")
+    folder = f"{frames.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    files = lists.select(F.col("trace_id").cast("string").alias("path"), F.lit("Absorbance").alias("name"), F.lit("mAU").alias("y_unit"), x.alias("x"), F.col("v.y").alias("y"))
+    files.write.format("tracefiles").option("format", format).mode("append").save(folder)
+    back = spark.read.format("tracefiles").option("rows", "samples").load(folder)
+    g = back.groupBy("path", "format").agg(F.count("*").alias("n"), F.sum("y").alias("total"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    out = frames.settled(g.select(name.alias("path"), "format", "n", r("total", 3).alias("total"), r("first_x", 4).alias("first_x"), r("last_x", 4).alias("last_x")))
+    frames.remove(spark, folder)
+    return out
+
+
+FILES_READ_BACK = READ_BACK.replace("user_id || '.txt'", "CAST(user_id AS VARCHAR)")
+
+
+@query(FILES_READ_BACK.replace("FORMAT", "netcdf"))
+def netcdf_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_files(spark, sf_dir, "netcdf")
+
+
+@query(FILES_READ_BACK.replace("FORMAT", "mzml"))
+def mzml_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_files(spark, sf_dir, "mzml")
+
+
+@query(FILES_READ_BACK.replace("FORMAT", "xlsx"))
+def xlsx_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_files(spark, sf_dir, "xlsx")
+
+
+@query(FILES_READ_BACK.replace("FORMAT", "agilent-ch").replace("round(min(x), 4)", "CAST(0.0 AS DOUBLE)").replace("round(max(x), 4)", "round((count(*) - 1) / 60, 4)"))
+def channel_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_files(spark, sf_dir, "agilent-ch")
+
+
 @query(READ_BACK.replace("FORMAT", "json"))
 def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _texts(spark, sf_dir, "[%.4f, %.4f],", "[", "")
