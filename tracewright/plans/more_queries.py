@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import clusters, edits, fitting, frames, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
-from ..sources import binary, exports, formats, lines, sections
+from ..sources import binary, exports, formats, lines, projects, sections
 from . import analysis, views
 from .queries import EMB, _cal, _intervals, calibration, query, r
 
@@ -206,6 +207,38 @@ def channel_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_files(spark, sf_dir, "agilent-ch")
 
 
+@query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, length(c_name) AS n FROM customer),
+f AS (SELECT 'traces[0].name' AS field, 'shortened from ' || n || ' to 12 characters' AS what FROM c WHERE n > 12
+  UNION ALL SELECT 'traces[0].y', '1 values are no finite numbers' FROM c UNION ALL SELECT '.nation', 'unknown key' FROM c
+  UNION ALL SELECT 'traces[0].peaks[0]', 'bounds are missing or out of order' FROM c WHERE c_acctbal < 0
+  UNION ALL SELECT 'settings.clipDefault', 'unknown value' FROM c WHERE c_nationkey % 2 = 1 UNION ALL SELECT 'traces[0].proc.window', 'brought within 3 and 1001' FROM c WHERE c_custkey % 1500 NOT BETWEEN 3 AND 1001)
+SELECT field, what, count(*) AS n FROM f GROUP BY field, what""")
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with documents made of customers, counted by field and kind."""
+    c = views.table(spark, sf_dir, "customer")
+    peak = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("apex"), F.when(F.col("c_acctbal") < 0, 0.5).otherwise(2.0).alias("end"))
+    proc = F.struct((F.col("c_custkey") % 1500).alias("window"))
+    trace = F.struct(F.col("c_name").alias("name"), F.array(F.lit(0.0), F.lit(1.0)).alias("x"), F.array(F.lit("none"), F.lit(None)).alias("y"), F.array(peak).alias("peaks"), proc.alias("proc"))
+    mode = F.struct(F.when(F.col("c_nationkey") % 2 == 1, "evil").otherwise("drop").alias("clipDefault"))
+    text = F.to_json(F.struct(F.lit(2).alias("version"), F.array(trace).alias("traces"), mode.alias("settings"), F.col("c_nationkey").alias("nation")), {"ignoreNullFields": "false"})
+    found = projects.examined_documents(c.select(F.col("c_custkey").cast("string").alias("path"), text.alias("content")), projects.Lengths(name=12))
+    return found.select(F.inline("findings")).groupBy("field", "what").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, c_name AS name, round(c_acctbal, 2) + 0.0 AS y FROM customer""")
+def opened_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of customers packed into share links and opened again."""
+    c = views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("y"))
+
+    @F.arrow_udf("string")
+    def packed(name: pa.Array, y: pa.Array) -> pa.Array:
+        made = ({"version": 2, "traces": [{"id": n, "name": n, "x": [0], "y": [v]}]} for n, v in zip(name.to_pylist(), y.to_pylist()))
+        return pa.array(["https://host/#" + projects.pack_link(m, "lz") for m in made], pa.string())
+
+    traces, _ = projects.import_texts(c.select(F.col("c_custkey").cast("string").alias("path"), packed("c_name", "y").alias("content")))
+    return traces.select(F.col("path").cast("long").alias("c_custkey"), "name", r(F.get("y", F.lit(0)), 2).alias("y"))
+
+
 @query(READ_BACK.replace("FORMAT", "json"))
 def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _texts(spark, sf_dir, "[%.4f, %.4f],", "[", "")
