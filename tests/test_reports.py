@@ -481,12 +481,44 @@ def test_matching_of_odd_rows(spark):
 def test_places_of_any_key(spark):
     keys = [f"run {k * 7919 % 1000}#1" for k in range(1000)] + [None, None]
     df = spark.createDataFrame([(k, 0.5, "p") for k in keys], "trace_id string, at double, part string").repartition(6)
-    got = tables.numbered(df, "trace_id", "start", rows_a_part=90).collect()
+    got = tables.numbered(df, "trace_id", "start", width=90).collect()
     assert [r.trace_id for r in sorted((r for r in got if r.trace_id), key=lambda r: r.start)] == sorted(k for k in keys if k)
     assert sorted(r.start for r in got if r.trace_id) == list(range(1000)) and sum(r.start is None for r in got) == 2
     for kind in ("double", "date", "int"):
         typed = spark.range(300).selectExpr(f"cast({'date_add(date' + chr(39) + '2024-01-01' + chr(39) + ', cast(id as int))' if kind == 'date' else 'id * -3'} as {kind}) AS k")
-        places = tables.numbered(typed, "k", rows_a_part=40).collect()
+        places = tables.numbered(typed, "k", width=40).collect()
         assert [r.place for r in sorted(places, key=lambda r: r.k)] == list(range(300))
     series = reports.display_series(spark.createDataFrame([("run b#1", [0.0, 1.0], [1.0, 2.0]), ("run a#2", [0.0, 1.0], [4.0, 0.0])], "trace_id string, x array<double>, y array<double>"), stack=0.5)
     assert {r.trace_id: (r.place, r.y) for r in series.collect()} == {"run a#2": (0, [4.0, 0.0]), "run b#1": (1, [3.0, 4.0])}
+
+
+def test_helper_columns_give_way_to_those_of_tables(spark):
+    names = ["cell", "fresh", "at", "to", "own", "reach", "place", "size", "low", "high", "left", "right", "rank", "before", "after", "removed", "new_label", "other", "_fresh", "_meets", "_f", "_cell"]
+    extra = {n: F.lit(f"own {n}") for n in names}
+    rows = [("t", 1, 0.0, 1.0, 2.0, 5.0, "a"), ("t", 2, 1.5, 2.5, 3.0, 4.0, "b"), ("t", 3, 8.0, 9.0, 10.0, 3.0, None)]
+    peaks_ = spark.createDataFrame(rows, "trace_id string, peak_no int, start double, apex double, end double, height double, label string").withColumn("rt", F.col("apex"))
+    wide, plain = peaks_.withColumns(extra), peaks_
+    kept = lambda df: sorted(map(str, df.select(*[c for c in df.columns if c not in extra]).collect()))
+    same = lambda f: [kept(f(t)) for t in (wide, plain)]
+    edits_ = spark.createDataFrame([("t", 2, "new", False), ("t", 3, None, True)], "trace_id string, peak_no int, label string, removed boolean")
+    windows = spark.createDataFrame([("t", 9, 0.5, 0.9, 1.2)], "trace_id string, peak_no int, start double, apex double, end double")
+    for f in (
+        lambda t: integration.touching_clusters(t, F.lit(0.1)), lambda t: integration.meets(t, "start", "end", windows, "start", "end", "trace_id"), lambda t: edits.apply_edits(t, edits_, ["label"]),
+        lambda t: edits.add_peaks(t, windows.withColumn("apex", F.lit(6.0)).withColumn("end", F.lit(8.5)), F.lit(0.1)), lambda t: reports.label_rows(t, 0.5), lambda t: matching.band_join(t, windows.select(F.col("apex").alias("q")), "apex", "q", 0.3),
+        lambda t: tables.thinned(t.withColumn("i", F.col("peak_no")), 2),
+    ):
+        got, want = same(f)
+        assert got == want and set(extra) <= set(f(wide).columns)
+        assert {r.cell for r in f(wide).collect()} <= {"own cell", None}
+    assert [r.peak_no for r in integration.meets(wide, "start", "end", windows, "start", "end", "trace_id").collect()] == [1]
+    assert sorted(r.peak_no for r in integration.meets(wide, "start", "end", windows, "start", "end", "trace_id", inside=False).collect()) == [2, 3]
+
+
+def test_images_shrink_without_losing_edges():
+    from tracewright.sources import images
+
+    pixels = np.zeros((3, 6401, 4), np.uint8)
+    pixels[:, -2:] = 200
+    small = images.reduced(pixels)
+    assert small.shape == (1, 2134, 4) and (small[0, -1] == 200).all() and (small[0, :-1] == 0).all()
+    assert images.reduced(pixels[:, :3200]).shape == (3, 3200, 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames
 from .integration import meets
 from .matching import band_join
 
@@ -14,16 +15,15 @@ KEYS = ["trace_id", "peak_no"]
 def apply_edits(peaks: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame:
     """Peaks with the non-null values of ``edits`` (keyed by trace_id and peak_no, one row a peak) in place of their own;
     a peak whose edit has ``removed`` true goes."""
-    e = edits.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in columns], F.coalesce("removed", F.lit(False)).alias("_removed"))
-    out = peaks.join(e, KEYS, "left").filter(~F.coalesce("_removed", F.lit(False)))
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(f"_{c}", c))
-    return out.drop(*[f"_{c}" for c in columns], "_removed")
+    removed, *new = frames.unused(peaks, "removed", *(f"new_{c}" for c in columns))
+    e = edits.select(*KEYS, *[F.col(c).alias(n) for c, n in zip(columns, new)], F.coalesce("removed", F.lit(False)).alias(removed))
+    out = peaks.join(e, KEYS, "left").filter(~F.coalesce(removed, F.lit(False)))
+    return out.withColumns({c: F.coalesce(n, c) for c, n in zip(columns, new)}).drop(*new, removed)
 
 
 def replace_inside(peaks: DataFrame, windows: DataFrame) -> DataFrame:
     """Manual windows (trace_id, peak_no, start, apex, end) in place of the peaks whose apex lies inside one."""
-    left = meets(peaks, "apex", "apex", windows, "start", "end", "trace_id", closed=True).filter("not _meets").drop("_meets")
+    left = meets(peaks, "apex", "apex", windows, "start", "end", "trace_id", closed=True, inside=False)
     return left.withColumn("manual", F.lit(False)).unionByName(windows.withColumn("manual", F.lit(True)))
 
 
@@ -60,17 +60,20 @@ def parse_printed(lines: DataFrame) -> DataFrame:
 def add_peaks(peaks: DataFrame, added: DataFrame, step: Column) -> DataFrame:
     """``peaks`` and those of ``added`` (trace_id, peak_no, start, apex, end) that have no peak of their trace within two
     ``step`` of their apex. Where a new one overlaps its neighbours, it is trimmed to theirs. New ones are manual."""
-    near = meets(added.withColumns({"_low": F.col("apex") - 2 * step, "_high": F.col("apex") + 2 * step}), "_low", "_high", peaks, "apex", "apex", "trace_id", closed=True)
-    new = near.filter("not _meets").drop("_meets", "_low", "_high").withColumn("_new", F.lit(True))
-    both = peaks.withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
-    order = Window.partitionBy("trace_id").orderBy("apex", "_new", "peak_no")
-    before = F.last(F.when(~F.col("_new"), F.col("end")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(~F.col("_new"), F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    trimmed = both.withColumns({"_b": before, "_a": after})
-    start = F.when(F.col("_new"), F.greatest("start", F.when(F.col("_b").isNotNull(), F.least("_b", "apex")))).otherwise(F.col("start"))
-    end = F.when(F.col("_new"), F.least("end", F.when(F.col("_a").isNotNull(), F.greatest("_a", "apex")))).otherwise(F.col("end"))
-    manual = F.col("_new") if "manual" not in peaks.columns else F.coalesce("manual", F.lit(False)) | F.col("_new")
-    return trimmed.withColumns({"start": start, "end": end, "manual": manual}).drop("_new", "_b", "_a")
+    low, high = frames.unused(added, "low", "high")
+    fresh, left, right = (frames.free(c, [*peaks.columns, *added.columns]) for c in ("fresh", "left", "right"))
+    wide = added.withColumns({low: F.col("apex") - 2 * step, high: F.col("apex") + 2 * step})
+    new = meets(wide, low, high, peaks, "apex", "apex", "trace_id", closed=True, inside=False).drop(low, high).withColumn(fresh, F.lit(True))
+    both = peaks.withColumn(fresh, F.lit(False)).unionByName(new, allowMissingColumns=True)
+    is_new = F.col(fresh)
+    order = Window.partitionBy("trace_id").orderBy("apex", fresh, "peak_no")
+    before = F.last(F.when(~is_new, F.col("end")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(~is_new, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    trimmed = both.withColumns({left: before, right: after})
+    start = F.when(is_new, F.greatest("start", F.when(F.col(left).isNotNull(), F.least(left, "apex")))).otherwise(F.col("start"))
+    end = F.when(is_new, F.least("end", F.when(F.col(right).isNotNull(), F.greatest(right, "apex")))).otherwise(F.col("end"))
+    manual = is_new if "manual" not in peaks.columns else F.coalesce("manual", F.lit(False)) | is_new
+    return trimmed.withColumns({"start": start, "end": end, "manual": manual}).drop(fresh, left, right)
 
 
 def redetected(before: DataFrame, found: DataFrame, step: float) -> DataFrame:
@@ -78,7 +81,7 @@ def redetected(before: DataFrame, found: DataFrame, step: float) -> DataFrame:
     mode and label): manual ones stay and take the place of what overlaps them; of the others, a new peak within two
     ``step`` of an old apex takes over its mode and label (of two the nearer, then the earlier)."""
     kept = before.filter(F.coalesce("manual", F.lit(False)))
-    free = meets(found, "start", "end", kept, "start", "end", "trace_id").filter("not _meets").drop("_meets")
+    free = meets(found, "start", "end", kept, "start", "end", "trace_id", inside=False)
     old = before.filter(~F.coalesce("manual", F.lit(False)) & (F.col("mode").isNotNull() | F.col("label").isNotNull())).select("trace_id", F.col("apex").alias("_apex"), "mode", "label")
     near = band_join(free.select("trace_id", "peak_no", "apex"), old, "apex", "_apex", 2 * step, ["trace_id"])
     best = near.groupBy("trace_id", "peak_no").agg(F.min(F.struct(F.abs(F.col("apex") - F.col("_apex")), "_apex", "mode", "label")).alias("o"))

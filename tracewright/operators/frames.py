@@ -59,6 +59,11 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``free`` of each name for a column to be added to ``df``."""
+    return tuple(free(n, df.columns) for n in names)
+
+
 def in_order(df: DataFrame, keys: list[str], number: str, rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """``df`` range-partitioned and sorted by ``keys``, settled, with ``number``: whole numbers that grow in that order, though not
     by one (partition and place, see PART_BITS). The order of rows with equal keys is any, but stays."""

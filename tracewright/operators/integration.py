@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames
 from . import kernels as K
 
 MODES = ("drop", "valley", "baseline", "skim-tangent", "skim-exp", "fit")
@@ -16,7 +17,8 @@ def touching_clusters(peaks: DataFrame, gap: Column, by: str = "trace_id") -> Da
     order = Window.partitionBy(by).orderBy("start", "peak_no")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start") - reach > gap), 1).otherwise(0)
-    return peaks.withColumn("_fresh", fresh).withColumn("cluster", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    (mark,) = frames.unused(peaks, "fresh")
+    return peaks.withColumn(mark, fresh).withColumn("cluster", F.sum(mark).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop(mark)
 
 
 def chord_area(x: Column, y: Column, start: Column, end: Column) -> Column:
@@ -105,26 +107,27 @@ def effective_mode(own: Column, manual: Column, default: str = "drop") -> Column
     return F.coalesce(own, F.when(manual, F.lit("valley")), F.lit(default))
 
 
-def meets(rows: DataFrame, low: str, high: str, intervals: DataFrame, start: str, end: str, by: str, closed: bool = False) -> DataFrame:
-    """Adds ``_meets``: whether one of the intervals of the same ``by`` reaches into [low, high] of a row (with
-    ``closed``, touching is enough). A null ``by`` meets nothing.
+def meets(rows: DataFrame, low: str, high: str, intervals: DataFrame, start: str, end: str, by: str, closed: bool = False, inside: bool = True) -> DataFrame:
+    """Rows (with ``inside`` false, those that are not) of which one of the intervals of the same ``by`` reaches into [low, high] (with ``closed``, touching
+    is enough). A null ``by`` meets nothing.
 
     A sweep, not a join: at ``high`` of a row, the intervals that have begun are those before it in order, and the row is
     met if the furthest of their ends lies beyond its ``low``. One sort a ``by``; no pairs are made.
     """
     rank = F.lit(1 if closed else 0)
-    a = rows.withColumns({"_at": F.col(high).cast("double"), "_rank": rank, "_end": F.lit(None).cast("double"), "_row": F.lit(True)})
-    b = intervals.select(F.col(by), F.col(start).cast("double").alias("_at"), F.lit(0 if closed else 1).alias("_rank"), F.col(end).cast("double").alias("_end"), F.lit(False).alias("_row"))
-    order = Window.partitionBy(by).orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0)
-    swept = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_end").over(order)).filter("_row")
-    beyond = F.col("_reach") >= F.col(low) if closed else F.col("_reach") > F.col(low)
+    at, place, to, own, reach = frames.unused(rows, "at", "place", "to", "own", "reach")
+    a = rows.withColumns({at: F.col(high).cast("double"), place: rank, to: F.lit(None).cast("double"), own: F.lit(True)})
+    b = intervals.select(F.col(by), F.col(start).cast("double").alias(at), F.lit(0 if closed else 1).alias(place), F.col(end).cast("double").alias(to), F.lit(False).alias(own))
+    order = Window.partitionBy(by).orderBy(at, place).rowsBetween(Window.unboundedPreceding, 0)
+    swept = a.unionByName(b, allowMissingColumns=True).withColumn(reach, F.max(to).over(order)).filter(F.col(own))
+    beyond = F.col(reach) >= F.col(low) if closed else F.col(reach) > F.col(low)
     met = F.coalesce(beyond, F.lit(False)) & F.col(by).isNotNull()
-    return swept.withColumn("_meets", met).drop("_at", "_rank", "_end", "_row", "_reach")
+    return swept.filter(met if inside else ~met).select(*rows.columns)
 
 
 def merge_keep(kept: DataFrame, found: DataFrame, by: str = "trace_id") -> DataFrame:
     """Kept peaks unchanged, and those found that overlap none of them."""
-    free = meets(found, "start", "end", kept, "start", "end", by).filter("not _meets").drop("_meets")
+    free = meets(found, "start", "end", kept, "start", "end", by, inside=False)
     return kept.withColumn("manual", F.lit(True)).unionByName(free.withColumn("manual", F.lit(False)))
 
 
@@ -147,4 +150,4 @@ def window_on_all(traces: DataFrame, start: float, end: float, offset: Column |
         return float(t[np.argmax(net)]), K.trapezoid(t, net)
 
     found = K.struct({"apex": "double", "area": "double"}, run, F.col("x"), F.col("y"), F.col("start"), F.col("end"))
-    return df.withColumn("_f", found).select("*", "_f.*").drop("_f")
+    return df.select("*", F.inline(F.array(found)))

@@ -18,8 +18,8 @@ def peak_metrics(peaks: DataFrame, void_time: float | None = None, p2p: str | No
     fall so far on both sides), tailing, asymmetry, plates, plates_usp, k (with a void time), sn (2 height / the column
     ``p2p``). One kernel gives all of them. Peaks without an extent have nulls. Columns of these names are replaced.
     """
-    out = peaks.withColumn("_f", K.struct(K.PEAK_FIELDS, figures, F.col("x"), F.col("y"), F.col("start"), F.col("end")))
-    out = out.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], "_f.*")
+    found = K.struct(K.PEAK_FIELDS, figures, F.col("x"), F.col("y"), F.col("start"), F.col("end"))
+    out = peaks.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], F.inline(F.array(found)))
     if void_time is not None:
         out = out.withColumn("k", F.try_divide(F.col("rt") - void_time, F.lit(void_time)))
     if p2p:
@@ -39,8 +39,7 @@ def metrics_above(peaks: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<double>")
     args = [F.col("x"), F.col("y"), F.col("start"), F.col("end"), F.coalesce("bx", none), F.coalesce("by", none)]
-    out = peaks.withColumn("_f", K.struct(K.PEAK_FIELDS, run, *args))
-    return out.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], "_f.*")
+    return peaks.select(*[c for c in peaks.columns if c not in K.PEAK_FIELDS], F.inline(F.array(K.struct(K.PEAK_FIELDS, run, *args))))
 
 
 def peak_list_metrics(peaks: DataFrame, by: str = "trace_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tables
+from . import frames, tables
 
 
 def display_series(traces: DataFrame, mode: str = "none", stack: float = 0.0) -> DataFrame:
@@ -64,17 +64,18 @@ def label_rows(peaks: DataFrame, least: float) -> DataFrame:
     """Peaks (trace_id, rt, height, label) whose labels fit: of those nearer than ``least`` to a higher one of the same trace
     none is kept, by cells of that width and their neighbours."""
     cell = F.floor(F.col("rt") / least)
-    best = peaks.filter("rt is not null").withColumn("_cell", cell)
-    top = Window.partitionBy("trace_id", "_cell").orderBy(F.desc("height"), "rt")
-    best = best.withColumn("_rank", F.row_number().over(top)).filter("_rank = 1")
-    row = Window.partitionBy("trace_id").orderBy("_cell")
+    place, rank, before, after = frames.unused(peaks, "cell", "rank", "before", "after")
+    best = peaks.filter("rt is not null").withColumn(place, cell)
+    top = Window.partitionBy("trace_id", place).orderBy(F.desc("height"), "rt")
+    best = best.withColumn(rank, F.row_number().over(top)).filter(F.col(rank) == 1)
+    row = Window.partitionBy("trace_id").orderBy(place)
     for way in (F.lag, F.lead):
         other = way(F.struct("rt", "height")).over(row)
-        name = "_before" if way is F.lag else "_after"
+        name = before if way is F.lag else after
         best = best.withColumn(name, other)
     beaten = lambda c: (F.abs(F.col(f"{c}.rt") - F.col("rt")) < least) & (F.col(f"{c}.height") > F.col("height"))
-    lost = F.coalesce(beaten("_before"), F.lit(False)) | F.coalesce(beaten("_after"), F.lit(False))
-    return best.filter(~lost).drop("_cell", "_rank", "_before", "_after")
+    lost = F.coalesce(beaten(before), F.lit(False)) | F.coalesce(beaten(after), F.lit(False))
+    return best.filter(~lost).drop(place, rank, before, after)
 
 
 def peaks_for_display(traces: DataFrame, peaks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import frames
 from . import kernels as K
 
 ARRAY = "array<double>"
@@ -132,10 +133,10 @@ def volumes_to_minutes(traces: DataFrame, flow: Column) -> DataFrame:
 def derived_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Derived traces a - b of raw signals, for pairs of rows with equal ``on`` and the same x_unit: a's columns, its name
     extended by b's, y the difference (null outside b) and derived true."""
-    other = b.select(*on, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("x_unit").alias("_unit"), F.col("name").alias("_name"))
-    both = a.join(other, on).filter(F.col("x_unit").eqNullSafe(F.col("_unit")))
-    y = difference(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
-    return both.withColumns({"y": y, "name": F.concat_ws(" - ", "name", "_name"), "derived": F.lit(True)}).drop("_x", "_y", "_unit", "_name")
+    (other,) = frames.unused(a, "other")
+    both = a.join(b.select(*on, F.struct("x", "y", "x_unit", "name").alias(other)), on).filter(F.col("x_unit").eqNullSafe(F.col(f"{other}.x_unit")))
+    y = difference(F.col("x"), F.col("y"), F.col(f"{other}.x"), F.col(f"{other}.y"))
+    return both.withColumns({"y": y, "name": F.concat_ws(" - ", "name", f"{other}.name"), "derived": F.lit(True)}).drop(other)
 
 
 def difference(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -34,9 +34,10 @@ def column_stats(cells: DataFrame, by: str, at: str, value: str) -> DataFrame:
 
 def thinned(points: DataFrame, most: int, by: str = "trace_id") -> DataFrame:
     """Every k-th sample, k the number of samples over ``most``, at least 1, for drawing."""
-    n = points.groupBy(by).agg(F.count("*").alias("_size"))
-    stride = F.greatest(F.floor(F.col("_size") / most), F.lit(1))
-    return points.join(n, by).filter(F.col("i") % stride == 0).drop("_size")
+    (size,) = frames.unused(points, "size")
+    n = points.groupBy(by).agg(F.count("*").alias(size))
+    stride = F.greatest(F.floor(F.col(size) / most), F.lit(1))
+    return points.join(n, by).filter(F.col("i") % stride == 0).drop(size)
 
 
 def visible_signals(traces: DataFrame, unit: str | None = None) -> DataFrame:
@@ -45,13 +46,13 @@ def visible_signals(traces: DataFrame, unit: str | None = None) -> DataFrame:
     return traces.filter(shown & (F.col("x_unit") == unit) if unit else shown)
 
 
-def numbered(df: DataFrame, key: str, name: str = "place", rows_a_part: int = frames.ROWS_A_PART) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str = "place", width: int = frames.ROWS_A_PART) -> DataFrame:
     """Adds ``name``: the place (from 0) of each row by its ``key``, of any type that has an order; nulls have none. Rows with
-    equal keys are numbered in any order. Rows are put in order over range partitions with sampled bounds; a place is the
+    equal keys are numbered in any order. Rows are put in order over range partitions of about ``width`` rows with sampled bounds; a place is the
     rows of all earlier partitions, a sum over one row a partition, and the place in its own. No task sees all rows."""
     at, part = frames.free("at", [*df.columns, name]), frames.free("part", [*df.columns, name])
     start = frames.free("start", [*df.columns, name])
-    ordered = frames.in_order(df.filter(F.col(key).isNotNull()), [key], at, rows_a_part).withColumn(part, frames.part_of(at))
+    ordered = frames.in_order(df.filter(F.col(key).isNotNull()), [key], at, width).withColumn(part, frames.part_of(at))
     before = frames.starts(ordered, part, [], F.count("*"), start)
     local = F.col(at).bitwiseAND((1 << frames.PART_BITS) - 1)
     placed = ordered.join(F.broadcast(before), part).withColumn(name, F.col(start) + local)  # a row a partition

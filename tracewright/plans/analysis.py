@@ -48,7 +48,7 @@ def processed(traces: DataFrame, how: Processing) -> DataFrame:
         out = out.withColumn("y", S.savgol(F.col("y"), how.window, how.order))
     if how.baseline:
         b = S.als_baseline(F.col("y"), how.lam, how.p, how.iterations)
-        out = out.withColumn("_b", b).withColumn("y", F.zip_with("y", "_b", lambda v, w: v - w)).drop("_b")
+        out = out.withColumn("y", F.zip_with("y", b, lambda v, w: v - w))
     return out
 
 

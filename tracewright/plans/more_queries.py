@@ -226,7 +226,7 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, c_name AS name, round(c_acctbal, 2) + 0.0 AS y FROM customer""")
-def opened_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of customers packed into share links and opened again."""
     c = views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("y"))
 

@@ -64,9 +64,8 @@ def decode(data: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(name, "replace")
-    head = data[:4000]
     for first, name in ((1, "utf-16-le"), (0, "utf-16-be")):
-        part = head[first::2]
+        part = data[first::2]
         if part and part.count(0) > 0.3 * len(part):
             return data.decode(name, "replace")
     try:

@@ -22,13 +22,16 @@ def rgba(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
 
 
 def reduced(pixels: np.ndarray, edge: int = EDGE) -> np.ndarray:
-    """The image with no edge above ``edge``: means of blocks of k x k pixels (a rest at the right and bottom is left out)."""
+    """The image with no edge above ``edge``: means of blocks of k x k pixels, those at the right and bottom of what is
+    left there."""
     h, w = pixels.shape[:2]
     k = -(-max(h, w) // edge)
     if k < 2:
         return pixels
-    h, w = h // k * k, w // k * k
-    return pixels[:h, :w].reshape(h // k, k, w // k, k, 4).mean(axis=(1, 3)).round().astype(np.uint8)
+    rows, columns = np.arange(0, h, k), np.arange(0, w, k)
+    sums = np.add.reduceat(np.add.reduceat(pixels.astype(np.float64), rows, 0), columns, 1)
+    sizes = np.diff(np.append(rows, h))[:, None] * np.diff(np.append(columns, w))[None, :]
+    return (sums / sizes[..., None]).round().astype(np.uint8)
 
 
 def read_images(spark: SparkSession, path: str, edge: int = EDGE) -> DataFrame:
