@@ -225,3 +225,28 @@ def test_long_traces_take_linear_time():
     began = time.process_time()
     found = peaks.detect(x, trace)
     assert time.process_time() - began < 1 and abs(len(found) - 397) < 5
+
+
+def test_baselines_of_many_traces():
+    rng = np.random.default_rng(6)
+    lengths = [0, 1, 2, 3, 4, 5, 64, 599, 600, 601, 1000, *[64] * 40, *[601] * 4]
+    traces = [np.cumsum(rng.normal(size=n)) for n in lengths]
+    for lam in (1e2, 1e6, None):
+        for y, z in zip(traces, kernels.als_baselines(traces, lam)):
+            own = lam or kernels.auto_lambda(len(y))
+            assert np.array_equal(z, kernels.als_baseline(y, own))  # the same by itself as among others
+            if len(y) == 64:  # and that of the dense system
+                d = np.diff(np.eye(64), 2, axis=0)
+                w, want = np.ones(64), y
+                for _ in range(10):
+                    want = np.linalg.solve(np.diag(w) + own * d.T @ d, w * y)
+                    w = np.where(y > want, 0.01, 0.99)
+                assert np.allclose(z, want, atol=1e-5)
+    short = [np.cumsum(rng.normal(size=64)) for _ in range(2000)]
+    began = time.process_time()
+    kernels.als_baselines(short, 1e4)
+    assert time.process_time() - began < 0.5
+    y = np.cumsum(rng.normal(size=100_000))
+    began = time.process_time()
+    kernels.als_baseline(y, 1e7)
+    assert time.process_time() - began < 0.5

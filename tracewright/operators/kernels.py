@@ -75,6 +75,18 @@ def column(returns: str, f: Callable, *args: Column) -> Column:
     return F.arrow_udf(run, returns)(*args)
 
 
+def column_of_batches(returns: str, f: Callable, *args: Column) -> Column:
+    """As column(), but ``f`` gets the list of all rows of an Arrow batch that have no null argument, and gives a list."""
+    kind = to_arrow_type(T.DataType.fromDDL(returns))
+
+    def run(*cols: pa.Array) -> pa.Array:
+        rows = list(_rows(cols))
+        found = iter(f([row for row in rows if row is not None]))
+        return built([None if row is None else next(found) for row in rows], kind)
+
+    return F.arrow_udf(run, returns)(*args)
+
+
 def struct(fields: dict[str, str], f: Callable, *args: Column) -> Column:
     """``f`` gives a tuple of ``fields``, or None for nulls."""
     inner = ",".join(f"{n}:{t}" for n, t in fields.items())
@@ -244,13 +256,39 @@ def lower_hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], y[keep]
 
 
+#: Systems of fewer unknowns are solved row by row, longer ones by cyclic reduction.
+ROW_BY_ROW = 600
+#: Samples that are solved for at once.
+STACK_SAMPLES = 1 << 21
+
+
 def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, iterations: int = 10) -> np.ndarray:
     """Asymmetric least squares: (W + lam D'D) z = W y with second differences D; weights p above the baseline and 1 - p
     below, till they stay. The pentadiagonal system is solved in linear time: one row after the other while it is short,
     by cyclic reduction of blocks of two, all at once, where it is long."""
-    n = len(y)
-    if n < 3:
-        return np.array(y, float)
+    return als_baselines([np.asarray(y, float)], lam, p, iterations)[0]
+
+
+def als_baselines(traces: list[np.ndarray], lam: float | None = 1e5, p: float = 0.01, iterations: int = 10) -> list[np.ndarray]:
+    """als_baseline() of many traces (``lam`` None: each by auto_lambda() of its length). Traces of the same length are solved side
+    by side, with the same arithmetic for each as by itself."""
+    out: list[np.ndarray] = [np.array(y, float) for y in traces]
+    lengths: dict[int, list[int]] = {}
+    for k, y in enumerate(traces):
+        if len(y) >= 3:
+            lengths.setdefault(len(y), []).append(k)
+    for n, own in lengths.items():
+        size = max(STACK_SAMPLES // n, 1)
+        for at in range(0, len(own), size):
+            part = own[at : at + size]
+            for k, z in zip(part, _als_stack(np.array([traces[k] for k in part], float), lam if lam is not None else auto_lambda(n), p, iterations)):
+                out[k] = z
+    return out
+
+
+def _als_stack(y: np.ndarray, lam: float, p: float, iterations: int) -> np.ndarray:
+    """Baselines of traces of one length, a row each. Rows whose weights stay are done."""
+    m, n = y.shape
     d0 = np.full(n, 6.0)
     d0[[0, -1]] = 1.0
     d0[[1, -2]] = 5.0
@@ -258,21 +296,48 @@ def als_baseline(y: np.ndarray, lam: float = 1e5, p: float = 0.01, iterations: i
     d1[[0, -1]] = -2.0
     if n == 3:
         d0, d1 = np.array([1.0, 4.0, 1.0]), np.array([-2.0, -2.0])
-    d0, d1 = (lam * d0), (lam * d1).tolist()
-    w = np.ones(n)
-    z = np.array(y, float)
+    d0, d1 = lam * d0, lam * d1
+    w, z = np.ones((m, n)), y.copy()
+    left = np.arange(m)
     for _ in range(iterations):
-        if n < 600:
-            z = _solve_pentadiagonal((w + d0).tolist(), d1, lam, (w * y).tolist())
-        else:
-            z = _solve_cyclic(w + d0, np.array(d1), lam, w * y)
-        new = np.where(y > z, p, 1 - p)
-        if np.array_equal(new, w):
+        if not len(left):
             break
-        w = new
+        own, weights = y[left], w[left]
+        if n >= ROW_BY_ROW:
+            solved = _solve_cyclic(weights + d0, d1, lam, weights * own)
+        elif len(left) < 8:
+            solved = np.array([_solve_pentadiagonal(a, d1.tolist(), lam, f) for a, f in zip((weights + d0).tolist(), (weights * own).tolist())])
+        else:
+            solved = _solve_side_by_side(weights + d0, d1, lam, weights * own)
+        z[left] = solved
+        new = np.where(own > solved, p, 1 - p)
+        changed = (new != weights).any(1)
+        w[left] = new
+        left = left[changed]
     return z
 
 
+def _solve_side_by_side(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
+    """_solve_pentadiagonal() of many systems with the same bands, a row each."""
+    a, f = np.ascontiguousarray(a.T), np.ascontiguousarray(f.T)
+    n, m = a.shape
+    d, u, v, g = np.empty((n, m)), np.zeros((n, m)), np.zeros((n, m)), np.empty((n, m))
+    zero = np.zeros(m)
+    d1 = d2 = u1 = u2 = v1 = v2 = g1 = g2 = zero
+    for i in range(n):
+        d[i] = di = a[i] - u1 * u1 * d1 - v2 * v2 * d2
+        if i < n - 1:
+            u[i] = (b[i] - v1 * d1 * u1) / di
+        if i < n - 2:
+            v[i] = c / di
+        g[i] = gi = f[i] - u1 * g1 - v2 * g2
+        d2, d1, u1, v2, v1, g2, g1 = d1, di, u[i], v1, v[i], g1, gi
+    z = np.zeros((n + 2, m))
+    for i in range(n - 1, -1, -1):
+        z[i] = g[i] / d[i] - u[i] * z[i + 1] - v[i] * z[i + 2]
+    return z[:n].T
+
+
 def _solve_pentadiagonal(a: list[float], b: list[float], c: float, f: list[float]) -> np.ndarray:
     """Solves a symmetric system with diagonal a, first band b and constant second band c."""
     n = len(a)
@@ -292,34 +357,36 @@ def _solve_pentadiagonal(a: list[float], b: list[float], c: float, f: list[float
 
 
 def _solve_cyclic(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
-    """As _solve_pentadiagonal, for long systems. Seen as blocks of two unknowns the system is tridiagonal; every second
+    """As _solve_pentadiagonal, for long systems with the same bands, a row each. Seen as blocks of two unknowns the system is tridiagonal; every second
     block is eliminated at once, which leaves a system of the same kind and half the length, and so on. This is symmetric
     elimination in another order, so it is as stable for a positive definite system."""
-    n = len(a)
+    m, n = a.shape
     odd_one = n % 2
-    a, f = np.append(a, np.ones(odd_one)), np.append(f, np.zeros(odd_one))
-    b = np.append(b, np.zeros(odd_one))
-    blocks = len(a) // 2
+    more = lambda v, fill=0.0: np.concatenate([v, np.full((len(v), 1), fill)], axis=1)
+    b = np.broadcast_to(b, (m, n - 1))
+    if odd_one:
+        a, f, b = more(a, 1.0), more(f), more(b)
+    blocks = a.shape[1] // 2
     # diagonal blocks (symmetric), blocks above them, right side
-    d00, d01, d11 = a[0::2], b[0::2], a[1::2]
-    e00, e01, e10, e11 = np.full(blocks - 1, float(c)), np.zeros(blocks - 1), b[1::2].copy(), np.full(blocks - 1, float(c))
+    d00, d01, d11 = a[:, 0::2], b[:, 0::2], a[:, 1::2]
+    e00, e01, e10, e11 = np.full((m, blocks - 1), float(c)), np.zeros((m, blocks - 1)), b[:, 1::2].copy(), np.full((m, blocks - 1), float(c))
     if odd_one:
-        e11[-1] = 0.0
-    f0, f1 = f[0::2], f[1::2]
+        e11[:, -1] = 0.0
+    f0, f1 = f[:, 0::2], f[:, 1::2]
     steps = []
     while blocks > 1:
         pad = blocks % 2  # an even number of blocks: each pair is one that stays and one that goes
         if pad:
-            d00, d01, d11 = np.append(d00, 1.0), np.append(d01, 0.0), np.append(d11, 1.0)
-            f0, f1 = np.append(f0, 0.0), np.append(f1, 0.0)
-            e00, e01, e10, e11 = (np.append(v, 0.0) for v in (e00, e01, e10, e11))
-        s00, s01, s11 = d00[1::2].copy(), d01[1::2].copy(), d11[1::2].copy()
+            d00, d01, d11 = more(d00, 1.0), more(d01), more(d11, 1.0)
+            f0, f1 = more(f0), more(f1)
+            e00, e01, e10, e11 = (more(v) for v in (e00, e01, e10, e11))
+        s00, s01, s11 = d00[:, 1::2].copy(), d01[:, 1::2].copy(), d11[:, 1::2].copy()
         det = s00 * s11 - s01 * s01
         det = 1 / det
         i00, i01, i11 = s11 * det, -s01 * det, s00 * det
-        l00, l01, l10, l11 = (v[0::2].copy() for v in (e00, e01, e10, e11))  # from the one that stays to the one that goes
-        r00, r01, r10, r11 = (np.append(v[1::2], 0.0) for v in (e00, e01, e10, e11))  # and on to the next that stays
-        h0, h1 = f0[1::2].copy(), f1[1::2].copy()
+        l00, l01, l10, l11 = (v[:, 0::2].copy() for v in (e00, e01, e10, e11))  # from the one that stays to the one that goes
+        r00, r01, r10, r11 = (more(v[:, 1::2]) for v in (e00, e01, e10, e11))  # and on to the next that stays
+        h0, h1 = f0[:, 1::2].copy(), f1[:, 1::2].copy()
         g0, g1 = i00 * h0 + i01 * h1, i01 * h0 + i11 * h1
         # p = inverse * left transposed, q = inverse * right
         p00, p01 = i00 * l00 + i01 * l01, i00 * l10 + i01 * l11
@@ -327,28 +394,28 @@ def _solve_cyclic(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.n
         q00, q01 = i00 * r00 + i01 * r10, i00 * r01 + i01 * r11
         q10, q11 = i01 * r00 + i11 * r10, i01 * r01 + i11 * r11
         steps.append((g0, g1, p00, p01, p10, p11, q00, q01, q10, q11, pad))
-        d00, d01, d11 = d00[0::2] - (l00 * p00 + l01 * p10), d01[0::2] - (l00 * p01 + l01 * p11), d11[0::2] - (l10 * p01 + l11 * p11)
-        d00[1:] -= (r00 * q00 + r10 * q10)[:-1]
-        d01[1:] -= (r00 * q01 + r10 * q11)[:-1]
-        d11[1:] -= (r01 * q01 + r11 * q11)[:-1]
-        f0, f1 = f0[0::2] - (l00 * g0 + l01 * g1), f1[0::2] - (l10 * g0 + l11 * g1)
-        f0[1:] -= (r00 * g0 + r10 * g1)[:-1]
-        f1[1:] -= (r01 * g0 + r11 * g1)[:-1]
-        e00, e01 = -(l00 * q00 + l01 * q10)[:-1], -(l00 * q01 + l01 * q11)[:-1]
-        e10, e11 = -(l10 * q00 + l11 * q10)[:-1], -(l10 * q01 + l11 * q11)[:-1]
-        blocks = len(d00)
+        d00, d01, d11 = d00[:, 0::2] - (l00 * p00 + l01 * p10), d01[:, 0::2] - (l00 * p01 + l01 * p11), d11[:, 0::2] - (l10 * p01 + l11 * p11)
+        d00[:, 1:] -= (r00 * q00 + r10 * q10)[:, :-1]
+        d01[:, 1:] -= (r00 * q01 + r10 * q11)[:, :-1]
+        d11[:, 1:] -= (r01 * q01 + r11 * q11)[:, :-1]
+        f0, f1 = f0[:, 0::2] - (l00 * g0 + l01 * g1), f1[:, 0::2] - (l10 * g0 + l11 * g1)
+        f0[:, 1:] -= (r00 * g0 + r10 * g1)[:, :-1]
+        f1[:, 1:] -= (r01 * g0 + r11 * g1)[:, :-1]
+        e00, e01 = -(l00 * q00 + l01 * q10)[:, :-1], -(l00 * q01 + l01 * q11)[:, :-1]
+        e10, e11 = -(l10 * q00 + l11 * q10)[:, :-1], -(l10 * q01 + l11 * q11)[:, :-1]
+        blocks = d00.shape[1]
     det = d00 * d11 - d01 * d01
     x0, x1 = (d11 * f0 - d01 * f1) / det, (d00 * f1 - d01 * f0) / det
     for g0, g1, p00, p01, p10, p11, q00, q01, q10, q11, pad in reversed(steps):
-        n0, n1 = np.append(x0[1:], 0.0), np.append(x1[1:], 0.0)
-        y0, y1 = np.empty(2 * len(x0)), np.empty(2 * len(x1))
-        y0[0::2], y1[0::2] = x0, x1
-        y0[1::2] = g0 - p00 * x0 - p01 * x1 - q00 * n0 - q01 * n1
-        y1[1::2] = g1 - p10 * x0 - p11 * x1 - q10 * n0 - q11 * n1
-        x0, x1 = (y0[:-1], y1[:-1]) if pad else (y0, y1)
-    z = np.empty(2 * len(x0))
-    z[0::2], z[1::2] = x0, x1
-    return z[:n]
+        n0, n1 = more(x0[:, 1:]), more(x1[:, 1:])
+        y0, y1 = np.empty((m, 2 * x0.shape[1])), np.empty((m, 2 * x1.shape[1]))
+        y0[:, 0::2], y1[:, 0::2] = x0, x1
+        y0[:, 1::2] = g0 - p00 * x0 - p01 * x1 - q00 * n0 - q01 * n1
+        y1[:, 1::2] = g1 - p10 * x0 - p11 * x1 - q10 * n0 - q11 * n1
+        x0, x1 = (y0[:, :-1], y1[:, :-1]) if pad else (y0, y1)
+    z = np.empty((m, 2 * x0.shape[1]))
+    z[:, 0::2], z[:, 1::2] = x0, x1
+    return z[:, :n]
 
 
 def auto_lambda(n: int) -> float:

@@ -23,7 +23,7 @@ def savgol(y: Column, window: int = 5, order: int = 2, deriv: int = 0, delta: fl
 
 def als_baseline(y: Column, lam: float | None = None, p: float = 0.001, iterations: int = 10) -> Column:
     """Asymmetric least squares baseline; ``lam`` None follows from the number of samples."""
-    return K.column(ARRAY, lambda v: K.als_baseline(v, lam or K.auto_lambda(len(v)), p, iterations), y)
+    return K.column_of_batches(ARRAY, lambda rows: K.als_baselines([v for (v,) in rows], lam or None, p, iterations), y)
 
 
 def processed(y: Column, window: int = 11, order: int = 3, lam: float | None = None, p: float = 0.001) -> Column:

@@ -60,12 +60,14 @@ def analysed(x: Column, y: Column, how: Processing = Processing()) -> Column:
     ``area`` is that of the mode in effect."""
     how = how.clamped()
 
-    def run(x, y):
-        sigma = K.noise_sigma(y) or 0.0
-        if how.window:
-            y = K.savgol(y, how.window, how.order)
-        if how.baseline:
-            y = y - K.als_baseline(y, how.lam or K.auto_lambda(len(y)), how.p, how.iterations)
+    def batch(rows):
+        raw = [y for _, y in rows]
+        done = [K.savgol(y, how.window, how.order) for y in raw] if how.window else raw
+        if how.baseline:  # those of one length at once
+            done = [y - z for y, z in zip(done, K.als_baselines(done, how.lam or None, how.p, how.iterations))]
+        return [run(x, y, K.noise_sigma(before) or 0.0) for (x, before), y in zip(rows, done)]
+
+    def run(x, y, sigma):
         if not len(y):
             return []
         level = how.threshold if how.threshold is not None else max(9 * sigma, 1e-4 * float(y.max() - y.min()))
@@ -78,7 +80,7 @@ def analysed(x: Column, y: Column, how: Processing = Processing()) -> Column:
         return out
 
     kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in ANALYSED.items()) + ">>"
-    return K.column(kind, run, x, y)
+    return K.column_of_batches(kind, batch, x, y)
 
 
 def peak_table(traces: DataFrame, how: Processing = Processing()) -> DataFrame:
