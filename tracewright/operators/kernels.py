@@ -357,9 +357,11 @@ def _solve_pentadiagonal(a: list[float], b: list[float], c: float, f: list[float
 
 
 def _solve_cyclic(a: np.ndarray, b: np.ndarray, c: float, f: np.ndarray) -> np.ndarray:
-    """As _solve_pentadiagonal, for long systems with the same bands, a row each. Seen as blocks of two unknowns the system is tridiagonal; every second
+    """As _solve_pentadiagonal, for long systems with the same bands, a row each (or one system). Seen as blocks of two unknowns the system is tridiagonal; every second
     block is eliminated at once, which leaves a system of the same kind and half the length, and so on. This is symmetric
     elimination in another order, so it is as stable for a positive definite system."""
+    if a.ndim == 1:
+        return _solve_cyclic(a[None], b, c, f[None])[0]
     m, n = a.shape
     odd_one = n % 2
     more = lambda v, fill=0.0: np.concatenate([v, np.full((len(v), 1), fill)], axis=1)
