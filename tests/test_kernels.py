@@ -250,3 +250,29 @@ def test_baselines_of_many_traces():
     began = time.process_time()
     kernels.als_baseline(y, 1e7)
     assert time.process_time() - began < 0.5
+
+
+def test_fits_side_by_side():
+    rng = np.random.default_rng(7)
+    problems, truth = [], []
+    for k in range(60):
+        t = np.linspace(0, 10, int(rng.integers(60, 200)))
+        true = [(rng.uniform(2, 9), m, rng.uniform(0.3, 0.6)) for m in [3.0, 7.0][: 1 + k % 2]]
+        problems.append((t, sum(kernels.gaussian(t, *q) for q in true) + rng.normal(0, 0.05, len(t)), [q[1] for q in true]))
+        truth.append([q[0] * q[2] * np.sqrt(2 * np.pi) for q in true])
+    found = fitting.fit_many([*problems, (np.arange(3.0), np.ones(3), [1.0]), (np.zeros(0), np.zeros(0), [])])
+    assert found[60:] == [None, None]
+    within = [abs(f["area"] - a) <= 2 * f["area_se"] for fits, areas in zip(found, truth) for f, a in zip(fits, areas)]
+    assert 0.88 <= np.mean(within) <= 1.0  # about 92 % or more lie within two standard errors
+    for problem, together in zip(problems[:20], found):
+        for a, b in zip(fitting.fit(*problem), together):
+            assert all(a[c] == pytest.approx(b[c], rel=1e-6) for c in ("mu", "sigma", "height", "area", "area_se"))
+
+
+def test_tailing_fits_side_by_side():
+    t = np.linspace(0, 10, 120)
+    shapes = [(5.0, 4.0, 0.3, 0.5), (2.0, 5.0, 0.4, 0.3), (8.0, 4.5, 0.35, 0.8)]
+    found = fitting.fit_many([(t, kernels.emg(t, *q), [q[1] + 0.3]) for q in shapes], "emg")
+    for (f,), (a, mu, s, tau) in zip(found, shapes):
+        assert (f["mu"], f["sigma"], f["tau"]) == pytest.approx((mu, s, tau), rel=1e-2)
+        assert f["area"] == pytest.approx(a * s * np.sqrt(2 * np.pi), rel=1e-3)

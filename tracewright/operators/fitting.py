@@ -13,11 +13,16 @@ from . import kernels as K
 FIT = "array<struct<mu:double,sigma:double,tau:double,height:double,area:double,area_se:double>>"
 
 
-def _model(p: np.ndarray, t: np.ndarray, per: int, line: bool) -> np.ndarray:
-    peaks = p[: len(p) - 2 * line].reshape(-1, per)
-    out = p[-2] + p[-1] * (t - t.mean()) if line else np.zeros(len(t))
-    for q in peaks:
-        out = out + (K.gaussian(t, *q) if per == 3 else K.emg(t, *q))
+#: Samples, over all fits and their padding, that are fitted at once.
+STACK_SAMPLES = 1 << 18
+
+
+def _model(p: np.ndarray, t: np.ndarray, per: int, line: bool, middle: np.ndarray) -> np.ndarray:
+    """The models with parameters p (a row each) at the places t (a row each); ``middle`` is where lines turn."""
+    peaks = p[:, : p.shape[1] - 2 * line].reshape(len(p), -1, per, 1)
+    out = p[:, -2, None] + p[:, -1, None] * (t - middle[:, None]) if line else np.zeros(t.shape)
+    for k in range(peaks.shape[1]):
+        out = out + (K.gaussian(t, *peaks[:, k].transpose(1, 0, 2)) if per == 3 else K.emg(t, *peaks[:, k].transpose(1, 0, 2)))
     return out
 
 
@@ -40,76 +45,129 @@ def _start(t: np.ndarray, y: np.ndarray, apex: float, per: int) -> list[float]:
 def fit(t: np.ndarray, y: np.ndarray, apexes: list[float], model: str = "gaussian", line: bool = False, most: int = 200) -> list[dict]:
     """Fits all peaks together within the given samples; parameters are kept in bounds by projection. Raises ValueError
     with too few samples."""
-    per = 3 if model == "gaussian" else 4
-    p = np.array([v for a in apexes for v in _start(t, y, a, per)] + [0.0, 0.0] * line)
-    n, span, step = len(p), float(t[-1] - t[0]), float(t[-1] - t[0]) / max(len(t) - 1, 1)
-    if len(t) < n + 1:
+    (found,) = fit_many([(t, y, apexes)], model, line, most)
+    if found is None:
         raise ValueError("too few samples for the fit")
-    low, high = np.full(n, -np.inf), np.full(n, np.inf)
-    scale = np.ones(n)
-    for k in range(len(apexes)):
-        low[per * k : per * k + 3] = 0, t[0], step / 20
-        high[per * k + 1 : per * k + 3] = t[-1], 2 * span
-        scale[per * k : per * k + 3] = max(np.abs(y).max(), 1e-12), span, max(p[per * k + 2], step)
+    return found
+
+
+def fit_many(problems: list[tuple], model: str = "gaussian", line: bool = False, most: int = 200) -> list[list[dict] | None]:
+    """fit() of many problems (t, y, apexes), those with as many peaks side by side; None for too few samples. Shorter ones are
+    padded to the longest of their stack, and padding has no weight."""
+    per = 3 if model == "gaussian" else 4
+    out: list[list[dict] | None] = [None] * len(problems)
+    kinds: dict[int, list[int]] = {}
+    for k, (t, _, apexes) in enumerate(problems):
+        if len(apexes) and len(t) >= per * len(apexes) + 2 * line + 1:
+            kinds.setdefault(len(apexes), []).append(k)
+    for own in kinds.values():
+        own.sort(key=lambda k: len(problems[k][0]))
+        while own:
+            size = max(STACK_SAMPLES // len(problems[own[-1]][0]), 1)
+            part = own[-size:]
+            del own[-size:]
+            for k, found in zip(part, _fit_stack([problems[k] for k in part], per, line, most)):
+                out[k] = found
+    return out
+
+
+def _fit_stack(problems: list[tuple], per: int, line: bool, most: int) -> list[list[dict]]:
+    """Levenberg-Marquardt over a stack of problems with as many peaks each. Each has a damping of its own, and goes on till
+    it no longer gains."""
+    m, longest, count = len(problems), max(len(t) for t, _, _ in problems), len(problems[0][2])
+    sizes = np.array([len(t) for t, _, _ in problems])
+    t, y, there = np.zeros((m, longest)), np.zeros((m, longest)), np.arange(longest) < sizes[:, None]
+    for k, (a, b, _) in enumerate(problems):
+        t[k, : len(a)], t[k, len(a) :], y[k, : len(b)] = a, a[-1], b
+    p = np.array([[v for a in apexes for v in _start(u, v_, a, per)] + [0.0, 0.0] * line for u, v_, apexes in problems])
+    n, begin, end = p.shape[1], t[:, 0], t[:, -1]
+    span, step = end - begin, (end - begin) / np.maximum(sizes - 1, 1)
+    middle = np.where(there, t, 0).sum(1) / sizes
+    tall = np.maximum(np.abs(y).max(1), 1e-12)
+    low, high, scale = np.full((m, n), -np.inf), np.full((m, n), np.inf), np.ones((m, n))
+    for k in range(0, per * count, per):
+        low[:, k], low[:, k + 1], low[:, k + 2] = 0, begin, step / 20
+        high[:, k + 1], high[:, k + 2] = end, 2 * span
+        scale[:, k], scale[:, k + 1], scale[:, k + 2] = tall, span, np.maximum(p[:, k + 2], step)
         if per == 4:
-            low[per * k + 3], high[per * k + 3], scale[per * k + 3] = step / 100, 10 * span, max(p[per * k + 3], step)
+            low[:, k + 3], high[:, k + 3], scale[:, k + 3] = step / 100, 10 * span, np.maximum(p[:, k + 3], step)
     p = np.clip(p, low, high)
 
-    def slopes(p: np.ndarray) -> np.ndarray:
-        out = np.empty((len(t), n))
+    def rests(p: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.where(there[own], y[own] - _model(p, t[own], per, line, middle[own]), 0)
+
+    def slopes(p: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.empty((len(own), longest, n))
         for j in range(n):
-            h = 1e-6 * max(abs(p[j]) if j % per != 1 else 0.0, scale[j])
+            h = 1e-6 * np.maximum(np.abs(p[:, j]) if j % per != 1 else 0.0, scale[own, j])
             up, down = p.copy(), p.copy()
-            up[j] += h
-            down[j] = max(p[j] - h, p[j] / 2) if np.isfinite(low[j]) and low[j] > 0 else p[j] - h
-            out[:, j] = (_model(up, t, per, line) - _model(down, t, per, line)) / (up[j] - down[j])
+            up[:, j] += h
+            least = low[own, j]
+            down[:, j] = np.where(np.isfinite(least) & (least > 0), np.maximum(p[:, j] - h, p[:, j] / 2), p[:, j] - h)
+            move = _model(up, t[own], per, line, middle[own]) - _model(down, t[own], per, line, middle[own])
+            out[:, :, j] = np.where(there[own], move / (up[:, j] - down[:, j])[:, None], 0)
         return out
 
-    rest = y - _model(p, t, per, line)
-    rss, damp = float(rest @ rest), 1e-3
-    for _ in range(most):
-        j = slopes(p)
-        h, g = j.T @ j, j.T @ rest
-        moved = False
-        while damp <= 1e14:
-            try:
-                step_p = np.linalg.solve(h + damp * np.diag(np.maximum(np.diag(h), 1e-300)), g)
-            except np.linalg.LinAlgError:
-                damp *= 4
-                continue
-            q = np.clip(p + step_p, low, high)
-            new = y - _model(q, t, per, line)
-            if (score := float(new @ new)) < rss:
-                done = (rss - score) < 1e-8 * rss or np.max(np.abs(q - p) / scale) < 1e-6
-                p, rest, rss, damp, moved = q, new, score, max(damp / 3, 1e-12), True
-                break
-            damp *= 4
-        if not moved or done:
-            break
-    j = slopes(p)
-    cov = rss / max(len(t) - n, 1) * np.linalg.pinv(j.T @ j)
-    out = []
-    for k in range(len(apexes)):
-        q = p[per * k : per * k + per]
-        a, s = per * k, per * k + 2
-        var = q[2] ** 2 * cov[a, a] + q[0] ** 2 * cov[s, s] + 2 * q[0] * q[2] * cov[a, s]
-        root = math.sqrt(2 * math.pi)
-        out.append({"mu": q[1], "sigma": q[2], "tau": q[3] if per == 4 else None, "height": q[0], "area": q[0] * q[2] * root, "area_se": root * math.sqrt(max(var, 0.0))})
-    return out
+    every = np.arange(m)
+    rest = rests(p, every)
+    rss, damp, rounds = (rest * rest).sum(1), np.full(m, 1e-3), np.zeros(m, int)
+    normal, pull = np.empty((m, n, n)), np.empty((m, n))
+    going, fresh = every, np.ones(m, bool)
+    while len(going):
+        if len(new := going[fresh[going]]):
+            j = slopes(p[new], new)
+            normal[new], pull[new] = j.transpose(0, 2, 1) @ j, (j * rest[new][:, :, None]).sum(1)
+            fresh[new] = False
+        diagonal = np.maximum(np.einsum("kii->ki", normal[going]), 1e-300)
+        change, solved = _solved(normal[going] + damp[going, None, None] * (diagonal[:, :, None] * np.eye(n)), pull[going])
+        q = np.clip(p[going] + change, low[going], high[going])
+        trial = rests(q, going)
+        score = (trial * trial).sum(1)
+        better = solved & (score < rss[going])
+        small = (rss[going] - score < 1e-8 * rss[going]) | (np.max(np.abs(q - p[going]) / scale[going], axis=1) < 1e-6)
+        won, lost = going[better], going[~better]
+        p[won], rest[won], rss[won], damp[won] = q[better], trial[better], score[better], np.maximum(damp[won] / 3, 1e-12)
+        fresh[won] = True
+        rounds[won] += 1
+        damp[lost] *= 4
+        stays = np.where(better, ~small & (rounds[going] < most), damp[going] <= 1e14)
+        going = going[stays]
+    j = slopes(p, every)
+    cov = (rss / np.maximum(sizes - n, 1))[:, None, None] * np.linalg.pinv(j.transpose(0, 2, 1) @ j)
+    root, found = math.sqrt(2 * math.pi), []
+    for i in range(m):
+        peaks = []
+        for a in range(0, per * count, per):
+            q, s = p[i, a : a + per].tolist(), a + 2
+            var = q[2] ** 2 * cov[i, a, a] + q[0] ** 2 * cov[i, s, s] + 2 * q[0] * q[2] * cov[i, a, s]
+            peaks.append({"mu": q[1], "sigma": q[2], "tau": q[3] if per == 4 else None, "height": q[0], "area": q[0] * q[2] * root, "area_se": root * math.sqrt(max(var, 0.0))})
+        found.append(peaks)
+    return found
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of a stack of systems, and which of them there are."""
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0], np.ones(len(a), bool)
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.zeros_like(b), np.zeros(1, bool)
+        half = len(a) // 2
+        parts = _solved(a[:half], b[:half]), _solved(a[half:], b[half:])
+        return np.concatenate([x for x, _ in parts]), np.concatenate([ok for _, ok in parts])
 
 
 def fitted(x: Column, y: Column, start: Column, end: Column, apexes: Column, model: str = "gaussian", line: bool = False) -> Column:
     """The joint fit of a cluster's peaks within [start, end] as FIT; null with too few samples or a start outside."""
 
-    def run(x, y, a, b, apexes):
-        inside = (x >= a) & (x <= b)
-        try:
-            found = fit(x[inside], y[inside], list(apexes), model, line)
-        except (ValueError, np.linalg.LinAlgError):
-            return None
-        return [{k: K.clean(v) if v is None else float(v) for k, v in f.items()} for f in found]
+    def run(rows):
+        problems = []
+        for t, v, a, b, apexes in rows:
+            inside = (t >= a) & (t <= b)
+            problems.append((t[inside], v[inside], list(apexes)))
+        return fit_many(problems, model, line)
 
-    return K.column(FIT, run, x, y, start, end, apexes)
+    return K.column_of_batches(FIT, run, x, y, start, end, apexes)
 
 
 def _beta(a: float, b: float, x: float) -> float:
