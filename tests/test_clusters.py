@@ -61,3 +61,27 @@ def test_gross_less_baseline_is_the_area():
 def test_chains_of_riders_end_at_their_root():
     assert clusters.hosts([1000.0, 100.0, 5.0], [1000.0, 50.0, 2.0], 10, 0.0) == [None, 0, 0]
     assert clusters.hosts([10.0, 9.0], [9.0, 8.0], 10, 0.0) == [None, None]
+
+
+def test_areas_under_frames(spark):
+    x = np.linspace(0, 20, 2001)
+    rng = np.random.default_rng(3)
+    y = sum(kernels.gaussian(x, a, m, s) for a, m, s in ((10, 5, 0.3), (0.7, 6.1, 0.12), (6, 12, 0.3), (5, 12.9, 0.3), (4, 17, 0.25))) + 0.1 * x + rng.normal(0, 0.002, len(x))
+    spans = [(4.0, 5.0, 5.85), (5.85, 6.1, 6.6), (11.0, 12.0, 12.45), (12.45, 12.9, 14.0), (16.0, 17.0, 18.0), (19.0, 19.0, 19.0)]
+    peaks = [{"start": a, "apex": b, "end": c, "manual": False} for a, b, c in spans]
+    df = spark.createDataFrame([("t", x.tolist(), y.tolist(), peaks)], "trace_id string, x array<double>, y array<double>, peaks array<struct<start:double,apex:double,end:double,manual:boolean>>")
+    side = {r.peak_no: r.asDict() for r in clusters.options(df).collect()}
+    frames = clusters.mode_frames(df).collect()
+    sums, own = {}, {}
+    for f in frames:
+        t, up, low = (np.array(v) for v in (f.x, f.upper, f.lower))
+        sums[f.mode, f.peak_no] = sums.get((f.mode, f.peak_no), 0.0) + kernels.trapezoid(t, up - low)
+        own[f.mode, f.peak_no] = f.area
+    assert {m for m, _ in sums} == set(clusters.MODES) and {n for _, n in sums} == {1, 2, 3, 4, 5}
+    for (mode, n), area in sums.items():
+        assert area == pytest.approx(own[mode, n], rel=2e-3 if mode == "fit" else 1e-9), (mode, n)
+        assert side[n][mode.replace("-", "_")] == pytest.approx(own[mode, n], rel=1e-9)
+    assert any(f.piece == 1 and f.mode == "skim-tangent" and f.peak_no == 1 for f in frames)  # what the host keeps under its rider
+    thin = clusters.mode_frames(df, ("drop",), most=40).collect()
+    for f in thin:
+        assert len(f.x) <= 60 and max(f.upper) == max(g for h in frames if (h.mode, h.peak_no) == ("drop", f.peak_no) for g in h.upper)

@@ -522,3 +522,12 @@ def test_images_shrink_without_losing_edges():
     small = images.reduced(pixels)
     assert small.shape == (1, 2134, 4) and (small[0, -1] == 200).all() and (small[0, :-1] == 0).all()
     assert images.reduced(pixels[:, :3200]).shape == (3, 3200, 4)
+
+
+def test_unknowns_of_a_calibration_chart(spark):
+    points = spark.createDataFrame([("a", float(x), 1.0 + 2 * x + d, True) for x, d in ((1, 0.01), (2, -0.02), (4, 0.02), (8, -0.01))], "analyte string, x double, y double, include boolean")
+    fits = calibration.fit(points, "analyte")
+    unknowns = spark.createDataFrame([("a", "u1", 7.0), ("a", "u2", 40.0), ("b", "u3", 1.0), ("a", "u4", None)], "analyte string, trace_id string, response double")
+    got = {r.trace_id: r for r in reports.calibration_unknowns(unknowns, fits).collect()}
+    assert set(got) == {"u1", "u2", "u4"} and got["u1"].x == pytest.approx(3, abs=0.02) and got["u1"].low < got["u1"].x < got["u1"].high
+    assert "extrapolated" in got["u2"].flags and got["u4"].x is None and "noSolution" in got["u4"].flags

@@ -95,6 +95,28 @@ def _exponential_skim(t, v, line, rider, host, valley, limit, sigma, host_height
     return lambda at: line(at) + offset + z0 * np.exp(-(at - valley) * way / tau)
 
 
+def _fitted_piece(shape: dict, line) -> tuple:
+    """A fitted peak's curve above its cluster's chord, as far as it counts."""
+    mu, s, tau = shape["mu"], shape["sigma"], shape["tau"] or 0.0
+    t = np.linspace(mu - 8 * s, mu + 8 * s + 20 * tau, 4001)
+    curve = K.emg(t, shape["height"], mu, s, tau) if tau else K.gaussian(t, shape["height"], mu, s)
+    return t, line(t) + curve, line(t)
+
+
+def thinned_piece(piece: tuple, most: int | None) -> tuple:
+    """A piece of about ``most`` places: of each bucket the ends and the extremes of the upper line."""
+    t, upper, _ = piece
+    if not most or len(t) <= most:
+        return piece
+    edges = np.linspace(0, len(t), max(most // 4, 1) + 1).astype(int)
+    keep = {0, len(t) - 1}
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            keep |= {a, b - 1, a + int(np.argmin(upper[a:b])), a + int(np.argmax(upper[a:b]))}
+    at = sorted(keep)
+    return tuple(v[at] for v in piece)
+
+
 class Clustered:
     """A trace's peaks (start, apex, end) in clusters, with what all modes need of them: noise, a lightly smoothed signal,
     heights above the cluster's chord and above each peak's own."""
@@ -148,16 +170,18 @@ class Clustered:
                 return "fit"
         return "drop"
 
-    def areas(self, mode: str, skim_ratio: float = 10.0, model: str = "emg") -> list[dict]:
-        """A result for each peak, in the order given; see integrate()."""
+    def areas(self, mode: str, skim_ratio: float = 10.0, model: str = "emg", pieces: dict[int, list[tuple]] | None = None) -> list[dict]:
+        """A result for each peak, in the order given; see integrate(). ``pieces`` gets, for each peak, what its area lies between:
+        (places, upper, lower) of its own extent, and of what it keeps under its riders; a fitted peak's upper is its curve."""
         if mode not in MODES:
             raise ValueError(mode)
+        pieces = {} if pieces is None else pieces
         x, y, smooth, peaks = self.x, self.y, self.smooth, self.peaks
         out: list[dict] = [{} for _ in peaks]
         for number, members in enumerate(self.clusters, 1):
             a, b, line = self.line(members)
             note = {k: "" for k in members}
-            skim, host, areas = {}, {k: None for k in members}, {}
+            skim, host, areas, shapes = {}, {k: None for k in members}, {}, {}
             if mode.startswith("skim") and len(members) > 1:
                 top, own = self.heights(members, line)
                 for i, j in enumerate(hosts(top, own, skim_ratio, self.sigma)):
@@ -170,7 +194,7 @@ class Clustered:
                 try:
                     inside = (x >= a) & (x <= b)
                     found = fitting.fit(x[inside], y[inside] - line(x[inside]), [peaks[k][1] for k in members], model)
-                    areas = {k: f["area"] for k, f in zip(members, found)}
+                    areas, shapes = {k: f["area"] for k, f in zip(members, found)}, dict(zip(members, found))
                 except (ValueError, np.linalg.LinAlgError):
                     note = {k: "no fit: drop" for k in members}
             hull = K.lower_hull(*K.window_nodes(x, y, a, b)) if mode == "baseline" and b > a else None
@@ -189,11 +213,13 @@ class Clustered:
                 else:
                     base = np.maximum(skim[k](t), line(t)) if k in skim else line(t)
                 gross, under = K.trapezoid(t, v), K.trapezoid(t, base)
+                pieces[k] = [_fitted_piece(shapes[k], line)] if k in shapes else [(t, v, base)]
                 for r in skim if k not in skim else ():
                     if host[r] == k:  # the parent keeps what lies between the skim and the line under its riders
                         u, _ = K.window_nodes(x, y, peaks[r][0], peaks[r][2])
                         gross += K.trapezoid(u, np.maximum(skim[r](u), line(u)))
                         under += K.trapezoid(u, line(u))
+                        pieces[k].append((u, np.maximum(skim[r](u), line(u)), line(u)))
                 area = gross - under
                 if k in areas:
                     area, gross = areas[k], under + areas[k]
@@ -262,6 +288,29 @@ def options(traces: DataFrame, modes: tuple[str, ...] = MODES, skim_ratio: float
     return traces.select("trace_id", F.inline(K.column(kind, run, F.col("x"), F.col("y"), F.col("peaks"))))
 
 
+def mode_frames(traces: DataFrame, modes: tuple[str, ...] = MODES, skim_ratio: float = 10.0, most: int | None = None) -> DataFrame:
+    """What charts of each mode show: trace_id, mode, peak_no, cluster, area, piece (from 0), and arrays x, upper, lower. The areas between upper
+    and lower of a peak's pieces add up to ``area`` (null where the peak has no extent, which has no pieces). A mode that falls back
+    on another shows that one's lines. ``most``: about so many places a piece, extremes kept; areas are then those of the thinned lines
+    only roughly."""
+
+    def run(x, y, peaks):
+        if not len(x) or not peaks:
+            return []
+        c = Clustered(x, y, _tuples(peaks), [bool(p.get("manual")) for p in peaks])
+        out = []
+        for mode in modes:
+            pieces: dict[int, list[tuple]] = {}
+            results = c.areas(mode, skim_ratio, pieces=pieces)
+            for k, r in enumerate(results):
+                for no, piece in enumerate(pieces.get(k, [])):
+                    out.append((mode, k + 1, r["cluster"], r["area"], no, *thinned_piece(piece, most)))
+        return out
+
+    kind = "array<struct<mode:string,peak_no:int,cluster:int,area:double,piece:int,x:array<double>,upper:array<double>,lower:array<double>>>"
+    return traces.select("trace_id", F.inline(K.column(kind, run, F.col("x"), F.col("y"), F.col("peaks"))))
+
+
 def similar_clusters(options: DataFrame, cluster: Column) -> DataFrame:
     """Clusters of ``options`` for which the same mode is recommended as for the one that ``cluster`` picks out:
     trace_id, cluster, recommended; those of one peak are left out."""

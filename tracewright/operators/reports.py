@@ -128,3 +128,13 @@ def calibration_figure(points: DataFrame, fits: DataFrame, n: int = 50, t: float
     x = F.col("x")
     curve = curve.withColumns({"y": C.predict(x), "_se": C.prediction_se(x)})
     return levels, curve.select(by, "x", "y", (F.col("y") - t * F.col("_se")).alias("low"), (F.col("y") + t * F.col("_se")).alias("high"))
+
+
+def calibration_unknowns(unknowns: DataFrame, fits: DataFrame, t: float = 1.96, weighting: str = "none", by: str = "analyte") -> DataFrame:
+    """What a calibration chart shows of unknowns (``by``, trace_id, response): their places x on the curve (null where it has none),
+    y, the ends low and high of ``t`` standard errors of x, and flags. Unknowns without a curve are left out."""
+    from . import calibration as C
+
+    found = C.inverse(unknowns.select(by, "trace_id", "response").join(fits, by), F.col("response"), 1, weighting)
+    low, high = (F.col("conc") + sign * t * F.col("conc_se") for sign in (-1, 1))
+    return found.select(by, "trace_id", F.col("conc").alias("x"), F.col("response").alias("y"), low.alias("low"), high.alias("high"), F.col("conc_flags").alias("flags"))

@@ -239,6 +239,17 @@ def links_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.select(F.col("path").cast("long").alias("c_custkey"), "name", r(F.get("y", F.lit(0)), 2).alias("y"))
 
 
+@query(f"""WITH {EMB}, w AS (SELECT trace_id, i, y, max(CASE WHEN i = 20 THEN y END) OVER (PARTITION BY trace_id) AS a, max(CASE WHEN i = 44 THEN y END) OVER (PARTITION BY trace_id) AS b FROM e WHERE i BETWEEN 20 AND 44)
+SELECT trace_id, CAST(i AS DOUBLE) AS x, round(y, 6) + 0.0 AS upper, round(a + (b - a) * (i - 20) / 24.0, 6) + 0.0 AS lower,
+  round(sum(y - (a + (b - a) * (i - 20) / 24.0)) OVER (PARTITION BY trace_id), 5) + 0.0 AS area FROM w""")
+def valley_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines between which a peak's area lies, above its own chord, and that area."""
+    peak = F.array(F.struct(F.lit(20.0).alias("start"), F.lit(32.0).alias("apex"), F.lit(44.0).alias("end"), F.lit(True).alias("manual")))
+    found = clusters.mode_frames(views.embeddings(spark, sf_dir).withColumn("peaks", peak), ("valley",))
+    rows = found.select("trace_id", "area", F.inline(F.arrays_zip("x", "upper", "lower")))
+    return rows.select("trace_id", "x", r("upper").alias("upper"), r("lower").alias("lower"), r("area", 5).alias("area"))
+
+
 @query(READ_BACK.replace("FORMAT", "json"))
 def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _texts(spark, sf_dir, "[%.4f, %.4f],", "[", "")
