@@ -418,6 +418,20 @@ def test_draws_equal_a_twin_in_plain_python(spark):
         assert all(r.s == twin(str(r.id), tree) for r in got)
 
 
+def test_growth_moves_rows_only_into_the_new_shard(spark):
+    ids = frame(spark, [(i, None) for i in range(3000)])
+    for shards in (1, 2, 3, 5, 9, 13, 15, 16, 17, 23, 40):
+        got = sharding.shard_rows(ids, shards).collect()
+        assert {r.shard for r in got} <= set(range(shards)) and len({r.shard for r in got}) == shards
+        assert all(r.grown_shard in (r.shard, shards) for r in got) and any(r.grown_shard == shards for r in got)
+    nine = {r.doc_id: r for r in sharding.shard_rows(ids, 9).collect()}
+    for later in (10, 11):  # the tree goes on as it began
+        now = {r.doc_id: r for r in sharding.shard_rows(ids, later, base=9).collect()}
+        assert all(now[i].shard == (nine[i].grown_shard if later == 10 else now[i].shard) and now[i].grown_shard in (now[i].shard, later) for i in now)
+    with pytest.raises(ValueError):
+        sharding.shard_rows(ids, 8, base=9)
+
+
 def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
     ids = spark.range(20000)
     tree = sharding.topology(16)
@@ -625,6 +639,10 @@ def test_pages_labelled_by_hand(chain, page, want):
 def test_pages_are_read_in_linear_time(tag):
     start = time.time()
     assert html_main.blocks("<article><p>x" + tag * 100_000)[0].text == "x"
+    began = time.process_time()
+    deep = "".join(f"<t{k} class=c{k}>" for k in range(100_000))
+    assert html_main.fit(html_main.labelled_pages(30), 20).main_text(f"<body><article>{deep}<p>one two") in ("one two", "")
+    assert time.process_time() - began < 8
     assert time.time() - start < 4
 
 

@@ -72,10 +72,15 @@ class Block:
     links: int
 
 
-def _attributes(tag: str, raw: str) -> set[str]:
+def _attributes(tag: str, raw: str, known: frozenset | None) -> set[str]:
+    """The features of an element; only those ``known``, if that is given."""
     out = {f"tag:{tag}"}
-    if not raw or "=" not in raw and "hidden" not in raw:
-        return out
+    if raw and ("=" in raw or "hidden" in raw):
+        _named(raw, out)
+    return out if known is None else out & known
+
+
+def _named(raw: str, out: set[str]) -> None:
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -86,7 +91,6 @@ def _attributes(tag: str, raw: str) -> set[str]:
             out.add(f"role:{value.lower()}")
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             out.add("hidden")
-    return out
 
 
 class _Open:
@@ -107,7 +111,8 @@ class _Open:
         if tag not in INLINE:
             block = len(self.stack)
         self.at.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, above | own if tag not in INLINE or len(own) > 1 else above, block, link))
+        more = (tag not in INLINE or len(own) > 1) and not own <= above
+        self.stack.append((tag, above | own if more else above, block, link))
         self._count(tag, link, 1)
 
     def close(self, place: int) -> None:
@@ -123,9 +128,10 @@ class _Open:
         self.links += n * link
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, known: frozenset | None = None) -> list[Block]:
     """Leaf blocks in page order. Character references are decoded, white space is one blank, empty blocks are left out.
-    Time grows with the page's length, however deep its elements lie or many of its end tags match nothing."""
+    With the features that a model knows (``known``), the others aren't gathered from ancestors, and time grows with the page's length,
+    however deep its elements lie, many of their tags differ or many of its end tags match nothing."""
     found: list[Block] = []
     parts: list[str] = []
     now = _Open()
@@ -176,7 +182,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
             at = end.start() if end else size
-        now.push(tag, _attributes(tag, attrs), tag == "a" and "href" in attrs)
+        now.push(tag, _attributes(tag, attrs, known), tag == "a" and "href" in attrs)
     flush()
     return found
 
@@ -213,6 +219,7 @@ class Chain:
 
     def __post_init__(self):
         self._above: dict[frozenset, float] = {}
+        self._known = frozenset(self.weights) | {"tag:a"}  # which features() asks for
 
     def label(self, found: list[Block]) -> list[bool]:
         """The most probable labels, by Viterbi."""
@@ -241,7 +248,7 @@ class Chain:
         return labels[::-1]
 
     def main_text(self, page: str) -> str:
-        found = blocks(page)
+        found = blocks(page, self._known)
         return "\n".join(b.text for b, keep in zip(found, self.label(found)) if keep)
 
 

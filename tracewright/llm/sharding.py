@@ -2,8 +2,8 @@
 
 A topology is a tree of regions, racks and weighted shards. A row descends it: at each level every child draws
 -ln(u) / weight, u a hash of the row's key and the child's name, and the smallest draw wins. A change of weights moves
-rows only into or out of the subtrees whose weights change. A new shard enters as a region of its own, so nothing but
-rows bound for it moves.
+rows only into or out of the subtrees whose weights change. A shard added to a tree enters as a region of its own, so
+nothing but rows bound for it moves, however many shards the tree began with.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ Topology = dict[str, dict[str, dict[int, float]]]
 
 
 def topology(shards: int, base: int = 16, racks: int = 4, rack_size: int = 4) -> Topology:
-    """The standard tree: up to ``base`` shards in racks of ``rack_size``, ``racks`` // 2 racks a region; each later
-    shard is a region of its own, so that growth by one shard moves rows only into it."""
+    """The standard tree: the ``base`` shards that it began with in racks of ``rack_size``, ``racks`` // 2 racks a region; each
+    later shard is a region of its own. With the same ``base``, and at least so many shards, growth by one shard moves rows
+    only into it."""
     tree: Topology = {}
     for shard in range(shards):
         rack = shard // rack_size
@@ -58,15 +59,21 @@ def place(key: Column, tree: Topology) -> Column:
     return descend(tree, "")
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """Each row's shard and its slot there: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the text's UTF-8 bytes plus 1 (null: 1), text_crc32 that of the text (null: empty). Only the id decides,
-    so rows with equal ids share a shard; a null id is one more id. Slots count from 0 without gaps in every shard;
+    so rows with equal ids share a shard; a null id is one more id. ``base`` is the number of shards that the tree began
+    with (16, or ``shards`` if that is less), and must stay the same as shards are added; ValueError if it is above
+    ``shards``. Slots count from 0 without gaps in every shard;
     they are numbered in chunks (input partition by shard), whose starts are running sums of their sizes, so that no
-    task holds a whole shard. Other columns are not read. An empty table gives an empty result.
+    task holds a whole shard: which slots rows of one shard get depends on the input's partitions, and among rows with equal ids
+    on their order there. Other columns are not read. An empty table gives an empty result.
     """
-    tree, grown = topology(shards), topology(shards + 1)
+    base = min(shards, 16) if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError("a tree begins with 1 shard at least and at most as many as it has")
+    tree, grown = topology(shards, base), topology(shards + 1, base)
     key = F.col(id_col).cast("string")
     rows = settled(
         docs.select(
