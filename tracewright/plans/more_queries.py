@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clusters, edits, fitting, frames, image, integration, kernels, matching, metrics, peaks, reports, tables
+from ..operators import clusters, edits, fitting, frames, gradient, image, integration, kernels, matching, metrics, peaks, reports, tables
 from ..operators import signal as S
 from ..sources import binary, exports, formats, lines, projects, sections
 from . import analysis, views
@@ -642,6 +642,49 @@ def exported_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.peak_rows(m, {"x": "min", "y": "mAU", "conc": "mg/L"})
 
 
+RESULT_SQL = {
+    "schema_version": "2", "trace_id": "l_orderkey", "trace_name": "'order ' || l_orderkey", "peak_no": "l_linenumber", "peak_id": "l_orderkey || '-' || l_linenumber", "label": "l_linestatus", "manual": "l_linenumber = 1", "shoulder": "l_discount = 0",
+    "mode": "'drop'", "requested_mode": "'valley'", "cluster": "cluster", "cluster_size": "count(*) OVER (PARTITION BY l_orderkey, cluster)", "host": "nullif(l_linenumber - 1, 0)", "start": "round(rt - 1, 6)", "apex": "round(rt, 6)", "end": "round(rt + 1, 6)",
+    "rt": "round(rt, 6)", "height": "l_quantity", "area": "l_extendedprice", "gross_area": "round(l_extendedprice + 10 * l_tax, 6)", "baseline_area": "round(10 * l_tax, 6)", "fwhm": "round(1 + l_discount, 6)", "w10": "round(1.8 * (1 + l_discount), 6)", "w5": "round(2 * (1 + l_discount), 6)",
+    "tailing": "1.5", "asymmetry": "1.25", "plates": "round(5.54 * pow(rt / (1 + l_discount), 2), 4)", "plates_usp": "round(16 * pow(rt / (2 * (1 + l_discount)), 2), 4)", "k": "round((rt - 0.5) / 0.5, 6)", "sn": "round(2 * l_quantity / 0.5, 6)",
+    "area_pct": "round(100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 6)", "resolution": "round(1.18 * (rt - lag(rt) OVER w) / (1 + l_discount + lag(1 + l_discount) OVER w), 6) + 0.0",
+    "elution_b": "round(b, 6) + 0.0", "elution_conc": "round(5 * b, 6) + 0.0", "analyte": "l_returnflag", "conc": "round(conc, 4) + 0.0", "conc_lo": "round(conc - t * se, 4) + 0.0", "conc_hi": "round(conc + t * se, 4) + 0.0",
+    "conc_flags": "concat_ws(';', CASE WHEN conc < x_min OR conc > x_max THEN 'extrapolated' END, CASE WHEN conc < 3.3 * s / abs(b1) THEN 'below_LOD' WHEN conc < 10 * s / abs(b1) THEN 'below_LOQ' END)", "flags": "''",
+}
+
+
+@query(f"""WITH p AS (SELECT *, 50 * l_quantity + l_extendedprice / 1000 AS v, l_quantity + l_linenumber / 10.0 AS rt, greatest(l_quantity + l_linenumber / 10.0 - 3, 0) AS g FROM lineitem),
+f AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mx, regr_sxx(v, l_quantity) AS sxx, regr_slope(v, l_quantity) AS b1, regr_intercept(v, l_quantity) AS b0, min(l_quantity) AS x_min, max(l_quantity) AS x_max FROM p GROUP BY l_returnflag),
+e AS (SELECT f.l_returnflag, sqrt(sum(pow(v - b0 - b1 * l_quantity, 2)) / (max(n) - 2)) AS s FROM p JOIN f USING (l_returnflag) GROUP BY f.l_returnflag),
+q AS (SELECT p.*, f.* EXCLUDE (l_returnflag), s, (v - b0) / b1 AS conc, CASE WHEN g < 30 THEN 5 + 3 * g WHEN g < 60 THEN 95 - 3 * (g - 30) ELSE 5 END AS b,
+  1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4.0 * (n - 2)) + (5 * pow(1.959963984540054, 5) + 16 * pow(1.959963984540054, 3) + 3 * 1.959963984540054) / (96 * pow(n - 2, 2)) AS t FROM p JOIN f USING (l_returnflag) JOIN e USING (l_returnflag)),
+r AS (SELECT *, s * sqrt(1 + 1.0 / n + pow(conc - mx, 2) / sxx) / abs(b1) AS se, max(rt + 1) OVER (PARTITION BY l_orderkey ORDER BY rt - 1, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
+c AS (SELECT *, sum(CASE WHEN reach IS NULL OR rt - 1 - reach > 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY rt - 1, l_linenumber) AS cluster FROM r)
+SELECT {_sql_columns(exports.PEAK_COLUMNS, RESULT_SQL)} FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY rt, l_linenumber, 1 + l_discount, l_extendedprice)""")
+def exported_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak rows with every column of the export filled: clusters, figures, elution, and concentrations with intervals and flags from the
+    calibration of each line's return flag. Line items stand for peaks."""
+    t = views.table(spark, sf_dir, "lineitem")
+    rt, wide = F.col("l_quantity") + F.col("l_linenumber") / 10.0, 1 + F.col("l_discount")
+    same = {"trace_id": "l_orderkey", "peak_no": "l_linenumber", "label": "l_linestatus", "height": "l_quantity", "area": "l_extendedprice", "analyte": "l_returnflag"}
+    peaks_ = t.select(
+        *[F.col(c).alias(n) for n, c in same.items()], F.concat(F.lit("order "), "l_orderkey").alias("trace_name"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("peak_id"), (F.col("l_linenumber") == 1).alias("manual"),
+        (F.col("l_discount") == 0).alias("shoulder"), F.lit("drop").alias("mode"), F.lit("valley").alias("requested_mode"), F.nullif(F.col("l_linenumber") - 1, F.lit(0)).alias("host"), (rt - 1).alias("start"), rt.alias("apex"), (rt + 1).alias("end"), rt.alias("rt"),
+        (F.col("l_extendedprice") + 10 * F.col("l_tax")).alias("gross_area"), (10 * F.col("l_tax")).alias("baseline_area"), wide.alias("fwhm"), (1.8 * wide).alias("w10"), (2 * wide).alias("w5"), F.lit(1.5).alias("tailing"), F.lit(1.25).alias("asymmetry"),
+        (5.54 * F.pow(rt / wide, 2)).alias("plates"), (16 * F.pow(rt / (2 * wide), 2)).alias("plates_usp"), ((rt - 0.5) / 0.5).alias("k"), (2 * F.col("l_quantity") / 0.5).alias("sn"),
+    )
+    p = metrics.peak_list_metrics(integration.touching_clusters(peaks_, F.lit(0.25)))
+    p = p.withColumn("cluster_size", F.count("*").over(Window.partitionBy("trace_id", "cluster")))
+    b = gradient.b_at_elution([(0.0, 5.0), (30.0, 95.0), (60.0, 5.0)], F.col("rt"), 1.0, 2.0)
+    p = p.withColumns({"elution_b": b, "elution_conc": gradient.concentration(b, 0.0, 500.0)})
+    points = t.select(F.col("l_returnflag").alias("analyte"), F.col("l_quantity").alias("x"), (50 * F.col("l_quantity") + F.col("l_extendedprice") / 1000).alias("y"), F.lit(True).alias("include"))
+    fits = frames.facts(calibration.fit(points, "analyte"))
+    p = calibration.inverse(p.join(fits, "analyte"), 50 * F.col("height") + F.col("area") / 1000)
+    p = p.withColumn("ci", fitting.confidence(F.col("conc"), F.col("conc_se"), F.col("n") - 2)).withColumns({"conc_lo": F.col("ci.low"), "conc_hi": F.col("ci.high")})
+    rounded = {c: r(c, 4 if c.startswith(("conc", "plates")) else 6) for c in ("start", "apex", "end", "rt", "gross_area", "baseline_area", "fwhm", "w10", "w5", "plates", "plates_usp", "k", "sn", "area_pct", "resolution", "elution_b", "elution_conc", "conc", "conc_lo", "conc_hi")}
+    return exports.peak_rows(p.withColumns(rounded), {"x": "min", "y": "mAU", "conc": "mg/L"})
+
+
 TRACE_SQL = {
     "schema_version": "2", "trace_id": "trace_id", "trace_name": "'trace ' || trace_id", "role": "'signal'", "digitized": "false", "x_unit": "'min'", "n_points": "n", "x_min": "0", "x_max": "n - 1", "y_min": "round(lo, 6) + 0.0", "y_max": "round(hi, 6) + 0.0",
     "noise": "round(CASE WHEN s > 0 THEN s ELSE rms END, 6)", "p2p": "round(6 * CASE WHEN s > 0 THEN s ELSE rms END, 5)", "n_peaks": "coalesce(k, 0)", "total_area": "round(total, 4)", "largest_rt": "rt", "largest_area_pct": "round(pct, 6)",
