@@ -642,6 +642,74 @@ def exported_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.peak_rows(m, {"x": "min", "y": "mAU", "conc": "mg/L"})
 
 
+@query(f"""WITH {EMB} SELECT trace_id, CAST(arg_min(i, struct_pack(y := y, i := i)) FILTER (WHERE i BETWEEN 17 AND 23) AS DOUBLE) AS start, CAST(arg_min(i, struct_pack(y := y, i := i)) FILTER (WHERE i BETWEEN 37 AND 43) AS DOUBLE) AS "end" FROM e GROUP BY trace_id""")
+def refined_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of one window on every trace, each moved to the lowest sample nearby."""
+    found = peaks.refined_bounds(F.col("x"), F.col("y"), F.lit(20.0), F.lit(40.0))
+    return views.embeddings(spark, sf_dir).select("trace_id", F.inline(F.array(found)))
+
+
+@query(f"""WITH {EMB} SELECT trace_id, round(median(y), 6) + 0.0 AS middle FROM e GROUP BY trace_id""")
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.embeddings(spark, sf_dir).select("trace_id", r(S.median(F.col("y"))).alias("middle"))
+
+
+@query(f"""WITH {EMB}, g AS (SELECT *, greatest(i - 2, 0) AS t FROM e WHERE i = trace_id % 64)
+SELECT trace_id, CAST(i AS DOUBLE) AS x, round(y, 6) + 0.0 AS y, CAST(CASE WHEN t < 20 THEN 5 + 4.5 * t WHEN t < 40 THEN 95 - 4.5 * (t - 20) ELSE 5 END AS DOUBLE) AS b FROM g""")
+def cursor_read_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cursor reads out at a place of each trace, with the solvent program's %B there."""
+    at = (F.col("trace_id") % 64).cast("double") + 0.3
+    found = gradient.read_out(F.col("x"), F.col("y"), at, [(0.0, 5.0), (20.0, 95.0), (40.0, 5.0)], 2.0)
+    return views.embeddings(spark, sf_dir).select("trace_id", F.inline(F.array(found))).select("trace_id", "x", r("y").alias("y"), r("b").alias("b"))
+
+
+@query("""SELECT c_custkey || ',"' || replace(c_name || ', "' || c_nationkey || '"', '"', '""') || '",' || coalesce(CAST(CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS VARCHAR), '') || ',' || c_nationkey AS line FROM customer""")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of CSV: quoted texts, numbers, missing values."""
+    c = views.table(spark, sf_dir, "customer")
+    said = F.concat("c_name", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"'))
+    return exports.csv_lines(c.select("c_custkey", said.alias("said"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal").cast("double")).alias("y"), "c_nationkey"), ["c_custkey"])
+
+
+@query("""SELECT c_custkey AS trace_id, CASE WHEN c_nationkey % 3 = 0 THEN 'min' ELSE 'ml' END AS x_unit FROM customer WHERE (c_custkey % 4 <> 1) AND c_nationkey % 3 = 0 AND c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM orders)""")
+def scoped_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of customers as traces those that an export is about: visible (every fourth isn't, every fourth doesn't say), signals in minutes, with orders."""
+    k = F.col("c_custkey")
+    t = views.table(spark, sf_dir, "customer").select(
+        k.alias("trace_id"), F.when(k % 4 == 0, F.lit(None).cast("boolean")).otherwise(k % 4 != 1).alias("visible"), F.when(F.col("c_acctbal") < 0, "pressure").when(k % 2 == 0, "signal").alias("role"), F.when(F.col("c_nationkey") % 3 == 0, "min").otherwise("ml").alias("x_unit"),
+    )
+    ids = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"))
+    return tables.visible_signals(exports.in_scope(t, "visible", ids=ids), "min").select("trace_id", "x_unit")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice AS v, pow(10, floor(log10(o_totalprice)) - 3) AS u FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 999950)
+SELECT o_orderkey, CAST(CAST(floor(v / u + 0.5) * u AS BIGINT) AS VARCHAR) AS shown FROM s""")
+def displayed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as a table shows them, with four significant digits."""
+    t = views.table(spark, sf_dir, "orders").filter("o_totalprice >= 1000 and o_totalprice < 999950")
+    return t.select("o_orderkey", scalars.formatted(F.col("o_totalprice").cast("double")).alias("shown"))
+
+
+@query("""WITH c AS (SELECT * FROM customer), f AS (
+  SELECT 'error' AS kind, 'x and y differ in length' AS what FROM c WHERE c_nationkey % 2 = 1 UNION ALL SELECT 'error', 'bounds of a peak are out of order' FROM c WHERE c_acctbal < 0
+  UNION ALL SELECT 'warning', 'version 3 is newer than 2' FROM c WHERE c_custkey % 10 = 0 UNION ALL SELECT 'warning', 'x is not ascending' FROM c WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'trace', 'valley' FROM c WHERE c_nationkey % 2 = 0 AND c_acctbal >= 0 AND c_custkey % 10 = 1 UNION ALL SELECT 'trace', 'none' FROM c WHERE c_nationkey % 2 = 0 AND c_acctbal >= 0 AND c_custkey % 10 <> 1)
+SELECT kind, what, count(*) AS n FROM f GROUP BY kind, what""")
+def checked_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of customers checked, migrated and read: what is wrong with them, and the modes of the peaks that are read."""
+    c, k = views.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    peak = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("apex"), F.when(F.col("c_acctbal") < 0, 0.5).otherwise(2.0).alias("end"))
+    x = F.when(k % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    y = F.when(F.col("c_nationkey") % 2 == 1, F.array("c_acctbal")).otherwise(F.array("c_acctbal", "c_acctbal"))
+    version = F.when(k % 10 == 0, 3).when(k % 10 == 1, 1).otherwise(2)  # of version 1, peaks have no mode yet
+    text = F.to_json(F.struct(version.alias("version"), F.array(F.struct(k.alias("id"), x.alias("x"), y.alias("y"), F.array(peak).alias("peaks"))).alias("traces")))
+    read = frames.settled(projects.read_projects(c.select(k.cast("string").alias("path"), text.alias("content"))))
+    bare = lambda what: F.regexp_replace(what, r"^trace \S+: ", "")
+    listed = [read.select(F.lit(kind).alias("kind"), F.explode(F.transform(column, bare)).alias("what")) for kind, column in (("error", "errors"), ("warning", "warnings"))]
+    modes = read.filter("trace_id is not null").select(F.lit("trace").alias("kind"), F.coalesce(F.get("peaks", F.lit(0))["mode"], F.lit("none")).alias("what"))
+    return listed[0].unionByName(listed[1]).unionByName(modes).groupBy("kind", "what").agg(F.count("*").alias("n"))
+
+
 RESULT_SQL = {
     "schema_version": "2", "trace_id": "l_orderkey", "trace_name": "'order ' || l_orderkey", "peak_no": "l_linenumber", "peak_id": "l_orderkey || '-' || l_linenumber", "label": "l_linestatus", "manual": "l_linenumber = 1", "shoulder": "l_discount = 0",
     "mode": "'drop'", "requested_mode": "'valley'", "cluster": "cluster", "cluster_size": "count(*) OVER (PARTITION BY l_orderkey, cluster)", "host": "nullif(l_linenumber - 1, 0)", "start": "round(rt - 1, 6)", "apex": "round(rt, 6)", "end": "round(rt + 1, 6)",
