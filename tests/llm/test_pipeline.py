@@ -28,7 +28,7 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
