@@ -77,15 +77,13 @@ class WordEncoder:
         """Makes sure that ``young`` has all ``words``."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {b"": b""}, self.young
-        missing, young, old = [], self.young, self.old
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing.append(w)
+        young, old = self.young, self.old
+        unknown = words.difference(young)
+        again = {w for w in unknown if w in old}
+        young.update((w, old[w]) for w in again)
+        missing = unknown - again
         # a letter and one full stop or comma at the end of a word are parted by the tokenizer anyway
-        cut = {w: (w[:-1], w[-1:]) for w in missing if w[-1:] in b".," and w[-2:-1].isalpha() and b"<|" not in w}
+        cut = {w: (w[:-1], w[-1:]) for w in missing if w.endswith((b".", b",")) and w[-2:-1].isalpha() and b"<|" not in w}
         parts = {p for pair in cut.values() for p in pair}
         parts.update(w for w in missing if w not in cut)
         got = self._learn([p for p in parts if p not in young])
@@ -115,10 +113,10 @@ class WordEncoder:
         yield from self._flush(parts)
 
     def _flush(self, parts: list[list[bytes]]) -> Iterator[bytes]:
-        self.prepare({w for words in parts for w in words})
-        ids = self.young
+        self.prepare(set().union(*parts))
+        ids = self.young.__getitem__
         for words in parts:
-            yield b"".join([ids[w] for w in words])
+            yield b"".join(map(ids, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = HELD.setdefault("packing", {})
