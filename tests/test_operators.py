@@ -1,5 +1,6 @@
 """Relational operators on small tables with nulls, ties and empty inputs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,20 @@ def test_drop_conserves_the_cluster(spark):
     area = lambda a, b: integration.drop_area(F.col("x"), F.col("y"), F.lit(a), F.lit(b), F.lit(1.0), F.lit(9.0))
     a, b, whole, hull = df.select(area(1.0, 5.1), area(5.1, 9.0), area(1.0, 9.0), integration.hull_area(F.col("x"), F.col("y"), F.lit(1.0), F.lit(9.0), F.lit(1.0), F.lit(9.0))).first()
     assert a + b == pytest.approx(whole, abs=1e-9) and hull >= whole - 1e-9
+
+
+def test_analytes_that_share_a_place_are_matched_once(spark, monkeypatch):
+    sides, join = [], matching.band_join
+    monkeypatch.setattr(matching, "band_join", lambda a, b, *rest: sides.append(b) or join(a, b, *rest))
+    rng = np.random.default_rng(3)
+    peaks = [(t, n, float(v)) for t in range(7) for n, v in enumerate(np.round(rng.uniform(0, 4, 30), 2))]
+    analytes = [(k, float(v)) for k, v in enumerate(np.round(rng.uniform(0, 4, 20), 1).repeat(60))] + [(3, 2.5), (3, 0.5), (None, 1.5), (99, None)]
+    df = spark.createDataFrame(peaks, "trace_id int, peak_no int, rt double")
+    got = matching.match_analytes(df, spark.createDataFrame(analytes, "analyte int, expected_rt double"), 0.05)
+    best = {}
+    for t, n, v in peaks:
+        for a, e in analytes:
+            if e is not None and abs(v - e) <= 0.05:
+                best[t, a] = min(best.get((t, a), ((9.0, 0.0, 0), 0)), ((abs(v - e), v, n), e))
+    assert sides[0].count() <= 41 and sides[1].count() <= 3 + 60  # places, not analytes; pairs only for the analyte with several
+    assert {(r.trace_id, r.analyte): (r.rt, r.peak_no, r.expected_rt) for r in got.collect()} == {k: (v[0][1], v[0][2], v[1]) for k, v in best.items()}
