@@ -112,3 +112,18 @@ def test_analytes_that_share_a_place_are_matched_once(spark, monkeypatch):
                 best[t, a] = min(best.get((t, a), ((9.0, 0.0, 0), 0)), ((abs(v - e), v, n), e))
     assert sides[0].count() <= 41 and sides[1].count() <= 3 + 60  # places, not analytes; pairs only for the analyte with several
     assert {(r.trace_id, r.analyte): (r.rt, r.peak_no, r.expected_rt) for r in got.collect()} == {k: (v[0][1], v[0][2], v[1]) for k, v in best.items()}
+
+
+def test_labels_of_peaks_among_many_equal_places(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LIST", 3)
+    monkeypatch.setattr(matching, "band_join", None)  # no pairs of peaks and labels are made
+    rng = np.random.default_rng(4)
+    groups = [(int(k), float(v)) for k, v in enumerate(np.round(rng.uniform(0, 3, 200), 3))] + [(0, 2.0)]
+    labels = [(int(k), float(v)) for k, v in enumerate(np.round(rng.uniform(0, 3, 3000), 3))] + [(-5, 1.0), (-6, 1.0), (7, None)]
+    got = matching.group_labels(spark.createDataFrame(groups, "key int, rt double"), spark.createDataFrame(labels, "label int, at double"), 0.02)
+    want = {}
+    for key, rt in groups:
+        near = [(abs(rt - at), at, label) for label, at in labels if at is not None and abs(rt - at) <= 0.01]
+        if near:
+            want[key] = min([*near, *([want[key]] if key in want else [])])
+    assert {r.key: r.label for r in got.collect()} == {k: v[2] for k, v in want.items()}
