@@ -115,3 +115,21 @@ def test_links_of_both_codecs():
     for bad in ("p=", "p=????", "p=Q", "x", "p=" + "A" * 500, "#p=" + lz.compress("[" * 5000)):
         with pytest.raises(ValueError):
             projects.unpack_link(bad)
+
+
+def test_rows_of_many_projects_leave_in_few_batches():
+    import pyarrow as pa
+
+    text = '{"version": 2, "traces": [{"id": 1, "x": [0, 1], "y": [2, 3]}]}'
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(1000)]), pa.array([text] * 999 + ["nothing"])], names=["path", "content"])
+    (made,) = projects.project_batches(iter([batch]))
+    assert made.num_rows == 1000 and made.column("path").to_pylist() == [str(k) for k in range(1000)]
+    assert made.column("errors").to_pylist()[998:] == [[], ["not a project: Expecting value: line 1 column 1 (char 0)"]]
+
+
+def test_links_are_packed_once_and_on_all_cores(spark):
+    from tracewright.plans import more_queries
+
+    links = more_queries.links_opened(spark, "/root/testdata/sf0.001")
+    assert links.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert links._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [packed(") == 1

@@ -215,7 +215,7 @@ f AS (SELECT 'traces[0].name' AS field, 'shortened from ' || n || ' to 12 charac
 SELECT field, what, count(*) AS n FROM f GROUP BY field, what""")
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with documents made of customers, counted by field and kind."""
-    c = views.table(spark, sf_dir, "customer")
+    c = views.dealt(views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"))
     peak = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("apex"), F.when(F.col("c_acctbal") < 0, 0.5).otherwise(2.0).alias("end"))
     proc = F.struct((F.col("c_custkey") % 1500).alias("window"))
     trace = F.struct(F.col("c_name").alias("name"), F.array(F.lit(0.0), F.lit(1.0)).alias("x"), F.array(F.lit("none"), F.lit(None)).alias("y"), F.array(peak).alias("peaks"), proc.alias("proc"))
@@ -228,14 +228,15 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, c_name AS name, round(c_acctbal, 2) + 0.0 AS y FROM customer""")
 def links_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of customers packed into share links and opened again."""
-    c = views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("y"))
+    c = views.dealt(views.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("y")))
 
     @F.arrow_udf("string")
     def packed(name: pa.Array, y: pa.Array) -> pa.Array:
         made = ({"version": 2, "traces": [{"id": n, "name": n, "x": [0], "y": [v]}]} for n, v in zip(name.to_pylist(), y.to_pylist()))
         return pa.array(["https://host/#" + projects.pack_link(m, "lz") for m in made], pa.string())
 
-    traces, _ = projects.import_texts(c.select(F.col("c_custkey").cast("string").alias("path"), packed("c_name", "y").alias("content")))
+    made = packed.asNondeterministic()("c_name", "y")  # once a row: the kind of a text is looked up in it before it is opened
+    traces, _ = projects.import_texts(c.select(F.col("c_custkey").cast("string").alias("path"), made.alias("content")))
     return traces.select(F.col("path").cast("long").alias("c_custkey"), "name", r(F.get("y", F.lit(0)), 2).alias("y"))
 
 
@@ -697,7 +698,7 @@ def displayed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, what, count(*) AS n FROM f GROUP BY kind, what""")
 def checked_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of customers checked, migrated and read: what is wrong with them, and the modes of the peaks that are read."""
-    c, k = views.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = views.dealt(views.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")), F.col("c_custkey")
     peak = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("apex"), F.when(F.col("c_acctbal") < 0, 0.5).otherwise(2.0).alias("end"))
     x = F.when(k % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
     y = F.when(F.col("c_nationkey") % 2 == 1, F.array("c_acctbal")).otherwise(F.array("c_acctbal", "c_acctbal"))
