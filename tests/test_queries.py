@@ -53,6 +53,11 @@ def test_read_back_images_are_close(spark):
     assert got.filter("coverage < 0.97").count() == 0
 
 
+def test_drawn_images_do_not_leave_their_task(spark):
+    plan = queries.QUERIES["digitized_curves"](spark, SF)._jdf.queryExecution().toString()
+    assert plan.count("binary") == 0 and "content" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -361,17 +362,16 @@ def digitized_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     heights of a pixel."""
     w, h, rgb = 320, 240, (31, 119, 180)
 
-    def draw(y):
+    def redrawn(x, y):  # an image a trace at a time, none of which leaves
         low, high = float(y.min()), float(y.max())
-        return image.draw(y, w, h, low, high, rgb).tobytes(), low, high
+        found = image.curve(image.draw(y, w, h, low, high, rgb), (0.0, (len(x) - 1) / (w - 1.0), high, (low - high) / (h - 1)), rgb)
+        return (low, high, None, None) if found is None else (low, high, found[2], np.interp(x, *found[:2]))
 
     t = views.embeddings(spark, sf_dir)
-    t = t.withColumn("d", kernels.struct({"content": "binary", "low": "double", "high": "double"}, draw, F.col("y"))).select("trace_id", "x", "y", "d.*")
-    axes = F.struct(F.lit(0.0).alias("x0"), ((F.size("x") - 1) / F.lit(w - 1.0)).alias("dx"), F.col("high").alias("y0"), ((F.col("low") - F.col("high")) / (h - 1)).alias("dy"))
-    t = t.withColumn("c", image.digitized(F.col("content"), F.lit(w), F.lit(h), axes, rgb))
-    t = t.withColumn("back", kernels.column("array<double>", lambda x, u, v: __import__("numpy").interp(x, u, v), F.col("x"), F.col("c.x"), F.col("c.y")))
+    fields = {"low": "double", "high": "double", "coverage": "double", "back": "array<double>"}
+    t = t.withColumn("c", kernels.struct(fields, redrawn, F.col("x"), F.col("y"))).select("trace_id", "y", "c.*")
     off = F.array_max(F.transform(F.arrays_zip("y", "back"), lambda s: F.abs(s["y"] - s["back"])))
-    return t.select("trace_id", r("c.coverage", 4).alias("coverage"), r(off / ((F.col("high") - F.col("low")) / (h - 1)), 2).alias("worst_pixels"))
+    return t.select("trace_id", r("coverage", 4).alias("coverage"), r(off / ((F.col("high") - F.col("low")) / (h - 1)), 2).alias("worst_pixels"))
 
 
 @query("""WITH p AS (SELECT l_suppkey AS trace_id, l_orderkey * 10 + l_linenumber AS peak_no, CAST(datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS s, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + l_quantity / 10 AS t FROM lineitem)
