@@ -127,3 +127,18 @@ def test_labels_of_peaks_among_many_equal_places(spark, monkeypatch):
         if near:
             want[key] = min([*near, *([want[key]] if key in want else [])])
     assert {r.key: r.label for r in got.collect()} == {k: v[2] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("weighting", ["none", "1/x"])
+def test_calibration_rows_of_few_analytes_are_not_shuffled_by_analyte(spark, monkeypatch, weighting):
+    monkeypatch.setattr(calibration.frames, "settled", lambda df: df)  # the plan in one piece
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = spark.range(100).selectExpr("'a' AS analyte", "double(id) AS x", "2.0 * id + id % 3 AS y", "true AS include")
+        c = calibration.fit(points, "analyte", "linear", weighting)
+        plan = c._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") <= 1  # of solved curves and their residuals, a row an analyte each
+        assert c.first().b1 == pytest.approx(2, abs=0.1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import frames
+
 MODELS = ("linear", "linear0", "quadratic")
 WEIGHTINGS = {"none": 0, "1/x": 1, "1/x2": 2}
 
@@ -19,11 +21,15 @@ def fit(points: DataFrame, by: str, model: str = "linear", weighting: str = "non
     good = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & F.coalesce(F.col("include"), F.lit(True))
     rows = points.filter(good).select(by, F.col("x").cast("double"), F.col("y").cast("double"))
     power = WEIGHTINGS[weighting]
-    low = rows.groupBy(by).agg(F.min(F.when(F.col("x") > 0, F.col("x"))).alias("low"))
-    rows = rows.join(low, by).withColumn("w", F.pow(F.when(F.col("x") > 0, F.col("x")).otherwise(F.coalesce("low", F.lit(1.0))), -float(power)))
+    lowest = F.min(F.when(F.col("x") > 0, F.col("x"))).alias("low")
+    if power:  # facts of groups go to the rows: rows of a few groups would all meet in few tasks
+        rows = rows.join(frames.facts(rows.groupBy(by).agg(lowest)), by).withColumn("w", F.pow(F.when(F.col("x") > 0, F.col("x")).otherwise(F.coalesce("low", F.lit(1.0))), -float(power)))
+        lowest = F.min("low").alias("low")
+    else:
+        rows = rows.filter(F.col(by).isNotNull()).withColumn("w", F.lit(1.0))
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     sums = rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.min("low").alias("low"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        F.count("*").alias("n"), lowest, F.min("x").alias("x_min"), F.max("x").alias("x_max"),
         *[F.sum(w * F.pow(x, float(k))).alias(f"s{k}") for k in range(5)], *[F.sum(w * y * F.pow(x, float(k))).alias(f"t{k}") for k in range(3)],
     )
     scale = F.col("n") / F.col("s0")
@@ -54,6 +60,7 @@ def fit(points: DataFrame, by: str, model: str = "linear", weighting: str = "non
         *[F.when(ok, entry(i, j)).otherwise(null).alias(f"i{i}{j}") for i in range(3) for j in range(i, 3)],
         (t[0] / s[0]).alias("mean"),
     )
+    solved = frames.facts(solved)
     line = F.col("b0") + F.col("b1") * x + F.col("b2") * x * x
     center = F.lit(0.0) if model == "linear0" else F.col("mean")
     spread = rows.join(solved, by).groupBy(by).agg(
