@@ -276,3 +276,14 @@ def test_tailing_fits_side_by_side():
     for (f,), (a, mu, s, tau) in zip(found, shapes):
         assert (f["mu"], f["sigma"], f["tau"]) == pytest.approx((mu, s, tau), rel=1e-2)
         assert f["area"] == pytest.approx(a * s * np.sqrt(2 * np.pi), rel=1e-3)
+
+
+def test_batches_are_taken_slice_by_slice():
+    import pyarrow as pa
+
+    sizes = []
+    rows = pa.array([[float(k)] * (k % 4) if k % 7 else None for k in range(3 * kernels.SLICE + 5)], pa.list_(pa.float64()))
+    f = lambda cols: sizes.append(len(cols[0])) or kernels.built([None if row is None else row[0] + 1 for row in kernels._rows(cols)], rows.type)
+    assert kernels.in_slices(f, (rows,)).to_pylist() == [None if v is None else [x + 1 for x in v] for v in rows.to_pylist()]
+    assert max(sizes) <= kernels.SLICE and sum(sizes) == len(rows)
+    assert kernels.in_slices(f, (rows[:0],)).to_pylist() == []

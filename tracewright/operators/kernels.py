@@ -65,12 +65,23 @@ def built(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array([clean(v) for v in values], kind)
 
 
+#: So many rows of an Arrow batch are Python objects at a time.
+SLICE = 500
+
+
+def in_slices(f: Callable[[tuple[pa.Array, ...]], pa.Array], cols: tuple[pa.Array, ...]) -> pa.Array:
+    """``f`` of a batch's columns, slice by slice, so what a batch takes beside its arrays doesn't grow with its rows."""
+    n = len(cols[0])
+    parts = [f(tuple(c.slice(k, SLICE) for c in cols)) for k in range(0, max(n, 1), SLICE)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
 def column(returns: str, f: Callable, *args: Column) -> Column:
     """``f`` of each row's values; any null argument gives null."""
     kind = to_arrow_type(T.DataType.fromDDL(returns))
 
     def run(*cols: pa.Array) -> pa.Array:
-        return built([None if row is None else f(*row) for row in _rows(cols)], kind)
+        return in_slices(lambda part: built([None if row is None else f(*row) for row in _rows(part)], kind), cols)
 
     return F.arrow_udf(run, returns)(*args)
 
@@ -94,7 +105,7 @@ def struct(fields: dict[str, str], f: Callable, *args: Column) -> Column:
 
     def run(*cols: pa.Array) -> pa.Array:
         nothing = (None,) * len(fields)
-        return built([nothing if row is None else f(*row) or nothing for row in _rows(cols)], kind)
+        return in_slices(lambda part: built([nothing if row is None else f(*row) or nothing for row in _rows(part)], kind), cols)
 
     return F.arrow_udf(run, f"struct<{inner}>")(*args)
 
