@@ -130,3 +130,13 @@ def test_sections_of_nothing(spark):
     none = as_lines(spark, {"a": ""}, 1)
     for read in (sections.chromeleon, sections.shimadzu, sections.arw, sections.jcamp, lambda t: sections.unicorn(t)[0], lambda t: sections.unicorn(t)[1]):
         assert read(none).count() == 0 and read(none.limit(0)).count() == 0
+
+
+def test_lines_that_differ_in_digits_only_are_read_once(spark):
+    from tracewright.sources import lines as L
+
+    text = [f"{k % 90 + 10},{k % 7 + 1};{k % 9 + 1},5" for k in range(500)] + ["made by hand"]
+    rows = spark.createDataFrame([("a", 0, k, t) for k, t in enumerate(text)], "path string, chunk long, at long, line string")
+    found = L.dialects(rows)
+    assert [tuple(r) for r in found.collect()] == [("a", ";", True)]
+    assert "translate(line" in found._jdf.queryExecution().optimizedPlan().toString()

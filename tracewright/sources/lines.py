@@ -62,16 +62,17 @@ def dialects(lines: DataFrame) -> DataFrame:
     most numbers, those before win ties.
 
     Whether a delimiter goes with a decimal comma is a vote of all its cells: 1,5 speaks for it, 1.5 and 1,234.5 against,
-    1,234 only if nothing else does. One aggregation, map-side first, so a file may have any number of lines."""
-    t = lines.select("path", "line")
-    t = t.select("path", *[_cells(F.col("line"), d).alias(f"c{k}") for k, d in enumerate(DELIMITERS)])
+    1,234 only if nothing else does. Which digits there are doesn't matter, so lines that differ in these only are read once
+    and counted. Aggregations, map-side first, so a file may have any number of lines."""
+    t = lines.select("path", F.translate("line", "123456789", "0" * 9).alias("line")).groupBy("path", "line").agg(F.count("*").alias("times"))
+    t = t.select("path", "times", *[_cells(F.col("line"), d).alias(f"c{k}") for k, d in enumerate(DELIMITERS)])
     n = lambda k, p: F.size(F.filter(f"c{k}", lambda c: c.rlike(p)))
-    each, sums = ["path"], []
+    each, sums = ["path", "times"], []
     for k in range(len(DELIMITERS)):
         each += [n(k, r"^[+-]?\d*,(\d{1,2}|\d{4,})([eE][+-]?\d+)?$").alias(f"yes{k}"), n(k, r"^[+-]?\d*\.\d+([eE][+-]?\d+)?$|^[+-]?\d{1,3}(,\d{3})+\.\d+$").alias(f"no{k}"), n(k, r"^[+-]?\d{1,3},\d{3}$").alias(f"unsure{k}")]
         each += [F.size(f"c{k}").alias(f"size{k}"), *[F.size(F.filter(_numbers(F.col(f"c{k}"), comma), lambda c: c.isNotNull())).alias(f"good{k}{int(comma)}") for comma in (False, True)]]
-        sums += [F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("yes", "no", "unsure")]
-        sums += [F.sum(F.when(_is_data(f"good{k}{comma}", f"size{k}"), F.col(f"good{k}{comma}")).otherwise(0)).alias(f"n{k}{comma}") for comma in (0, 1)]
+        sums += [F.sum(F.col("times") * F.col(f"{c}{k}")).alias(f"{c}{k}") for c in ("yes", "no", "unsure")]
+        sums += [F.sum(F.when(_is_data(f"good{k}{comma}", f"size{k}"), F.col("times") * F.col(f"good{k}{comma}")).otherwise(0)).alias(f"n{k}{comma}") for comma in (0, 1)]
     votes = t.select(*each).groupBy("path").agg(*sums)
     choices = []
     for k, d in enumerate(DELIMITERS):
