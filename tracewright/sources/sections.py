@@ -71,7 +71,9 @@ def arw(lines: DataFrame) -> DataFrame:
     """Samples (path, column, name, x, y) below a head of quoted names and values; name is what it calls the channel, else the sample."""
     rows = _bare(lines)
     found = L.samples(rows.filter(~F.col("line").startswith('"')))
-    after = tables.last_before(rows.filter(F.trim("line") != ""), ["path"], F.col("line"), "above")
+    quoted = rows.filter(F.col("line").startswith('"')).groupBy("path").agg(F.min(F.struct("chunk", "at")).alias("first"), F.max(F.struct("chunk", "at")).alias("last"))
+    head = rows.filter(F.trim("line") != "").join(frames.facts(quoted), "path").filter(F.struct("chunk", "at").between(F.col("first"), F.col("last")))
+    after = tables.last_before(head.drop("first", "last"), ["path"], F.col("line"), "above")  # the lines of the table aren't put in order
     pair = after.filter(F.col("line").startswith('"') & F.col("above").startswith('"'))
     pair = pair.select("path", "chunk", "at", F.inline(F.arrays_zip(_cells(F.col("above")).alias("key"), _cells(F.col("line")).alias("value"))))
     first = lambda name: F.min_by("value", F.when((F.col("key") == name) & F.col("value").isNotNull(), F.struct("chunk", "at")))
