@@ -56,7 +56,7 @@ def shimadzu(lines: DataFrame) -> DataFrame:
     rows = in_sections(_bare(lines), F.when(title != "", title))
     lower = F.lower("section.name")
     rows = rows.filter(F.col("section").isNotNull() & (lower.startswith("lc chromatogram") | lower.contains("chromatogram(")) & (title == ""))
-    rows = rows.withColumn("path", F.struct("path", "section"))
+    rows = frames.settled(rows.withColumn("path", F.struct("path", "section")))  # read for the facts, dialects and samples
     key, value = F.regexp_extract("line", r"^([^\t,]+)[\t,]", 1), F.trim(F.regexp_extract("line", r"^[^\t,]+[\t,](.*)$", 1))
     first = lambda found, what: F.min_by(what, F.when(found, F.struct("chunk", "at")))
     scale = F.lower(key).contains("multiplier") & value.try_cast("double").isNotNull()
