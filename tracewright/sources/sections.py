@@ -37,7 +37,7 @@ def chromeleon(lines: DataFrame) -> DataFrame:
     """Samples (path, column, name, x, y, y_unit) of the table after the line "Chromatogram Data:". Its first line is the header;
     columns of step widths are left out. y_unit is what "Signal Unit" says."""
     marker = F.col("line").contains("Chromatogram Data:")
-    rows = in_sections(_bare(lines), F.when(marker, F.lit("data")))
+    rows = frames.settled(in_sections(_bare(lines), F.when(marker, F.lit("data"))))  # read for the head, units, dialects and samples
     body = rows.filter(F.col("section").isNotNull() & ~marker & (F.trim("line") != ""))
     head = body.groupBy("path").agg(F.min_by(F.split("line", "\t"), F.struct("chunk", "at")).alias("names"))
     step = F.exists("names", lambda n: F.lower(n).startswith("step"))
