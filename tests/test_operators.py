@@ -142,3 +142,10 @@ def test_calibration_rows_of_few_analytes_are_not_shuffled_by_analyte(spark, mon
         assert c.first().b1 == pytest.approx(2, abs=0.1)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_window_below_its_chord_has_its_apex_at_the_first_bound(spark):
+    x = np.arange(8.0)
+    df = spark.createDataFrame([("t", x.tolist(), ((x - 3) ** 2).tolist())], "trace_id string, x array<double>, y array<double>")
+    row = integration.window_on_all(df, 1.5, 5.25).first()
+    assert row.apex == 1.5 and row.area < 0

@@ -138,8 +138,9 @@ def clamp_bounds(start: Column, end: Column, low: Column, high: Column, step: Co
 
 
 def window_on_all(traces: DataFrame, start: float, end: float, offset: Column | None = None) -> DataFrame:
-    """One manual peak [start, end] (shifted back by each trace's offset) on every trace; apex is the highest sample
-    above its chord. Traces without a sample inside are left out."""
+    """One manual peak [start, end] (shifted back by each trace's offset) on every trace; apex is the highest node
+    above its chord, the first of those equally high (both bounds, where all between lies below it). Traces without a sample
+    inside are left out."""
     shift = F.lit(0.0) if offset is None else offset
     df = traces.withColumn("start", F.lit(start) - shift).withColumn("end", F.lit(end) - shift)
     df = df.filter(F.exists("x", lambda v: v.between(F.col("start"), F.col("end"))))
