@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.sources import binary, formats
+from tracewright.sources import binary, delimited, formats
 
 X = np.linspace(0.5, 12.5, 481)
 Y = np.sin(X) * 1e3 + np.arange(481) / 7
@@ -79,3 +79,32 @@ def test_source_refuses(spark, folder):
     for options, df in (({"format": "netcdf"}, rows), ({"format": "other"}, rows), ({}, rows.drop("x"))):
         with pytest.raises(Exception, match="folder|formats|lack"):
             df.write.format("tracefiles").options(**options).mode("append").save(f"{folder}/no")
+
+
+def test_many_small_files_are_many_tasks(spark, tmp_path):
+    for k in range(2500):
+        (tmp_path / f"{k}.xlsx").write_bytes(b"PK")
+    schema = spark.createDataFrame([], binary.SAMPLE).schema
+    parts = binary.TraceReader(schema, {"path": str(tmp_path), "rows": "samples"}).partitions()
+    assert sum(len(p.paths) for p in parts) == 2500 and len(parts) >= 3
+    assert max(len(p.paths) for p in parts) <= 1024
+
+
+def test_cells_of_a_workbook_are_read_once(monkeypatch):
+    data, read = binary.xlsx(X, Y), []
+    number = delimited.parse_number
+    monkeypatch.setattr(delimited, "parse_number", lambda *a: read.append(a) or number(*a))
+    (trace,) = formats.parse_file(data, "f.xlsx")["traces"]
+    assert trace["x"] == X.tolist() and trace["y"] == Y.tolist()
+    assert len(read) <= 2 * len(X) + 10
+
+
+@pytest.mark.parametrize("text, rows", [
+    ("a 1 2\tb\n1 2\t3 4\n5 6\t7 8\n", [[1, 2, 3, 4], [5, 6, 7, 8]]),
+    ("1\t2\n3 4\t5 6\n7 8\t9 1\n", [[1, 2], [3, 4, 5, 6], [7, 8, 9, 1]]),
+    ("1,5 2,5\n2,5 3,5\n", [[1.5, 2.5], [2.5, 3.5]]),
+    ('" 5 "\t1\n"6"\t2\n', [[5, 1], [6, 2]]),
+])
+def test_lines_that_fall_apart_otherwise_are_read_again(text, rows):
+    """Blanks as a delimiter still win where they give more numbers than tabs do."""
+    assert delimited.parse_table(text).rows == rows

@@ -35,8 +35,12 @@ from pyspark.sql.types import StructType
 from . import formats
 
 SAMPLE = "path string, trace_no int, name string, x double, y double, format string"
-#: Files of at most so many bytes in all share a partition.
-TASK_BYTES = 64 << 20
+#: Files of at most so many bytes in all share a partition, each counted as FILE_BYTES more: small files take as long as they are many,
+#: and packed text (XLSX) takes some seconds a MB.
+TASK_BYTES = 4 << 20
+FILE_BYTES = 4096
+#: A folder that would come to more partitions than this gets larger ones.
+MOST_TASKS = 20_000
 ROWS_A_BATCH = 65_536
 
 
@@ -169,16 +173,16 @@ class TraceReader(DataSourceReader):
         files, root = _filesystem(self.root)
         listed = files.get_file_info(fs.FileSelector(root, recursive=True)) if files.get_file_info(root).type == fs.FileType.Directory else [files.get_file_info(root)]
         found = sorted((i.path, i.size or 0) for i in listed if i.type == fs.FileType.File and not any(p[:1] in "._" for p in i.path.removeprefix(root).split("/") if p))
+        kept = [(path, size + FILE_BYTES) for path, size in found if all(meets(path, v) for meets, v in self.wanted)]
+        room = max(self.task_bytes, sum(size for _, size in kept) // MOST_TASKS)
         out: list[Files] = []
-        size = 0
-        for path, own in found:
-            if not all(meets(path, v) for meets, v in self.wanted):
-                continue
-            if not out or size + own > self.task_bytes:
+        taken = 0
+        for path, size in kept:
+            if not out or taken + size > room:
                 out.append(Files([]))
-                size = 0
+                taken = 0
             out[-1].paths.append(path)
-            size += own
+            taken += size
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
