@@ -114,6 +114,34 @@ def test_analytes_that_share_a_place_are_matched_once(spark, monkeypatch):
     assert {(r.trace_id, r.analyte): (r.rt, r.peak_no, r.expected_rt) for r in got.collect()} == {k: (v[0][1], v[0][2], v[1]) for k, v in best.items()}
 
 
+def test_analytes_are_handed_out_by_many_tasks_in_small_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(matching, "PAIRS_A_PART", 30_000)
+    monkeypatch.setattr(matching, "SMALL_ROWS", 0)
+    peaks = spark.range(60).select(F.col("id").alias("trace_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("peak_no")).withColumn("rt", F.col("peak_no") + 0.01)
+    analytes = spark.range(5 * 2400).select(F.col("id").alias("analyte"), (F.col("id") % 5).cast("double").alias("expected_rt"))
+    got = matching.match_analytes(peaks, analytes, 0.05)
+    got.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert len(files) > 12  # not as many as a join deals rows to: 4 here
+    assert sum(f.stat().st_size for f in files) < 0.6 * 60 * 5 * 2400
+    assert back.count() == back.select("trace_id", "analyte").distinct().count() == 60 * 5 * 2400
+    assert back.filter("peak_no != analyte % 5 or expected_rt != analyte % 5").count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 3])
+def test_parts_of_places_hold_all_pairs(spark, monkeypatch, few):
+    for name in ("RUN", "TRACES", "LISTS_A_PART", "TRACES_A_PART"):
+        monkeypatch.setattr(matching, name, few)
+    monkeypatch.setattr(matching, "PAIRS_A_PART", 8 * few)
+    peaks = [(t if t else None, n, float(v)) for t in range(11) for n, v in enumerate((1.0, 1.04, 2.0, -0.0))]
+    analytes = [(k, v) for k, v in enumerate([1.0] * 17 + [2.02] * 2 + [0.0] * 5 + [1.03] + [7.0] * 3)] + [(None, 2.02)]
+    got = matching.match_analytes(spark.createDataFrame(peaks, "trace_id int, peak_no int, rt double"), spark.createDataFrame(analytes, "analyte int, expected_rt double"), 0.05)
+    near = {1.0: 0, 2.02: 2, 0.0: 3, 1.03: 1}
+    want = [(t if t else None, k, near[v]) for t in range(11) for k, v in analytes if v in near]
+    assert sorted(((r.trace_id, r.analyte, r.peak_no) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_labels_of_peaks_among_many_equal_places(spark, monkeypatch):
     monkeypatch.setattr(matching, "LIST", 3)
     monkeypatch.setattr(matching, "band_join", None)  # no pairs of peaks and labels are made
